@@ -63,7 +63,9 @@ def panel_ctes(ledger: str = "lines", days: int = PANEL_DAYS, name: str = "panel
     """CTEs flows, bounds, cal, pre, daily, <name>: complete daily balances."""
     return [
         flows_cte(ledger),
-        f"bounds AS (SELECT max(d) - {days - 1} AS d_start, max(d) AS d_end FROM flows)",
+        (f"bounds AS (SELECT max(CAST(l_shipdate AS DATE)) - {days - 1} AS d_start, "
+         f"max(CAST(l_shipdate AS DATE)) AS d_end FROM lineitem)" if ledger == "lines" else
+         f"bounds AS (SELECT max(d) - {days - 1} AS d_start, max(d) AS d_end FROM flows)"),
         f"cal AS (SELECT CAST(b.d_start + CAST(t.i AS INTEGER) AS DATE) AS date FROM bounds b, range(0, {days}) t(i))",
         """pre AS (SELECT f.customer_id, sum(f.amount) AS amt FROM flows f, bounds b
          WHERE f.d < b.d_start GROUP BY f.customer_id)""",

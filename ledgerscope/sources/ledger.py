@@ -74,53 +74,72 @@ def order_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("o_totalprice") * sign).alias("amount")))
 
 
-def calendar_bounds(flows: DataFrame, days: int = PANEL_DAYS) -> DataFrame:
-    """One row: d_start, d_end = last flow date and the day ``days-1`` before."""
-    return (flows.agg(F.max("date").alias("d_end"))
+def calendar_bounds(dates: DataFrame, days: int = PANEL_DAYS) -> DataFrame:
+    """One row: d_start, d_end = last date and the day ``days-1`` before.
+
+    ``dates`` is any frame with a DATE column ``date`` (for the line ledger
+    a one-column scan of lineitem, so the bound does not re-run the join).
+    """
+    return (dates.agg(F.max("date").alias("d_end"))
             .select(F.date_sub("d_end", days - 1).alias("d_start"), "d_end"))
 
 
 def ledger_to_panel(flows: DataFrame, accts: DataFrame, days: int = PANEL_DAYS,
-                    bounds: DataFrame | None = None) -> DataFrame:
+                    bounds: DataFrame | None = None, keep_last: int | None = None) -> DataFrame:
     """Complete daily running balances over the last ``days`` days.
 
     balance(day) = opening + all flows dated on or before that day.
     Customers without flows get a flat series; flows of customers without
-    an account row are dropped.
+    an account row are dropped. With ``keep_last`` only the trailing
+    ``keep_last`` days are emitted (balances still include all history).
     """
     b = F.broadcast(bounds if bounds is not None else calendar_bounds(flows, days))
     moved = (flows.crossJoin(b)
              .where(F.col("date") <= F.col("d_end"))
              .select("customer_id",
                      F.greatest(F.col("date"), F.col("d_start")).alias("date"),
-                     F.col("amount"),
-                     F.lit(None).cast("string").alias("segment")))
+                     F.col("amount")))
     opened = (accts.crossJoin(b)
               .select("customer_id", F.col("d_start").alias("date"),
-                      F.col("opening").alias("amount"), "segment"))
+                      F.col("opening").alias("amount")))
+    # map-side partial sums cap every customer at one row per day before
+    # the exchange, whatever its share of the flows
     points = (moved.unionByName(opened)
               .groupBy("customer_id", "date")
-              .agg(F.sum("amount").alias("net"), F.max("segment").alias("segment")))
+              .agg(F.sum("amount").alias("net")))
     w = Window.partitionBy("customer_id").orderBy("date")
-    runs = (points.select(
+    runs = points.select(
         "customer_id", "date",
         F.sum("net").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("bal"),
-        F.lead("date").over(w).alias("next_date"),
-        F.first("segment", ignorenulls=True).over(
-            w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("segment"))
-        .where(F.col("segment").isNotNull())
-        .crossJoin(b))
+        F.lead("date").over(w).alias("next_date"))
+    # segment by key join: the runs keep their customer partitioning, only
+    # the (one row per customer) account side moves, or is broadcast when
+    # the planner's size check allows it
+    runs = runs.join(accts.select("customer_id", "segment"), "customer_id").crossJoin(b)
+    first_day = F.col("date")
+    last_day = F.coalesce(F.date_sub("next_date", 1), F.col("d_end"))
+    if keep_last:
+        since = F.date_sub("d_end", keep_last - 1)
+        runs = runs.where(last_day >= since)
+        first_day = F.greatest(first_day, since)
     return runs.select(
         "customer_id", "segment",
-        F.explode(F.sequence(
-            F.col("date"),
-            F.coalesce(F.date_sub("next_date", 1), F.col("d_end")))).alias("date"),
+        F.explode(F.sequence(first_day, last_day)).alias("date"),
         half_up("bal", 2).alias("balance"))
 
 
-def line_panel(spark: SparkSession, sf_dir: str, days: int = PANEL_DAYS) -> DataFrame:
-    return ledger_to_panel(line_ledger(spark, sf_dir), accounts(spark, sf_dir), days)
+def line_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("date"))
+
+
+def line_panel(spark: SparkSession, sf_dir: str, days: int = PANEL_DAYS,
+               keep_last: int | None = None) -> DataFrame:
+    return ledger_to_panel(line_ledger(spark, sf_dir), accounts(spark, sf_dir), days,
+                           bounds=calendar_bounds(line_dates(spark, sf_dir), days),
+                           keep_last=keep_last)
 
 
-def order_panel(spark: SparkSession, sf_dir: str, days: int = PANEL_DAYS) -> DataFrame:
-    return ledger_to_panel(order_ledger(spark, sf_dir), accounts(spark, sf_dir), days)
+def order_panel(spark: SparkSession, sf_dir: str, days: int = PANEL_DAYS,
+                keep_last: int | None = None) -> DataFrame:
+    return ledger_to_panel(order_ledger(spark, sf_dir), accounts(spark, sf_dir), days,
+                           keep_last=keep_last)
