@@ -46,15 +46,17 @@ def flows_cte(ledger: str = "lines", name: str = "flows") -> str:
     if ledger == "lines":
         return f"""{name} AS (
   SELECT CAST(o.o_custkey AS BIGINT) AS customer_id, CAST(l.l_shipdate AS DATE) AS d,
-         l.l_extendedprice * (1.0 - l.l_discount) *
-         (CASE l.l_returnflag WHEN 'R' THEN {LINE_SIGN['R']!r} WHEN 'A' THEN {LINE_SIGN['A']!r}
-          ELSE {LINE_SIGN['N']!r} END) AS amount
+         CAST(CAST(l.l_extendedprice AS DECIMAL(12,2)) *
+              (CAST(1 AS DECIMAL(3,2)) - CAST(l.l_discount AS DECIMAL(3,2))) *
+              CAST(CASE l.l_returnflag WHEN 'R' THEN {LINE_SIGN['R']!r} WHEN 'A' THEN {LINE_SIGN['A']!r}
+                   ELSE {LINE_SIGN['N']!r} END AS DECIMAL(2,1)) AS DECIMAL(18,5)) AS amount
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)"""
     if ledger == "orders":
         return f"""{name} AS (
   SELECT CAST(o_custkey AS BIGINT) AS customer_id, CAST(o_orderdate AS DATE) AS d,
-         o_totalprice * (CASE o_orderstatus WHEN 'F' THEN {ORDER_SIGN['F']!r}
-                          ELSE {ORDER_SIGN['O']!r} END) AS amount
+         CAST(CAST(o_totalprice AS DECIMAL(15,2)) *
+              CAST(CASE o_orderstatus WHEN 'F' THEN {ORDER_SIGN['F']!r} ELSE {ORDER_SIGN['O']!r} END
+                   AS DECIMAL(2,1)) AS DECIMAL(18,5)) AS amount
   FROM orders WHERE o_orderstatus IN ('F', 'O'))"""
     raise ValueError(ledger)
 
@@ -73,7 +75,9 @@ def panel_ctes(ledger: str = "lines", days: int = PANEL_DAYS, name: str = "panel
            WHERE f.d >= b.d_start GROUP BY f.customer_id, f.d)""",
         f"""{name} AS (
   SELECT CAST(c.c_custkey AS BIGINT) AS customer_id, c.c_mktsegment AS segment, cal.date,
-    {hu('c.c_acctbal + coalesce(p.amt, 0.0) + sum(coalesce(dl.net, 0.0)) OVER (PARTITION BY c.c_custkey ORDER BY cal.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)', 2)} AS balance
+    CAST(round(CAST(c.c_acctbal AS DECIMAL(15,2)) + coalesce(p.amt, 0)
+       + sum(coalesce(dl.net, 0)) OVER (PARTITION BY c.c_custkey ORDER BY cal.date
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS DOUBLE) AS balance
   FROM customer c CROSS JOIN cal
   LEFT JOIN pre p ON p.customer_id = c.c_custkey
   LEFT JOIN daily dl ON dl.customer_id = c.c_custkey AND dl.d = cal.date)""",

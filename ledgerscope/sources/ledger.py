@@ -24,10 +24,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerscope.functions.expr import half_up
 from ledgerscope.sources.tables import read_table
 
 PANEL_SCHEMA = "customer_id BIGINT, segment STRING, date DATE, balance DOUBLE"
+# money is summed exactly; balances become DOUBLE after rounding to cents
+AMOUNT = "decimal(18,5)"
 
 # FIXED VALUES (ledger binding of the supplied tables, see SURVEY 7.2)
 LINE_SIGN = {"R": -1.0, "A": -0.5, "N": 1.5}
@@ -41,7 +42,7 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(
         F.col("c_custkey").cast("bigint").alias("customer_id"),
         F.col("c_mktsegment").alias("segment"),
-        F.col("c_acctbal").cast("double").alias("opening"),
+        F.col("c_acctbal").cast("decimal(15,2)").cast(AMOUNT).alias("opening"),
     )
 
 
@@ -51,11 +52,13 @@ def line_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders")
     sign = (F.when(F.col("l_returnflag") == "R", F.lit(LINE_SIGN["R"]))
             .when(F.col("l_returnflag") == "A", F.lit(LINE_SIGN["A"]))
-            .otherwise(F.lit(LINE_SIGN["N"])))
+            .otherwise(F.lit(LINE_SIGN["N"]))).cast("decimal(2,1)")
+    net = (F.col("l_extendedprice").cast("decimal(12,2)")
+           * (F.lit(1).cast("decimal(3,2)") - F.col("l_discount").cast("decimal(3,2)")))
     lines = li.select(
         F.col("l_orderkey"),
         F.to_date("l_shipdate").alias("date"),
-        (F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount")) * sign).alias("amount"),
+        (net * sign).cast(AMOUNT).alias("amount"),
     )
     keys = o.select(F.col("o_orderkey"), F.col("o_custkey").cast("bigint").alias("customer_id"))
     return (lines.join(keys, lines.l_orderkey == keys.o_orderkey)
@@ -71,7 +74,8 @@ def order_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (o.where(F.col("o_orderstatus").isin("F", "O"))
             .select(F.col("o_custkey").cast("bigint").alias("customer_id"),
                     F.to_date("o_orderdate").alias("date"),
-                    (F.col("o_totalprice") * sign).alias("amount")))
+                    (F.col("o_totalprice").cast("decimal(15,2)") * sign.cast("decimal(2,1)"))
+                    .cast(AMOUNT).alias("amount")))
 
 
 def calendar_bounds(dates: DataFrame, days: int = PANEL_DAYS) -> DataFrame:
@@ -125,7 +129,7 @@ def ledger_to_panel(flows: DataFrame, accts: DataFrame, days: int = PANEL_DAYS,
     return runs.select(
         "customer_id", "segment",
         F.explode(F.sequence(first_day, last_day)).alias("date"),
-        half_up("bal", 2).alias("balance"))
+        F.round("bal", 2).cast("double").alias("balance"))
 
 
 def line_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
