@@ -27,6 +27,23 @@ def half_up(x, n: int) -> Column:
     return F.floor(x * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
 
 
+def exact_avg(x, scale: int = 2) -> Column:
+    """Mean of values that carry ``scale`` decimals, summed exactly.
+
+    sum(decimal) is exact in every engine, so the mean (one double
+    division) no longer depends on summation order; this matters when the
+    mean is rounded and can land on a rounding boundary.
+    """
+    x = _c(x)
+    total = F.sum(x.cast(f"decimal(18,{scale})")).cast("double")
+    return total / F.count(x)
+
+
+def share_pct(cond) -> Column:
+    """100 * (rows where cond) / rows."""
+    return F.lit(100.0) * F.count_if(cond) / F.count(F.lit(1))
+
+
 def clip(x, lo: float = 0.0, hi: float = 100.0) -> Column:
     x = _c(x)
     return F.when(x.isNull(), F.lit(None).cast("double")).otherwise(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.functions.expr import half_up, risk_label
+from ledgerscope.functions.expr import exact_avg, half_up, risk_label
 from ledgerscope.operators.scores import customer_scores
 from ledgerscope.params import DEFAULT_PARAMS, RiskParams
 
@@ -20,9 +20,10 @@ def heatmap_from_scores(scores: DataFrame, keys=("segment",),
     labelled on the unrounded mean; sub-score means are rounded to 1 dp.
     """
     keys = list(keys)
+    # sub-scores carry 2 decimals and the composite 3: exact sums
     agg = scores.groupBy(*keys).agg(
-        F.avg("fhs_raw").alias("_fhs"),
-        *[F.avg(c).alias(f"_{c}") for c in PARTS])
+        exact_avg("fhs_raw", 3).alias("_fhs"),
+        *[exact_avg(c, 2).alias(f"_{c}") for c in PARTS])
     return agg.select(
         *keys,
         half_up("_fhs", 2).alias("fhs"),

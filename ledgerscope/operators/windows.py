@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerscope.functions.expr import clip, exp_decay, half_up
+from ledgerscope.functions.expr import clip, exact_avg, exp_decay, half_up
 from ledgerscope.operators.scores import composite_raw, composite_score
 from ledgerscope.params import DEFAULT_PARAMS, RiskParams
 
@@ -234,7 +234,7 @@ def rolling_daily_fhs(panel: DataFrame, p: RiskParams = DEFAULT_PARAMS,
     """segment, date, value: mean over customers of the rolling FHS."""
     sc = rolling_scores(panel, p, trim=trim)
     return (sc.groupBy("segment", F.col("end_date").alias("date"))
-            .agg(F.avg("fhs").alias("value"), F.count(F.lit(1)).alias("n_customers")))
+            .agg(exact_avg("fhs", 2).alias("value"), F.count(F.lit(1)).alias("n_customers")))
 
 
 def hopping_scores(panel: DataFrame, p: RiskParams = DEFAULT_PARAMS,

@@ -32,8 +32,8 @@ HOP_SCORES = Q.score_ctes("hwin", keys="customer_id, win_start, segment",
                           series="customer_id, win_start", name="hs")
 
 
-@register("rolling_daily_fhs", sql=Q.with_(*LINES, *ROLL_WIN, *ROLL_SCORES) + """
-SELECT segment, end_date AS date, round(avg(fhs), 6) AS value, count(*) AS n_customers
+@register("rolling_daily_fhs", sql=Q.with_(*LINES, *ROLL_WIN, *ROLL_SCORES) + f"""
+SELECT segment, end_date AS date, round({Q.exact_avg('fhs')}, 6) AS value, count(*) AS n_customers
 FROM rs GROUP BY segment, end_date""")
 def rolling_daily_fhs(spark, sf):
     panel = L.line_panel(spark, sf, keep_last=W.rolling_rows())

@@ -18,6 +18,14 @@ def hu(x: str, n: int) -> str:
     return f"(floor(({x}) * {s} + 0.5) / {s})"
 
 
+def exact_avg(x: str, scale: int = 2) -> str:
+    return f"(CAST(sum(CAST(({x}) AS DECIMAL(18,{scale}))) AS DOUBLE) / count({x}))"
+
+
+def share_pct(cond: str) -> str:
+    return f"(100.0 * count_if({cond}) / count(*))"
+
+
 def clip(x: str, lo: float = 0.0, hi: float = 100.0) -> str:
     return f"(CASE WHEN ({x}) IS NULL THEN NULL ELSE least(greatest(({x}), {lo!r}), {hi!r}) END)"
 
@@ -132,8 +140,67 @@ PARTS = ("balance_trend", "income_regularity", "spending_volatility", "debt_rati
 
 
 def heatmap_cte(src: str = "scores", keys: str = "segment", name: str = "heatmap") -> str:
-    parts = ",\n   ".join(f"{hu(f'avg({c})', 1)} AS {c}" for c in PARTS)
-    return f"""{name} AS (SELECT {keys}, {hu('avg(fhs_raw)', 2)} AS fhs,
-   {risk_label('avg(fhs_raw)')} AS risk_label,
+    parts = ",\n   ".join(f"{hu(exact_avg(c), 1)} AS {c}" for c in PARTS)
+    return f"""{name} AS (SELECT {keys}, {hu(exact_avg('fhs_raw', 3), 2)} AS fhs,
+   {risk_label(exact_avg('fhs_raw', 3))} AS risk_label,
    {parts}
   FROM {src} GROUP BY {keys})"""
+
+
+# ---- features ----------------------------------------------------------------
+
+HOP_WIN = [
+    """ipanel AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY date) - 1 AS idx,
+   count(*) OVER (PARTITION BY customer_id) AS n FROM panel)""",
+    "starts AS (SELECT CAST(s * 30 AS BIGINT) AS win_start FROM range(0, 1000) t(s))",
+    """hwin AS (SELECT p.customer_id, st.win_start, p.segment, p.date, p.balance
+  FROM ipanel p JOIN starts st
+    ON st.win_start < greatest(1, p.n - 180) AND p.idx >= st.win_start AND p.idx < st.win_start + 180)""",
+]
+
+
+def feature_ctes() -> list[str]:
+    """CTEs fb (balance moments), freg (raw regularity), fh (window FHS),
+    features (the rounded feature table) over ``panel``."""
+    return [
+        """fp AS (SELECT customer_id, segment, date, balance,
+   balance - lag(balance) OVER (PARTITION BY customer_id ORDER BY date) AS diff,
+   max(balance) OVER (PARTITION BY customer_id ORDER BY date
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS runmax FROM panel)""",
+        f"""fb AS (SELECT customer_id, segment, count(*) AS n, {exact_avg('balance')} AS bal_mean,
+   stddev_pop(balance) AS bal_std,
+   regr_slope(balance, CAST(date - DATE '1970-01-01' AS DOUBLE)) AS bal_trend,
+   {exact_avg('abs(diff)')} AS vel_mean, max(abs(diff)) AS vel_max,
+   avg(CASE WHEN balance < 0 THEN 1.0 ELSE 0.0 END) AS pct_negative_days,
+   max(runmax - balance) AS max_drawdown,
+   {exact_avg('CASE WHEN diff < 0 THEN -diff END')} AS avg_expense
+  FROM fp GROUP BY customer_id, segment)""",
+        """fcl AS (SELECT customer_id, CAST(date_trunc('month', date) AS DATE) AS month,
+   arg_max(balance, date) AS close FROM panel GROUP BY customer_id, CAST(date_trunc('month', date) AS DATE))""",
+        """fdl AS (SELECT customer_id, month,
+   CASE WHEN date_diff('month', lag(month) OVER (PARTITION BY customer_id ORDER BY month), month) = 1
+        THEN close - lag(close) OVER (PARTITION BY customer_id ORDER BY month) END AS delta FROM fcl)""",
+        """freg AS (SELECT customer_id, count(delta) AS n_delta,
+   CASE WHEN count(delta) > 1 THEN stddev_samp(delta) / (abs(avg(delta)) + 1e-9) ELSE 1.0 END
+     AS income_regularity
+  FROM fdl WHERE delta IS NOT NULL GROUP BY customer_id)""",
+        *HOP_WIN,
+        *score_ctes("hwin", keys="customer_id, win_start, segment",
+                    series="customer_id, win_start", name="hs"),
+        f"""fh AS (SELECT customer_id, {exact_avg('fhs')} AS fhs_mean, count(*) AS n_windows,
+   CASE WHEN count(*) > 1 THEN stddev_pop(fhs) ELSE 0.0 END AS fhs_std FROM hs GROUP BY customer_id)""",
+        f"""features AS (SELECT b.customer_id, b.segment,
+   {hu('b.bal_mean', 2)} AS bal_mean, {hu('b.bal_std', 2)} AS bal_std,
+   {hu('b.bal_trend', 4)} AS bal_trend,
+   {hu('b.bal_std / (abs(b.bal_mean) + 1e-9)', 4)} AS bal_cv,
+   {hu('h.fhs_std', 4)} AS fhs_std,
+   {hu('coalesce(r.income_regularity, 1.0)', 4)} AS income_regularity,
+   {hu('b.vel_mean', 2)} AS vel_mean, {hu('b.vel_max', 2)} AS vel_max,
+   {hu('b.pct_negative_days', 4)} AS pct_negative_days,
+   {hu('b.max_drawdown', 2)} AS max_drawdown,
+   {hu(clip('b.bal_mean / (coalesce(b.avg_expense, 1.0) + 1e-9)', 0.0, 365.0), 2)} AS runway_mean,
+   {risk_tier('h.fhs_mean')} AS risk_tier,
+   {hu('h.fhs_mean', 2)} AS _fhs_mean
+  FROM fb b LEFT JOIN freg r ON r.customer_id = b.customer_id
+            LEFT JOIN fh h ON h.customer_id = b.customer_id)""",
+    ]
