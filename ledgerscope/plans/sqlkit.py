@@ -44,8 +44,9 @@ def risk_tier(x: str) -> str:
             f"WHEN ({x}) < {P.tier_medium_below!r} THEN 'Medium' ELSE 'Low' END)")
 
 
-def with_(*ctes: str) -> str:
-    return "WITH " + ",\n".join(c.strip() for c in ctes if c) + "\n"
+def with_(*ctes: str, recursive: bool = False) -> str:
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return head + ",\n".join(c.strip() for c in ctes if c) + "\n"
 
 
 # ---- ledgers and panel -----------------------------------------------------
@@ -204,3 +205,58 @@ def feature_ctes() -> list[str]:
   FROM fb b LEFT JOIN freg r ON r.customer_id = b.customer_id
             LEFT JOIN fh h ON h.customer_id = b.customer_id)""",
     ]
+
+
+# ---- forecasting -------------------------------------------------------------
+
+def grid_cte(k: int = 20) -> str:
+    return (f"grid AS (SELECT CAST(a.i AS DOUBLE) / {float(k)!r} AS alpha, "
+            f"CAST(b.j AS DOUBLE) / {float(k)!r} AS beta FROM range(1, {k + 1}) a(i), range(1, {k + 1}) b(j))")
+
+
+def holt_ctes(src: str, name: str) -> list[str]:
+    """Recursive Holt fold per (segment, alpha, beta) over ``src``
+    (segment, t, value, n); ``<name>_best`` keeps the least-SSE pair."""
+    return [
+        f"""{name}(segment, alpha, beta, t, l, b, sse) AS (
+  SELECT s2.segment, g.alpha, g.beta, 2, s2.value, s2.value - s1.value, CAST(0 AS DOUBLE)
+  FROM {src} s1 JOIN {src} s2 ON s1.segment = s2.segment AND s1.t = 1 AND s2.t = 2 AND s2.n >= 3
+  CROSS JOIN grid g
+  UNION ALL
+  SELECT h.segment, h.alpha, h.beta, h.t + 1,
+    h.alpha * y.value + (1.0 - h.alpha) * (h.l + h.b),
+    h.beta * ((h.alpha * y.value + (1.0 - h.alpha) * (h.l + h.b)) - h.l) + (1.0 - h.beta) * h.b,
+    h.sse + (y.value - (h.l + h.b)) * (y.value - (h.l + h.b))
+  FROM {name} h JOIN {src} y ON y.segment = h.segment AND y.t = h.t + 1)""",
+        f"""{name}_best AS (SELECT segment, alpha, beta, l AS level, b AS trend, sse FROM (
+  SELECT h.*, row_number() OVER (PARTITION BY h.segment ORDER BY h.sse, h.alpha, h.beta) AS rk
+  FROM {name} h JOIN (SELECT DISTINCT segment, n FROM {src}) s ON s.segment = h.segment AND h.t = s.n)
+  WHERE rk = 1)""",
+    ]
+
+
+def ses_ctes(src: str, name: str) -> list[str]:
+    return [
+        f"""{name}(segment, alpha, t, l, sse, res) AS (
+  SELECT s1.segment, g.alpha, 1, s1.value, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)
+  FROM {src} s1 CROSS JOIN (SELECT DISTINCT alpha FROM grid) g WHERE s1.t = 1 AND s1.n >= 2
+  UNION ALL
+  SELECT h.segment, h.alpha, h.t + 1, h.alpha * y.value + (1.0 - h.alpha) * h.l,
+    h.sse + (y.value - h.l) * (y.value - h.l), h.res + (y.value - h.l)
+  FROM {name} h JOIN {src} y ON y.segment = h.segment AND y.t = h.t + 1)""",
+        f"""{name}_best AS (SELECT segment, alpha, l AS level, res / (n - 1) AS bias, sse FROM (
+  SELECT h.*, s.n, row_number() OVER (PARTITION BY h.segment ORDER BY h.sse, h.alpha) AS rk
+  FROM {name} h JOIN (SELECT DISTINCT segment, n FROM {src}) s ON s.segment = h.segment AND h.t = s.n)
+  WHERE rk = 1)""",
+    ]
+
+
+def tail_stats_cte(src: str, name: str, tail: int = 30, sma: int = 7) -> str:
+    """Per segment: last date/value, OLS on the last ``tail`` points, mean
+    of the last ``sma`` points."""
+    return f"""{name} AS (SELECT segment, max(date) AS last_date, arg_max(value, t) AS last_value,
+   least(max(n), {tail}) AS m30,
+   regr_slope(value, CASE WHEN t > n - {tail} THEN CAST(t - greatest(n - {tail}, 0) - 1 AS DOUBLE) END) AS slope30,
+   regr_intercept(value, CASE WHEN t > n - {tail} THEN CAST(t - greatest(n - {tail}, 0) - 1 AS DOUBLE) END) AS icpt30,
+   avg(CASE WHEN t > n - {sma} THEN value END) AS sma
+  FROM {src} GROUP BY segment)"""
