@@ -71,6 +71,7 @@ def fallback_explanation(df: DataFrame) -> DataFrame:
 
 def first_nonblank(*cols) -> F.Column:
     """First candidate that is not NULL or blank, in priority order."""
+    cols = [F.col(c) if isinstance(c, str) else c for c in cols]
     return F.coalesce(*[F.when(F.length(F.trim(c)) > 0, c) for c in cols])
 
 

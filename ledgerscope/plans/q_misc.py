@@ -349,7 +349,7 @@ def alert_prompt_text(spark, sf):
 SELECT segment, CAST(pos AS BIGINT) AS pos, trim(sentence) AS sentence FROM (
   SELECT segment, unnest(parts) AS sentence, unnest(range(1, len(parts) + 1)) AS pos FROM (
     SELECT x.segment, list_filter(string_split(regexp_replace({EXPL_SQL}, '\\.\\s', '.' || chr(1), 'g'), chr(1)),
-                                  s -> length(trim(s)) > 3) AS parts
+                                  lambda s: length(trim(s)) > 3) AS parts
     FROM alerts x LEFT JOIN edim e ON e.segment = x.segment))""")
 def explanation_sentences(spark, sf):
     return LK.sentences(LK.fallback_explanation(alerts(spark, sf).select("segment")))
