@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference recomputes on request; it has no event-time windows,
+watermarks, state or late data, so no streaming operator is claimed.
+Every operator here is a lazy DataFrame plan and runs unchanged inside a
+``foreachBatch`` sink if a caller wants recompute-on-arrival.
+"""
