@@ -84,7 +84,7 @@ GRID_SQL = Q.with_(*LINES, *_grid_sql())
 
 
 def grid_heat(spark, sf):
-    return G.shocked_heatmaps(panel(spark, sf), GRID)
+    return G.shocked_heatmaps_fast(panel(spark, sf), GRID)
 
 
 @register("stress_shock_grid", sql=GRID_SQL + "SELECT * FROM gheat")
