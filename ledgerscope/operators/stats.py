@@ -89,21 +89,30 @@ def p_round(p):
 
 
 def anova_oneway(df: DataFrame, value: str, group: str, scale: int = 2) -> DataFrame:
-    """k, n, df_between, df_within, ss_between, ss_within, f_statistic, eta_squared."""
-    g = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_g"), exact_avg(value, scale).alias("m_g"))
-    grand = df.agg(exact_avg(value, scale).alias("gm"), F.count(F.lit(1)).alias("n"))
-    j = df.join(g, group).crossJoin(F.broadcast(grand))
-    ss = j.agg(
-        F.sum((F.col(value) - F.col("m_g")) * (F.col(value) - F.col("m_g"))).alias("ssw"),
-        F.sum((F.col(value) - F.col("gm")) * (F.col(value) - F.col("gm"))).alias("sst"))
-    ssb = g.crossJoin(F.broadcast(grand)).agg(
-        F.sum(F.col("n_g") * (F.col("m_g") - F.col("gm")) * (F.col("m_g") - F.col("gm"))).alias("ssb"),
-        F.count(F.lit(1)).alias("k"))
-    r = ss.crossJoin(ssb).crossJoin(grand.select("n"))
+    """k, n, df_between, df_within, f_statistic, eta_squared, effect_size.
+
+    One pass: per group n, sum x and sum x^2 (summed exactly as decimals
+    of ``scale`` places), then the sums of squares in closed form over the
+    group rows (one per group: a bounded, tiny table):
+      SSW = sum_g (S2_g - S1_g^2 / n_g)   SSB = sum_g S1_g^2 / n_g - S1^2 / N
+    """
+    x = F.col(value).cast(f"decimal(18,{scale})")
+    g = df.groupBy(group).agg(
+        F.count(value).alias("n_g"),
+        F.sum(x).cast("double").alias("s1"),
+        F.sum(x * x).cast("double").alias("s2"))
+    r = g.agg(
+        F.count(F.lit(1)).alias("k"), F.sum("n_g").alias("n"),
+        F.sum(F.col("s1") * F.col("s1") / F.col("n_g")).alias("between_raw"),
+        F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
+    n = F.col("n").cast("double")
+    ssb = F.col("between_raw") - F.col("s1") * F.col("s1") / n
+    ssw = F.col("s2") - F.col("between_raw")
+    sst = F.col("s2") - F.col("s1") * F.col("s1") / n
     dfb = F.col("k") - 1
     dfw = F.col("n") - F.col("k")
-    fstat = F.try_divide(F.col("ssb") / dfb, F.try_divide(F.col("ssw"), dfw))
-    eta = F.when(F.col("sst") > 0, F.col("ssb") / F.col("sst")).otherwise(F.lit(0.0))
+    fstat = F.try_divide(F.try_divide(ssb, dfb), F.try_divide(ssw, dfw))
+    eta = F.when(sst > 0, ssb / sst).otherwise(F.lit(0.0))
     return r.select(F.col("k").cast("bigint").alias("k"), F.col("n").cast("bigint").alias("n"),
                     dfb.cast("bigint").alias("df_between"), dfw.cast("bigint").alias("df_within"),
                     half_up(fstat, 4).alias("f_statistic"), fstat.alias("_f"),

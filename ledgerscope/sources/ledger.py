@@ -111,6 +111,13 @@ def ledger_to_panel(flows: DataFrame, accts: DataFrame, days: int = PANEL_DAYS,
     points = (moved.unionByName(opened)
               .groupBy("customer_id", "date")
               .agg(F.sum("amount").alias("net")))
+    # the expansion below multiplies rows ~days/flows-fold, so its
+    # parallelism must not follow the (small) change-point exchange: fix
+    # the customer partitioning at spark.sql.shuffle.partitions (AQE never
+    # coalesces an explicit repartition). Rows per customer are already
+    # capped at one per day here, so this exchange is skew-free.
+    n_parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points = points.repartition(n_parts, "customer_id")
     w = Window.partitionBy("customer_id").orderBy("date")
     runs = points.select(
         "customer_id", "date",
