@@ -18,6 +18,13 @@ from pyspark.sql import functions as F
 
 from ledgerscope.functions.expr import half_up
 from ledgerscope.params import DEFAULT_PARAMS
+from ledgerscope.session import ensure_checkpoint_dir
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the session's shared checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
 
 FEATURES = list(DEFAULT_PARAMS.feature_columns)
 CLASSES = ("High", "Low", "Medium")      # alphabetical = label index
@@ -50,7 +57,7 @@ def fit_classifiers(split: DataFrame, seed: int = 42):
     forest on raw features; returns (predictions, rf_model)."""
     # iterative fits re-read their input many times: cut the lineage once
     # (reliable checkpoint into spark.checkpoint.dir, survives executor loss)
-    split = split.select("customer_id", "risk_tier", "split", *FEATURES).checkpoint()
+    split = _cut(split.select("customer_id", "risk_tier", "split", *FEATURES))
     train = _label(split.where(F.col("split") == "train"))
     test = _label(split.where(F.col("split") == "test"))
     ztrain = _assemble(standardize(train, fit_on=train))
@@ -79,7 +86,7 @@ def importances(rf_model, spark, cols=FEATURES) -> DataFrame:
 def kmeans_sweep(features: DataFrame, ks=range(2, 11), restarts: int = 10, seed: int = 42) -> DataFrame:
     """k, inertia (best of ``restarts`` seeds), silhouette (squared
     Euclidean, MLlib's default)."""
-    z = _assemble(standardize(features.select("customer_id", *FEATURES).checkpoint())).cache()
+    z = _assemble(standardize(_cut(features.select("customer_id", *FEATURES)))).cache()
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
     rows = []
     for k in ks:
@@ -104,13 +111,13 @@ def best_k(sweep: DataFrame) -> DataFrame:
 
 
 def kmeans_labels(features: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    z = _assemble(standardize(features.checkpoint()))
+    z = _assemble(standardize(_cut(features)))
     m = KMeans(k=k, seed=seed, featuresCol="features").fit(z)
     return m.transform(z).select("customer_id", "segment", F.col("prediction").cast("int").alias("cluster"))
 
 
 def pca_2d(features: DataFrame) -> tuple[DataFrame, list]:
-    z = _assemble(standardize(features.checkpoint()))
+    z = _assemble(standardize(_cut(features)))
     m = PCA(k=2, inputCol="features", outputCol="pc").fit(z)
     out = m.transform(z).select("customer_id", "segment", vector_to_array("pc").alias("pc"))
     out = out.select("customer_id", "segment", half_up(F.col("pc")[0], 4).alias("x"),

@@ -593,7 +593,18 @@ def roc_auc_ovr(spark, sf):
     return MT.roc_auc(scored(spark, sf))
 
 
-@register("curve_thinning")
+@register("curve_thinning", sql=CLS_SQL + f"""
+, curve AS (
+  SELECT class, score AS threshold,
+    sum(neg) OVER (PARTITION BY class ORDER BY score DESC) / sum(neg) OVER (PARTITION BY class) AS fpr,
+    sum(pos) OVER (PARTITION BY class ORDER BY score DESC) / sum(pos) OVER (PARTITION BY class) AS tpr
+  FROM (SELECT class, score, CAST(sum(is_pos) AS DOUBLE) AS pos, CAST(sum(1 - is_pos) AS DOUBLE) AS neg
+        FROM scored GROUP BY class, score)
+  UNION ALL SELECT DISTINCT class, NULL, 0.0, 0.0 FROM scored)
+SELECT class, threshold, {Q.hu('fpr', 6)} AS fpr, {Q.hu('tpr', 6)} AS tpr FROM (
+  SELECT *, row_number() OVER (PARTITION BY class ORDER BY coalesce(fpr, 0.0) + coalesce(tpr, 0.0)) AS rn,
+         count(*) OVER (PARTITION BY class) AS n FROM curve)
+WHERE (rn - 1) % greatest(1, n // 50) = 0""")
 def curve_thinning(spark, sf):
     c = MT.thin_curve(MT.roc_curve(scored(spark, sf)), points=50)
     return c.select("class", "threshold", X.half_up("fpr", 6).alias("fpr"), X.half_up("tpr", 6).alias("tpr"))

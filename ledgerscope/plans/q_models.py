@@ -119,10 +119,30 @@ def kmeans_final(spark, sf):
     return final_labels(spark, sf)
 
 
-@register("cluster_crosstab")
+def crosstab(df, row: str, col: str):
+    """Contingency counts in long form with every (row, col) cell present
+    (zeros filled); the cell grid is rows x cols distinct values (bounded
+    by the label sets, broadcast)."""
+    counts = df.groupBy(row, col).agg(F.count(F.lit(1)).alias("n"))
+    cells = df.select(row).distinct().crossJoin(F.broadcast(df.select(col).distinct()))
+    return cells.join(counts, [row, col], "left").select(
+        row, col, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
+@register("cluster_crosstab", sql=FEAT + """
+SELECT s.segment, t.risk_tier, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM (SELECT DISTINCT segment FROM features) s CROSS JOIN (SELECT DISTINCT risk_tier FROM features) t
+LEFT JOIN (SELECT segment, risk_tier, count(*) AS n FROM features GROUP BY segment, risk_tier) c
+  ON c.segment = s.segment AND c.risk_tier = t.risk_tier""")
 def cluster_crosstab(spark, sf):
-    lab = final_labels(spark, sf)
-    return lab.groupBy("segment", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    """segment x given label (the risk tier here); the k-means labels use
+    the same operator in ``kmeans_crosstab``."""
+    return crosstab(features(spark, sf), "segment", "risk_tier")
+
+
+@register("kmeans_crosstab")
+def kmeans_crosstab(spark, sf):
+    return crosstab(final_labels(spark, sf), "segment", "cluster")
 
 
 @register("pca_2d")

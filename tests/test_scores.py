@@ -158,3 +158,39 @@ def test_short_series_single_window(spark):
     p = panel_df(spark, {1: [float(i % 7) for i in range(80)]})
     h = W.hopping_scores(p).collect()
     assert len(h) == 1 and h[0]["win_start"] == 0
+
+
+def test_one_pass_shock_grid_equals_explode_plan(spark):
+    """Closed-form shocked moments give the same heatmap as scoring a
+    shocked copy of the panel per shock."""
+    series = _random_panel(spark, n_cust=6, days=300, seed=21)
+    rows = []
+    for cid, vals in series.items():
+        seg = "A" if cid % 2 else "B"
+        for i, v in enumerate(vals):
+            rows.append((cid, seg, START + dt.timedelta(days=i), float(v - 900.0)))
+    p = spark.createDataFrame(rows, PANEL_SCHEMA)
+    fast = {(r["shock"], r["segment"]): r.asDict() for r in G.shocked_heatmaps_fast(p, (0, 10, 35)).collect()}
+    slow = {(r["shock"], r["segment"]): r.asDict() for r in G.shocked_heatmaps(p, (0, 10, 35)).collect()}
+    assert fast.keys() == slow.keys()
+    for k in fast:
+        for c in ("fhs", "balance_trend", "income_regularity", "spending_volatility", "debt_ratio"):
+            assert abs(fast[k][c] - slow[k][c]) <= 0.011, (k, c, fast[k][c], slow[k][c])
+        assert fast[k]["risk_label"] == slow[k]["risk_label"]
+
+
+def test_anova_matches_numpy(spark):
+    from ledgerscope.operators import stats as ST
+    rng = np.random.default_rng(4)
+    vals = {g: np.round(rng.normal(60 + 5 * i, 8, 40), 2) for i, g in enumerate("abc")}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in vals.items() for v in vs], "g string, x double")
+    r = ST.anova_oneway(df, "x", "g").first()
+    allv = np.concatenate(list(vals.values()))
+    gm = allv.mean()
+    ssb = sum(len(v) * (v.mean() - gm) ** 2 for v in vals.values())
+    ssw = sum(((v - v.mean()) ** 2).sum() for v in vals.values())
+    f = (ssb / 2) / (ssw / (len(allv) - 3))
+    assert abs(r["f_statistic"] - round(f, 4)) <= 1e-4
+    assert abs(r["eta_squared"] - round(ssb / (ssb + ssw), 4)) <= 1e-4
+    p = ST.with_anova_pvalue(ST.anova_oneway(df, "x", "g")).first()["p_value"]
+    assert 0 <= p < 0.05
