@@ -18,13 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerscope.functions.expr import half_up
 from ledgerscope.params import DEFAULT_PARAMS
-from ledgerscope.session import ensure_checkpoint_dir
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the session's shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+from ledgerscope.session import materialize as _cut
 
 FEATURES = list(DEFAULT_PARAMS.feature_columns)
 CLASSES = ("High", "Low", "Medium")      # alphabetical = label index

@@ -16,10 +16,18 @@ FEATURE_COLS = ", ".join(FT.FEATURES)
 
 
 def features(spark, sf):
-    """The feature table on the sparse (orders) ledger."""
+    """The feature table on the sparse (orders) ledger (lazy)."""
     return FT.customer_features(L.order_panel(spark, sf))
 
 
+def feature_table(spark, sf):
+    """The feature table materialised once (checkpoint in the shared
+    folder) for steps that read it several times, as a feature store
+    would hold it."""
+    from ledgerscope.session import materialize
+    return materialize(features(spark, sf))
+
+
 @register("customer_features", sql=FEAT + "SELECT * FROM features")
 def customer_features(spark, sf):
     return features(spark, sf)

@@ -64,3 +64,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint location for written tables."""
     base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
     return base.rstrip("/") + "/" + name
+
+
+def materialize(df):
+    """Cut the lineage of a frame that later steps read several times:
+    a reliable checkpoint into the shared folder named by
+    ``spark.checkpoint.dir`` (it survives executor loss; localCheckpoint
+    would not)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
