@@ -161,7 +161,7 @@ def shocked_heatmaps_fast(panel: DataFrame, shocks, p: RiskParams = DEFAULT_PARA
     shock: one split aggregate per customer, then closed forms."""
     from ledgerscope.functions.expr import clip, exp_decay
     from ledgerscope.operators.scores import (
-        composite_raw, composite_score, delta_stats, monthly_close, regularity_score)
+        composite_raw, composite_score, delta_stats, regularity_score)
     from pyspark.sql import Window
     shocks = [int(s) for s in shocks]
     cut = F.broadcast(panel.agg(F.date_sub(F.max("date"), p.shock_days).alias("_cut")))
@@ -206,8 +206,16 @@ def shocked_heatmaps_fast(panel: DataFrame, shocks, p: RiskParams = DEFAULT_PARA
                                F.col("close") - F.lag("close").over(wm)).alias("delta"))
               .where(F.col("delta").isNotNull()))
     reg = delta_stats(deltas, ("customer_id", "shock"))
-    j = parts.join(reg, ["customer_id", "shock"], "left").select(
-        "customer_id", "segment", "shock", "balance_trend",
-        regularity_score(p=p).alias("income_regularity"), "spending_volatility", "debt_ratio")
+    # one row per customer holding its per-shock stats (bounded by the
+    # number of shocks): the join key is customer_id alone, so both sides
+    # keep the panel's partitioning and nothing is re-shuffled
+    reg = reg.groupBy("customer_id").agg(F.collect_list(
+        F.struct("shock", "n_delta", "delta_std", "delta_mean")).alias("_reg"))
+    pick = F.try_element_at(F.filter("_reg", lambda r: r["shock"] == F.col("shock")), F.lit(1))
+    j = (parts.join(reg, "customer_id", "left")
+         .select("*", pick["n_delta"].alias("n_delta"), pick["delta_std"].alias("delta_std"),
+                 pick["delta_mean"].alias("delta_mean"))
+         .select("customer_id", "segment", "shock", "balance_trend",
+                 regularity_score(p=p).alias("income_regularity"), "spending_volatility", "debt_ratio"))
     j = j.select("*", composite_score(p=p).alias("fhs"), composite_raw(p=p).alias("fhs_raw"))
     return heatmap_from_scores(j, keys=("shock", "segment"), p=p)

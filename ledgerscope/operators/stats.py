@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerscope.functions.expr import (
-    correlation_sign, correlation_strength, effect_size_label, exact_avg, half_up,
+    correlation_sign, correlation_strength, effect_size_label, half_up,
 )
 from ledgerscope.operators.ranking import average_rank
 

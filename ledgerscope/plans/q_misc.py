@@ -15,7 +15,7 @@ from ledgerscope.operators import segments as G
 from ledgerscope.operators import stats as ST
 from ledgerscope.operators import windows as W
 from ledgerscope.plans import sqlkit as Q
-from ledgerscope.plans.q_features import FEAT, ORDERS, feature_table as features
+from ledgerscope.plans.q_features import FEAT, feature_table as features
 from ledgerscope.plans.q_forecast import ALL_K, alerts
 from ledgerscope.plans.registry import register
 from ledgerscope.sources import ledger as L

@@ -10,7 +10,7 @@ from ledgerscope.operators import forecast as FC
 from ledgerscope.operators import metrics as MT
 from ledgerscope.operators import models as MD
 from ledgerscope.plans import sqlkit as Q
-from ledgerscope.plans.q_features import FEAT, ORDERS, feature_table as features
+from ledgerscope.plans.q_features import FEAT, feature_table as features
 from ledgerscope.plans.q_forecast import ALL, series
 from ledgerscope.plans.q_misc import split
 from ledgerscope.plans.registry import register

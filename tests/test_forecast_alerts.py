@@ -3,8 +3,6 @@
 import datetime as dt
 
 import numpy as np
-import pytest
-from pyspark.sql import functions as F
 
 from ledgerscope.operators import forecast as FC
 from ledgerscope.operators import lookups as LK

@@ -4,7 +4,6 @@ import datetime as dt
 import math
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
