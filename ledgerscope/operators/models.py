@@ -46,27 +46,36 @@ def _assemble(df: DataFrame, cols=FEATURES) -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol="features").transform(df)
 
 
-def fit_classifiers(split: DataFrame, seed: int = 42):
-    """Logistic regression on z-scores (fitted on train) and a random
-    forest on raw features; returns (predictions, rf_model)."""
+def fit_classifiers(split: DataFrame, seed: int = 42,
+                    models=("logistic_regression", "random_forest")):
+    """Logistic regression on z-scores (fitted on train) and/or a random
+    forest on raw features; returns (predictions, rf_model or None)."""
     # iterative fits re-read their input many times: cut the lineage once
     # (reliable checkpoint into spark.checkpoint.dir, survives executor loss)
     split = _cut(split.select("customer_id", "risk_tier", "split", *FEATURES))
     train = _label(split.where(F.col("split") == "train"))
     test = _label(split.where(F.col("split") == "test"))
-    ztrain = _assemble(standardize(train, fit_on=train))
-    ztest = _assemble(standardize(test, fit_on=train))
-    lr = LogisticRegression(family="multinomial", maxIter=1000).fit(ztrain)
-    rf = RandomForestClassifier(numTrees=100, maxDepth=10, seed=seed).fit(_assemble(train))
-    p_lr = lr.transform(ztest).select("customer_id", "risk_tier", "label", "prediction", "probability") \
-        .withColumn("model", F.lit("logistic_regression"))
-    p_rf = rf.transform(_assemble(test)).select("customer_id", "risk_tier", "label", "prediction", "probability") \
-        .withColumn("model", F.lit("random_forest"))
     names = F.array(*[F.lit(c) for c in CLASSES])
-    preds = p_lr.unionByName(p_rf).select(
-        "model", "customer_id", F.col("risk_tier").alias("actual"),
-        F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"),
-        vector_to_array("probability").alias("probability"))
+    outs, rf = [], None
+    if "logistic_regression" in models:
+        ztrain = _assemble(standardize(train, fit_on=train))
+        ztest = _assemble(standardize(test, fit_on=train))
+        # L2 penalty equal to C = 1 on the summed loss (sklearn's default):
+        # MLlib averages the loss, so regParam = 1 / (C * n_train); inputs
+        # are z-scored already, so no second standardisation inside the fit
+        n_train = train.count()
+        lr = LogisticRegression(family="multinomial", maxIter=1000, regParam=1.0 / max(n_train, 1),
+                                elasticNetParam=0.0, standardization=False).fit(ztrain)
+        outs.append(lr.transform(ztest).withColumn("model", F.lit("logistic_regression")))
+    if "random_forest" in models:
+        rf = RandomForestClassifier(numTrees=100, maxDepth=10, seed=seed).fit(_assemble(train))
+        outs.append(rf.transform(_assemble(test)).withColumn("model", F.lit("random_forest")))
+    preds = None
+    for o in outs:
+        o = o.select("model", "customer_id", F.col("risk_tier").alias("actual"),
+                     F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"),
+                     vector_to_array("probability").alias("probability"))
+        preds = o if preds is None else preds.unionByName(o)
     return preds, rf
 
 

@@ -32,19 +32,19 @@ def standardize(spark, sf):
     return z.select("customer_id", *[half_up(c, 6).alias(c) for c in MD.FEATURES])
 
 
-def fitted(spark, sf):
-    return MD.fit_classifiers(split(spark, sf))
+def fitted(spark, sf, models=("logistic_regression", "random_forest")):
+    return MD.fit_classifiers(split(spark, sf), models=models)
 
 
 @register("fit_logistic")
 def fit_logistic(spark, sf):
-    preds, _ = fitted(spark, sf)
+    preds, _ = fitted(spark, sf, ("logistic_regression",))
     return MT.classification_report(preds.where(F.col("model") == "logistic_regression"))
 
 
 @register("fit_random_forest")
 def fit_random_forest(spark, sf):
-    preds, _ = fitted(spark, sf)
+    preds, _ = fitted(spark, sf, ("random_forest",))
     return MT.classification_report(preds.where(F.col("model") == "random_forest"))
 
 
@@ -56,13 +56,13 @@ def predict_classes(spark, sf):
 
 @register("feature_importance")
 def feature_importance(spark, sf):
-    _, rf = fitted(spark, sf)
+    _, rf = fitted(spark, sf, ("random_forest",))
     return MD.importances(rf, spark)
 
 
 @register("topk_feature_importance")
 def topk_feature_importance(spark, sf):
-    _, rf = fitted(spark, sf)
+    _, rf = fitted(spark, sf, ("random_forest",))
     # a top-k report: the limit is the feature (11 rows in)
     return MD.importances(rf, spark).orderBy(F.desc("importance"), "feature").limit(5)
 
