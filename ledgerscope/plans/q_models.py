@@ -180,14 +180,14 @@ def _docs(spark, sf):
 @register("sink_results_json")
 def sink_results_json(spark, sf):
     base = _docs(spark, sf)
-    return spark.read.schema("doc string, rows string").json(f"{base}/*")
+    return spark.read.json(f"{base}/forecast_metrics")
 
 
 @register("src_results_json")
 def src_results_json(spark, sf):
     base = _docs(spark, sf)
-    return R.read_docs(spark, base).select("doc", F.col("rows").isNotNull().alias("present"),
-                                           F.length("rows").alias("n_chars"))
+    return R.read_docs(spark, base).select("doc", F.col("n_rows").isNotNull().alias("present"),
+                                           "n_rows", "n_chars")
 
 
 # ---- unions ------------------------------------------------------------------------

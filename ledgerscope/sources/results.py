@@ -26,20 +26,21 @@ def read_panel_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_docs(docs: dict[str, DataFrame], base: str) -> None:
-    """One JSON document per name: the rows of each frame as an array
-    under ``rows`` (tidy rows, nested with to_json)."""
+    """One JSON-lines folder per document name (one row per line, written
+    by every task in parallel; nothing is gathered into a single row)."""
     for name, df in docs.items():
-        (df.select(F.to_json(F.struct(*df.columns)).alias("row"))
-         .agg(F.collect_list("row").alias("rows"))
-         .select(F.lit(name).alias("doc"), F.concat(F.lit("["), F.concat_ws(",", "rows"), F.lit("]")).alias("rows"))
-         .write.mode("overwrite").json(f"{base}/{name}"))
+        df.write.mode("overwrite").json(f"{base}/{name}")
 
 
 def read_docs(spark: SparkSession, base: str, names=RESULT_DOCS) -> DataFrame:
-    """doc, rows (JSON text or NULL when the document is missing)."""
+    """doc, n_rows, n_chars per expected document; a missing document
+    gives a row with NULL counts (left join onto the expected names)."""
     expected = spark.createDataFrame([(n,) for n in names], "doc string")
-    found = spark.read.schema("doc string, rows string").json(f"{base}/*")
-    return expected.join(found, "doc", "left")
+    lines = spark.read.text(f"{base}/*/*.json").select(
+        F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]+$", 1).alias("doc"), "value")
+    found = lines.groupBy("doc").agg(F.count(F.lit(1)).alias("n_rows"),
+                                     F.sum(F.length("value")).alias("n_chars"))
+    return expected.join(F.broadcast(found), "doc", "left")
 
 
 def results_base(spark: SparkSession) -> str:
