@@ -86,21 +86,34 @@ def importances(rf_model, spark, cols=FEATURES) -> DataFrame:
         "feature", half_up("importance", 4).alias("importance"))
 
 
-def kmeans_sweep(features: DataFrame, ks=range(2, 11), restarts: int = 10, seed: int = 42) -> DataFrame:
+def kmeans_sweep(features: DataFrame, ks=range(2, 11), restarts: int = 10, seed: int = 42,
+                 parallelism: int = 8) -> DataFrame:
     """k, inertia (best of ``restarts`` seeds), silhouette (squared
-    Euclidean, MLlib's default)."""
+    Euclidean, MLlib's default).
+
+    The (k, seed) fits are independent; like ``CrossValidator(parallelism=)``
+    they are submitted from a pool of driver threads, so the cluster runs
+    several small fits at once instead of one chain of tiny jobs.
+    """
+    from concurrent.futures import ThreadPoolExecutor
     z = _assemble(standardize(_cut(features.select("customer_id", *FEATURES)))).cache()
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-    rows = []
-    for k in ks:
-        best = None
-        for r in range(restarts):
-            m = KMeans(k=k, seed=seed + r, featuresCol="features").fit(z)
-            cost = m.summary.trainingCost
-            if best is None or cost < best[0]:
-                best = (cost, m)
-        sil = ev.evaluate(best[1].transform(z))
-        rows.append((int(k), float(best[0]), float(sil)))
+
+    def fit(job):
+        k, r = job
+        m = KMeans(k=k, seed=seed + r, featuresCol="features").fit(z)
+        return k, r, m.summary.trainingCost, m
+
+    jobs = [(int(k), r) for k in ks for r in range(restarts)]
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        fits = list(pool.map(fit, jobs))
+    best = {}
+    for k, r, cost, m in fits:                     # ties: the lower seed index
+        if k not in best or cost < best[k][0]:
+            best[k] = (cost, m)
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        sil = dict(pool.map(lambda k: (k, ev.evaluate(best[k][1].transform(z))), sorted(best)))
+    rows = [(k, float(best[k][0]), float(sil[k])) for k in sorted(best)]
     z.unpersist()
     spark = features.sparkSession
     return spark.createDataFrame(rows, "k int, inertia double, silhouette double").select(
