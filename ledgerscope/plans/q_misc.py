@@ -271,16 +271,18 @@ def window_range_join(spark, sf):
 
 @register("panel_calendar_join", sql=Q.with_(*LINES) + "SELECT * FROM panel")
 def panel_calendar_join(spark, sf):
-    """The calendar plan of the panel: customers x calendar (its size is
-    the ``days`` parameter, broadcast), left join of daily net flows and a
-    running sum per customer."""
+    """The calendar plan of the panel: each account row generates its own
+    calendar (explode of a date sequence, no cross join), daily net flows
+    are left-joined onto it and summed per customer in date order. It is
+    the readable alternative to ``ledger_to_panel``; this plan shuffles the
+    dense grid for the join, which the default plan avoids."""
     flows = L.line_ledger(spark, sf)
     acc = L.accounts(spark, sf)
     b = F.broadcast(L.calendar_bounds(L.line_dates(spark, sf)))
-    cal = b.select(F.explode(F.sequence("d_start", "d_end")).alias("date"), "d_start")
     daily = (flows.crossJoin(b).select("customer_id", F.greatest("date", "d_start").alias("date"), "amount")
              .groupBy("customer_id", "date").agg(F.sum("amount").alias("net")))
-    grid = acc.crossJoin(F.broadcast(cal))
+    grid = acc.crossJoin(b).select("customer_id", "segment", "opening",
+                                   F.explode(F.sequence("d_start", "d_end")).alias("date"))
     j = grid.join(daily, ["customer_id", "date"], "left")
     w = Window.partitionBy("customer_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     bal = F.col("opening") + F.sum(F.coalesce("net", F.lit(0).cast("decimal(18,5)"))).over(w)
