@@ -82,21 +82,21 @@ def _prefix_frame(panel: DataFrame, series) -> DataFrame:
     w = _w(series)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # one window operator for everything that reads raw columns only
+    is_me = F.last_day("date") == F.col("date")
+    me = F.when(is_me, F.col("balance"))
+    prev_me = F.last(me, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     d = F.col("balance") - F.lag("balance").over(w)
     base = panel.select(
         *series, "segment", "date", "balance",
         F.coalesce(d, F.lit(0.0)).alias("_d"),
-        (F.last_day("date") == F.col("date")).alias("_is_me"))
-    me = F.when(F.col("_is_me"), F.col("balance"))
-    prev_me = F.last(me, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    base = base.select(
-        "*",
+        is_me.alias("_is_me"),
         (F.row_number().over(w) - 1).cast("double").alias("idx"),
         F.count(F.lit(1)).over(whole).alias("n"),
         F.last(me, ignorenulls=True).over(run).alias("_lme_bal"),
-        F.sum(F.when(F.col("_is_me"), 1).otherwise(0)).over(run).alias("_me_cnt"),
+        F.sum(F.when(is_me, 1).otherwise(0)).over(run).alias("_me_cnt"),
         # squared full-month delta on month-end rows (previous month-end)
-        F.coalesce(F.when(F.col("_is_me"), (F.col("balance") - prev_me) * (F.col("balance") - prev_me)),
+        F.coalesce(F.when(is_me, (F.col("balance") - prev_me) * (F.col("balance") - prev_me)),
                    F.lit(0.0)).alias("_fd2"))
     base = base.select(
         "*",
