@@ -161,6 +161,14 @@ def src_panel_csv(spark, sf):
     return R.read_panel_csv(spark, path)
 
 
+@register("src_panel_table", sql=Q.with_(*Q.panel_ctes("lines")) + "SELECT * FROM panel")
+def src_panel_table(spark, sf):
+    """The panel written once as a bucketed, sorted table and read back;
+    per-customer operators on it run without an exchange."""
+    from ledgerscope.sources.panel_store import save_panel_table
+    return save_panel_table(L.line_panel(spark, sf), name="ledgerscope_line_panel")
+
+
 @register("sink_features_csv")
 def sink_features_csv(spark, sf):
     path = R.results_base(spark) + "/features_csv"

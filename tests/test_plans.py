@@ -43,3 +43,15 @@ PANEL_KEYS = {("customer_id",), ("customer_id", "date")}
 def test_no_exchange_after_panel(spark, build, extra):
     keys = exchange_keys(build(L.line_panel(spark, SMOKE)))
     assert keys <= PANEL_KEYS | extra, keys
+
+
+def test_bucketed_panel_table_needs_no_shuffle(spark):
+    """A panel saved with bucketBy(customer_id) feeds per-customer scores
+    with no exchange at all before the segment roll-up."""
+    from ledgerscope.sources.panel_store import save_panel_table
+    t = save_panel_table(L.line_panel(spark, SMOKE), name="test_panel_bucketed", buckets=4)
+    keys = exchange_keys(S.customer_scores(t))
+    assert keys == set(), keys
+    keys = exchange_keys(G.segment_heatmap(t))
+    assert keys <= {("segment",)}, keys
+    assert t.count() == L.line_panel(spark, SMOKE).count()
