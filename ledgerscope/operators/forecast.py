@@ -75,10 +75,8 @@ def _ses_fold(ys: Column, alpha: Column) -> Column:
     return F.aggregate(F.slice(ys, 2, F.size(ys)), init, step)
 
 
-def holt_fit(arrays: DataFrame, grid: DataFrame, key: str = "segment") -> DataFrame:
-    """key, alpha, beta, level, trend, sse for series of >= 3 points."""
-    fit = (arrays.where(F.col("n") >= 3).crossJoin(F.broadcast(grid))
-           .select(key, "alpha", "beta", _holt_fold(F.col("ys"), F.col("alpha"), F.col("beta")).alias("s")))
+def _best_holt(cands: DataFrame, key: str) -> DataFrame:
+    fit = cands.select(key, "alpha", "beta", _holt_fold(F.col("ys"), F.col("alpha"), F.col("beta")).alias("s"))
     best = fit.groupBy(key).agg(F.min_by(
         F.struct("alpha", "beta", "s"),
         F.struct(F.col("s.sse"), F.col("alpha"), F.col("beta"))).alias("m"))
@@ -87,6 +85,30 @@ def holt_fit(arrays: DataFrame, grid: DataFrame, key: str = "segment") -> DataFr
                        F.col("m.s.sse").alias("sse"))
 
 
+REFINE_STEPS = 10       # fine grid: +-10 steps of step/20 around the coarse optimum
+
+
+def holt_fit(arrays: DataFrame, grid: DataFrame, key: str = "segment",
+             step: float = DEFAULT_PARAMS.holt_grid_step) -> DataFrame:
+    """key, alpha, beta, level, trend, sse for series of >= 3 points.
+
+    Two grid stages: the coarse (alpha, beta) grid, then a fine grid of
+    step/20 around its optimum (which it contains, so the SSE can only go
+    down); both grids are fixed-size and broadcast.
+    """
+    series = arrays.where(F.col("n") >= 3)
+    coarse = _best_holt(series.crossJoin(F.broadcast(grid)), key)
+    k = int(round(1.0 / step)) * 20
+    offs = series.sparkSession.range(-REFINE_STEPS, REFINE_STEPS + 1)
+    fine = (coarse.select(key, F.col("alpha").alias("a0"), F.col("beta").alias("b0"))
+            .crossJoin(F.broadcast(offs.select(F.col("id").alias("i"))))
+            .crossJoin(F.broadcast(offs.select(F.col("id").alias("j"))))
+            .select(key, (F.col("a0") + F.col("i") / F.lit(float(k))).alias("alpha"),
+                    (F.col("b0") + F.col("j") / F.lit(float(k))).alias("beta"))
+            .where((F.col("alpha") > 0) & (F.col("alpha") <= 1) & (F.col("beta") > 0) & (F.col("beta") <= 1)))
+    return _best_holt(series.join(fine, key), key)
+
+
 def ses_fit(arrays: DataFrame, grid: DataFrame, key: str = "segment") -> DataFrame:
     """key, alpha, level, bias (mean one-step residual), sse; >= 2 points."""
     fit = (arrays.where(F.col("n") >= 2).crossJoin(F.broadcast(grid.select("alpha").distinct()))

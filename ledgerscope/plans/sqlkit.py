@@ -214,14 +214,28 @@ def grid_cte(k: int = 20) -> str:
             f"CAST(b.j AS DOUBLE) / {float(k)!r} AS beta FROM range(1, {k + 1}) a(i), range(1, {k + 1}) b(j))")
 
 
-def holt_ctes(src: str, name: str) -> list[str]:
+def holt_ctes(src: str, name: str, refine: int = 10, k: int = 400) -> list[str]:
     """Recursive Holt fold per (segment, alpha, beta) over ``src``
-    (segment, t, value, n); ``<name>_best`` keeps the least-SSE pair."""
+    (segment, t, value, n) on the coarse grid, then on a fine grid of 1/k
+    steps around its optimum; ``<name>_best`` keeps the least-SSE pair."""
+    return [
+        *_holt_stage(src, f"{name}_c", "grid"),
+        f"""{name}_fgrid AS (SELECT c.segment, c.alpha + CAST(i.i AS DOUBLE) / {float(k)!r} AS alpha,
+   c.beta + CAST(j.j AS DOUBLE) / {float(k)!r} AS beta
+  FROM {name}_c_best c, range(-{refine}, {refine + 1}) i(i), range(-{refine}, {refine + 1}) j(j)
+  WHERE c.alpha + CAST(i.i AS DOUBLE) / {float(k)!r} > 0 AND c.alpha + CAST(i.i AS DOUBLE) / {float(k)!r} <= 1
+    AND c.beta + CAST(j.j AS DOUBLE) / {float(k)!r} > 0 AND c.beta + CAST(j.j AS DOUBLE) / {float(k)!r} <= 1)""",
+        *_holt_stage(src, name, f"{name}_fgrid", per_segment=True),
+    ]
+
+
+def _holt_stage(src: str, name: str, grid: str, per_segment: bool = False) -> list[str]:
+    on = " AND g.segment = s2.segment" if per_segment else ""
     return [
         f"""{name}(segment, alpha, beta, t, l, b, sse) AS (
   SELECT s2.segment, g.alpha, g.beta, 2, s2.value, s2.value - s1.value, CAST(0 AS DOUBLE)
   FROM {src} s1 JOIN {src} s2 ON s1.segment = s2.segment AND s1.t = 1 AND s2.t = 2 AND s2.n >= 3
-  CROSS JOIN grid g
+  JOIN {grid} g ON TRUE{on}
   UNION ALL
   SELECT h.segment, h.alpha, h.beta, h.t + 1,
     h.alpha * y.value + (1.0 - h.alpha) * (h.l + h.b),
