@@ -138,7 +138,7 @@ def _tail_ols(ys: Column, n: Column, tail: int):
 
 
 def horizon(h_max: int) -> Column:
-    return F.explode(F.sequence(F.lit(1), F.lit(h_max))).alias("h")
+    return F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(h_max).cast("bigint"))).alias("h")
 
 
 def point_forecasts(series: DataFrame, p: RiskParams = DEFAULT_PARAMS, key: str = "segment",
@@ -167,7 +167,7 @@ def point_forecasts(series: DataFrame, p: RiskParams = DEFAULT_PARAMS, key: str
                     sma.alias("sma"), F.element_at("ys", -1).alias("last_value")))
     h = F.col("h").cast("double")
     return base.select("*", horizon(h_max)).select(
-        key, "h", F.date_add("last_date", F.col("h")).alias("ds"), "n", "ys",
+        key, "h", F.date_add("last_date", F.col("h").cast("int")).alias("ds"), "n", "ys",
         "h_alpha", "h_beta", "s_alpha",
         (F.col("level") + h * F.col("trend")).alias("yhat_holt"),
         (F.col("s_level") + F.col("bias") + h * F.col("slope30")).alias("yhat_ses"),

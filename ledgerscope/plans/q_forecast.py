@@ -249,7 +249,7 @@ def forecast_error_metrics(spark, sf):
 
 
 @register("backtest_summary", sql=ALL_B + f"""
-SELECT count_if(hw < naive) AS hw_wins, count(*) AS n_segments,
+SELECT CAST(count_if(hw < naive) AS BIGINT) AS hw_wins, count(*) AS n_segments,
        {Q.hu('coalesce(avg(CASE WHEN naive > 0 THEN (naive - hw) / naive * 100.0 END), 0.0)', 1)}
          AS avg_rmse_improvement_pct
 FROM (SELECT segment, max(CASE WHEN model = 'naive' THEN rmse END) AS naive,

@@ -153,10 +153,11 @@ def sort_heatmap(spark, sf):
 
 
 @register("portfolio_kpis", sql=HEAT + """
-SELECT count_if(risk_label = 'RED') AS critical, count_if(risk_label = 'AMBER') AS warning,
-       count_if(risk_label = 'GREEN') AS healthy,
+SELECT CAST(count_if(risk_label = 'RED') AS BIGINT) AS critical,
+       CAST(count_if(risk_label = 'AMBER') AS BIGINT) AS warning,
+       CAST(count_if(risk_label = 'GREEN') AS BIGINT) AS healthy,
        (SELECT count(DISTINCT customer_id) FROM panel) AS total_customers,
-       count_if(risk_label = 'RED') AS action_required FROM heatmap""")
+       CAST(count_if(risk_label = 'RED') AS BIGINT) AS action_required FROM heatmap""")
 def portfolio_kpis(spark, sf):
     return G.portfolio_kpis(heat(spark, sf), panel(spark, sf))
 
