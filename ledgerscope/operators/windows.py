@@ -72,7 +72,7 @@ def calendar_month_bucket(panel: DataFrame, series=("customer_id",)) -> DataFram
 
 # ---- prefix-sum window scores ----------------------------------------------
 
-def _prefix_frame(panel: DataFrame, series) -> DataFrame:
+def _prefix_frame(panel: DataFrame, series, runmax: bool = False) -> DataFrame:
     """Adds idx, n and the running sums every window needs.
 
     Two ordered passes per series: ascending for the prefix sums, then
@@ -97,7 +97,8 @@ def _prefix_frame(panel: DataFrame, series) -> DataFrame:
         F.sum(F.when(is_me, 1).otherwise(0)).over(run).alias("_me_cnt"),
         # squared full-month delta on month-end rows (previous month-end)
         F.coalesce(F.when(is_me, (F.col("balance") - prev_me) * (F.col("balance") - prev_me)),
-                   F.lit(0.0)).alias("_fd2"))
+                   F.lit(0.0)).alias("_fd2"),
+        *([F.max("balance").over(run).alias("_runmax")] if runmax else []))
     base = base.select(
         "*",
         F.sum("balance").over(run).alias("_sy"),
