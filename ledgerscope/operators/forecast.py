@@ -7,8 +7,9 @@ column expression over that array:
 
 * Holt (additive trend): a broadcast grid of (alpha, beta) is crossed with
   the series and each pair is folded with ``aggregate``; the pair with the
-  least squared one-step error wins (ties: smaller alpha, then beta).
-  Start level = y2, start trend = y2 - y1, errors from y3 on.
+  least squared one-step error wins (ties: smaller alpha, then beta). A
+  second, finer grid around that optimum refines it. Start level = y2,
+  start trend = y2 - y1, errors from y3 on.
 * SES: the same fold with no trend (start level y1).
 * linear: OLS over the last 30 points; naive; 7-point mean.
 
