@@ -30,11 +30,6 @@ def _w(keys):
     return Window.partitionBy(*keys).orderBy("date")
 
 
-def with_daily_diff(panel: DataFrame, keys=("customer_id",)) -> DataFrame:
-    """Adds diff = balance - previous balance (NULL on the first row)."""
-    return panel.withColumn("diff", F.col("balance") - F.lag("balance").over(_w(keys)))
-
-
 def series_moments(panel: DataFrame, keys=KEY, series=("customer_id",)) -> DataFrame:
     """Per series: n, slope, diff std/count, mean, share negative."""
     keys = list(keys)
