@@ -213,3 +213,21 @@ def test_rolling_partial_windows_match_brute_force(spark):
                     assert f[c] is None, (c, f[c])
                 else:
                     assert abs(f[c] - r[c]) <= 0.01 + 1e-9, (end_off, c, f[c], r[c])
+
+
+@pytest.mark.parametrize("n,starts", [(89, [0]), (90, [0]), (180, [0]), (210, [0]), (211, [0, 30])])
+def test_hopping_window_starts_c5(spark, n, starts):
+    """C5: starts range(0, max(1, n-180), 30) with windows of >= 90 rows,
+    else the whole series (reported as start 0); values equal brute force."""
+    series = _random_panel(spark, n_cust=1, days=n, seed=n)
+    p = panel_df(spark, series)
+    h = {r["win_start"]: r["fhs"] for r in W.hopping_scores(p).collect()}
+    assert sorted(h) == starts
+    idx = W.row_index(p)
+    for s in starts:
+        win = idx.where((F.col("idx") >= s) & (F.col("idx") < s + 180)).drop("idx")
+        want = S.customer_scores(win).first()["fhs"]
+        if want is None:            # one monthly delta left after the cut-off (C2)
+            assert h[s] is None
+        else:
+            assert abs(h[s] - want) <= 0.01 + 1e-9, (n, s, h[s], want)
