@@ -76,38 +76,59 @@ def _ses_fold(ys: Column, alpha: Column) -> Column:
     return F.aggregate(F.slice(ys, 2, F.size(ys)), init, step)
 
 
-def _best_holt(cands: DataFrame, key: str) -> DataFrame:
-    fit = cands.select(key, "alpha", "beta", _holt_fold(F.col("ys"), F.col("alpha"), F.col("beta")).alias("s"))
-    best = fit.groupBy(key).agg(F.min_by(
-        F.struct("alpha", "beta", "s"),
-        F.struct(F.col("s.sse"), F.col("alpha"), F.col("beta"))).alias("m"))
-    return best.select(key, F.col("m.alpha").alias("alpha"), F.col("m.beta").alias("beta"),
-                       F.col("m.s.l").alias("level"), F.col("m.s.b").alias("trend"),
-                       F.col("m.s.sse").alias("sse"))
+REFINE_STEPS = 10       # fine grid: +-10 steps of step/20 around the coarse optimum
 
 
-REFINE_STEPS = 10       # fine grid: +-10 steps of step/20 around the coarse optimum
+def _grid_pairs(alphas: Column, betas: Column) -> Column:
+    """array<struct<alpha, beta>> in alpha-major order."""
+    return F.flatten(F.transform(alphas, lambda a: F.transform(
+        betas, lambda b: F.struct(a.alias("alpha"), b.alias("beta")))))
+
 
+def _argmin_holt(ys: Column, pairs: Column) -> Column:
+    """Fold every pair over the series and keep the least SSE; pairs are
+    visited in (alpha, beta) order and only a strictly smaller SSE
+    replaces the best, so ties go to the smaller alpha, then beta."""
+    none = F.lit(None).cast("double")
+    init = F.struct(none.alias("sse"), none.alias("alpha"), none.alias("beta"),
+                    none.alias("l"), none.alias("b"))
 
-def holt_fit(arrays: DataFrame, grid: DataFrame, key: str = "segment",
+    def step(best, pr):
+        s = _holt_fold(ys, pr["alpha"], pr["beta"])
+        take = best["sse"].isNull() | (s["sse"] < best["sse"])
+        return F.when(take, F.struct(s["sse"].alias("sse"), pr["alpha"].alias("alpha"),
+                                     pr["beta"].alias("beta"), s["l"].alias("l"), s["b"].alias("b"))
+                      ).otherwise(best)
+
+    return F.aggregate(pairs, init, step)
+
+
+def holt_fit(arrays: DataFrame, grid: DataFrame | None = None, key: str = "segment",
              step: float = DEFAULT_PARAMS.holt_grid_step) -> DataFrame:
     """key, alpha, beta, level, trend, sse for series of >= 3 points.
 
-    Two grid stages: the coarse (alpha, beta) grid, then a fine grid of
-    step/20 around its optimum (which it contains, so the SSE can only go
-    down); both grids are fixed-size and broadcast.
+    Two grid stages, both folded inside the series row (no cross join, no
+    shuffle, one row per series whatever the grid size): the coarse grid
+    {k/K}, then a fine grid of step/20 around its optimum (which it
+    contains, so the SSE can only go down).
     """
-    series = arrays.where(F.col("n") >= 3)
-    coarse = _best_holt(series.crossJoin(F.broadcast(grid)), key)
-    k = int(round(1.0 / step)) * 20
-    offs = series.sparkSession.range(-REFINE_STEPS, REFINE_STEPS + 1)
-    fine = (coarse.select(key, F.col("alpha").alias("a0"), F.col("beta").alias("b0"))
-            .crossJoin(F.broadcast(offs.select(F.col("id").alias("i"))))
-            .crossJoin(F.broadcast(offs.select(F.col("id").alias("j"))))
-            .select(key, (F.col("a0") + F.col("i") / F.lit(float(k))).alias("alpha"),
-                    (F.col("b0") + F.col("j") / F.lit(float(k))).alias("beta"))
-            .where((F.col("alpha") > 0) & (F.col("alpha") <= 1) & (F.col("beta") > 0) & (F.col("beta") <= 1)))
-    return _best_holt(series.join(fine, key), key)
+    k = int(round(1.0 / step))
+    kf = float(k * 20)
+    ks = [x / float(k) for x in range(1, k + 1)]
+    axis = F.array(*[F.lit(x) for x in ks])
+    ys = F.col("ys")
+    coarse = _argmin_holt(ys, _grid_pairs(axis, axis))
+    offs = F.sequence(F.lit(-REFINE_STEPS), F.lit(REFINE_STEPS))
+
+    def around(c):
+        return F.filter(F.transform(offs, lambda i: c + i / F.lit(kf)), lambda v: (v > 0) & (v <= 1))
+
+    s1 = arrays.where(F.col("n") >= 3).select(key, "ys", coarse.alias("_c"))
+    fine = _argmin_holt(ys, _grid_pairs(around(F.col("_c.alpha")), around(F.col("_c.beta"))))
+    best = s1.select(key, fine.alias("m"))
+    return best.select(key, F.col("m.alpha").alias("alpha"), F.col("m.beta").alias("beta"),
+                       F.col("m.l").alias("level"), F.col("m.b").alias("trend"),
+                       F.col("m.sse").alias("sse"))
 
 
 def ses_fit(arrays: DataFrame, grid: DataFrame, key: str = "segment") -> DataFrame:
