@@ -5,12 +5,12 @@ construction (``lookback_days`` points), so it is gathered once into a
 date-sorted array per key -- a proven size bound -- and every model is a
 column expression over that array:
 
-* Holt (additive trend): a broadcast grid of (alpha, beta) is crossed with
-  the series and each pair is folded with ``aggregate``; the pair with the
-  least squared one-step error wins (ties: smaller alpha, then beta). A
-  second, finer grid around that optimum refines it. Start level = y2,
-  start trend = y2 - y1, errors from y3 on.
-* SES: the same fold with no trend (start level y1).
+* Holt (additive trend): every (alpha, beta) pair of a fixed grid is
+  folded over the series with ``aggregate`` inside the series row; the
+  pair with the least squared one-step error wins (ties: smaller alpha,
+  then beta). A second, finer grid around that optimum refines it. Start
+  level = y2, start trend = y2 - y1, errors from y3 on.
+* SES: the same in-row fold with no trend (start level y1).
 * linear: OLS over the last 30 points; naive; 7-point mean.
 
 Series keys are independent, so the work spreads over keys (segments
@@ -37,15 +37,6 @@ def as_arrays(series: DataFrame, key: str = "segment") -> DataFrame:
                     F.element_at("_pts", -1)["date"].alias("last_date")))
 
 
-def param_grid(spark, step: float = DEFAULT_PARAMS.holt_grid_step, trend: bool = True) -> DataFrame:
-    """alpha (and beta) in {k / K : k = 1..K}, K = 1/step."""
-    k = int(round(1.0 / step))
-    g = spark.range(1, k + 1).select((F.col("id") / F.lit(float(k))).alias("alpha"))
-    if trend:
-        g = g.crossJoin(spark.range(1, k + 1).select((F.col("id") / F.lit(float(k))).alias("beta")))
-    return g
-
-
 def _holt_fold(ys: Column, alpha: Column, beta: Column) -> Column:
     init = F.struct(
         F.element_at(ys, 2).alias("l"),
@@ -131,15 +122,28 @@ def holt_fit(arrays: DataFrame, grid: DataFrame | None = None, key: str = "segme
                        F.col("m.sse").alias("sse"))
 
 
-def ses_fit(arrays: DataFrame, grid: DataFrame, key: str = "segment") -> DataFrame:
-    """key, alpha, level, bias (mean one-step residual), sse; >= 2 points."""
-    fit = (arrays.where(F.col("n") >= 2).crossJoin(F.broadcast(grid.select("alpha").distinct()))
-           .select(key, "alpha", "n", _ses_fold(F.col("ys"), F.col("alpha")).alias("s")))
-    best = fit.groupBy(key).agg(F.min_by(F.struct("alpha", "n", "s"),
-                                         F.struct(F.col("s.sse"), F.col("alpha"))).alias("m"))
-    return best.select(key, F.col("m.alpha").alias("alpha"), F.col("m.s.l").alias("level"),
-                       (F.col("m.s.res") / (F.col("m.n") - 1)).alias("bias"),
-                       F.col("m.s.sse").alias("sse"))
+def ses_fit(arrays: DataFrame, grid: DataFrame | None = None, key: str = "segment",
+            step: float = DEFAULT_PARAMS.holt_grid_step) -> DataFrame:
+    """key, alpha, level, bias (mean one-step residual), sse; >= 2 points.
+
+    The alpha grid {k/K} is folded inside the series row; the first
+    strict SSE minimum wins (ties: smaller alpha)."""
+    k = int(round(1.0 / step))
+    alphas = F.array(*[F.lit(x / float(k)) for x in range(1, k + 1)])
+    ys = F.col("ys")
+    none = F.lit(None).cast("double")
+    init = F.struct(none.alias("sse"), none.alias("alpha"), none.alias("l"), none.alias("res"))
+
+    def pick(best, a):
+        s = _ses_fold(ys, a)
+        take = best["sse"].isNull() | (s["sse"] < best["sse"])
+        return F.when(take, F.struct(s["sse"].alias("sse"), a.alias("alpha"), s["l"].alias("l"),
+                                     s["res"].alias("res"))).otherwise(best)
+
+    best = arrays.where(F.col("n") >= 2).select(key, "n", F.aggregate(alphas, init, pick).alias("m"))
+    return best.select(key, F.col("m.alpha").alias("alpha"), F.col("m.l").alias("level"),
+                       (F.col("m.res") / (F.col("n") - 1)).alias("bias"),
+                       F.col("m.sse").alias("sse"))
 
 
 def _tail_ols(ys: Column, n: Column, tail: int):
@@ -170,11 +174,9 @@ def point_forecasts(series: DataFrame, p: RiskParams = DEFAULT_PARAMS, key: str
     Raw (unclipped) point forecasts of every model for h = 1..h_max.
     """
     h_max = h_max or p.horizon
-    spark = series.sparkSession
     arrs = as_arrays(series, key)
-    grid = param_grid(spark, p.holt_grid_step)
-    holt = holt_fit(arrs, grid, key)
-    ses = ses_fit(arrs, grid, key)
+    holt = holt_fit(arrs, key=key, step=p.holt_grid_step)
+    ses = ses_fit(arrs, key=key, step=p.holt_grid_step)
     slope30, icpt30, m30 = _tail_ols(F.col("ys"), F.col("n"), p.linear_tail)
     sma_m = F.least(F.col("n"), F.lit(p.sma_window))
     sma = F.aggregate(F.slice("ys", F.col("n") - sma_m + 1, sma_m), F.lit(0.0),

@@ -92,7 +92,7 @@ def forecast_ses_trend(spark, sf):
 SELECT segment, alpha, {Q.hu('level', 4)} AS level FROM ses_best""")
 def forecast_ses_flat(spark, sf):
     arrs = FC.as_arrays(series(spark, sf))
-    s = FC.ses_fit(arrs, FC.param_grid(spark))
+    s = FC.ses_fit(arrs)
     return s.select("segment", "alpha", half_up("level", 4).alias("level"))
 
 
