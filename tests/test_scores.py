@@ -231,3 +231,17 @@ def test_hopping_window_starts_c5(spark, n, starts):
             assert h[s] is None
         else:
             assert abs(h[s] - want) <= 0.01 + 1e-9, (n, s, h[s], want)
+
+
+def test_one_pass_grid_extreme_shocks(spark):
+    """f = 1 - shock/100 <= 0: balances vanish (100%) or flip sign (150%);
+    the closed forms must still equal scoring shocked copies."""
+    series = _random_panel(spark, n_cust=4, days=200, seed=5)
+    rows = [(cid, "A", START + dt.timedelta(days=i), float(v - 1000.0))
+            for cid, vals in series.items() for i, v in enumerate(vals)]
+    p = spark.createDataFrame(rows, PANEL_SCHEMA)
+    fast = {r["shock"]: r.asDict() for r in G.shocked_heatmaps_fast(p, (100, 150)).collect()}
+    slow = {r["shock"]: r.asDict() for r in G.shocked_heatmaps(p, (100, 150)).collect()}
+    for k in (100, 150):
+        for c in ("fhs", "balance_trend", "spending_volatility", "debt_ratio", "income_regularity"):
+            assert abs(fast[k][c] - slow[k][c]) <= 0.011, (k, c, fast[k][c], slow[k][c])
