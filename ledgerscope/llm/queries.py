@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerscope.llm import chatformat, decontaminate, mixing, neardup, substring, topk, toxicity
+from ledgerscope.llm import chatformat, decontaminate, mixing, neardup, quality, substring, topk, toxicity
 
 QUERIES = {
     "op1_decontaminate": (decontaminate.contamination_query, decontaminate.CONTAMINATION_SQL),
     "op2_substring_dedup": (substring.substring_query, substring.SUBSTRING_SQL),
     "op3_toxicity": (toxicity.toxicity_query, None),
     "op4_chat_format": (chatformat.format_query, chatformat.FORMAT_SQL),
+    "op5_quality": (quality.quality_query, None),
     "op6_near_duplicates": (neardup.neardup_query, neardup.NEARDUP_SQL),
     "op9_topk": (topk.topk_query, topk.TOPK_SQL),
     "op10_mix": (mixing.mixing_query, None),
