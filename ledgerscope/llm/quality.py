@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerscope.llm.labelled import fold, labelled_sample
+from ledgerscope.llm.store import with_fields
 from ledgerscope.llm.textarrays import U64, WordHasher, text_slices
 
 BUCKETS = 4096
@@ -215,8 +216,8 @@ def score_quality(documents: DataFrame, model: tuple[np.ndarray, Network], keep:
             cols["score"] = pa.array(network.score(pooled(b.column("__text"), table)), pa.float64())
             yield pa.RecordBatch.from_pydict(cols)
 
-    kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names)
-    return documents.select(*names, F.col("text").alias("__text")).mapInArrow(run, kinds + ", score double")
+    rows = documents.select(*names, F.col("text").alias("__text"))
+    return rows.mapInArrow(run, with_fields(documents.select(*names).schema, "score double"))
 
 
 def quality_query(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from ledgerscope.session import shared_dir
 
@@ -21,3 +22,8 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def with_fields(schema: StructType, more: str) -> StructType:
+    """``schema`` with further fields given as DDL; field names may hold any character."""
+    return StructType([*schema.fields, *StructType.fromDDL(more).fields])

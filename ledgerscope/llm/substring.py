@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerscope.llm.store import write_table
+from ledgerscope.llm.store import with_fields, write_table
 from ledgerscope.llm.textarrays import U64, WordHasher, mix, text_slices, white_space_separators
 
 SIZE = 35
@@ -184,8 +184,7 @@ def cut_out(rows: DataFrame, size: int, anchor: int) -> DataFrame:
                      "kept_text": pa.array(kept, pa.string())}
             yield pa.RecordBatch.from_pydict(cols)
 
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
-    return rows.mapInArrow(run, kinds + ", n_words bigint, n_removed bigint, kept_text string")
+    return rows.mapInArrow(run, with_fields(rows.select(*names).schema, "n_words bigint, n_removed bigint, kept_text string"))
 
 
 def path_hash(hasher, h, runs, first, size, anchor):

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerscope.llm.labelled import fold, labelled_sample
 from ledgerscope.llm.neardup import minhashes, shingle_sets
+from ledgerscope.llm.store import with_fields
 from ledgerscope.llm.textarrays import U64, WordHasher, mix, symbol_separators, text_slices
 
 SAMPLE = {1: 1200, 0: 2000}
@@ -328,8 +329,8 @@ def score_toxicity(documents: DataFrame, field: Field, keep: tuple[str, ...] = (
             cols["spans"] = pa.array([x for _, x in scored], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
             yield pa.RecordBatch.from_pydict(cols)
 
-    kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names)
-    return rows.mapInArrow(run, kinds + ", score double, spans array<struct<start:bigint,stop:bigint>>")
+    return rows.mapInArrow(run, with_fields(documents.select(*names).schema,
+                                            "score double, spans array<struct<start:bigint,stop:bigint>>"))
 
 
 def learn_toxicity(documents: DataFrame, labels: DataFrame) -> Field:
