@@ -20,14 +20,7 @@ ROLL_WIN = [
 ROLL_SCORES = Q.score_ctes("rwin", keys="customer_id, end_date, segment",
                            series="customer_id, end_date", name="rs")
 
-HOP_WIN = [
-    """ipanel AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY date) - 1 AS idx,
-   count(*) OVER (PARTITION BY customer_id) AS n FROM panel)""",
-    "starts AS (SELECT CAST(s * 30 AS BIGINT) AS win_start FROM range(0, 1000) t(s))",
-    """hwin AS (SELECT p.customer_id, st.win_start, p.segment, p.date, p.balance
-  FROM ipanel p JOIN starts st
-    ON st.win_start < greatest(1, p.n - 180) AND p.idx >= st.win_start AND p.idx < st.win_start + 180)""",
-]
+HOP_WIN = Q.HOP_WIN
 HOP_SCORES = Q.score_ctes("hwin", keys="customer_id, win_start, segment",
                           series="customer_id, win_start", name="hs")
 

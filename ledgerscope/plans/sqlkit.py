@@ -10,7 +10,7 @@ different formulation of the same result.
 from __future__ import annotations
 
 from ledgerscope.params import DEFAULT_PARAMS as P
-from ledgerscope.sources.ledger import LINE_SIGN, ORDER_SIGN, PANEL_DAYS
+from ledgerscope.sources.ledger import LINE_SIGN, ORDER_SIGN
 
 
 def hu(x: str, n: int) -> str:
@@ -70,14 +70,15 @@ def flows_cte(ledger: str = "lines", name: str = "flows") -> str:
     raise ValueError(ledger)
 
 
-def panel_ctes(ledger: str = "lines", days: int = PANEL_DAYS, name: str = "panel") -> list[str]:
+def panel_ctes(ledger: str = "lines", name: str = "panel") -> list[str]:
     """CTEs flows, bounds, cal, pre, daily, <name>: complete daily balances."""
     return [
         flows_cte(ledger),
-        (f"bounds AS (SELECT max(CAST(l_shipdate AS DATE)) - {days - 1} AS d_start, "
-         f"max(CAST(l_shipdate AS DATE)) AS d_end FROM lineitem)" if ledger == "lines" else
-         f"bounds AS (SELECT max(d) - {days - 1} AS d_start, max(d) AS d_end FROM flows)"),
-        f"cal AS (SELECT CAST(b.d_start + CAST(t.i AS INTEGER) AS DATE) AS date FROM bounds b, range(0, {days}) t(i))",
+        ("bounds AS (SELECT min(CAST(l_shipdate AS DATE)) AS d_start, "
+         "max(CAST(l_shipdate AS DATE)) AS d_end FROM lineitem)" if ledger == "lines" else
+         "bounds AS (SELECT min(d) AS d_start, max(d) AS d_end FROM flows)"),
+        """cal AS (SELECT CAST(d_start + CAST(i AS INTEGER) AS DATE) AS date
+  FROM (SELECT d_start, unnest(range(0, date_diff('day', d_start, d_end) + 1)) AS i FROM bounds))""",
         """pre AS (SELECT f.customer_id, sum(f.amount) AS amt FROM flows f, bounds b
          WHERE f.d < b.d_start GROUP BY f.customer_id)""",
         """daily AS (SELECT f.customer_id, f.d, sum(f.amount) AS net FROM flows f, bounds b
@@ -153,7 +154,7 @@ def heatmap_cte(src: str = "scores", keys: str = "segment", name: str = "heatmap
 HOP_WIN = [
     """ipanel AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY date) - 1 AS idx,
    count(*) OVER (PARTITION BY customer_id) AS n FROM panel)""",
-    "starts AS (SELECT CAST(s * 30 AS BIGINT) AS win_start FROM range(0, 1000) t(s))",
+    "starts AS (SELECT CAST(s * 30 AS BIGINT) AS win_start FROM (SELECT unnest(range(0, max(n) // 30 + 1)) AS s FROM ipanel))",
     """hwin AS (SELECT p.customer_id, st.win_start, p.segment, p.date, p.balance
   FROM ipanel p JOIN starts st
     ON st.win_start < greatest(1, p.n - 180) AND p.idx >= st.win_start AND p.idx < st.win_start + 180)""",

@@ -33,7 +33,6 @@ AMOUNT = "decimal(18,5)"
 # FIXED VALUES (ledger binding of the supplied tables, see SURVEY 7.2)
 LINE_SIGN = {"R": -1.0, "A": -0.5, "N": 1.5}
 ORDER_SIGN = {"F": 1.0, "O": -1.0, "P": 0.0}
-PANEL_DAYS = 730
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,21 +77,23 @@ def order_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .cast(AMOUNT).alias("amount")))
 
 
-def calendar_bounds(dates: DataFrame, days: int = PANEL_DAYS) -> DataFrame:
-    """One row: d_start, d_end = last date and the day ``days-1`` before.
+def calendar_bounds(dates: DataFrame, days: int | None = None) -> DataFrame:
+    """One row: d_start, d_end = first and last date, or the last ``days`` days.
 
-    ``dates`` is any frame with a DATE column ``date`` (for the line ledger
-    a one-column scan of lineitem, so the bound does not re-run the join).
+    ``dates`` is any frame with a column ``date`` (for the line ledger a
+    one-column scan of lineitem, so the bound does not re-run the join).
     """
-    return (dates.agg(F.max("date").alias("d_end"))
-            .select(F.date_sub("d_end", days - 1).alias("d_start"), "d_end"))
+    ends = dates.agg(F.to_date(F.min("date")).alias("d_first"), F.to_date(F.max("date")).alias("d_end"))
+    start = F.col("d_first") if days is None else F.date_sub("d_end", days - 1)
+    return ends.select(start.alias("d_start"), "d_end")
 
 
-def ledger_to_panel(flows: DataFrame, accts: DataFrame, days: int = PANEL_DAYS,
+def ledger_to_panel(flows: DataFrame, accts: DataFrame, days: int | None = None,
                     bounds: DataFrame | None = None, keep_last: int | None = None) -> DataFrame:
-    """Complete daily running balances over the last ``days`` days.
+    """Complete daily running balances from the first to the last flow.
 
-    balance(day) = opening + all flows dated on or before that day.
+    With ``days`` only the last ``days`` days are covered, and everything
+    before counts as one opening point. balance(day) = opening + all flows dated on or before that day.
     Customers without flows get a flat series; flows of customers without
     an account row are dropped. With ``keep_last`` only the trailing
     ``keep_last`` days are emitted (balances still include all history).
@@ -140,17 +141,17 @@ def ledger_to_panel(flows: DataFrame, accts: DataFrame, days: int = PANEL_DAYS,
 
 
 def line_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("date"))
+    return read_table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").alias("date"))
 
 
-def line_panel(spark: SparkSession, sf_dir: str, days: int = PANEL_DAYS,
+def line_panel(spark: SparkSession, sf_dir: str, days: int | None = None,
                keep_last: int | None = None) -> DataFrame:
     return ledger_to_panel(line_ledger(spark, sf_dir), accounts(spark, sf_dir), days,
                            bounds=calendar_bounds(line_dates(spark, sf_dir), days),
                            keep_last=keep_last)
 
 
-def order_panel(spark: SparkSession, sf_dir: str, days: int = PANEL_DAYS,
+def order_panel(spark: SparkSession, sf_dir: str, days: int | None = None,
                 keep_last: int | None = None) -> DataFrame:
     return ledger_to_panel(order_ledger(spark, sf_dir), accounts(spark, sf_dir), days,
                            keep_last=keep_last)
