@@ -6,18 +6,18 @@ per (actual, predicted) pair: bounded by classes squared.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.expr import half_up
-from ledgerscope.operators.ranking import average_rank, running_sums
+from ledgerscope.operators.ranking import average_rank, global_row_number, running_sums
 
 
 def label_encode(df: DataFrame, col: str, out: str = "label_index") -> DataFrame:
-    """Alphabetical class index (0-based); the class list is tiny."""
-    classes = df.select(col).distinct()
-    idx = classes.select(col, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("bigint").alias(out))
-    return df.join(F.broadcast(idx), col)
+    """Alphabetical class index (0-based), from the distributed row number of the distinct values; NULL has none."""
+    classes = df.select(col).where(F.col(col).isNotNull()).distinct()
+    idx = global_row_number(classes, col).select(col, (F.col("rn") - 1).alias(out))
+    return df.join(idx, col, "left")
 
 
 def confusion(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
@@ -65,7 +65,7 @@ def roc_curve(scored: DataFrame, cls: str = "class", label: str = "is_pos", scor
         F.sum((1 - F.col(label)).cast("double")).alias("neg"))
     run = running_sums(pts, score, ["pos", "neg"], by=(cls,), ascending=False)
     totals = pts.groupBy(cls).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    j = run.join(F.broadcast(totals), cls)
+    j = run.join(totals, cls)
     curve = j.select(cls, F.col(score).alias("threshold"),
                      F.when(F.col("N") > 0, F.col("run_neg") / F.col("N")).alias("fpr"),
                      F.when(F.col("P") > 0, F.col("run_pos") / F.col("P")).alias("tpr"))
@@ -94,6 +94,6 @@ def thin_curve(curve: DataFrame, cls: str = "class", points: int = 50) -> DataFr
     c = c.withColumn("_one", F.lit(1.0))
     r = running_sums(c, "_k", ["_one"], by=(cls,))
     n = r.groupBy(cls).agg(F.count(F.lit(1)).alias("_n"))
-    r = r.join(F.broadcast(n), cls)
+    r = r.join(n, cls)
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / points))
     return r.where(F.pmod(F.col("run__one").cast("bigint") - 1, step) == 0).drop("_k", "_one", "run__one", "_n")

@@ -3,85 +3,86 @@
 A window with ORDER BY but no PARTITION BY moves every row into one task.
 ``running_sums`` computes running totals in a global order instead:
 
-1. range-partition on (group keys, order key) -- ties never straddle a
-   partition boundary, and Spark samples the bounds, so partitions are
-   balanced whatever the key distribution;
-2. inside each partition (rows sorted locally) a pandas cumsum over Arrow
-   batches gives the local running totals;
-3. per-(partition, group) totals -- one row per partition and group, a
-   bound of (partitions x groups) -- become offsets through a small
-   ordered window and a broadcast join.
+1. approximate quantiles of the order key, taken once, cut it into at most
+   ``spark.sql.shuffle.partitions`` buckets; a row's bucket follows from its
+   own key, so every branch of the plan, every retry and every reader agrees;
+2. a window per (group, bucket) gives the running totals inside a bucket;
+3. the sums of the buckets before it (one row per group and bucket) are
+   added through a null-safe join.
 
 Everything else here (average ranks, global row numbers) builds on it.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+MOST_BUCKETS = 256
+
+
+def _axis(df: DataFrame, col: str) -> Column:
+    """The key as a number that grows with it (not strictly: equal numbers share a bucket)."""
+    kind = df.schema[col].dataType.simpleString()
+    c = F.col(col)
+    if kind == "string":
+        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    if kind == "date" or kind.startswith("timestamp"):
+        return c.cast("timestamp").cast("double")
+    return c.cast("double")
+
+
+def _same(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[f"_r_{c}"]) for c in cols])
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
+    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in cols})
+    return left.join(renamed, _same(left, renamed, cols), how).drop(*[f"_r_{c}" for c in cols])
 
 
 def running_sums(df: DataFrame, order: str, cols: list[str], by: tuple = (),
                  ascending: bool = True, out_prefix: str = "run_") -> DataFrame:
     """Adds ``run_<c>`` = sum of ``c`` over rows up to and including this
-    one, in ``order`` (within each ``by`` group). Ties of ``order`` are
-    ordered arbitrarily; aggregate to distinct order values first when
-    ties must share a total."""
+    one, in ``order`` (within each ``by`` group). NULLs in ``c`` count as 0;
+    a NULL key or group is a value of its own (NULL keys come first, or last
+    when descending). Ties of ``order`` are ordered arbitrarily; aggregate to
+    distinct order values first when ties must share a total. Taking the
+    quantiles is one small job at call time."""
     by = list(by)
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.col("_k").asc() if ascending else F.col("_k").desc()
-    d = (df.withColumn("_k", F.col(order))
-         .repartitionByRange(n, *by, key)
-         .sortWithinPartitions(*by, key)
-         .withColumn("_pid", F.spark_partition_id()))
-    loc_fields = [T.StructField(f"_loc_{c}", T.DoubleType()) for c in cols]
-    schema = T.StructType(d.schema.fields + loc_fields)
-
-    def local(batches):
-        carry: dict = {}
-        last_key = None
-        for pdf in batches:
-            if pdf.empty:
-                yield pdf.assign(**{f"_loc_{c}": pd.Series(dtype="float64") for c in cols})
-                continue
-            gkey = pdf[by].astype(str).agg("|".join, axis=1) if by else pd.Series("", index=pdf.index)
-            out = {}
-            for c in cols:
-                vals = pdf[c].astype("float64").fillna(0.0)
-                cs = vals.groupby(gkey.values, sort=False).cumsum()
-                # carry the running total of a group that spans batches
-                first = gkey.iloc[0]
-                if last_key is not None and first == last_key:
-                    cs = cs + (gkey == first).astype("float64") * carry.get(c, 0.0)
-                out[f"_loc_{c}"] = cs.values
-            last_key = gkey.iloc[-1]
-            for c in cols:
-                carry[c] = float(out[f"_loc_{c}"][-1])
-            yield pdf.assign(**out)
-
-    loc = d.mapInPandas(local, schema)
-    # totals from the same mapped rows, so both sides share one partitioning
-    tot = loc.groupBy("_pid", *by).agg(*[F.max(f"_loc_{c}").alias(f"_tot_{c}") for c in cols])
-    wo = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1) if by \
-        else Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # offsets table: one row per (partition, group) -- bounded, broadcast
-    off = tot.select("_pid", *by, *[F.coalesce(F.sum(f"_tot_{c}").over(wo), F.lit(0.0)).alias(f"_off_{c}")
-                                    for c in cols])
-    j = loc.join(F.broadcast(off), ["_pid", *by])
+    n = min(MOST_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    axis = _axis(df, order)
+    cuts = df.select(axis.alias("a")).where("a IS NOT NULL AND NOT isnan(a)").agg(
+        F.percentile_approx("a", [i / n for i in range(1, n)] or [0.5], 10_000).alias("c")).first()["c"] or []
+    cuts = sorted(set(cuts))
+    bucket = F.when(axis.isNull(), -1).otherwise(
+        F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < axis)) if cuts else F.lit(0))
+    d = df.withColumn("_bucket", bucket.cast("int"))
+    value = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols}
+    turn = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
+    inside = Window.partitionBy(*by, "_bucket").orderBy(turn(order)).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    run = d.withColumns({f"_loc_{c}": F.sum(value[c]).over(inside) for c in cols})
+    # one row per group and bucket
+    before = Window.partitionBy(*by).orderBy(turn("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = d.groupBy(*by, "_bucket").agg(*[F.sum(value[c]).alias(f"_sum_{c}") for c in cols])
+    offsets = sums.select(*by, "_bucket", *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0.0)).alias(f"_off_{c}")
+                                           for c in cols])
+    j = _join_null_safe(run, offsets, [*by, "_bucket"])
     return j.select(*df.columns, *[(F.col(f"_loc_{c}") + F.col(f"_off_{c}")).alias(f"{out_prefix}{c}")
                                    for c in cols])
 
 
 def average_rank(df: DataFrame, col: str, out: str, by: tuple = ()) -> DataFrame:
-    """Fractional rank (ties share the mean of their positions), 1-based."""
+    """Fractional rank (ties share the mean of their positions), 1-based.
+    Rows without a value keep their place in the result with a NULL rank."""
     by = list(by)
-    counts = df.groupBy(*by, col).agg(F.count(F.lit(1)).cast("double").alias("_c"))
+    counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).cast("double").alias("_c"))
     runs = running_sums(counts, col, ["_c"], by=tuple(by))
     ranks = runs.select(*by, col, (F.col("run__c") - F.col("_c") + (F.col("_c") + 1) / 2).alias(out))
-    return df.join(ranks, [*by, col])
+    return _join_null_safe(df, ranks, [*by, col], "left")
 
 
 def global_row_number(df: DataFrame, order: str, out: str = "rn") -> DataFrame:
