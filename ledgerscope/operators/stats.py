@@ -5,87 +5,38 @@ Sums of squares come from a per-group aggregate and a grand aggregate
 is read once. Spearman is Pearson ``corr`` over average ranks computed
 with the distributed ranking of ``ranking.average_rank``.
 
-p-values: the F and t tails need the regularised incomplete beta
-function; it is evaluated by a vectorised pandas UDF on the one-row
-result (continued fraction, Lentz's method; standard numerics).
+p-values come from Spark's own JVM tests (``ANOVATest``, ``FValueTest``),
+which have no Python wrapper; they run as Spark jobs over the same rows.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerscope.functions.expr import (
     correlation_sign, correlation_strength, effect_size_label, half_up,
 )
+from ledgerscope.operators.metrics import label_encode
 from ledgerscope.operators.ranking import average_rank
 
 
-def _betacf(a, b, x, iters=300, eps=3e-16):
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c = np.ones_like(x)
-    d = 1.0 - qab * x / qap
-    d = np.where(np.abs(d) < tiny, tiny, d)
-    d = 1.0 / d
-    h = d.copy()
-    for m in range(1, iters + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < tiny, tiny, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        d = 1.0 / d
-        h = h * d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < tiny, tiny, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        d = 1.0 / d
-        de = d * c
-        h = h * de
-        if np.all(np.abs(de - 1.0) < eps):
-            break
-    return h
-
-
-def betainc_reg(a, b, x):
-    """Regularised incomplete beta I_x(a, b), elementwise."""
-    from math import lgamma
-    a = np.asarray(a, dtype="float64")
-    b = np.asarray(b, dtype="float64")
-    x = np.clip(np.asarray(x, dtype="float64"), 0.0, 1.0)
-    lg = np.vectorize(lgamma)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        bt = np.exp(lg(a + b) - lg(a) - lg(b) + a * np.log(x) + b * np.log1p(-x))
-        flip = x >= (a + 1.0) / (a + b + 2.0)
-        direct = bt * _betacf(a, b, x) / a
-        mirror = 1.0 - bt * _betacf(b, a, 1.0 - x) / b
-        out = np.where(flip, mirror, direct)
-    out = np.where(x <= 0.0, 0.0, np.where(x >= 1.0, 1.0, out))
-    return out
-
-
-@F.pandas_udf(T.DoubleType())
-def f_sf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    """Upper tail P(F > f) of the F(d1, d2) distribution."""
-    fv, a, b = f.astype("float64").values, d1.astype("float64").values, d2.astype("float64").values
-    x = b / (b + a * fv)
-    return pd.Series(betainc_reg(b / 2.0, a / 2.0, x))
-
-
-def p_round(p):
-    """2 significant digits below 0.01, else 6 decimals."""
-    from pyspark.sql import Column
-    p = F.col(p) if not isinstance(p, Column) else p
-    mag = F.floor(F.log10(p))
-    two_sig = F.round(p / F.pow(F.lit(10.0), mag - 1)) * F.pow(F.lit(10.0), mag - 1)
-    return F.when(p < 0.01, two_sig).otherwise(F.round(p, 6))
+def p_round(p: Column | str) -> Column:
+    """3 significant digits below 0.01, else 6 decimals; 0 stays 0."""
+    p = F.col(p) if isinstance(p, str) else p
+    scale = F.pow(F.lit(10.0), 2 - F.floor(F.log10(p)))
+    return F.when(p < 1e-300, p).when(p < 0.01, F.round(p * scale) / scale).otherwise(F.round(p, 6))
+
+
+def _jvm_p_value(name: str, rows: DataFrame, feature: str, label: str) -> DataFrame:
+    """One row: p_value of Spark's test ``name`` for one feature column against a numeric label."""
+    spark = rows.sparkSession
+    data = VectorAssembler(inputCols=[feature], outputCol="features").transform(
+        rows.where(F.col(feature).isNotNull() & F.col(label).isNotNull()))
+    data = data.select("features", F.col(label).cast("double").alias("label"))
+    test = getattr(spark._jvm.org.apache.spark.ml.stat, name)
+    return DataFrame(test.test(data._jdf, "features", "label", True), spark).select(F.col("pValue").alias("_p"))
 
 
 def anova_oneway(df: DataFrame, value: str, group: str, scale: int = 2) -> DataFrame:
@@ -120,24 +71,28 @@ def anova_oneway(df: DataFrame, value: str, group: str, scale: int = 2) -> DataF
                     effect_size_label(eta).alias("effect_size"))
 
 
-def with_anova_pvalue(a: DataFrame) -> DataFrame:
-    p = f_sf(F.col("_f"), F.col("df_between"), F.col("df_within"))
-    return a.withColumn("p_value", p_round(p)).withColumn("significant", p < 0.05)
+def with_anova_pvalue(a: DataFrame, df: DataFrame, value: str, group: str) -> DataFrame:
+    """Adds p_value and significant (below 0.05) to ``anova_oneway(df, value, group)``."""
+    p = _jvm_p_value("ANOVATest", label_encode(df.select(value, group), group, "_g"), value, "_g")
+    return a.crossJoin(p).withColumn("p_value", p_round("_p")).withColumn("significant", F.col("_p") < 0.05).drop("_p")
+
+
+def _ranked(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Average ranks of the rows that have both values."""
+    both = df.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return average_rank(average_rank(both, x, "_rx"), y, "_ry")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """rho on average ranks, rounded to 4; strength / sign words."""
-    r = average_rank(average_rank(df.select(x, y), x, "_rx"), y, "_ry")
-    c = r.agg(F.corr("_rx", "_ry").alias("_rho"), F.count(F.lit(1)).alias("n"))
+    c = _ranked(df, x, y).agg(F.corr("_rx", "_ry").alias("_rho"), F.count(F.lit(1)).alias("n"))
     return c.select(half_up("_rho", 4).alias("rho"), "_rho", F.col("n").cast("bigint").alias("n"),
                     correlation_strength("_rho").alias("strength"),
                     correlation_sign("_rho").alias("direction"),
                     (F.abs("_rho") > 0.3).alias("captures_liquidity"))
 
 
-def with_spearman_pvalue(s: DataFrame) -> DataFrame:
-    """t = rho * sqrt((n-2)/(1-rho^2)); F = t^2 with (1, n-2) d.f."""
-    rho = F.col("_rho")
-    t2 = rho * rho * (F.col("n") - 2) / (F.lit(1.0) - rho * rho)
-    p = f_sf(t2, F.lit(1.0), (F.col("n") - 2).cast("double"))
-    return s.withColumn("p_value", p_round(p)).withColumn("significant", p < 0.05)
+def with_spearman_pvalue(s: DataFrame, df: DataFrame, x: str, y: str) -> DataFrame:
+    """Adds p_value and significant: F = t^2 with (1, n-2) d.f. over the ranks."""
+    p = _jvm_p_value("FValueTest", _ranked(df, x, y), "_rx", "_ry")
+    return s.crossJoin(p).withColumn("p_value", p_round("_p")).withColumn("significant", F.col("_p") < 0.05).drop("_p")

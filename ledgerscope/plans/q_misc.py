@@ -419,7 +419,7 @@ def stratified_split(f):
     k = f.withColumn("_h", F.md5(F.col("customer_id").cast("string"))).withColumn("_one", F.lit(1.0))
     r = RK.running_sums(k, "_h", ["_one"], by=("risk_tier",))
     n = f.groupBy("risk_tier").agg(F.count(F.lit(1)).alias("_n"))
-    r = r.join(F.broadcast(n), "risk_tier")
+    r = r.join(n.withColumnRenamed("risk_tier", "_tier"), F.col("risk_tier").eqNullSafe(F.col("_tier"))).drop("_tier")
     return r.withColumn("split", F.when(F.col("run__one") <= F.floor(F.col("_n") * 0.8 + 0.5), "train")
                         .otherwise("test")).drop("_h", "_one", "run__one", "_n")
 
@@ -501,9 +501,11 @@ def effect_size_label(spark, sf):
 @register("significance_tests")
 def significance_tests(spark, sf):
     """p-values (rows-only check): ANOVA F tail and the Spearman t tail."""
-    a = ST.with_anova_pvalue(anova(spark, sf)).select(
+    f = features(spark, sf)
+    a = ST.with_anova_pvalue(ST.anova_oneway(f, "_fhs_mean", "segment"), f, "_fhs_mean", "segment").select(
         F.lit("anova").alias("test"), F.col("f_statistic").alias("statistic"), "p_value", "significant")
-    s = ST.with_spearman_pvalue(ST.spearman(features(spark, sf), "runway_mean", "_fhs_mean")).select(
+    pair = ("runway_mean", "_fhs_mean")
+    s = ST.with_spearman_pvalue(ST.spearman(f, *pair), f, *pair).select(
         F.lit("spearman").alias("test"), F.col("rho").alias("statistic"), "p_value", "significant")
     return a.unionByName(s)
 
