@@ -1,8 +1,8 @@
 """Dimension lookups (recommended actions, explanations) and text columns.
 
-FIXED VALUES: the action and explanation texts below are this library's
-own wording for the five market segments of the supplied customer table;
-they play the role of the reference's curated (segment, tier) tables.
+The texts belong to this library: what a bank may do next for a market
+segment of the supplied customer table at each risk tier, and why a
+segment's score may sink.
 """
 
 from __future__ import annotations
@@ -10,35 +10,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# FIXED VALUES: (segment, tier) -> action
+# (segment, tier) -> action
 ACTIONS = [
-    ("AUTOMOBILE", "RED", "Escalate to a senior adviser; offer payment holidays on vehicle loans."),
-    ("AUTOMOBILE", "AMBER", "Monitor monthly; offer a maintenance savings plan."),
-    ("AUTOMOBILE", "GREEN", "Retain with loyalty pricing on the next vehicle finance."),
-    ("BUILDING", "RED", "Escalate to the business team; pre-approve a bridging credit line."),
-    ("BUILDING", "AMBER", "Schedule a cash-flow review before the next project milestone."),
-    ("BUILDING", "GREEN", "Offer project finance and trade facilities."),
-    ("FURNITURE", "RED", "Flag for urgent review; defer scheduled debits for thirty days."),
-    ("FURNITURE", "AMBER", "Offer a seasonal working-capital facility."),
-    ("FURNITURE", "GREEN", "Offer inventory finance at preferred rates."),
-    ("HOUSEHOLD", "RED", "Urgent escalation; activate overdraft protection and a budgeting plan."),
-    ("HOUSEHOLD", "AMBER", "Enrol in automatic savings sweeps and spending alerts."),
-    ("HOUSEHOLD", "GREEN", "Offer savings goals and a premium account upgrade."),
-    ("MACHINERY", "RED", "Escalate to the equipment finance desk; restructure lease payments."),
-    ("MACHINERY", "AMBER", "Review lease schedule; offer a maintenance reserve account."),
-    ("MACHINERY", "GREEN", "Offer expansion finance for new equipment."),
+    ("AUTOMOBILE", "RED", "Call within two days and stretch the car loan over more instalments."),
+    ("AUTOMOBILE", "AMBER", "Ask about upcoming repairs and set money aside for them."),
+    ("AUTOMOBILE", "GREEN", "Mention the leasing rates when the next car is due."),
+    ("BUILDING", "RED", "Visit the site office and agree which supplier invoices can wait."),
+    ("BUILDING", "AMBER", "Compare the payment plan with the progress of the works."),
+    ("BUILDING", "GREEN", "Propose a limit for the next construction phase."),
+    ("FURNITURE", "RED", "Pause the standing orders and go through the open invoices together."),
+    ("FURNITURE", "AMBER", "Move the larger bills to the months after the fairs."),
+    ("FURNITURE", "GREEN", "Suggest a discount account for early supplier payment."),
+    ("HOUSEHOLD", "RED", "Invite to debt counselling and waive fees while it lasts."),
+    ("HOUSEHOLD", "AMBER", "Send a weekly overview of fixed costs."),
+    ("HOUSEHOLD", "GREEN", "Point to term deposits for the surplus."),
+    ("MACHINERY", "RED", "Have the machines valued and turn short debt into a long loan."),
+    ("MACHINERY", "AMBER", "Match the lease dates to the dates of the order book."),
+    ("MACHINERY", "GREEN", "Prepare an offer for the replacement of older machines."),
 ]
-DEFAULT_ACTION = "Monitor and review at the next scheduled assessment."
+DEFAULT_ACTION = "No rule for this pair; leave it to the account manager."
 
-# FIXED VALUES: segment -> curated explanation
+# segment -> explanation
 EXPLANATIONS = [
-    ("AUTOMOBILE", "Vehicle-related spending is pressing on balances. Offer flexible repayment before the next cycle."),
-    ("BUILDING", "Project payments arrive unevenly. A short bridging line would smooth the gaps."),
-    ("FURNITURE", "Seasonal sales leave thin months. Working capital support would prevent overdrafts."),
-    ("HOUSEHOLD", "Household outflows exceed inflows in recent weeks. Budgeting tools and alerts are advised."),
-    ("MACHINERY", "Large equipment outlays drain liquidity. Lease restructuring would restore headroom."),
+    ("AUTOMOBILE", "Fuel, insurance and repairs fall into the same weeks. Spreading them out would lift the low points."),
+    ("BUILDING", "Material is paid long before the client pays. An advance on each milestone would close the distance."),
+    ("FURNITURE", "Most revenue comes in two quarters of the year. The other two live on what was put aside."),
+    ("HOUSEHOLD", "Rent and card bills leave the account before wages arrive. Later due dates would keep it above zero."),
+    ("MACHINERY", "One machine costs as much as months of income. Paying in steps would keep cash in hand."),
 ]
-DEFAULT_EXPLANATION = "Proactive outreach recommended for the %s segment as its health score is declining."
+DEFAULT_EXPLANATION = "Balances of %s weaken over the forecast; someone should look at the accounts behind it."
 
 
 def action_dim(spark: SparkSession) -> DataFrame:
