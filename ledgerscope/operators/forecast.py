@@ -29,7 +29,7 @@ from ledgerscope.params import DEFAULT_PARAMS, RiskParams
 def as_arrays(series: DataFrame, key: str = "segment") -> DataFrame:
     """key, dates (sorted), ys, n, last_date."""
     arr = F.array_sort(F.collect_list(F.struct("date", "value")))
-    return (series.groupBy(key).agg(arr.alias("_pts"))
+    return (series.where(F.col("value").isNotNull()).groupBy(key).agg(arr.alias("_pts"))
             .select(key,
                     F.transform("_pts", lambda x: x["date"]).alias("dates"),
                     F.transform("_pts", lambda x: x["value"]).alias("ys"),
@@ -352,11 +352,12 @@ def forecast_summary(fc: DataFrame, p: RiskParams = DEFAULT_PARAMS, key: str = "
     g = fc.groupBy(key).agg(
         F.min_by("yhat", "h").alias("day1"), F.max_by("yhat", "h").alias("day30"),
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col("h") <= F.lit(p.horizon // 2), F.col("yhat"))).alias("s1"),
-        F.sum(F.when(F.col("h") > F.lit(p.horizon // 2), F.col("yhat"))).alias("s2"))
-    half = F.floor(F.col("n") / 2)
-    first = F.col("s1") / half
-    second = F.col("s2") / (F.col("n") - half)
+        F.array_sort(F.collect_list(F.struct("h", "yhat"))).alias("path"))
+    # at most one row per horizon step and key, so the path is short
+    half = F.floor(F.col("n") / 2).cast("int")
+    total = lambda part: F.aggregate(part, F.lit(0.0), lambda s, x: s + x["yhat"])
+    first = F.try_divide(total(F.slice("path", F.lit(1), half)), half)
+    second = total(F.slice("path", half + 1, F.col("n").cast("int"))) / (F.col("n") - half)
     delta = F.col("day30") - F.col("day1")
     return g.select(
         key, "day1", "day30",

@@ -37,9 +37,10 @@ def standardize(df: DataFrame, cols=FEATURES, fit_on: DataFrame | None = None) -
 
 
 def _label(df: DataFrame) -> DataFrame:
-    idx = (F.when(F.col("risk_tier") == CLASSES[0], 0.0).when(F.col("risk_tier") == CLASSES[1], 1.0)
-           .otherwise(2.0))
-    return df.withColumn("label", idx)
+    """Class index; rows without a tier carry no label and are left out."""
+    idx = F.when(F.col("risk_tier") == CLASSES[0], 0.0).when(F.col("risk_tier") == CLASSES[1], 1.0) \
+        .when(F.col("risk_tier") == CLASSES[2], 2.0)
+    return df.withColumn("label", idx).where(F.col("label").isNotNull())
 
 
 def _assemble(df: DataFrame, cols=FEATURES) -> DataFrame:

@@ -43,7 +43,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster the folder is set by the deployment (shared storage) and
     is used as is. Only when it is unset (tests, local runs) do we pick a
-    scratch folder of our own.
+    scratch folder of our own, and only where driver and executors are one
+    machine (a ``local`` master); elsewhere it is an error.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -54,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir() or conf_dir
     if current:
         return current
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local_dir = tempfile.mkdtemp(prefix="ledgerscope-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", local_dir)
     sc.setCheckpointDir(local_dir)

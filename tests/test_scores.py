@@ -191,7 +191,7 @@ def test_anova_matches_numpy(spark):
     f = (ssb / 2) / (ssw / (len(allv) - 3))
     assert abs(r["f_statistic"] - round(f, 4)) <= 1e-4
     assert abs(r["eta_squared"] - round(ssb / (ssb + ssw), 4)) <= 1e-4
-    p = ST.with_anova_pvalue(ST.anova_oneway(df, "x", "g")).first()["p_value"]
+    p = ST.with_anova_pvalue(ST.anova_oneway(df, "x", "g"), df, "x", "g").first()["p_value"]
     assert 0 <= p < 0.05
 
 
