@@ -13,8 +13,8 @@ PARTS = ("balance_trend", "income_regularity", "spending_volatility", "debt_rati
 
 
 def heatmap_from_scores(scores: DataFrame, keys=("segment",),
-                        p: RiskParams = DEFAULT_PARAMS) -> DataFrame:
-    """Mean of per-customer scores per segment.
+                        p: RiskParams = DEFAULT_PARAMS, counts: bool = False) -> DataFrame:
+    """Mean of per-customer scores per segment (and the number of customers with ``counts``).
 
     The composite is averaged unrounded, rounded to 2 dp for display and
     labelled on the unrounded mean; sub-score means are rounded to 1 dp.
@@ -23,9 +23,10 @@ def heatmap_from_scores(scores: DataFrame, keys=("segment",),
     # sub-scores carry 2 decimals and the composite 3: exact sums
     agg = scores.groupBy(*keys).agg(
         exact_avg("fhs_raw", 3).alias("_fhs"),
-        *[exact_avg(c, 2).alias(f"_{c}") for c in PARTS])
+        *[exact_avg(c, 2).alias(f"_{c}") for c in PARTS],
+        F.count(F.lit(1)).alias("n_customers"))
     return agg.select(
-        *keys,
+        *keys, *(["n_customers"] if counts else []),
         half_up("_fhs", 2).alias("fhs"),
         risk_label("_fhs", p).alias("risk_label"),
         *[half_up(f"_{c}", 1).alias(c) for c in PARTS])
@@ -36,7 +37,17 @@ def segment_heatmap(panel: DataFrame, p: RiskParams = DEFAULT_PARAMS) -> DataFra
     return heatmap_from_scores(customer_scores(panel, p), p=p).orderBy("fhs", "segment")
 
 
-def stress_shock(panel: DataFrame, shock_pct, p: RiskParams = DEFAULT_PARAMS) -> DataFrame:
+def shock_cut(bounds: DataFrame, p: RiskParams = DEFAULT_PARAMS) -> DataFrame:
+    """One-row cut date from the ledger's calendar bounds; it saves a second build of the panel."""
+    return bounds.select(F.date_sub("d_end", p.shock_days).alias("_cut"))
+
+
+def _cut_of(panel: DataFrame, cut: DataFrame | None, p: RiskParams) -> DataFrame:
+    return F.broadcast(cut if cut is not None else panel.agg(F.date_sub(F.max("date"), p.shock_days).alias("_cut")))
+
+
+def stress_shock(panel: DataFrame, shock_pct, p: RiskParams = DEFAULT_PARAMS,
+                 cut: DataFrame | None = None) -> DataFrame:
     """balance -= balance * shock/100 on the last 31 days of the panel.
 
     The cut date is the global max date minus 30 days (a one-row aggregate
@@ -46,25 +57,24 @@ def stress_shock(panel: DataFrame, shock_pct, p: RiskParams = DEFAULT_PARAMS) ->
     shock = float(shock_pct)
     if shock <= 0:
         return panel
-    cut = F.broadcast(panel.agg(F.date_sub(F.max("date"), p.shock_days).alias("_cut")))
     bal = F.col("balance")
-    return (panel.crossJoin(cut)
+    return (panel.crossJoin(_cut_of(panel, cut, p))
             .withColumn("balance", F.when(F.col("date") >= F.col("_cut"),
                                           bal - bal * F.lit(shock / 100.0)).otherwise(bal))
             .drop("_cut"))
 
 
-def stress_shock_grid(panel: DataFrame, shocks, p: RiskParams = DEFAULT_PARAMS) -> DataFrame:
+def stress_shock_grid(panel: DataFrame, shocks, p: RiskParams = DEFAULT_PARAMS,
+                      cut: DataFrame | None = None) -> DataFrame:
     """One pass for several shocks: adds ``shock`` (INT) and a shocked balance.
 
     The shock list is a literal array (size fixed by the caller) exploded
     per row; the panel is read once.
     """
     shocks = [int(s) for s in shocks]
-    cut = F.broadcast(panel.agg(F.date_sub(F.max("date"), p.shock_days).alias("_cut")))
     bal = F.col("balance")
     s = F.col("shock")
-    return (panel.crossJoin(cut)
+    return (panel.crossJoin(_cut_of(panel, cut, p))
             .withColumn("shock", F.explode(F.array(*[F.lit(x) for x in shocks])))
             .withColumn("balance", F.when((s > 0) & (F.col("date") >= F.col("_cut")),
                                           bal - bal * (s.cast("double") / F.lit(100.0)))
@@ -95,15 +105,14 @@ def scenario_comparison(shocked: DataFrame, baseline: DataFrame) -> DataFrame:
         .otherwise("neutral").alias("direction"))
 
 
-def portfolio_kpis(heatmap: DataFrame, panel: DataFrame) -> DataFrame:
-    """Segments per label plus the real number of customers."""
-    counts = heatmap.agg(
+def portfolio_kpis(scores: DataFrame, p: RiskParams = DEFAULT_PARAMS) -> DataFrame:
+    """Segments per label plus the real number of customers, from one build of the customer scores."""
+    return heatmap_from_scores(scores, p=p, counts=True).agg(
         F.count_if(F.col("risk_label") == "RED").cast("bigint").alias("critical"),
         F.count_if(F.col("risk_label") == "AMBER").cast("bigint").alias("warning"),
-        F.count_if(F.col("risk_label") == "GREEN").cast("bigint").alias("healthy"))
-    total = panel.agg(F.countDistinct("customer_id").alias("total_customers"))
-    return (counts.crossJoin(total)
-            .withColumn("action_required", F.col("critical")))
+        F.count_if(F.col("risk_label") == "GREEN").cast("bigint").alias("healthy"),
+        F.coalesce(F.sum("n_customers"), F.lit(0)).alias("total_customers")) \
+        .withColumn("action_required", F.col("critical"))
 
 
 # ---- one-pass shock grid ------------------------------------------------------
@@ -156,7 +165,8 @@ def _split_moments(panel: DataFrame, cut, keys=("customer_id", "segment")) -> Da
         F.count_if(post & (y > 0)).alias("pos_post"))
 
 
-def shocked_heatmaps_fast(panel: DataFrame, shocks, p: RiskParams = DEFAULT_PARAMS) -> DataFrame:
+def shocked_heatmaps_fast(panel: DataFrame, shocks, p: RiskParams = DEFAULT_PARAMS,
+                          cut: DataFrame | None = None) -> DataFrame:
     """Same result as ``shocked_heatmaps`` without copying the panel per
     shock: one split aggregate per customer, then closed forms."""
     from ledgerscope.functions.expr import clip, exp_decay
@@ -164,7 +174,7 @@ def shocked_heatmaps_fast(panel: DataFrame, shocks, p: RiskParams = DEFAULT_PARA
         composite_raw, composite_score, delta_stats, regularity_score)
     from pyspark.sql import Window
     shocks = [int(s) for s in shocks]
-    cut = F.broadcast(panel.agg(F.date_sub(F.max("date"), p.shock_days).alias("_cut")))
+    cut = _cut_of(panel, cut, p)
     mom = _split_moments(panel, cut)
     grid = F.explode(F.array(*[F.lit(x) for x in shocks])).alias("shock")
     g = mom.select("*", grid)

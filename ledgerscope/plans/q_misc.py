@@ -29,8 +29,12 @@ SHOCK = 20
 GRID = (0, 10, 25, 35)
 
 
-def panel(spark, sf):
-    return L.line_panel(spark, sf)
+def panel(spark, sf, keep_last=None):
+    return L.line_panel(spark, sf, keep_last=keep_last)
+
+
+def cut_date(spark, sf):
+    return G.shock_cut(L.calendar_bounds(L.line_dates(spark, sf)))
 
 
 def scores(spark, sf):
@@ -45,7 +49,8 @@ def heat(spark, sf):
 
 @register("segment_dim", sql=Q.with_(*LINES) + "SELECT DISTINCT segment FROM panel")
 def segment_dim(spark, sf):
-    return panel(spark, sf).select("segment").distinct().orderBy("segment")
+    # every account has a panel, so the account table already lists the segments
+    return L.accounts(spark, sf).select("segment").distinct().orderBy("segment")
 
 
 # ---- 2.2 projections, filters, labels ---------------------------------------------
@@ -64,7 +69,7 @@ FROM panel"""
 
 @register("stress_shock", sql=SHOCKED)
 def stress_shock(spark, sf):
-    return G.stress_shock(panel(spark, sf), SHOCK)
+    return G.stress_shock(panel(spark, sf), SHOCK, cut=cut_date(spark, sf))
 
 
 def _grid_sql():
@@ -83,8 +88,8 @@ def _grid_sql():
 GRID_SQL = Q.with_(*LINES, *_grid_sql())
 
 
-def grid_heat(spark, sf):
-    return G.shocked_heatmaps_fast(panel(spark, sf), GRID)
+def grid_heat(spark, sf, shocks=GRID):
+    return G.shocked_heatmaps_fast(panel(spark, sf), shocks, cut=cut_date(spark, sf))
 
 
 @register("stress_shock_grid", sql=GRID_SQL + "SELECT * FROM gheat")
@@ -105,7 +110,7 @@ SELECT s.segment, b.fhs AS baseline_fhs, s.fhs AS shocked_fhs, s.risk_label,
   CASE WHEN s.fhs - b.fhs < -2 THEN 'negative' WHEN s.fhs - b.fhs > 2 THEN 'positive' ELSE 'neutral' END AS direction
 FROM (SELECT * FROM gheat WHERE shock = 25) s JOIN (SELECT * FROM gheat WHERE shock = 0) b ON s.segment = b.segment""")
 def scenario_comparison(spark, sf):
-    g = grid_heat(spark, sf)
+    g = grid_heat(spark, sf, (0, 25))
     return G.scenario_comparison(g.where(F.col("shock") == 25), g.where(F.col("shock") == 0))
 
 
@@ -159,7 +164,7 @@ SELECT CAST(count_if(risk_label = 'RED') AS BIGINT) AS critical,
        (SELECT count(DISTINCT customer_id) FROM panel) AS total_customers,
        CAST(count_if(risk_label = 'RED') AS BIGINT) AS action_required FROM heatmap""")
 def portfolio_kpis(spark, sf):
-    return G.portfolio_kpis(heat(spark, sf), panel(spark, sf))
+    return G.portfolio_kpis(scores(spark, sf))
 
 
 # ---- 2.3 score primitives -------------------------------------------------------
@@ -259,15 +264,17 @@ SELECT p.segment, s.end_date, count(*) AS n_rows, {Q.exact_avg('p.balance')} AS
 FROM spine s JOIN panel p ON p.date BETWEEN s.end_date - 180 AND s.end_date
 GROUP BY p.segment, s.end_date""")
 def window_range_join(spark, sf):
-    """The readable plan: a 45-row spine (size fixed by the lookback
-    parameter, so it is broadcast) range-joined to the panel."""
-    p = panel(spark, sf)
-    last = p.agg(F.max("date").alias("_m"))
-    spine = (p.select("date").distinct().crossJoin(F.broadcast(last))
-             .where(F.col("date") > F.date_sub("_m", 45)).select(F.col("date").alias("end_date")))
-    j = p.join(F.broadcast(spine), (p["date"] >= F.date_sub("end_date", 180)) & (p["date"] <= F.col("end_date")))
-    return j.groupBy("segment", "end_date").agg(F.count(F.lit(1)).alias("n_rows"),
-                                                X.exact_avg("balance").alias("mean_balance"))
+    """A spine of the last 45 days range-joined to the days before each. The
+    panel is first summed per (segment, day) -- money as exact decimals --
+    so the join reads about 225 rows per segment, not the panel."""
+    p = panel(spark, sf, keep_last=W.rolling_rows())
+    days = p.groupBy("segment", "date").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("balance").cast("decimal(18,2)")).alias("total"))
+    ends = L.calendar_bounds(L.line_dates(spark, sf)).select(
+        F.explode(F.sequence(F.date_sub("d_end", 44), "d_end")).alias("end_date"))
+    j = days.join(ends, (days["date"] >= F.date_sub("end_date", 180)) & (days["date"] <= F.col("end_date")))
+    return j.groupBy("segment", "end_date").agg(
+        F.sum("n").alias("n_rows"), (F.sum("total").cast("double") / F.sum("n")).alias("mean_balance"))
 
 
 @register("panel_calendar_join", sql=Q.with_(*LINES) + "SELECT * FROM panel")
@@ -501,7 +508,10 @@ def effect_size_label(spark, sf):
 @register("significance_tests")
 def significance_tests(spark, sf):
     """p-values (rows-only check): ANOVA F tail and the Spearman t tail."""
-    f = features(spark, sf)
+    return significance(features(spark, sf))
+
+
+def significance(f):
     a = ST.with_anova_pvalue(ST.anova_oneway(f, "_fhs_mean", "segment"), f, "_fhs_mean", "segment").select(
         F.lit("anova").alias("test"), F.col("f_statistic").alias("statistic"), "p_value", "significant")
     pair = ("runway_mean", "_fhs_mean")
