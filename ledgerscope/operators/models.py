@@ -87,10 +87,10 @@ def importances(rf_model, spark, cols=FEATURES) -> DataFrame:
         "feature", half_up("importance", 4).alias("importance"))
 
 
-def kmeans_sweep(features: DataFrame, ks=range(2, 11), restarts: int = 10, seed: int = 42,
-                 parallelism: int = 8) -> DataFrame:
-    """k, inertia (best of ``restarts`` seeds), silhouette (squared
-    Euclidean, MLlib's default).
+def kmeans_models(features: DataFrame, ks=range(2, 11), restarts: int = 10, seed: int = 42,
+                  parallelism: int = 8) -> dict:
+    """k -> (inertia, silhouette, model): the best of ``restarts`` seeds per k;
+    silhouette is squared Euclidean, MLlib's default.
 
     The (k, seed) fits are independent; like ``CrossValidator(parallelism=)``
     they are submitted from a pool of driver threads, so the cluster runs
@@ -114,8 +114,14 @@ def kmeans_sweep(features: DataFrame, ks=range(2, 11), restarts: int = 10, seed:
             best[k] = (cost, m)
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         sil = dict(pool.map(lambda k: (k, ev.evaluate(best[k][1].transform(z))), sorted(best)))
-    rows = [(k, float(best[k][0]), float(sil[k])) for k in sorted(best)]
     z.unpersist()
+    return {k: (float(best[k][0]), float(sil[k]), best[k][1]) for k in sorted(best)}
+
+
+def kmeans_sweep(features: DataFrame, models: dict | None = None) -> DataFrame:
+    """k, inertia and silhouette of the sweep (run here unless ``models`` is given)."""
+    models = kmeans_models(features) if models is None else models
+    rows = [(k, m[0], m[1]) for k, m in models.items()]
     spark = features.sparkSession
     return spark.createDataFrame(rows, "k int, inertia double, silhouette double").select(
         "k", half_up("inertia", 2).alias("inertia"), half_up("silhouette", 4).alias("silhouette"))
@@ -127,10 +133,14 @@ def best_k(sweep: DataFrame) -> DataFrame:
                      F.max("silhouette").alias("best_silhouette"))
 
 
-def kmeans_labels(features: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    z = _assemble(standardize(_cut(features)))
-    m = KMeans(k=k, seed=seed, featuresCol="features").fit(z)
-    return m.transform(z).select("customer_id", "segment", F.col("prediction").cast("int").alias("cluster"))
+def kmeans_labels(features: DataFrame, models: dict | None = None) -> DataFrame:
+    """customer_id, segment, cluster by the sweep's own best model: the k with the
+    highest silhouette (the smallest on ties) and its best restart."""
+    features = _cut(features)
+    models = kmeans_models(features) if models is None else models
+    k = max(models, key=lambda k: (round(models[k][1], 4), -k))
+    return models[k][2].transform(_assemble(standardize(features))).select(
+        "customer_id", "segment", F.col("prediction").cast("int").alias("cluster"))
 
 
 def pca_2d(features: DataFrame) -> tuple[DataFrame, list]:

@@ -6,14 +6,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.expr import half_up
+from ledgerscope.operators import features as FT
 from ledgerscope.operators import forecast as FC
 from ledgerscope.operators import metrics as MT
 from ledgerscope.operators import models as MD
+from ledgerscope.operators import stats as ST
 from ledgerscope.plans import sqlkit as Q
 from ledgerscope.plans.q_features import FEAT, feature_table as features
-from ledgerscope.plans.q_forecast import ALL, series
-from ledgerscope.plans.q_misc import split
-from ledgerscope.plans.registry import register
+from ledgerscope.plans.q_forecast import ALL, ALL_B, metrics, series
+from ledgerscope.plans.q_misc import split, stratified_split
+from ledgerscope.plans.registry import entries, register
+from ledgerscope.session import materialize
 from ledgerscope.sources import ledger as L
 from ledgerscope.sources import results as R
 
@@ -90,28 +93,59 @@ def best_f1_model(spark, sf):
     return both.agg(F.max_by("model", F.struct("f1", -prio)).alias("best_model"), F.max("f1").alias("macro_f1"))
 
 
-def sweep(spark, sf):
-    return MD.kmeans_sweep(_feat(spark, sf))
+@register("model_reports")
+def model_reports(spark, sf):
+    """Report of both models from one fit; the class supports add up to the test set."""
+    return reports(fitted(spark, sf)[0])
+
+
+def reports(preds):
+    parts = [MT.classification_report(preds.where(F.col("model") == m)).select(F.lit(m).alias("model"), "*")
+             for m in ("logistic_regression", "random_forest")]
+    return parts[0].unionByName(parts[1])
+
+
+def forest_scores(spark, sf):
+    """One-vs-rest rows of the forest's test predictions: class, is_pos, score."""
+    preds = fitted(spark, sf, ("random_forest",))[0]
+    rows = preds.select("actual", F.posexplode("probability").alias("k", "score"))
+    names = F.array(*[F.lit(c) for c in MD.CLASSES])
+    cls = F.element_at(names, F.col("k") + 1)
+    return materialize(rows.select(cls.alias("class"), (F.col("actual") == cls).cast("int").alias("is_pos"), "score"))
+
+
+@register("forest_confusion")
+def forest_confusion(spark, sf):
+    return MT.confusion(fitted(spark, sf, ("random_forest",))[0])
+
+
+@register("forest_roc_auc")
+def forest_roc_auc(spark, sf):
+    return MT.roc_auc(forest_scores(spark, sf))
+
+
+@register("forest_roc_curve")
+def forest_roc_curve(spark, sf):
+    return MT.thin_curve(MT.roc_curve(forest_scores(spark, sf)))
 
 
 @register("kmeans_sweep")
 def kmeans_sweep(spark, sf):
-    return sweep(spark, sf)
+    return MD.kmeans_sweep(_feat(spark, sf))
 
 
 @register("silhouette")
 def silhouette(spark, sf):
-    return sweep(spark, sf).select("k", "silhouette")
+    return MD.kmeans_sweep(_feat(spark, sf)).select("k", "silhouette")
 
 
 @register("argmax_k")
 def argmax_k(spark, sf):
-    return MD.best_k(sweep(spark, sf))
+    return MD.best_k(MD.kmeans_sweep(_feat(spark, sf)))
 
 
 def final_labels(spark, sf):
-    k = MD.best_k(sweep(spark, sf)).first()["best_k"]
-    return MD.kmeans_labels(_feat(spark, sf), int(k))
+    return MD.kmeans_labels(_feat(spark, sf))
 
 
 @register("kmeans_final")
@@ -147,9 +181,11 @@ def kmeans_crosstab(spark, sf):
 
 @register("pca_2d")
 def pca_2d(spark, sf):
-    pts, var = MD.pca_2d(_feat(spark, sf))
-    total = sum(var)
-    return pts.withColumn("variance_explained_total", F.lit(round(total, 4)))
+    """Plotted points with their cluster, and the variance share of each component."""
+    f = _feat(spark, sf)
+    pts, var = MD.pca_2d(f)
+    return pts.join(MD.kmeans_labels(f).drop("segment"), "customer_id").withColumns(
+        {"variance_pc1": F.lit(round(var[0], 4)), "variance_pc2": F.lit(round(var[1], 4))})
 
 
 # ---- sinks and sources ---------------------------------------------------------
@@ -169,33 +205,50 @@ def src_panel_table(spark, sf):
     return save_panel_table(L.line_panel(spark, sf), name="ledgerscope_line_panel")
 
 
-@register("sink_features_csv")
+@register("sink_features_csv", sql=FEAT + "SELECT * FROM features")
 def sink_features_csv(spark, sf):
+    """The feature table written as CSV and read back with its types."""
     path = R.results_base(spark) + "/features_csv"
-    R.write_csv(features(spark, sf), path)
-    return spark.read.option("header", True).csv(path)
-
+    f = features(spark, sf)
+    R.write_csv(f, path)
+    return spark.read.schema(f.schema).option("header", True).csv(path)
 
-def _docs(spark, sf):
-    base = R.results_base(spark) + "/docs"
-    s = series(spark, sf)
-    R.write_docs({"forecast_metrics": FC.error_metrics(FC.backtest_predictions(s)),
-                  "statistical_tests": features(spark, sf).groupBy("segment").agg(
-                      F.count(F.lit(1)).alias("n"))}, base)
-    return base
 
-
-@register("sink_results_json")
+@register("sink_results_json", sql=ALL_B + "SELECT * FROM bmet")
 def sink_results_json(spark, sf):
-    base = _docs(spark, sf)
-    return spark.read.json(f"{base}/forecast_metrics")
+    """The forecast document written as JSON lines and read back with its schema."""
+    base = R.results_base(spark)
+    R.write_docs({"forecast_metrics": metrics(spark, sf)}, base)
+    return R.read_doc(spark, base, "forecast_metrics")
 
 
-@register("src_results_json")
+@register("src_results_json", sql=ALL_B + """
+SELECT 'forecast_metrics' AS doc, segment, model, field, CAST(value AS DOUBLE) AS value FROM (
+  SELECT segment, model, rmse, mae, mape, CAST(n_test AS DOUBLE) AS n_test FROM bmet)
+UNPIVOT (value FOR field IN (rmse, mae, mape, n_test))""")
 def src_results_json(spark, sf):
-    base = _docs(spark, sf)
-    return R.read_docs(spark, base).select("doc", F.col("n_rows").isNotNull().alias("present"),
-                                           "n_rows", "n_chars")
+    """A stored document parsed into (segment, model, field, value) rows."""
+    base = R.results_base(spark)
+    R.write_docs({"forecast_metrics": metrics(spark, sf)}, base)
+    doc = R.read_doc(spark, base, "forecast_metrics")
+    fields = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value"))
+                       for c in ("rmse", "mae", "mape", "n_test")])
+    return doc.select(F.lit("forecast_metrics").alias("doc"), "segment", "model", F.explode(fields).alias("f")).select(
+        "doc", "segment", "model", "f.field", "f.value")
+
+
+@register("results_documents")
+def results_documents(spark, sf):
+    """All four result documents, written and parsed: (doc, field, value) rows."""
+    from ledgerscope.plans.q_misc import significance
+    base = R.results_base(spark)
+    f = features(spark, sf)
+    preds, _ = MD.fit_classifiers(stratified_split(f))
+    R.write_docs({"classification_report": reports(preds),
+                  "clustering": MD.kmeans_sweep(f.select("customer_id", "segment", "risk_tier", *MD.FEATURES)),
+                  "forecast_metrics": metrics(spark, sf),
+                  "statistical_tests": significance(f)}, base)
+    return R.read_docs(spark, base, R.RESULT_DOCS)
 
 
 # ---- unions ------------------------------------------------------------------------
@@ -218,13 +271,38 @@ def union_all_customers(spark, sf):
     return u.select("source", "customer_id", "date", F.col("amount").cast("double").alias("amount"))
 
 
-@register("risk_suite")
+def _long(step: str, item: str, fields: list[str], sql: str) -> str:
+    parts = [f"SELECT '{step}' AS step, CAST({item} AS VARCHAR) AS item, '{c}' AS field, CAST({c} AS DOUBLE) AS value FROM s"
+             for c in fields]
+    return f"SELECT * FROM (WITH s AS (SELECT * FROM ({sql})) " + " UNION ALL ".join(parts) + ")"
+
+
+STEPS = [("tier_distribution", "risk_tier", ["n_customers"]),
+         ("segment_summary", "segment", ["mean_fhs", "std_fhs", "n_customers", "pct_high_risk"]),
+         ("anova_oneway", "'all'", ["f_statistic", "n"]),
+         ("spearman", "'all'", ["rho", "n"]),
+         ("backtest_summary", "'all'", ["hw_wins", "n_segments", "avg_rmse_improvement_pct"])]
+
+
+def _suite_sql() -> str:
+    known = entries()
+    return " UNION ALL ".join(_long(step, item, fields, known[step].sql) for step, item, fields in STEPS)
+
+
+@register("risk_suite", sql=_suite_sql())
 def risk_suite(spark, sf):
-    """All offline steps in order; one row per step with its row count
-    (each step is its own lazy plan; counts run them)."""
-    from ledgerscope.plans.catalog import queries
-    q = queries()
-    steps = ["customer_features", "tier_distribution", "fit_random_forest", "forecast_error_metrics",
-             "anova_oneway", "spearman", "segment_summary"]
-    rows = [(i + 1, s, int(q[s](spark, sf).count())) for i, s in enumerate(steps)]
-    return spark.createDataFrame(rows, "step int, name string, n_rows bigint")
+    """The offline steps as one table of (step, item, field, value); the
+    feature table is built once and shared."""
+    f = features(spark, sf)
+    tables = {"tier_distribution": FT.tier_distribution(f), "segment_summary": FT.segment_summary(f),
+              "anova_oneway": ST.anova_oneway(f, "_fhs_mean", "segment"),
+              "spearman": ST.spearman(f, "runway_mean", "_fhs_mean"),
+              "backtest_summary": FC.backtest_summary(metrics(spark, sf))}
+    out = None
+    for step, item, fields in STEPS:
+        key = F.lit(item.strip("'")) if item.startswith("'") else F.col(item)
+        pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value")) for c in fields])
+        rows = tables[step].select(F.lit(step).alias("step"), key.alias("item"), F.explode(pairs).alias("p")).select(
+            "step", "item", "p.field", "p.value")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -7,17 +7,25 @@ read back with an explicit schema.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerscope.session import shared_dir
 from ledgerscope.sources.ledger import PANEL_SCHEMA
 
-RESULT_DOCS = ("classification_report", "clustering", "forecast_metrics", "statistical_tests")
+# one JSON object per line in each document
+RESULT_DOCS = {
+    "classification_report": "model string, class string, precision double, recall double, f1 double, support bigint",
+    "clustering": "k int, inertia double, silhouette double",
+    "forecast_metrics": "segment string, model string, rmse double, mae double, mape double, n_test bigint",
+    "statistical_tests": "test string, statistic double, p_value double, significant boolean",
+}
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.option("header", True).csv(path)
 
 
 def read_panel_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -29,19 +37,26 @@ def write_docs(docs: dict[str, DataFrame], base: str) -> None:
     """One JSON-lines folder per document name (one row per line, written
     by every task in parallel; nothing is gathered into a single row)."""
     for name, df in docs.items():
-        df.write.mode("overwrite").json(f"{base}/{name}")
+        df.write.option("ignoreNullFields", False).json(f"{base}/{name}")
+
+
+def read_doc(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """One document, parsed with its schema."""
+    return spark.read.schema(RESULT_DOCS[name]).json(f"{base}/{name}")
 
 
-def read_docs(spark: SparkSession, base: str, names=RESULT_DOCS) -> DataFrame:
-    """doc, n_rows, n_chars per expected document; a missing document
-    gives a row with NULL counts (left join onto the expected names)."""
-    expected = spark.createDataFrame([(n,) for n in names], "doc string")
-    lines = spark.read.text(f"{base}/*/*.json").select(
-        F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]+$", 1).alias("doc"), "value")
-    found = lines.groupBy("doc").agg(F.count(F.lit(1)).alias("n_rows"),
-                                     F.sum(F.length("value")).alias("n_chars"))
-    return expected.join(F.broadcast(found), "doc", "left")
+def read_docs(spark: SparkSession, base: str, names) -> DataFrame:
+    """doc, field, value of every parsed document in ``names``: one row per
+    item and field, so that documents of different shape share one table."""
+    out = None
+    for name in names:
+        doc = read_doc(spark, base, name)
+        pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in doc.columns])
+        rows = doc.select(F.lit(name).alias("doc"), F.explode(pairs).alias("p")).select("doc", "p.field", "p.value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def results_base(spark: SparkSession) -> str:
-    return shared_dir(spark, "ledgerscope-results")
+    """A folder of its own for every call, so no run overwrites what another still reads."""
+    return shared_dir(spark, f"ledgerscope-results/{uuid.uuid4().hex}")
