@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerscope.plans import q_core, q_features, q_forecast, q_misc, q_models, q_windows  # noqa: F401
+from ledgerscope.plans import q_core, q_features, q_forecast, q_misc, q_models, q_shocked, q_windows  # noqa: F401
 from ledgerscope.plans.registry import entries
 
 
