@@ -26,7 +26,7 @@ from ledgerscope.llm.neardup import minhashes, shingle_sets
 from ledgerscope.llm.store import with_fields
 from ledgerscope.llm.textarrays import U64, WordHasher, mix, symbol_separators, text_slices
 
-SAMPLE = {1: 1200, 0: 2000}
+SAMPLE = {1: 900, 0: 1300}
 BITS = 20
 SEGMENT = 64
 THRESHOLD = 0.3
@@ -105,8 +105,10 @@ class Field:
 
     def fit_words(self, at: np.ndarray, y: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rounds: int):
         """Maximise the regularised likelihood of word labels by Adam over the whole sample."""
-        used, dense = np.unique(at, return_inverse=True)
-        dense = dense.reshape(at.shape)
+        met = np.zeros(1 << BITS, bool)
+        met[at.reshape(-1)] = True
+        used = np.flatnonzero(met)
+        dense = (np.cumsum(met, dtype=np.int32) - 1)[at]
         w = self.w[used].astype(np.float64)
         extra = np.concatenate([[self.bias], self.trans])
         theta = np.concatenate([w, extra])
@@ -210,12 +212,13 @@ def fit(sample: list[tuple[str, int]]) -> Field:
         parts.append(word_features(hasher, data, start, end))
         docs.append(row + at)
     features, doc = np.concatenate(parts), np.concatenate(docs)
+    del parts
     toxic = np.array([y for _, y in sample], bool)
     if not len(doc):
         return field
     y = marked_words(features, doc, toxic).astype(np.int64)
     at = buckets(features)
-    del features, parts
+    del features
     # segments of at most SEGMENT words, none across documents
     place = np.arange(len(doc)) - np.searchsorted(doc, doc)
     starts = np.flatnonzero((place % SEGMENT) == 0)
