@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerscope.llm import chatformat, decontaminate, mixing, neardup, pages, quality, substring, topk, toxicity
+from ledgerscope.llm import chatformat, decontaminate, licenses, mixing, neardup, pages, quality, substring, topk, toxicity
 
 QUERIES = {
     "op1_decontaminate": (decontaminate.contamination_query, decontaminate.CONTAMINATION_SQL),
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_chat_format": (chatformat.format_query, chatformat.FORMAT_SQL),
     "op5_quality": (quality.quality_query, None),
     "op6_near_duplicates": (neardup.neardup_query, neardup.NEARDUP_SQL),
+    "op7_licenses": (licenses.license_query, licenses.LICENSE_SQL),
     "op8_pages": (pages.pages_query, pages.PAGES_SQL),
     "op9_topk": (topk.topk_query, topk.TOPK_SQL),
     "op10_mix": (mixing.mixing_query, None),
