@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ledgerscope.llm.store import share
 from ledgerscope.llm.textarrays import U64, WordHasher, mix, symbol_separators, text_slices
 
 SHIFT_BITS = 18
@@ -197,13 +198,14 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, n: int = 10,
     blocks = benchmark_blocks(benchmark, block_words)
     rows = next(blocks)
     while rows is not None:
-        patterns = spark.sparkContext.broadcast(Patterns(rows, n))
+        shared = share(spark, Patterns(rows, n))
         rows = next(blocks, None)
         drop_text = rows is None and "text" not in keep
 
-        def scan(batches, patterns=patterns, drop_text=drop_text):
+        def scan(batches, shared=shared, drop_text=drop_text):
+            patterns = shared()
             for b in batches:
-                counts, ranges, items = search(patterns.value, b.column("text"))
+                counts, ranges, items = search(patterns, b.column("text"))
                 old_hits, old_items = b.column("hits").to_pylist(), b.column("items").to_pylist()
                 for k in range(len(counts)):
                     if old_items[k]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerscope.llm.labelled import fold, labelled_sample
-from ledgerscope.llm.store import with_fields
+from ledgerscope.llm.store import share, with_fields
 from ledgerscope.llm.textarrays import U64, WordHasher, text_slices
 
 BUCKETS = 4096
@@ -207,10 +207,10 @@ def score_quality(documents: DataFrame, model: tuple[np.ndarray, Network], keep:
     one by one; other columns are ignored.
     """
     names = ["doc_id", *[c for c in keep if c != "doc_id"]]
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = share(documents.sparkSession, model)
 
     def run(batches):
-        table, network = shared.value
+        table, network = shared()
         for b in batches:
             cols = {c: b.column(c) for c in names}
             cols["score"] = pa.array(network.score(pooled(b.column("__text"), table)), pa.float64())

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
+from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from ledgerscope.session import shared_dir
@@ -24,6 +28,15 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def share(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Broadcast ``value`` with the classes it needs; the result gives it back inside a task.
+
+    Executors then need no copy of this package on their path.
+    """
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(data.value)
+
+
 def with_fields(schema: StructType, more: str) -> StructType:
     """``schema`` with further fields given as DDL; field names may hold any character."""
     return StructType([*schema.fields, *StructType.fromDDL(more).fields])

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerscope.llm.store import share
+
 PIVOTS = 48
 BLOCK = 4096
 EXACT = float(1 << 53)
@@ -138,9 +140,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
         pivot_rows = matrix(picked.column("ints").combine_chunks())
         queries = ints.where("is_query").select("vec_id", "ints").dropDuplicates(["vec_id"])
         for ids, rows in query_blocks(queries, block):
-            shared = spark.sparkContext.broadcast(Queries(ids, rows, pivot_rows, k))
+            shared = share(spark, Queries(ids, rows, pivot_rows, k))
             found = ints.select("vec_id", "ints").mapInArrow(
-                lambda batches, shared=shared: shared.value.scan(batches),
+                lambda batches, shared=shared: shared().scan(batches),
                 "query_id bigint, vec_id bigint, score bigint")
             answers = found if answers is None else answers.unionAll(found)
     if answers is None:
