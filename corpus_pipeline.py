@@ -23,18 +23,20 @@ ROW = "__row"
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the whole row as one column."""
-    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW))
+    """doc_id, text and all columns but the text as one column."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias(ROW))
 
 
-def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    return rows.select(*[F.col(f"{ROW}.`{c}`").alias(c) for c in docs.columns])
+def unpacked(rows: DataFrame, docs: DataFrame, **changed) -> DataFrame:
+    """The columns of ``docs`` again, some of them replaced."""
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col("text") if c == "text" else F.col(f"{ROW}.`{c}`").alias(c)
+                         for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the threshold, all columns; null and empty texts stay."""
     field = toxicity.learn_toxicity(docs, read_table(spark, sf_dir, "labels"))
-    scored = toxicity.score_toxicity(packed(docs), field, keep=(ROW,))
+    scored = toxicity.score_toxicity(packed(docs), field, keep=(ROW, "text"))
     return unpacked(scored.where(F.col("score") < toxicity.THRESHOLD), docs)
 
 
@@ -45,17 +47,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; those that hold repeated windows keep their other words, joined by one space."""
-    cut = substring.remove_repeats(packed(docs), keep=(ROW,))
-    changed = F.col("n_removed") > 0
-    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col(f"{ROW}.text"))}
+    cut = substring.remove_repeats(packed(docs), keep=(ROW,), as_is=True)
+    new = {"text": F.col("kept_text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(f"{ROW}.n_chars"))
-    return cut.select(*[new[c].alias(c) if c in new else F.col(f"{ROW}.`{c}`").alias(c) for c in docs.columns])
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)) \
+            .otherwise(F.col(f"{ROW}.n_chars"))
+    return unpacked(cut, docs, **new)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
-    found = decontaminate.find_contamination(packed(docs), read_table(spark, sf_dir, "benchmark"), keep=(ROW,))
+    found = decontaminate.find_contamination(packed(docs), read_table(spark, sf_dir, "benchmark"), keep=(ROW, "text"))
     return unpacked(found.where(F.size("items") == 0), docs)
 
 

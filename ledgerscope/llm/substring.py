@@ -136,7 +136,7 @@ def single_edges(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "key bigint, a bigint, e bigint, pos int, w int")
 
 
-def cut_out(rows: DataFrame, size: int, anchor: int) -> DataFrame:
+def cut_out(rows: DataFrame, size: int, anchor: int, as_is: bool) -> DataFrame:
     """n_words, n_removed and kept_text of every row; ``rows`` ends with text and spans (lo, stop, unit, h)."""
     names = [c for c in rows.columns if c not in ("text", "spans")]
 
@@ -170,7 +170,7 @@ def cut_out(rows: DataFrame, size: int, anchor: int) -> DataFrame:
                 raw = data.tobytes()
                 for k in range(n):
                     if not removed[k]:
-                        text = b" ".join(raw[off[k]:off[k + 1]].split())
+                        text = raw[off[k]:off[k + 1]] if as_is else b" ".join(raw[off[k]:off[k + 1]].split())
                     elif removed[k] == count[k]:
                         text = b""
                     else:
@@ -180,8 +180,9 @@ def cut_out(rows: DataFrame, size: int, anchor: int) -> DataFrame:
                 n_words += count.tolist()
                 n_removed += removed.tolist()
             cols = {c: b.column(c) for c in names}
+            empty = b.column("text").is_null().to_numpy(zero_copy_only=False) if as_is else None
             cols |= {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
-                     "kept_text": pa.array(kept, pa.string())}
+                     "kept_text": pa.array(kept, pa.string(), mask=empty)}
             yield pa.RecordBatch.from_pydict(cols)
 
     return rows.mapInArrow(run, with_fields(rows.select(*names).schema, "n_words bigint, n_removed bigint, kept_text string"))
@@ -217,14 +218,16 @@ def find_repeats(documents: DataFrame, size: int, anchor: int) -> DataFrame:
     return long_spans.union(short_spans)
 
 
-def remove_repeats(documents: DataFrame, size: int = SIZE, anchor: int = ANCHOR, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(documents: DataFrame, size: int = SIZE, anchor: int = ANCHOR, keep: tuple[str, ...] = (),
+                   as_is: bool = False) -> DataFrame:
     """Every row without the words of repeated windows.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the text, unchanged. A window of ``size``
     consecutive words repeats if its word sequence starts anywhere else, in the
     same document or another; all words of such windows go. Returns doc_id, the
     columns of ``keep``, n_words, n_removed and kept_text (the words that stay,
-    joined by one space). Defined cases: a null or empty text has no words and
+    joined by one space; with ``as_is``, texts that lose nothing stay as they
+    are, null included). Defined cases: a null or empty text has no words and
     an empty kept_text; a text shorter than a window keeps all words; rows that
     repeat a doc_id or a whole row are documents of their own, so exact copies of
     ``size`` words or more lose everything; other columns are ignored.
@@ -236,7 +239,7 @@ def remove_repeats(documents: DataFrame, size: int = SIZE, anchor: int = ANCHOR,
     body = F.col("text")
     rows = documents.select(key, *names, body) if "text" not in names else documents.select(
         key, *[F.col(c).alias("original_text") if c == "text" else F.col(c) for c in names], body)
-    return cut_out(rows.join(spans, "key", "left").drop("key"), size, anchor)
+    return cut_out(rows.join(spans, "key", "left").drop("key"), size, anchor, as_is)
 
 
 def substring_query(spark, sf_dir: str) -> DataFrame:

@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerscope.llm.labelled import fold, labelled_sample
 from ledgerscope.llm.neardup import minhashes, shingle_sets
-from ledgerscope.llm.store import with_fields
+from ledgerscope.llm.store import share, with_fields
 from ledgerscope.llm.textarrays import U64, WordHasher, mix, symbol_separators, text_slices
 
-SAMPLE = {1: 900, 0: 1300}
+SAMPLE = {1: 700, 0: 900}
 BITS = 20
 SEGMENT = 64
 THRESHOLD = 0.3
@@ -320,14 +320,15 @@ def score_toxicity(documents: DataFrame, field: Field, keep: tuple[str, ...] = (
     ignored.
     """
     names = ["doc_id", *[c for c in keep if c != "doc_id"]]
-    shared = documents.sparkSession.sparkContext.broadcast(field)
-    out_names = names
-    rows = documents.select(*names, F.col("text").alias("__text"))
+    shared = share(documents.sparkSession, field)
+    source = "text" if "text" in names else "__text"
+    rows = documents.select(*names, *([] if "text" in names else [F.col("text").alias("__text")]))
 
     def run(batches):
+        model = shared()
         for b in batches:
-            scored = list(score_rows(b.column("__text"), shared.value))
-            cols = {c: b.column(c) for c in out_names}
+            scored = list(score_rows(b.column(source), model))
+            cols = {c: b.column(c) for c in names}
             cols["score"] = pa.array([s for s, _ in scored], pa.float64())
             cols["spans"] = pa.array([x for _, x in scored], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
             yield pa.RecordBatch.from_pydict(cols)
