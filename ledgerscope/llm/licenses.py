@@ -19,6 +19,7 @@ COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
 VERSION = r"\b(?:version|ver|v)\.?[ ]*([0-9])"
 ZERO_MINOR = r"([0-9])\.0\b"
 PUNCTUATION = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
+BROADCAST_UP_TO = 10_000  # known texts; a longer list is joined by shuffling digests
 # spelling -> the spelling that stands for both
 SPELLINGS = [("licence", "license"), ("sublicence", "sublicense"), ("organisation", "organization"), ("favour", "favor"),
              ("behaviour", "behavior"), ("colour", "color"), ("centre", "center"), ("judgement", "judgment"),
@@ -102,9 +103,11 @@ def scan_licenses(documents: DataFrame, known: list[tuple[str, str]] | None = No
     units = rows.select("doc_id", "row", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("line", "unit"))
     form = canonical(F.col("unit"))
     units = units.select("doc_id", "row", "line", form.alias("form"))
-    units = units.withColumn("digest", F.when(F.length("form").isin(lengths), F.sha2("form", 256)) if lengths
-                             else F.lit(None).cast("string")).drop("form")
-    hit = units.join(digests, "digest", "left")
+    digest = F.when(F.length("form").isin(lengths), F.sha2("form", 256)) if lengths else F.lit(None).cast("string")
+    # units that cannot match get a key of their row, so that no key holds them all
+    units = units.select("doc_id", "row", "line", F.coalesce(digest, F.concat(F.lit("-"), "row")).alias("digest"))
+    small = len(KNOWN if known is None else known) <= BROADCAST_UP_TO
+    hit = units.join(F.broadcast(digests) if small else digests, "digest", "left")
     # the units of a row sit in one task, so the partial aggregate leaves one row per document to move
     return hit.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.when(
         F.col("license_id").isNotNull(), F.struct("line", "license_id")))).alias("notices")).select("doc_id", "notices")
