@@ -41,7 +41,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group; texts without words are in no group and stay."""
+    """One row of each group, of the smallest doc_id; texts without words are in no group and stay."""
     return neardup.drop_near_duplicates(docs)
 
 

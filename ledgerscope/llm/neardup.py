@@ -228,12 +228,21 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = PERCE
                     m: int = COLLECTIONS, r: int = PER_COLLECTION) -> DataFrame:
     """One row per document: doc_id, th, n_shingles, component_id, kept.
 
+    See ``grouped`` for what is linked; its comp is left out.
+    """
+    return grouped(documents, shingle, percent, m, r).drop("comp")
+
+
+def grouped(documents: DataFrame, shingle: int, percent: int, m: int = COLLECTIONS, r: int = PER_COLLECTION) -> DataFrame:
+    """One row per document: doc_id, th, n_shingles, component_id, comp, kept.
+
     Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased; a set
     holds the distinct runs of ``shingle`` words, or the whole word sequence
     if it is shorter. Documents are linked where 100 * intersection >= percent
     * union. component_id is the smallest doc_id reachable, kept tells whether it
     is the document's own. ``th`` is xxhash64 of the text; (doc_id, th) finds
-    the row again. Defined cases: null or empty texts and texts without words
+    the row again; comp numbers the components, also those without any doc_id.
+    Defined cases: null or empty texts and texts without words
     have an empty set and are linked with nothing; rows that share a doc_id are
     documents of their own; a null doc_id never becomes a component's id
     unless all its documents have none; other columns are ignored.
@@ -269,20 +278,43 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = PERCE
         comp = connected_components(links.union(more))
     labelled = classes.select("d1", "d2", "node", "low").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = labelled.groupBy("comp").agg(F.min("low").alias("component_id"))
-    classed = write_table(labelled.join(lowest, "comp").select("d1", "d2", "component_id"), "class-components")
+    classed = write_table(labelled.join(lowest, "comp").select("d1", "d2", "component_id", "comp"), "class-components")
     full = table.where("n_shingles > 0").drop("mh").join(classed, ["d1", "d2"])
-    empty = table.where("n_shingles = 0").drop("mh").withColumn("component_id", F.col("doc_id"))
-    out = full.select("doc_id", "th", "n_shingles", "component_id").union(
-        empty.select("doc_id", "th", "n_shingles", "component_id"))
+    empty = table.where("n_shingles = 0").drop("mh").withColumn("component_id", F.col("doc_id")) \
+        .withColumn("comp", F.lit(None).cast("bigint"))
+    out = full.select("doc_id", "th", "n_shingles", "component_id", "comp").union(
+        empty.select("doc_id", "th", "n_shingles", "component_id", "comp"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
-    """``documents`` with one document of each near-duplicate group, all columns kept."""
-    groups = near_duplicates(documents, shingle, percent)
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    """``documents`` with exactly one row of each near-duplicate group, all columns kept.
+
+    The row with the smallest doc_id stays, among those the one with the
+    smallest text hash, among repeated rows one by a hash of the row. Texts
+    without words are in no group and stay.
+    """
+    rows = grouped(documents, shingle, percent).where("n_shingles > 0")
+    rows = write_table(rows.groupBy("doc_id", "th", "comp", "kept").agg(F.count("*").alias("n")), "group-rows")
+    lowest = rows.where("kept").groupBy("comp").agg(F.min("th").alias("best"))
+    keepers = rows.where("kept").join(lowest, "comp")
+    gone = rows.where(~F.col("kept")).select("doc_id", "th").union(keepers.where("th != best").select("doc_id", "th")) \
+        .toDF("__id", "__th")
+    twice = write_table(keepers.where("th = best AND n > 1").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")), "repeated-rows")
     mark = documents.withColumn("__hash", F.xxhash64("text"))
-    return mark.join(gone, mark.doc_id.eqNullSafe(gone["__id"]) & (mark["__hash"] == gone["__th"]), "left_anti").drop("__hash")
+
+    def meets(other: DataFrame):
+        return F.col("doc_id").eqNullSafe(other["__id"]) & (F.col("__hash") == other["__th"])
+
+    left = mark.join(gone, meets(gone), "left_anti")
+    if twice.isEmpty():
+        return left.drop("__hash")
+    names = [F.col(f"`{c}`") for c in documents.columns]
+    by = F.xxhash64(*[F.col(f"`{x.name}`") for x in documents.schema.fields if "map<" not in x.dataType.simpleString()])
+    # min_by leaves one row per task and repeated row before anything moves
+    one = left.join(twice, meets(twice), "left_semi").groupBy("doc_id", "__hash").agg(F.min_by(F.struct(*names), by).alias("__row"))
+    return left.join(twice, meets(twice), "left_anti").select(*names).union(
+        one.select(*[F.col(f"__row.`{c}`").alias(c) for c in documents.columns]))
 
 
 def neardup_query(spark, sf_dir: str) -> DataFrame:

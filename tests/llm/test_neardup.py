@@ -77,6 +77,15 @@ def test_one_of_each_group_stays(docs_of):
     assert left.columns == docs_of(docs).columns
 
 
+def test_repeated_rows_and_shared_ids_leave_one(docs_of):
+    docs = [(1, "a b c d e f g")] * 3 + [(1, "A b c d e f g"), (2, "a b c d e f g"), (None, "a b c d e f g"), (4, None), (4, None)]
+    docs += [(None, "no id at all here it is")] * 2 + [(None, "nor has this one any id")] * 2
+    left = N.drop_near_duplicates(docs_of(docs))
+    assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "4", "4", "None", "None"]
+    assert len({r.text for r in left.collect() if r.doc_id is None}) == 2
+    assert left.columns == docs_of(docs).columns
+
+
 def test_block_links_join_pieces(spark):
     import numpy as np
     u = lambda *x: np.array(sorted(x), np.uint64)

@@ -67,6 +67,14 @@ def test_stages_against_brute_force(spark, sf_dir):
             assert all(0 <= r.taken <= 3 * r["size"] for r in after)
 
 
+def test_repeated_row_keeps_its_text(spark, sf_dir):
+    docs = spark.read.parquet(sf_dir + "/documents.parquet").where("doc_id BETWEEN 1 AND 40")
+    long = " ".join(f"only{i}" for i in range(80))
+    more = spark.createDataFrame([(500, long, "en", "s1", len(long))] * 2, docs.schema)
+    out = P.cut_repeats(spark, P.drop_near_duplicates(spark, docs.union(more), sf_dir), sf_dir)
+    assert [r.text for r in out.where("doc_id = 500").collect()] == [long]
+
+
 def test_columns_with_clashing_names_pass(spark, sf_dir):
     docs = spark.read.parquet(sf_dir + "/documents.parquet").where("doc_id BETWEEN 1 AND 40").selectExpr(
         "*", "'a' AS score", "1 AS hits", "2 AS kept_text", "3 AS spans", "4 AS `odd name`", "5 AS n_words", "6 AS items", "7 AS key")
