@@ -1,17 +1,25 @@
 """Licence scan by canonical digests.
 
-A text unit (a whole document, or one of its lines) is brought to a canonical
+A text unit (a whole document, one of its lines, or a run of lines) is brought to a canonical
 form: lower case, no copyright lines, one spelling of equivalent words and
 versions, punctuation and white space as one space. The SHA-256 digest of
 that form is hash-joined to the digests of known licence texts and notices,
 so a unit matches only if its entire canonical text does.
 
-All steps are DataFrame functions. A canonical form whose length no known
-text has is not hashed. The known texts are a short list of fixed size.
+A canonical form whose length no known text has is not hashed. A run of lines is
+a unit wherever its canonical form has the length of a known text; numpy finds
+these runs on the lengths of the lines. The known texts are a list of fixed
+size: the notices of ``KNOWN`` and the texts and headers of ``known_texts``.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -70,6 +78,63 @@ KNOWN = [
 ]
 
 
+HEADERS = {
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required
+by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions
+and limitations under the License.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+}
+GNU = [(f"{short}-{v}", name, v) for short, name, versions in (
+    ("GPL", "GNU General Public License", (2, 3)), ("LGPL", "GNU Lesser General Public License", (2.1, 3)),
+    ("AGPL", "GNU Affero General Public License", (3,))) for v in versions]
+GNU_HEADER = """This {what} is free software{stop} you can redistribute it and/or modify it under the terms of the {name} as published by
+the Free Software Foundation, {version}.
+
+This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details."""
+GNU_COPY = "You should have received a copy of the {name} along with this {what}. If not, see {url}."
+TEXTS = Path(__file__).parent / "license_texts"
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """``KNOWN``, the licence texts of the package and the standard headers, with their usual titles."""
+    out = KNOWN + [("MIT", f"The MIT License{mark}\n\n{MIT}") for mark in (" (MIT)", "")]
+    out += [(i, f"{title}\n\n{t}") for i, t in KNOWN[2:4] for title in ("ISC License", "BSD Zero Clause License", "Zero-Clause BSD")
+            if (i == "ISC") == (title == "ISC License")]
+    for path in sorted(TEXTS.glob("*.txt")):
+        name, text = path.stem, path.read_text(encoding="utf-8")
+        out.append((name, text))
+        # the terms alone, without the appendix that tells how to apply them
+        end = re.search(r"(?m)^[ \t]*END OF (THE )?TERMS AND CONDITIONS[ \t]*$", text)
+        if end:
+            out += [(name, text[:end.start()]), (name, text[:end.end()])]
+    three = (TEXTS / "BSD-3-Clause.txt").read_text(encoding="utf-8")
+    two = three[:three.index("3. Neither")] + three[three.index("THIS SOFTWARE"):]
+    out += [("BSD-2-Clause", two)]
+    for name, text, titles in (("BSD-3-Clause", three, ("BSD 3-Clause License", "The 3-Clause BSD License")),
+                               ("BSD-2-Clause", two, ("BSD 2-Clause License", "The 2-Clause BSD License"))):
+        # bullets instead of numbers have the same words
+        plain = re.sub(r"(?m)^[123]\. ", "* ", text)
+        out += [(name, plain), *[(name, f"{t}\n\n{x}") for t in titles for x in (text, plain)],
+                (name, "All rights reserved.\n\n" + text), (name, "All rights reserved.\n\n" + plain),
+                *[(name, f"{t}\n\nAll rights reserved.\n\n{x}") for t in titles for x in (text, plain)]]
+    out += list(HEADERS.items())
+    for short, name, v in GNU:
+        full = short if "." in short else short + ".0"
+        for what in ("program", "library", "software", "file"):
+            for suffix, version in (("-or-later", f"either version {v} of the License, or (at your option) any later version"),
+                                    ("-only", f"version {v} of the License"), ("-only", f"version {v}")):
+                for stop in (":", ";"):
+                    head = GNU_HEADER.format(what=what, name=name, stop=stop, version=version)
+                    out.append((full + suffix, head))
+                    for url in ("<http://www.gnu.org/licenses/>", "<http://gnu.org/licenses/>"):
+                        out.append((full + suffix, head + "\n\n" + GNU_COPY.format(name=name, what=what, url=url)))
+    return out
+
+
 def canonical(text: Column) -> Column:
     """Canonical form of a text unit; empty if nothing but copyright lines or punctuation is left."""
     t = F.translate(text, UPPER, LOWER)
@@ -83,43 +148,87 @@ def canonical(text: Column) -> Column:
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]]) -> tuple[DataFrame, list[int]]:
     """(digest, license_id) of the known texts, and the lengths of their canonical forms."""
-    rows = spark.createDataFrame(known, "license_id string, text string").withColumn("form", canonical(F.col("text")))
-    rows = rows.where("form <> ''")
-    lengths = sorted(r[0] for r in rows.select(F.length("form")).distinct().collect())
-    return rows.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id")), lengths
+    rows = spark.createDataFrame(known, "license_id string, text string").select("license_id", canonical(F.col("text")).alias("form"))
+    # read once, so that later plans do not bring the texts to their form again
+    found = rows.where("form <> ''").select("license_id", F.length("form"), F.sha2("form", 256)).collect()
+    ids: dict[str, str] = {}
+    for name, _, digest in found:
+        ids[digest] = min(name, ids.get(digest, name))
+    return spark.createDataFrame(sorted(ids.items()), "digest string, license_id string"), sorted({n for _, n, _ in found})
+
+
+def matching_runs(forms: list[str], lengths: np.ndarray) -> list[tuple[int, int, str]]:
+    """(first line, lines, canonical form) of the runs of two or more lines whose form has a known length.
+
+    ``forms`` are the canonical lines; blank ones add nothing, and a run
+    neither begins nor ends with one.
+    """
+    size = np.array([len(f) for f in forms])
+    line = np.flatnonzero(size)
+    if len(line) < 2 or not len(lengths):
+        return []
+    begin = np.concatenate([[0], np.cumsum(size[line][:-1] + 1)])
+    end = begin + size[line]
+    joined, out = None, []
+    for n in lengths[lengths <= end[-1]].tolist():
+        at = np.searchsorted(end, begin + n)
+        at[at == len(end)] = 0
+        for i in np.flatnonzero((end[at] == begin + n) & (at > np.arange(len(line)))).tolist():
+            joined = joined or " ".join(forms[k] for k in line.tolist())
+            out.append((int(line[i]) + 1, int(line[at[i]] - line[i]) + 1, joined[begin[i]:begin[i] + n]))
+    return out
 
 
 def scan_licenses(documents: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """doc_id and notices of every row: (line, license_id), line 0 for the whole text, sorted.
+    """doc_id and notices of every row: (line, license_id, lines), line 0 for the whole text, sorted.
 
-    Defined cases: null, empty and blank texts have no notices; a text of one
-    line that is a known text counts as the whole text and as its line 1;
-    repeated rows and rows that share a doc_id are scanned one by one; an
-    empty list of known texts finds nothing; other columns are ignored.
+    ``lines`` is 0 for the whole text, 1 for a line and more for a run that
+    begins at ``line``. Defined cases: null, empty and blank texts have no
+    notices; a text of one line that is a known text counts as the whole text
+    and as its line 1; runs of lines are left out where the whole text is
+    known or a longer known run holds them; repeated rows and rows that share a
+    doc_id are scanned one by one; an empty list of known texts finds nothing;
+    other columns are ignored.
     """
     spark = documents.sparkSession
-    digests, lengths = known_digests(spark, KNOWN if known is None else known)
+    known = known_texts() if known is None else known
+    digests, lengths = known_digests(spark, known)
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
-    units = rows.select("doc_id", "row", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("line", "unit"))
-    form = canonical(F.col("unit"))
-    units = units.select("doc_id", "row", "line", form.alias("form"))
-    digest = F.when(F.length("form").isin(lengths), F.sha2("form", 256)) if lengths else F.lit(None).cast("string")
-    # units that cannot match get a key of their row, so that no key holds them all
-    units = units.select("doc_id", "row", "line", F.coalesce(digest, F.concat(F.lit("-"), "row")).alias("digest"))
-    small = len(KNOWN if known is None else known) <= BROADCAST_UP_TO
-    hit = units.join(F.broadcast(digests) if small else digests, "digest", "left")
+    forms = rows.select("doc_id", "row", canonical(F.col("text")).alias("whole"), F.transform(F.split("text", "\n"), canonical).alias("forms"))
+
+    def find(batches):
+        wanted, sizes = set(lengths), np.array(lengths, np.int64)
+        for b in batches:
+            out = []
+            for whole, lines in zip(b.column("whole"), b.column("forms")):
+                lines = lines.as_py()
+                units = [(0, 0, whole.as_py()), *((k, 1, f) for k, f in enumerate(lines, 1))]
+                units = [u for u in units if len(u[2]) in wanted] + matching_runs(lines, sizes)
+                out.append([{"line": k, "lines": n, "digest": hashlib.sha256(f.encode()).hexdigest()} for k, n, f in units])
+            kind = pa.list_(pa.struct([("line", pa.int32()), ("lines", pa.int32()), ("digest", pa.string())]))
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "row": b.column("row"), "units": pa.array(out, kind)})
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    units = forms.mapInArrow(find, f"doc_id {kind}, row bigint, units array<struct<line:int,lines:int,digest:string>>") \
+        .select("doc_id", "row", F.inline_outer("units"))
+    # rows without units get a key of their own, so that no key holds them all
+    units = units.withColumn("digest", F.coalesce("digest", F.concat(F.lit("-"), "row")))
+    hit = units.join(F.broadcast(digests) if len(known) <= BROADCAST_UP_TO else digests, "digest", "left")
     # the units of a row sit in one task, so the partial aggregate leaves one row per document to move
-    return hit.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.when(
-        F.col("license_id").isNotNull(), F.struct("line", "license_id")))).alias("notices")).select("doc_id", "notices")
+    found = hit.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.when(
+        F.col("license_id").isNotNull(), F.struct("line", "license_id", "lines")))).alias("notices"))
+    end = lambda x: x["line"] + x["lines"]
+    held = lambda x, y: (y["line"] == 0) | ((y["line"] <= x["line"]) & (end(y) >= end(x)) & (y["lines"] > x["lines"]))
+    return found.select("doc_id", F.filter("notices", lambda x: (x["lines"] < 2) | ~F.exists("notices", lambda y: held(x, y))).alias("notices"))
 
 
 def license_query(spark, sf_dir: str) -> DataFrame:
-    """op7: licences of every document."""
+    """op7: licences of every document; n_lines counts notices of one line."""
     from ledgerscope.sources.tables import read_table
     out = scan_licenses(read_table(spark, sf_dir, "documents"))
     ids = F.array_sort(F.array_distinct(F.transform("notices", lambda n: n["license_id"])))
     return out.select(
-        "doc_id", F.size(F.filter("notices", lambda n: n["line"] > 0)).cast("bigint").alias("n_lines"),
+        "doc_id", F.size(F.filter("notices", lambda n: n["lines"] == 1)).cast("bigint").alias("n_lines"),
         F.exists("notices", lambda n: n["line"] == 0).alias("whole_text"), F.concat_ws(",", ids).alias("license_ids"))
 
 

@@ -37,3 +37,14 @@ def test_edges(spark, docs_of):
 def test_canonical_forms_are_distinct_by_licence(spark):
     digests, lengths = L.known_digests(spark, L.KNOWN)
     assert digests.count() == len({L_ for _, L_ in L.KNOWN}) and lengths
+
+
+def test_texts_headers_and_wrapped_notices(spark, docs_of):
+    text = lambda name: (L.TEXTS / f"{name}.txt").read_text()
+    header = L.HEADERS["Apache-2.0"]
+    docs = [(1, text("Apache-2.0")), (2, text("GPL-3.0")), (3, "BSD 3-Clause License\n\nCopyright (c) 2020, A\n\n" + text("BSD-3-Clause")),
+            (4, "The MIT License (MIT)\n\nCopyright (c) 2020 A\n\n" + L.MIT), (5, "import x\n\n" + header.replace(" you", "\n\nyou") + "\ncode = 1"),
+            (6, "Prose\nLicensed under the Apache\nLicense, Version 2.0.\nmore"), (7, text("Unlicense"))]
+    got = scan(spark, docs_of, docs)
+    assert got[1] == [(0, "Apache-2.0")] and got[2] == [(0, "GPL-3.0")] and got[3] == [(0, "BSD-3-Clause")] and got[4] == [(0, "MIT")]
+    assert got[5] == [(3, "Apache-2.0")] and got[6] == [(2, "Apache-2.0")] and got[7] == [(0, "Unlicense")]
