@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerscope.llm import alignment, chatformat, collocations, decontaminate, licenses, mixing, neardup, pages, quality, substring, topk, toxicity
+from ledgerscope.llm import alignment, chatformat, collocations, decontaminate, licenses, mixing, neardup, pages, pii, quality, substring, topk, toxicity
 
 QUERIES = {
     "op1_decontaminate": (decontaminate.contamination_query, decontaminate.CONTAMINATION_SQL),
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pages": (pages.pages_query, pages.PAGES_SQL),
     "op9_topk": (topk.topk_query, topk.TOPK_SQL),
     "op10_mix": (mixing.mixing_query, None),
+    "op11_pii": (pii.pii_query, None),
     "op12_collocations": (collocations.collocation_query, collocations.COLLOCATION_SQL),
     "op13_token_alignment": (alignment.alignment_query, None),
 }
