@@ -73,3 +73,17 @@ def test_temperature_calibrates():
     y = (rng.random(2000) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(float)
     net = Q.Network(x, y, np.ones(2000))
     assert abs(net.score(x).mean() - y.mean()) < 0.05 and net.temperature == pytest.approx(net.temperature)
+
+
+def test_sample_takes_each_id_once_and_only_ids_with_a_text(spark, docs_of):
+    from pyspark.sql import functions as F
+    from ledgerscope.llm.labelled import labelled_sample
+    docs = docs_of([(i, f"text of {i}") for i in range(200)] + [(3, "text of 3")] * 60 + [(4, "a text of 4")] * 60 + [(900, None)])
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(5000)] + [(900, 1), (None, 1)], "doc_id bigint, quality int")
+    got = labelled_sample(docs, labels, "quality", F.lit(True), {0: 20, 1: 20})
+    assert len(got) == len({t for t, _ in got}) == 40 and sum(y for _, y in got) == 20
+    every = labelled_sample(docs, labels, "quality", F.lit(True), {0: 500, 1: 500})
+    assert sorted((t.removeprefix("a "), y) for t, y in every) == sorted((f"text of {i}", i % 2) for i in range(200))
+    few = labelled_sample(docs, labels, "quality", F.lit(True), {0: 500, 1: 500}, most_bytes=100)
+    assert 6 <= len(few) <= 11 and {y for _, y in few} == {0, 1}
+    assert labelled_sample(docs_of([]), labels, "quality", F.lit(True), {0: 5}) == []
