@@ -125,7 +125,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
     take no part; shorter vectors count as filled up with zeros; a query is
     compared with every row of another vec_id, so repeated rows of its own id
     are no candidates and repeated candidates count one by one; repeated query
-    rows are answered once; fewer than k candidates give fewer rows, no rows
+    rows are answered once, and query rows that share an id but differ are one
+    query that ranks the scores of all of them, as the SQL does; fewer than k candidates give fewer rows, no rows
     give none; scores must fit 64 bits. Other columns are ignored.
     """
     spark = vectors.sparkSession
@@ -138,7 +139,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
     answers = None
     if picked.num_rows:
         pivot_rows = matrix(picked.column("ints").combine_chunks())
-        queries = ints.where("is_query").select("vec_id", "ints").dropDuplicates(["vec_id"])
+        queries = ints.where("is_query").select("vec_id", "ints").distinct()
         for ids, rows in query_blocks(queries, block):
             shared = share(spark, Queries(ids, rows, pivot_rows, k))
             found = ints.select("vec_id", "ints").mapInArrow(
@@ -181,7 +182,7 @@ WITH v AS (
 p AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+  FROM (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 100 = 0) q JOIN v c ON q.vec_id <> c.vec_id),
 r AS (SELECT query_id, vec_id, score,
              CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10

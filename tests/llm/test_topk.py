@@ -54,3 +54,14 @@ def test_scores_beyond_float_precision(spark):
 def test_empty(spark):
     assert run(spark, [], 3) == []
     assert run(spark, [(1, [1.0])], 3) == []
+
+
+def test_two_vectors_under_one_query_id(spark):
+    """Both rows ask; the answer ranks the scores of both, however the rows are dealt."""
+    rows = vectors(3, 30, 4, 1) + [(5, [0.9, -0.2, 0.4, 0.1]), (5, [0.9, -0.2, 0.4, 0.1])]
+    ints = [(i, [math.floor(1024 * v) for v in e]) for i, e in rows]
+    asked = {tuple(e) for i, e in ints if i == 5}
+    want = sorted((-sum(a * b for a, b in zip(q, e)), i) for q in asked for i, e in ints if i != 5)[:4]
+    for order in (rows, rows[::-1]):
+        got = [r for r in run(spark, order, 4) if r[0] == 5]
+        assert got == [(5, k, i, -s) for k, (s, i) in enumerate(want, 1)]
