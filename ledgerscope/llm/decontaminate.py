@@ -237,8 +237,14 @@ def hit_words(hits: str = "hits"):
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """The rows of ``documents`` without any occurring benchmark window, with all their columns."""
-    found = find_contamination(documents, benchmark, n, keep=tuple(documents.columns))
-    return found.where(F.size("items") == 0).select(*documents.columns)
+    # the row travels packed, so no column of it can clash with a result
+    row = "__row"
+    while row in documents.columns:
+        row += "_"
+    packed = documents.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != "text"]).alias(row))
+    found = find_contamination(packed, benchmark, n, keep=("text", row))
+    return found.where(F.size("items") == 0).select(
+        *[F.col("text") if c == "text" else F.col(f"{row}.`{c}`").alias(c) for c in documents.columns])
 
 
 def contamination_query(spark, sf_dir: str) -> DataFrame:
