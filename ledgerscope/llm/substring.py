@@ -235,7 +235,8 @@ def remove_repeats(documents: DataFrame, size: int = SIZE, anchor: int = ANCHOR,
     names = ["doc_id", *[c for c in keep if c != "doc_id"]]
     key = F.xxhash64("doc_id", "text").alias("key")
     spans = find_repeats(documents.select(key, "text"), size, anchor)
-    spans = write_table(spans, "spans").groupBy("key").agg(F.collect_list(F.struct("lo", "stop", "unit", "h")).alias("spans"))
+    # repeated rows have one key and the same spans, so the list of a key is bounded by its text
+    spans = write_table(spans.distinct(), "spans").groupBy("key").agg(F.collect_list(F.struct("lo", "stop", "unit", "h")).alias("spans"))
     body = F.col("text")
     rows = documents.select(key, *names, body) if "text" not in names else documents.select(
         key, *[F.col(c).alias("original_text") if c == "text" else F.col(c) for c in names], body)

@@ -69,3 +69,15 @@ def test_sliding_min():
     x = np.random.default_rng(0).integers(0, 100, 50).astype(np.uint64)
     for width in (1, 2, 3, 7, 8, 24):
         assert (S.sliding_min(x, width) == [x[i:i + width].min() for i in range(50 - width + 1)]).all()
+
+
+def test_many_copies_of_one_row(docs_of):
+    """The spans of a repeated row are listed once, not once per copy."""
+    rng = random.Random(2)
+    text = " ".join(f"w{rng.randrange(50)}" for _ in range(120))
+    frame = docs_of([(7, text)]).crossJoin(docs_of([(0, "")]).sparkSession.range(10_000).select("id")).drop("id")
+    out = S.remove_repeats(frame.union(docs_of([(8, "a short one")])))
+    rows = out.groupBy("doc_id", "n_words", "n_removed", "kept_text").count().collect()
+    assert sorted(tuple(r) for r in rows) == [(7, 120, 120, "", 10_000), (8, 3, 0, "a short one", 1)]
+    spans = S.find_repeats(frame.selectExpr("xxhash64(doc_id, text) AS key", "text"), 35, 12).distinct()
+    assert spans.count() <= 120
