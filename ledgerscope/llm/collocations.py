@@ -19,7 +19,6 @@ false hit there costs a needless count and changes no result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerscope.llm.store import share, write_table
-from ledgerscope.llm.textarrays import U64, WHITE_SPACE, mix, text_slices
+from ledgerscope.llm.textarrays import U64, WHITE_SPACE, chained_hash, mix, text_slices
 
 LEAST = 30
 LONGEST = 4
@@ -35,9 +34,9 @@ COVER = 80
 SCALE = 2_000_000
 TOP = 2000
 SLICE_BYTES = 1 << 20
-WORDS_HELD = 1 << 18       # distinct words of a task before they are sent on
-KEYS_HELD = 1 << 21        # distinct n-grams of a task before they are sent on
-SHARD_KEYS = 1 << 21       # n-grams met per shard, which bounds its distinct keys
+KEYS_HELD = 1 << 20        # distinct n-grams of a task before they are sent on
+RAW_KEYS = 1 << 18         # n-grams met before they are sorted and merged
+SHARD_KEYS = 1 << 19       # n-grams met per shard, which bounds its distinct keys
 VOCABULARY_BLOCK = 1 << 20  # words broadcast at once; further blocks take further passes
 BITMAP_BITS = 27           # at most; fewer where there are few pairs
 ROUND_KEYS = tuple(U64(k) for k in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89))
@@ -59,7 +58,7 @@ class Pieces:
         self.ends[list(PIECE_ENDS)] = True
 
     def read(self, data: np.ndarray, off: np.ndarray):
-        """(distinct words, index of each word, row of each word, whether a piece begins there)."""
+        """(bytes in lower case; start, stop and row of each word; whether a piece begins there)."""
         data = self.lower[data]
         solid = self.solid[data]
         edge = np.zeros(len(data) + 1, bool)
@@ -69,59 +68,44 @@ class Pieces:
         start = np.flatnonzero(solid & (~before | edge[:-1]))
         stop = np.flatnonzero(solid & (~after | edge[1:])) + 1
         if not len(start):
-            return pa.array([], pa.large_binary()), start, start, start.astype(bool)
+            return data, start, start, start, start.astype(bool)
         row = np.searchsorted(off, start, side="right") - 1
         ended = np.append(0, np.cumsum(self.ends[data]))
         new = np.ones(len(start), bool)
         new[1:] = (row[1:] != row[:-1]) | (ended[start[1:]] != ended[start[:-1]])
-        # words and the gaps between them are one binary array over the same bytes
-        cuts = np.empty(2 * len(start), np.int64)
-        cuts[0::2], cuts[1::2] = start, stop
-        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)])
-        coded = parts.dictionary_encode()
-        at = coded.indices.to_numpy()[::2]
-        used, at = np.unique(at, return_inverse=True)
-        return coded.dictionary.take(pa.array(used)), at, row, new
+        return data, start, stop, row, new
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
     """(lang, word, n) summed per task; ``documents`` has lang and text."""
 
     def run(batches):
-        pieces, total = Pieces(), {}
-
-        def flush():
-            keys = list(total)
-            yield pa.RecordBatch.from_pydict({
-                "lang": pa.array([k[0] for k in keys], pa.string()),
-                "word": pa.array([k[1].decode("utf-8") for k in keys], pa.string()),
-                "n": pa.array(list(total.values()), pa.int64())})
-            total.clear()
-
+        pieces = Pieces()
         for b in batches:
             langs = b.column("lang").dictionary_encode()
-            names, lang_of = langs.dictionary.to_pylist(), langs.indices.to_numpy()
+            lang_of = langs.indices.to_numpy()
             for first, _, data, off in text_slices(b.column("text"), SLICE_BYTES):
-                words, at, row, _ = pieces.read(data, off)
-                if not len(at):
+                data, start, stop, row, _ = pieces.read(data, off)
+                if not len(start):
                     continue
-                key, times = np.unique(lang_of[first + row].astype(np.int64) * len(words) + at, return_counts=True)
-                word_list = words.to_pylist()
-                for k, t in zip(key.tolist(), times.tolist()):
-                    pair = (names[k // len(words)], word_list[k % len(words)])
-                    total[pair] = total.get(pair, 0) + t
-                if len(total) >= WORDS_HELD:
-                    yield from flush()
-        if total:
-            yield from flush()
+                # words and the gaps between them are one binary array over the same bytes
+                cuts = np.empty(2 * len(start), np.int64)
+                cuts[0::2], cuts[1::2] = start, stop
+                parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+                coded = parts.dictionary_encode()
+                size = len(coded.dictionary)
+                key, times = np.unique(lang_of[first + row].astype(np.int64) * size + coded.indices.to_numpy()[::2], return_counts=True)
+                yield pa.RecordBatch.from_pydict({
+                    "lang": langs.dictionary.take(pa.array(key // size)).cast(pa.string()),
+                    "word": coded.dictionary.take(pa.array(key % size)).cast(pa.large_string()).cast(pa.string()), "n": pa.array(times)})
 
     return documents.select("lang", "text").mapInArrow(run, "lang string, word string, n bigint")
 
 
-def digest(lang: str, word: bytes) -> tuple[int, int]:
-    """128 bits of a language's word, as two signed integers."""
-    raw = xxhash.xxh3_128_digest(lang.encode() + b"\x00" + word)
-    return int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True)
+def digests(langs: list[str], lang_of: np.ndarray, data: np.ndarray, start: np.ndarray, stop: np.ndarray):
+    """Two independent 64-bit hashes of each word with its language."""
+    seeds = np.array([[xxhash.xxh3_64_intdigest(g.encode(), seed=s) for g in langs] for s in (1, 2)], U64).reshape(2, -1)
+    return tuple(chained_hash(data, start, stop, seeds[k][lang_of]) for k in range(2))
 
 
 def vocabulary(counts: DataFrame, least: int) -> DataFrame:
@@ -141,51 +125,52 @@ def vocabulary(counts: DataFrame, least: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            found = [digest(a, w.encode()) for a, w in zip(b.column("lang").to_pylist(), b.column("word").to_pylist())]
-            yield pa.RecordBatch.from_pydict({c: b.column(c) for c in ("lang", "word", "f", "id")} | {
-                "hi": pa.array([x for x, _ in found], pa.int64()), "lo": pa.array([x for _, x in found], pa.int64())})
+            langs = b.column("lang").dictionary_encode()
+            for first, n, data, off in text_slices(b.column("word"), SLICE_BYTES):
+                hi, lo = digests(langs.dictionary.to_pylist(), langs.indices.to_numpy()[first:first + n], data, off[:-1], off[1:])
+                yield pa.RecordBatch.from_pydict({c: b.column(c).slice(first, n) for c in ("lang", "word", "f", "id")} | {
+                    "hi": pa.array(hi.view(np.int64)), "lo": pa.array(lo.view(np.int64))})
 
     return write_table(numbered.mapInArrow(run, "lang string, word string, f bigint, id bigint, hi bigint, lo bigint"), "vocabulary")
 
 
-@dataclass
 class Block:
-    """Ids of a bounded part of the vocabulary, by digest."""
+    """Ids of a bounded part of the vocabulary, found by the words' two hashes."""
 
-    hi: np.ndarray
-    lo: np.ndarray
-    id: np.ndarray
+    def __init__(self, hi: np.ndarray, lo: np.ndarray, ids: np.ndarray):
+        order = np.lexsort((lo, hi))
+        self.hi, self.lo, self.ids = hi[order], lo[order], ids[order]
+        self.bits = max(len(hi).bit_length(), 1)
+        self.first = np.searchsorted(self.hi >> U64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=U64))
 
     @classmethod
     def of(cls, words: DataFrame, first: int, size: int) -> "Block":
         got = words.where((F.col("id") >= first) & (F.col("id") < first + size)).select("hi", "lo", "id").toArrow()
-        hi, lo, at = (got.column(c).to_numpy() for c in ("hi", "lo", "id"))
-        order = np.lexsort((lo, hi))
-        return cls(hi[order], lo[order], at[order])
-
-    def ids(self, names: list[tuple[str, bytes]]) -> np.ndarray:
-        """Ids of (lang, word) pairs; 0 for those of other blocks or of none."""
-        out = np.zeros(len(names), np.int64)
-        if not len(self.hi) or not names:
-            return out
-        found = np.array([digest(a, w) for a, w in names], np.int64)
-        at = np.searchsorted(self.hi, found[:, 0])
-        for step in range(2):  # two digests of a block with the same first half are one in 2**24 blocks; the loop covers them
-            here = np.minimum(at + step, len(self.hi) - 1)
-            same = (self.hi[here] == found[:, 0]) & (self.lo[here] == found[:, 1])
-            out[same] = self.id[here[same]]
+        hi, lo, ids = (got.column(c).to_numpy() for c in ("hi", "lo", "id"))
+        return cls(hi.view(U64), lo.view(U64), ids)
+
+    def find(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """Ids by hash; 0 for words of other blocks or of none."""
+        out = np.zeros(len(hi), np.int64)
+        slot = (hi >> U64(64 - self.bits)).astype(np.int64)
+        at, stop = self.first[slot], self.first[slot + 1]
+        todo = np.flatnonzero(at < stop)
+        step = 0
+        while len(todo):
+            here = at[todo] + step
+            same = (self.hi[here] == hi[todo]) & (self.lo[here] == lo[todo])
+            out[todo[same]] = self.ids[here[same]]
+            todo = todo[~same & (here + 1 < stop[todo])]
+            step += 1
         return out
 
 
-def slice_ids(pieces: Pieces, block: Block, names, lang_of, data, off):
+def slice_ids(pieces: Pieces, block: Block, langs: list[str], lang_of, data, off):
     """(id of each word, 0 for rare ones; row; whether a piece begins there)."""
-    words, at, row, new = pieces.read(data, off)
-    if not len(at):
+    data, start, stop, row, new = pieces.read(data, off)
+    if not len(start):
         return np.zeros(0, np.int64), row, new
-    key, back = np.unique(lang_of[row].astype(np.int64) * len(words) + at, return_inverse=True)
-    word_list = words.to_pylist()
-    ids = block.ids([(names[k // len(words)], word_list[k % len(words)]) for k in key.tolist()])
-    return ids[back], row, new
+    return block.find(*digests(langs, lang_of[row], data, start, stop)), row, new
 
 
 def with_block(rows: DataFrame, block: Block) -> DataFrame:
@@ -261,7 +246,7 @@ def summed(hi: np.ndarray, lo: np.ndarray | None, n: np.ndarray):
 
 
 class Counts:
-    """Sorted distinct keys with exact counts; what is new is merged in once there is as much of it."""
+    """Sorted distinct keys with exact counts; what is new is merged in once there is enough of it."""
 
     def __init__(self, wide: bool):
         none = np.zeros(0, U64)
@@ -269,17 +254,28 @@ class Counts:
         self.parts, self.waiting = [], 0
 
     def add(self, hi, lo, n) -> None:
+        """Add keys with counts (sorted), or single keys as they were met (n is None)."""
         self.parts.append((hi, lo, n))
         self.waiting += len(hi)
-        if self.waiting > max(len(self.hi), 1 << 19):
+        if self.waiting > max(len(self.hi) // 2, RAW_KEYS):
             self.settle()
 
     def settle(self) -> None:
-        if self.parts:
-            parts = [(self.hi, self.lo, self.n), *self.parts]
-            lo = None if self.lo is None else np.concatenate([p[1] for p in parts])
-            self.hi, self.lo, self.n = summed(np.concatenate([p[0] for p in parts]), lo, np.concatenate([p[2] for p in parts]))
-            self.parts, self.waiting = [], 0
+        if not self.parts:
+            return
+        raw = [p for p in self.parts if p[2] is None]
+        runs = [(self.hi, self.lo, self.n), *[p for p in self.parts if p[2] is not None]]
+        self.parts, self.waiting = [], 0
+        if raw:
+            hi = np.concatenate([p[0] for p in raw])
+            if self.lo is None:
+                hi.sort()
+                first = np.flatnonzero(np.append(True, hi[1:] != hi[:-1])) if len(hi) else np.zeros(0, np.int64)
+                runs.append((hi[first], None, np.diff(np.append(first, len(hi)))))
+            else:
+                runs.append(summed(hi, np.concatenate([p[1] for p in raw]), np.ones(len(hi), np.int64)))
+        lo = None if self.lo is None else np.concatenate([p[1] for p in runs])
+        self.hi, self.lo, self.n = summed(np.concatenate([p[0] for p in runs]), lo, np.concatenate([p[2] for p in runs]))
 
 
 def packed_bytes(values: np.ndarray, bits: int) -> bytes:
@@ -399,12 +395,12 @@ def shard_filters(documents: DataFrame, block: Block | None, bits: int, lengths:
                 if known is not None:
                     ids, _, new = slice_ids(pieces, known, names, lang_of[first:first + n], data, off)
                 else:
-                    new = pieces.read(data, off)[3]
+                    new = pieces.read(data, off)[4]
                     ids = b.column("ids").slice(first, n).flatten().to_numpy()
                 left, right = ngram_keys(ids, new, bits, lengths, members)
                 for at in range(0, len(left), 1 << 17):
                     hi, lo = aligned(*permute(left[at:at + (1 << 17)], right[at:at + (1 << 17)], half), half)
-                    counts.add(*summed(hi, lo, np.ones(len(hi), np.int64)))
+                    counts.add(hi, lo, None)
                 if len(counts.hi) >= KEYS_HELD:
                     yield from flush()
         counts.settle()

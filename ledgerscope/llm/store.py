@@ -14,6 +14,17 @@ from pyspark.sql.types import StructType
 from ledgerscope.session import shared_dir
 
 
+# A batch of rows on its way to a Python worker. Spark's own bound is 64 MB, held several times over by each running task.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold at most ``BATCH_BYTES`` (or one longer row), so memory does not follow the texts' lengths."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) != str(BATCH_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below ``spark.checkpoint.dir`` and read it back.
 
@@ -22,6 +33,7 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     its own.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = shared_dir(spark, f"{name}-{uuid.uuid4().hex}")
     schema = df.schema
     df.write.parquet(path)
@@ -33,6 +45,7 @@ def share(spark: SparkSession, value: Any) -> Callable[[], Any]:
 
     Executors then need no copy of this package on their path.
     """
+    bound_batches(spark)
     data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
     return lambda: pickle.loads(data.value)
 

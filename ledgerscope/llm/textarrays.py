@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 BYTE_BASE = 0x9E3779B97F4A7C15
@@ -69,6 +70,40 @@ def text_slices(column: pa.Array, max_bytes: int):
         row = last
 
 
+LONG_WORD = 256
+
+
+def chained_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed) -> np.ndarray:
+    """Hash of the bytes [start, end): eight at a time, each step mixes all bits so far.
+
+    Unlike a polynomial modulo a power of two, no repetitive word collides by
+    its structure. ``seed`` is one value or one per word. Words beyond
+    ``LONG_WORD`` bytes are hashed whole.
+    """
+    size = end - start
+    h = np.empty(len(start), U64)
+    h[:] = mix((size.astype(U64) + U64(1)) * U64(WORD_BASE) ^ seed)
+    if not len(start):
+        return h
+    room = np.zeros(len(data) + 8, np.uint8)
+    room[:len(data)] = data
+    lanes = np.ndarray((len(data) + 1,), np.dtype("<u8"), room, strides=(1,))
+    short = size <= LONG_WORD
+    todo = np.flatnonzero(short & (size > 0))
+    done = 0
+    while len(todo):
+        left = size[todo] - done
+        lane = lanes[start[todo] + done]
+        part = left < 8
+        lane[part] &= (U64(1) << (left[part] * 8).astype(U64)) - U64(1)
+        h[todo] = mix((h[todo] ^ lane) * U64(BYTE_BASE) + U64(0x632BE59BD9B4E019))
+        done += 8
+        todo = todo[left > 8]
+    for k in np.flatnonzero(~short).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(room[start[k]:end[k]].tobytes(), seed=int(h[k]))
+    return h
+
+
 class WordHasher:
     """Finds and hashes the words of byte slices; made once per task."""
 
@@ -77,6 +112,9 @@ class WordHasher:
         if lower:
             table[0x41:0x5B] = table[0x61:0x7B]
         self.table = table
+        self.lower = np.arange(256, dtype=np.uint8)
+        if lower:
+            self.lower[0x41:0x5B] += 32
         self.solid = ~separators
         self._pow = {}
 
@@ -122,7 +160,7 @@ class WordHasher:
         start, end, row = self.bounds(data, off)
         if len(start) == 0:
             return np.zeros(0, U64), row, start, end
-        return self.span_hash(self.prefix(data), start, end), row, start, end
+        return chained_hash(self.lower[data], start, end, U64(0)), row, start, end
 
     def window_hash(self, words: np.ndarray, size: int) -> np.ndarray:
         """Order-dependent hash of every run of ``size`` consecutive words."""

@@ -77,7 +77,7 @@ def test_repeated_rows_and_shared_limits(spark, monkeypatch):
     assert run(spark, docs, least=10) == want
     monkeypatch.setattr(C, "VOCABULARY_BLOCK", 3)
     monkeypatch.setattr(C, "KEYS_HELD", 5)
-    monkeypatch.setattr(C, "WORDS_HELD", 4)
+    monkeypatch.setattr(C, "RAW_KEYS", 4)
     monkeypatch.setattr(C, "SLICE_BYTES", 200)
     monkeypatch.setattr(C, "SHARD_KEYS", 64)
     monkeypatch.setattr(C, "BITMAP_BITS", 6)
@@ -116,3 +116,20 @@ def test_scores_beyond_64_bits(spark):
     from pyspark.sql import functions as F
     expr = f"CAST(CAST({C.SCALE} AS DECIMAL(20,0)) * CAST(a AS DECIMAL(18,0)) DIV CAST(l + r AS DECIMAL(20,0)) AS BIGINT)"
     assert row.select(F.expr(expr)).first()[0] == 2_000_000 * 9007199254740993 // (9007199254740995 + 9007199254740997)
+
+
+def test_word_hash_has_no_structural_collisions():
+    """The two Thue-Morse words of 1,024 letters, which any polynomial modulo 2**64 takes for one."""
+    from ledgerscope.llm.textarrays import WordHasher, chained_hash, white_space_separators
+    t = "a"
+    for _ in range(10):
+        t += t.translate(str.maketrans("ab", "ba"))
+    words = [t, t.translate(str.maketrans("ab", "ba")), t[:200], t[:200].translate(str.maketrans("ab", "ba")), "a", "b", "ab", "ba"]
+    text = " ".join(words).encode()
+    h, _, start, end = WordHasher(white_space_separators()).words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert len(set(h.tolist())) == len(words)
+    other = ("xx" + " ".join(words[::-1])).encode()
+    data = np.frombuffer(other, np.uint8)
+    spans = [(other.index(b" " + w.encode() + b" ") + 1, len(w)) for w in words[1:-1]]
+    again = chained_hash(data, np.array([s for s, _ in spans]), np.array([s + n for s, n in spans]), np.uint64(0))
+    assert again.tolist() == h[1:-1].tolist()
