@@ -169,13 +169,26 @@ def shocked_heatmaps_fast(panel: DataFrame, shocks, p: RiskParams = DEFAULT_PARA
                           cut: DataFrame | None = None) -> DataFrame:
     """Same result as ``shocked_heatmaps`` without copying the panel per
     shock: one split aggregate per customer, then closed forms."""
+    from pyspark.sql import Window
+    cut = _cut_of(panel, cut, p)
+    wall = Window.partitionBy("customer_id")
+    kept = (panel.withColumn("_n", F.count(F.lit(1)).over(wall))
+            .withColumn("_dmax", F.max("date").over(wall))
+            .where((F.col("_n") <= p.regularity_min_rows)
+                   | (F.col("date") < F.date_sub("_dmax", p.regularity_cutoff_days))))
+    closes = (kept.groupBy("customer_id", F.trunc("date", "month").alias("month"))
+              .agg(F.max_by("balance", "date").alias("close"), F.max("date").alias("close_date")))
+    return heatmaps_of_moments(_split_moments(panel, cut), closes, shocks, cut, p)
+
+
+def heatmaps_of_moments(mom: DataFrame, closes: DataFrame, shocks, cut: DataFrame,
+                        p: RiskParams = DEFAULT_PARAMS) -> DataFrame:
+    """Heatmap per (shock, segment) from the moments split at the cut and the monthly closes of each customer."""
     from ledgerscope.functions.expr import clip, exp_decay
     from ledgerscope.operators.scores import (
         composite_raw, composite_score, delta_stats, regularity_score)
     from pyspark.sql import Window
     shocks = [int(s) for s in shocks]
-    cut = _cut_of(panel, cut, p)
-    mom = _split_moments(panel, cut)
     grid = F.explode(F.array(*[F.lit(x) for x in shocks])).alias("shock")
     g = mom.select("*", grid)
     f = F.when(F.col("shock") > 0, F.lit(1.0) - F.col("shock").cast("double") / F.lit(100.0)).otherwise(F.lit(1.0))
@@ -199,13 +212,6 @@ def shocked_heatmaps_fast(panel: DataFrame, shocks, p: RiskParams = DEFAULT_PARA
     parts = g.select("customer_id", "segment", "shock", trend.alias("balance_trend"),
                      vol.alias("spending_volatility"), debt.alias("debt_ratio"))
     # regularity on monthly closes, shocked per shock where on/after the cut
-    wall = Window.partitionBy("customer_id")
-    kept = (panel.withColumn("_n", F.count(F.lit(1)).over(wall))
-            .withColumn("_dmax", F.max("date").over(wall))
-            .where((F.col("_n") <= p.regularity_min_rows)
-                   | (F.col("date") < F.date_sub("_dmax", p.regularity_cutoff_days))))
-    closes = (kept.groupBy("customer_id", F.trunc("date", "month").alias("month"))
-              .agg(F.max_by("balance", "date").alias("close"), F.max("date").alias("close_date")))
     sc = closes.crossJoin(cut).select("customer_id", "month", "close", "close_date", "_cut", grid)
     hit = (F.col("shock") > 0) & (F.col("close_date") >= F.col("_cut"))
     sc = sc.withColumn("close", F.when(hit, F.col("close") - F.col("close") * (F.col("shock").cast("double") / F.lit(100.0)))

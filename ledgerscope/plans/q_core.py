@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerscope.operators import scores as S
-from ledgerscope.operators import segments as G
+from ledgerscope.operators import runs as R
 from ledgerscope.plans import sqlkit as Q
 from ledgerscope.plans.registry import register
 from ledgerscope.sources import ledger as L
@@ -35,10 +34,10 @@ def panel_profile(spark, sf):
 SELECT customer_id, segment, balance_trend, income_regularity, spending_volatility,
        debt_ratio, fhs FROM scores""")
 def customer_fhs(spark, sf):
-    return S.customer_scores(L.line_panel(spark, sf)).drop("fhs_raw")
+    return R.customer_scores(L.line_runs(spark, sf)).drop("fhs_raw")
 
 
 @register("segment_heatmap", sql=Q.with_(*LINES, *SCORES, Q.heatmap_cte()) + """
 SELECT * FROM heatmap ORDER BY fhs, segment""")
 def segment_heatmap(spark, sf):
-    return G.segment_heatmap(L.line_panel(spark, sf))
+    return R.segment_heatmap(L.line_runs(spark, sf))

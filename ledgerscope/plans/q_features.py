@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerscope.functions.expr import half_up
 from ledgerscope.operators import features as FT
+from ledgerscope.operators import runs as R
 from ledgerscope.plans import sqlkit as Q
 from ledgerscope.plans.registry import register
 from ledgerscope.sources import ledger as L
@@ -16,8 +17,8 @@ FEATURE_COLS = ", ".join(FT.FEATURES)
 
 
 def features(spark, sf):
-    """The feature table on the sparse (orders) ledger (lazy)."""
-    return FT.customer_features(L.order_panel(spark, sf))
+    """The feature table on the sparse (orders) ledger (lazy), from its runs."""
+    return R.customer_features(L.order_runs(spark, sf))
 
 
 def feature_table(spark, sf):

@@ -10,6 +10,7 @@ from ledgerscope.functions import expr as X
 from ledgerscope.operators import lookups as LK
 from ledgerscope.operators import metrics as MT
 from ledgerscope.operators import ranking as RK
+from ledgerscope.operators import runs as R
 from ledgerscope.operators import scores as S
 from ledgerscope.operators import segments as G
 from ledgerscope.operators import stats as ST
@@ -38,11 +39,11 @@ def cut_date(spark, sf):
 
 
 def scores(spark, sf):
-    return S.customer_scores(panel(spark, sf))
+    return R.customer_scores(L.line_runs(spark, sf))
 
 
 def heat(spark, sf):
-    return G.segment_heatmap(panel(spark, sf))
+    return R.segment_heatmap(L.line_runs(spark, sf))
 
 
 # ---- 2.1 sources ---------------------------------------------------------------
@@ -89,7 +90,7 @@ GRID_SQL = Q.with_(*LINES, *_grid_sql())
 
 
 def grid_heat(spark, sf, shocks=GRID):
-    return G.shocked_heatmaps_fast(panel(spark, sf), shocks, cut=cut_date(spark, sf))
+    return R.shocked_heatmaps(L.line_runs(spark, sf), shocks, cut_date(spark, sf))
 
 
 @register("stress_shock_grid", sql=GRID_SQL + "SELECT * FROM gheat")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerscope.operators import runs as R
 from ledgerscope.operators import windows as W
 from ledgerscope.plans import sqlkit as Q
 from ledgerscope.plans.registry import register
@@ -37,6 +38,6 @@ def rolling_daily_fhs(spark, sf):
 SELECT customer_id, segment, win_start, balance_trend, income_regularity,
        spending_volatility, debt_ratio, fhs FROM hs""")
 def hopping_fhs(spark, sf):
-    return (W.hopping_scores(L.line_panel(spark, sf))
+    return (R.hopping_scores(L.line_runs(spark, sf))
             .select("customer_id", "segment", "win_start", "balance_trend", "income_regularity",
                     "spending_volatility", "debt_ratio", "fhs"))

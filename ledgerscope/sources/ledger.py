@@ -88,15 +88,16 @@ def calendar_bounds(dates: DataFrame, days: int | None = None) -> DataFrame:
     return ends.select(start.alias("d_start"), "d_end")
 
 
-def ledger_to_panel(flows: DataFrame, accts: DataFrame, days: int | None = None,
-                    bounds: DataFrame | None = None, keep_last: int | None = None) -> DataFrame:
-    """Complete daily running balances from the first to the last flow.
-
-    With ``days`` only the last ``days`` days are covered, and everything
-    before counts as one opening point. balance(day) = opening + all flows dated on or before that day.
-    Customers without flows get a flat series; flows of customers without
-    an account row are dropped. With ``keep_last`` only the trailing
-    ``keep_last`` days are emitted (balances still include all history).
+def ledger_to_runs(flows: DataFrame, accts: DataFrame, days: int | None = None,
+                   bounds: DataFrame | None = None) -> DataFrame:
+    """Complete daily balances as runs of equal days.
+
+    customer_id, segment, first_day, last_day, balance (cents, as DOUBLE),
+    d_start, d_end: a balance is constant between flows, so a customer has one
+    row per day with flows, and the runs of a customer cover every day from d_start to
+    d_end once. With ``days`` only the last ``days`` days are covered, and
+    everything before counts as one opening point. Customers without flows
+    have one run; flows of customers without an account row are dropped.
     """
     b = F.broadcast(bounds if bounds is not None else calendar_bounds(flows, days))
     moved = (flows.crossJoin(b)
@@ -112,7 +113,7 @@ def ledger_to_panel(flows: DataFrame, accts: DataFrame, days: int | None = None,
     points = (moved.unionByName(opened)
               .groupBy("customer_id", "date")
               .agg(F.sum("amount").alias("net")))
-    # the expansion below multiplies rows ~days/flows-fold, so its
+    # the expansion of runs multiplies rows ~days/flows-fold, so its
     # parallelism must not follow the (small) change-point exchange: fix
     # the customer partitioning at spark.sql.shuffle.partitions (AQE never
     # coalesces an explicit repartition). Rows per customer are already
@@ -128,16 +129,33 @@ def ledger_to_panel(flows: DataFrame, accts: DataFrame, days: int | None = None,
     # the (one row per customer) account side moves, or is broadcast when
     # the planner's size check allows it
     runs = runs.join(accts.select("customer_id", "segment"), "customer_id").crossJoin(b)
-    first_day = F.col("date")
-    last_day = F.coalesce(F.date_sub("next_date", 1), F.col("d_end"))
+    return runs.select(
+        "customer_id", "segment", F.col("date").alias("first_day"),
+        F.coalesce(F.date_sub("next_date", 1), F.col("d_end")).alias("last_day"),
+        F.round("bal", 2).cast("double").alias("balance"), "d_start", "d_end")
+
+
+def expand_runs(runs: DataFrame, keep_last: int | None = None) -> DataFrame:
+    """The daily panel of ``runs``; with ``keep_last`` its trailing days only."""
+    first_day = F.col("first_day")
     if keep_last:
         since = F.date_sub("d_end", keep_last - 1)
-        runs = runs.where(last_day >= since)
+        runs = runs.where(F.col("last_day") >= since)
         first_day = F.greatest(first_day, since)
     return runs.select(
         "customer_id", "segment",
-        F.explode(F.sequence(first_day, last_day)).alias("date"),
-        F.round("bal", 2).cast("double").alias("balance"))
+        F.explode(F.sequence(first_day, F.col("last_day"))).alias("date"), "balance")
+
+
+def ledger_to_panel(flows: DataFrame, accts: DataFrame, days: int | None = None,
+                    bounds: DataFrame | None = None, keep_last: int | None = None) -> DataFrame:
+    """Complete daily running balances from the first to the last flow.
+
+    balance(day) = opening + all flows dated on or before that day; see
+    ``ledger_to_runs``. With ``keep_last`` only the trailing ``keep_last``
+    days are emitted (balances still include all history).
+    """
+    return expand_runs(ledger_to_runs(flows, accts, days, bounds), keep_last)
 
 
 def line_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,3 +173,12 @@ def order_panel(spark: SparkSession, sf_dir: str, days: int | None = None,
                 keep_last: int | None = None) -> DataFrame:
     return ledger_to_panel(order_ledger(spark, sf_dir), accounts(spark, sf_dir), days,
                            keep_last=keep_last)
+
+
+def line_runs(spark: SparkSession, sf_dir: str, days: int | None = None) -> DataFrame:
+    return ledger_to_runs(line_ledger(spark, sf_dir), accounts(spark, sf_dir), days,
+                          bounds=calendar_bounds(line_dates(spark, sf_dir), days))
+
+
+def order_runs(spark: SparkSession, sf_dir: str, days: int | None = None) -> DataFrame:
+    return ledger_to_runs(order_ledger(spark, sf_dir), accounts(spark, sf_dir), days)
