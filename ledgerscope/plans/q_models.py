@@ -197,6 +197,32 @@ def src_panel_csv(spark, sf):
     return R.read_panel_csv(spark, path)
 
 
+# a foreign file: some customers' dates in another format, some days twice, some days left out
+DAMAGED = Q.with_(*Q.panel_ctes("lines"), """marked AS (SELECT *, customer_id % 50 AS k, day(date) AS dom FROM panel
+  WHERE date > (SELECT max(date) FROM panel) - 200)""",
+                  "edges AS (SELECT customer_id, min(date) AS lo, max(date) AS hi FROM marked WHERE k = 2 AND dom <> 10 GROUP BY customer_id)")
+
+
+@register("src_panel_quarantine", sql=DAMAGED + """
+SELECT 'accepted' AS status, count(*) AS n FROM marked WHERE NOT (k = 0 AND dom < 5) AND NOT (k = 2 AND dom = 10)
+UNION ALL SELECT 'malformed', count(*) FROM marked WHERE k = 0 AND dom < 5
+UNION ALL SELECT 'duplicate', count(*) FROM marked WHERE k = 1 AND dom = 15
+UNION ALL SELECT 'gap_day', (SELECT count(*) FROM marked m JOIN edges e USING (customer_id) WHERE dom = 10 AND date > lo AND date < hi)
+  + (SELECT coalesce(sum(g), 0) FROM (SELECT customer_id, count(*) FILTER (WHERE dom < 5 AND date > x AND date < y) AS g
+     FROM marked JOIN (SELECT customer_id, min(date) FILTER (WHERE dom >= 5) AS x, max(date) FILTER (WHERE dom >= 5) AS y
+                       FROM marked WHERE k = 0 GROUP BY customer_id) USING (customer_id) WHERE k = 0 GROUP BY customer_id))""")
+def src_panel_quarantine(spark, sf):
+    """Accepted and rejected rows of a foreign balance CSV (the last 200 days, damaged by a fixed rule)."""
+    path = R.results_base(spark) + "/foreign_csv"
+    p = L.line_panel(spark, sf, keep_last=200).withColumns({"k": F.col("customer_id") % 50, "dom": F.day("date")})
+    p = p.where(~((F.col("k") == 2) & (F.col("dom") == 10)))
+    day = F.when((F.col("k") == 0) & (F.col("dom") < 5), F.date_format("date", "dd/MM/yyyy")).otherwise(F.date_format("date", "yyyy-MM-dd"))
+    rows = p.select("customer_id", "segment", day.alias("date"), "balance", "k", "dom")
+    twice = rows.where((F.col("k") == 1) & (F.col("dom") == 15)).withColumn("balance", F.col("balance") + 1)
+    R.write_csv(rows.unionByName(twice).drop("k", "dom"), path)
+    return R.quarantine_counts(R.scan_panel_csv(spark, path))
+
+
 @register("src_panel_table", sql=Q.with_(*Q.panel_ctes("lines")) + "SELECT * FROM panel")
 def src_panel_table(spark, sf):
     """The panel written once as a bucketed, sorted table and read back;
@@ -225,16 +251,32 @@ def sink_results_json(spark, sf):
 @register("src_results_json", sql=ALL_B + """
 SELECT 'forecast_metrics' AS doc, segment, model, field, CAST(value AS DOUBLE) AS value FROM (
   SELECT segment, model, rmse, mae, mape, CAST(n_test AS DOUBLE) AS n_test FROM bmet)
-UNPIVOT (value FOR field IN (rmse, mae, mape, n_test))""")
+UNPIVOT (value FOR field IN (rmse, mae, mape, n_test))
+UNION ALL SELECT doc, NULL, NULL, NULL, NULL
+FROM (VALUES ('classification_report'), ('clustering'), ('statistical_tests')) t(doc)""")
 def src_results_json(spark, sf):
-    """A stored document parsed into (segment, model, field, value) rows."""
+    """The expected documents parsed into (segment, model, field, value) rows; an absent one is a row of nulls."""
     base = R.results_base(spark)
     R.write_docs({"forecast_metrics": metrics(spark, sf)}, base)
     doc = R.read_doc(spark, base, "forecast_metrics")
     fields = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value"))
                        for c in ("rmse", "mae", "mape", "n_test")])
-    return doc.select(F.lit("forecast_metrics").alias("doc"), "segment", "model", F.explode(fields).alias("f")).select(
+    rows = doc.select(F.lit("forecast_metrics").alias("doc"), "segment", "model", F.explode(fields).alias("f")).select(
         "doc", "segment", "model", "f.field", "f.value")
+    return R.doc_status(spark, base).select("doc").join(rows, "doc", "left")
+
+
+@register("results_status", sql=ALL_B + """
+SELECT t.doc, CASE WHEN t.doc = 'forecast_metrics' THEN CAST((SELECT count(*) FROM bmet) AS DOUBLE) END AS n_accepted,
+       CASE WHEN t.doc = 'forecast_metrics' THEN CAST(1 AS DOUBLE) END AS n_rejected
+FROM (VALUES ('classification_report'), ('clustering'), ('forecast_metrics'), ('statistical_tests')) t(doc)""")
+def results_status(spark, sf):
+    """Accepted and rejected lines of the expected documents: one was written, with a line that does not parse."""
+    base = R.results_base(spark)
+    doc = metrics(spark, sf)
+    R.write_docs({"forecast_metrics": doc}, base)
+    spark.range(1).select(F.lit("{cut off").alias("value")).write.mode("append").text(f"{base}/forecast_metrics")
+    return R.doc_status(spark, base).select("doc", *[F.col(c).cast("double").alias(c) for c in ("n_accepted", "n_rejected")])
 
 
 @register("results_documents")
@@ -271,6 +313,71 @@ def union_all_customers(spark, sf):
     return u.select("source", "customer_id", "date", F.col("amount").cast("double").alias("amount"))
 
 
+# ---- all offline steps over one feature table -----------------------------------------
+
+def run_risk_pipeline(spark, sf) -> dict:
+    """Every offline step by name, as DataFrames over one feature table.
+
+    The feature table is computed once and written as a bucketed table; tiers,
+    fits, clustering and tests read that table, the backtest reads the daily
+    score series. The classifiers and the sweep are fitted here (Spark jobs);
+    everything else is lazy.
+    """
+    from ledgerscope.plans.q_features import features as lazy_features
+    from ledgerscope.plans.q_misc import significance
+    from ledgerscope.sources.panel_store import save_table
+    f = save_table(lazy_features(spark, sf), "risk_features")
+    preds, forest = MD.fit_classifiers(stratified_split(f))
+    preds = materialize(preds)
+    fits = MD.kmeans_models(f.select("customer_id", "segment", "risk_tier", *MD.FEATURES))
+    sweep = MD.kmeans_sweep(f, models=fits)
+    errors = materialize(metrics(spark, sf))
+    accuracy = preds.groupBy("model").agg(
+        half_up(F.count_if(F.col("actual") == F.col("predicted")) / F.count(F.lit(1)), 4).alias("accuracy"))
+    return {
+        "features": f,
+        "tier_distribution": FT.tier_distribution(f), "segment_summary": FT.segment_summary(f),
+        "accuracy": accuracy.withColumn("leakage", (F.col("accuracy") > 0.97).cast("int")),
+        "classification_report": reports(preds).withColumn("item", F.concat_ws("/", "model", "class")),
+        "confusion": MT.confusion(preds.where("model = 'random_forest'")).withColumn("item", F.concat_ws("/", "actual", "predicted")),
+        "feature_importance": MD.importances(forest, spark),
+        "kmeans_sweep": sweep, "best_k": MD.best_k(sweep),
+        "cluster_crosstab": crosstab(MD.kmeans_labels(f.select("customer_id", "segment", *MD.FEATURES), models=fits), "segment", "cluster").withColumn(
+            "item", F.concat_ws("/", "segment", "cluster")),
+        "forecast_metrics": errors.withColumn("item", F.concat_ws("/", "segment", "model")),
+        "backtest_summary": FC.backtest_summary(errors),
+        "anova_oneway": ST.anova_oneway(f, "_fhs_mean", "segment"), "spearman": ST.spearman(f, "runway_mean", "_fhs_mean"),
+        "significance_tests": significance(f),
+    }
+
+
+PIPELINE_ROWS = [
+    ("tier_distribution", "risk_tier", ["n_customers"]), ("segment_summary", "segment", ["mean_fhs", "std_fhs", "n_customers", "pct_high_risk"]),
+    ("accuracy", "model", ["accuracy", "leakage"]), ("classification_report", "item", ["precision", "recall", "f1", "support"]),
+    ("confusion", "item", ["n"]), ("feature_importance", "feature", ["importance"]), ("kmeans_sweep", "k", ["inertia", "silhouette"]),
+    ("best_k", "'all'", ["best_k", "best_silhouette"]), ("cluster_crosstab", "item", ["n"]), ("forecast_metrics", "item", ["rmse", "mae", "mape"]),
+    ("backtest_summary", "'all'", ["hw_wins", "n_segments", "avg_rmse_improvement_pct"]), ("anova_oneway", "'all'", ["f_statistic", "eta_squared", "n"]),
+    ("spearman", "'all'", ["rho", "n"]), ("significance_tests", "test", ["statistic", "p_value"])]
+
+
+def long_rows(tables: dict, steps):
+    """(step, item, field, value) of the named tables."""
+    out = None
+    for step, item, fields in steps:
+        key = F.lit(item.strip("'")) if item.startswith("'") else F.col(item).cast("string")
+        pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value")) for c in fields])
+        rows = tables[step].select(F.lit(step).alias("step"), key.alias("item"), F.explode(pairs).alias("p")).select(
+            "step", "item", "p.field", "p.value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@register("run_risk_pipeline")
+def risk_pipeline(spark, sf):
+    """All steps as one table; ``risk_suite`` holds those that SQL can restate."""
+    return long_rows(run_risk_pipeline(spark, sf), PIPELINE_ROWS)
+
+
 def _long(step: str, item: str, fields: list[str], sql: str) -> str:
     parts = [f"SELECT '{step}' AS step, CAST({item} AS VARCHAR) AS item, '{c}' AS field, CAST({c} AS DOUBLE) AS value FROM s"
              for c in fields]
@@ -291,18 +398,10 @@ def _suite_sql() -> str:
 
 @register("risk_suite", sql=_suite_sql())
 def risk_suite(spark, sf):
-    """The offline steps as one table of (step, item, field, value); the
-    feature table is built once and shared."""
+    """The offline steps that SQL can restate, as one table of (step, item,
+    field, value); the feature table is built once and shared."""
     f = features(spark, sf)
-    tables = {"tier_distribution": FT.tier_distribution(f), "segment_summary": FT.segment_summary(f),
-              "anova_oneway": ST.anova_oneway(f, "_fhs_mean", "segment"),
-              "spearman": ST.spearman(f, "runway_mean", "_fhs_mean"),
-              "backtest_summary": FC.backtest_summary(metrics(spark, sf))}
-    out = None
-    for step, item, fields in STEPS:
-        key = F.lit(item.strip("'")) if item.startswith("'") else F.col(item)
-        pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value")) for c in fields])
-        rows = tables[step].select(F.lit(step).alias("step"), key.alias("item"), F.explode(pairs).alias("p")).select(
-            "step", "item", "p.field", "p.value")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return long_rows({"tier_distribution": FT.tier_distribution(f), "segment_summary": FT.segment_summary(f),
+                      "anova_oneway": ST.anova_oneway(f, "_fhs_mean", "segment"),
+                      "spearman": ST.spearman(f, "runway_mean", "_fhs_mean"),
+                      "backtest_summary": FC.backtest_summary(metrics(spark, sf))}, STEPS)

@@ -10,23 +10,32 @@ table, never on a machine-local path of the driver.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerscope.session import shared_dir
 
 
+def save_table(df: DataFrame, name: str, key: str = "customer_id", sort: tuple[str, ...] = ("customer_id",),
+               buckets: int | None = None, path: str | None = None) -> DataFrame:
+    """``df`` written once as a bucketed, sorted table and read back.
+
+    Every call takes a table name and a folder of its own (``name`` and a
+    random suffix), so runs on one cluster never overwrite each other.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = f"{name}_{uuid.uuid4().hex}"
+    (df.repartition(n, key)
+     .write.bucketBy(n, key).sortBy(*sort)
+     .option("path", path or shared_dir(spark, f"tables/{own}"))
+     .saveAsTable(own))
+    return spark.table(own)
+
+
 def save_panel_table(panel: DataFrame, name: str = "ledgerscope_panel",
                      buckets: int | None = None, path: str | None = None) -> DataFrame:
-    spark = panel.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    location = path or shared_dir(spark, f"tables/{name}")
-    (panel.repartition(n, "customer_id")
-     .write.mode("overwrite")
-     .bucketBy(n, "customer_id").sortBy("customer_id", "date")
-     .option("path", location)
-     .saveAsTable(name))
-    return spark.table(name)
+    return save_table(panel, name, sort=("customer_id", "date"), buckets=buckets, path=path)
 
 
-def panel_table(spark: SparkSession, name: str = "ledgerscope_panel") -> DataFrame:
-    return spark.table(name)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.session import shared_dir
@@ -28,9 +28,51 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 
 
+def scan_panel_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of a balance CSV with the verdict on it.
+
+    Columns of the panel, ``line`` (the text of a line that does not parse) and
+    ``status``: ``malformed`` where a value is missing or does not fit its
+    type; ``duplicate`` for all but one row of a customer and day (the lowest
+    balance is kept, whatever the order of the file); else ``accepted``. The
+    declared schema is read permissively, so a bad line costs itself only.
+    """
+    schema = PANEL_SCHEMA + ", line STRING"
+    rows = spark.read.schema(schema).option("header", True).option("dateFormat", "yyyy-MM-dd").option(
+        "mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "line").csv(path)
+    bad = F.col("line").isNotNull() | F.col("customer_id").isNull() | F.col("segment").isNull() \
+        | F.col("date").isNull() | F.col("balance").isNull() | F.isnan("balance")
+    # malformed rows have no key of their own to be dealt by
+    place = F.row_number().over(Window.partitionBy("customer_id", "date").orderBy("balance", "segment"))
+    sound = rows.where(~bad).withColumn("status", F.when(place == 1, "accepted").otherwise("duplicate"))
+    return sound.unionByName(rows.where(bad).withColumn("status", F.lit("malformed")))
+
+
 def read_panel_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Panel CSV with a declared schema (no inference, date parsed)."""
-    return spark.read.schema(PANEL_SCHEMA).option("header", True).option("dateFormat", "yyyy-MM-dd").csv(path)
+    """The accepted rows of a balance CSV."""
+    return scan_panel_csv(spark, path).where("status = 'accepted'").drop("line", "status")
+
+
+def panel_gaps(panel: DataFrame) -> DataFrame:
+    """customer_id, gap_start, gap_end, n_days of the days missing between a customer's rows."""
+    nxt = F.lead("date").over(Window.partitionBy("customer_id").orderBy("date"))
+    gaps = panel.select("customer_id", F.date_add("date", 1).alias("gap_start"), F.date_sub(nxt, 1).alias("gap_end"))
+    return gaps.where("gap_start <= gap_end").withColumn("n_days", (F.datediff("gap_end", "gap_start") + 1).cast("bigint"))
+
+
+def fill_gaps(panel: DataFrame) -> DataFrame:
+    """The panel with missing days carrying the balance before them, so that it is complete again."""
+    nxt = F.lead("date").over(Window.partitionBy("customer_id").orderBy("date"))
+    runs = panel.select("customer_id", "segment", "date", F.coalesce(F.date_sub(nxt, 1), F.col("date")).alias("until"), "balance")
+    return runs.select("customer_id", "segment", F.explode(F.sequence("date", "until")).alias("date"), "balance")
+
+
+def quarantine_counts(scanned: DataFrame) -> DataFrame:
+    """status, n: accepted, malformed and duplicate rows and the missing days, each status present."""
+    counts = scanned.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    missing = panel_gaps(scanned.where("status = 'accepted'")).agg(F.lit("gap_day").alias("status"), F.coalesce(F.sum("n_days"), F.lit(0)).alias("n"))
+    names = scanned.sparkSession.range(1).select(F.explode(F.array(*[F.lit(s) for s in ("accepted", "malformed", "duplicate", "gap_day")])).alias("status"))
+    return names.join(counts.unionByName(missing), "status", "left").select("status", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def write_docs(docs: dict[str, DataFrame], base: str) -> None:
@@ -45,18 +87,48 @@ def read_doc(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.schema(RESULT_DOCS[name]).json(f"{base}/{name}")
 
 
+def doc_exists(spark: SparkSession, base: str, name: str) -> bool:
+    """Whether the document was written, on whatever file system ``base`` lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def read_docs(spark: SparkSession, base: str, names) -> DataFrame:
-    """doc, field, value of every parsed document in ``names``: one row per
-    item and field, so that documents of different shape share one table."""
-    out = None
+    """doc, field, value of every expected document in ``names``: one row per
+    item and field, so that documents of different shape share one table.
+    A document that was not written is one row with null field and value;
+    lines that do not parse are left out (see ``doc_status``)."""
+    out = spark.createDataFrame([(n,) for n in names if not doc_exists(spark, base, n)], "doc string").select(
+        "doc", F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value"))
     for name in names:
-        doc = read_doc(spark, base, name)
+        if not doc_exists(spark, base, name):
+            continue
+        doc = scan_doc(spark, base, name).where("line IS NULL").drop("line")
         pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in doc.columns])
-        rows = doc.select(F.lit(name).alias("doc"), F.explode(pairs).alias("p")).select("doc", "p.field", "p.value")
-        out = rows if out is None else out.unionByName(rows)
+        out = out.unionByName(doc.select(F.lit(name).alias("doc"), F.explode(pairs).alias("p")).select("doc", "p.field", "p.value"))
     return out
 
 
+def scan_doc(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """All lines of a document, parsed with its schema; ``line`` holds the text of one that does not parse."""
+    parsed = F.from_json("value", RESULT_DOCS[name] + ", line string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "line"})
+    return spark.read.text(f"{base}/{name}").where("trim(value) <> ''").select(parsed.alias("r")).select("r.*")
+
+
+def doc_status(spark: SparkSession, base: str, names=tuple(RESULT_DOCS)) -> DataFrame:
+    """doc, n_accepted, n_rejected of the expected documents; both null where a document is absent."""
+    expected = spark.createDataFrame([(n,) for n in names], "doc string")
+    found = None
+    for name in names:
+        if doc_exists(spark, base, name):
+            one = scan_doc(spark, base, name).agg(
+                F.lit(name).alias("doc"), F.count_if(F.col("line").isNull()).alias("n_accepted"), F.count_if(F.col("line").isNotNull()).alias("n_rejected"))
+            found = one if found is None else found.unionByName(one)
+    if found is None:
+        found = spark.createDataFrame([], "doc string, n_accepted bigint, n_rejected bigint")
+    return expected.join(F.broadcast(found), "doc", "left")
+
+
 def results_base(spark: SparkSession) -> str:
     """A folder of its own for every call, so no run overwrites what another still reads."""
     return shared_dir(spark, f"ledgerscope-results/{uuid.uuid4().hex}")
