@@ -6,11 +6,11 @@ date-sorted array per key -- a proven size bound -- and every model is a
 column expression over that array:
 
 * Holt (additive trend): every (alpha, beta) pair of a fixed grid is
-  folded over the series with ``aggregate`` inside the series row; the
-  pair with the least squared one-step error wins (ties: smaller alpha,
-  then beta). A second, finer grid around that optimum refines it. Start
-  level = y2, start trend = y2 - y1, errors from y3 on.
-* SES: the same in-row fold with no trend (start level y1).
+  folded over the series with ``aggregate`` inside the series row, with the
+  start level and trend that fit best for that pair (profiled least
+  squares); the pair with the least squared one-step error wins (ties:
+  smaller alpha, then beta). A second, finer grid around that optimum refines it.
+* SES: the same in-row fold with no trend; alpha by golden section.
 * linear: OLS over the last 30 points; naive; 7-point mean.
 
 Series keys are independent, so the work spreads over keys (segments
@@ -37,34 +37,66 @@ def as_arrays(series: DataFrame, key: str = "segment") -> DataFrame:
                     F.element_at("_pts", -1)["date"].alias("last_date")))
 
 
+# A state (level, trend) of exponential smoothing is linear in its start
+# (l0, b0), and so is every one-step error: e_t = c_t - u_t l0 - v_t b0. The
+# fold carries the three coefficients of the state and the sums of products of
+# c, u and v; the best start for given smoothing weights then solves a 2x2 system.
+# Values are taken relative to the first one, which keeps the sums small.
+
 def _holt_fold(ys: Column, alpha: Column, beta: Column) -> Column:
-    init = F.struct(
-        F.element_at(ys, 2).alias("l"),
-        (F.element_at(ys, 2) - F.element_at(ys, 1)).alias("b"),
-        F.lit(0.0).alias("sse"))
-
-    def step(acc, y):
-        f = acc["l"] + acc["b"]
-        lv = alpha * y + (F.lit(1.0) - alpha) * f
+    zero, one = F.lit(0.0), F.lit(1.0)
+    names = ("lc", "lu", "lv", "bc", "bu", "bv", "cc", "cu", "cv", "uu", "uv", "vv")
+    init = F.struct(*[(one if c in ("lu", "bv") else zero).alias(c) for c in names])
+    first = F.element_at(ys, 1)
+
+    def step(s, y):
+        fc, fu, fv = s["lc"] + s["bc"], s["lu"] + s["bu"], s["lv"] + s["bv"]
+        e = y - first - fc
+        keep, hold = one - alpha, one - beta
+        lc, lu, lv = alpha * (y - first) + keep * fc, keep * fu, keep * fv
         return F.struct(
-            lv.alias("l"),
-            (beta * (lv - acc["l"]) + (F.lit(1.0) - beta) * acc["b"]).alias("b"),
-            (acc["sse"] + (y - f) * (y - f)).alias("sse"))
+            lc.alias("lc"), lu.alias("lu"), lv.alias("lv"),
+            (beta * (lc - s["lc"]) + hold * s["bc"]).alias("bc"),
+            (beta * (lu - s["lu"]) + hold * s["bu"]).alias("bu"),
+            (beta * (lv - s["lv"]) + hold * s["bv"]).alias("bv"),
+            (s["cc"] + e * e).alias("cc"), (s["cu"] + e * fu).alias("cu"), (s["cv"] + e * fv).alias("cv"),
+            (s["uu"] + fu * fu).alias("uu"), (s["uv"] + fu * fv).alias("uv"), (s["vv"] + fv * fv).alias("vv"))
+
+    def finish(s):
+        det = s["uu"] * s["vv"] - s["uv"] * s["uv"]
+        sound = det > F.lit(1e-12) * s["uu"] * s["vv"]
+        l0 = F.when(sound, (s["cu"] * s["vv"] - s["cv"] * s["uv"]) / det).otherwise(first - F.element_at(ys, 2))
+        b0 = F.when(sound, (s["cv"] * s["uu"] - s["cu"] * s["uv"]) / det).otherwise(F.element_at(ys, 2) - first)
+        sse = s["cc"] - F.lit(2.0) * (l0 * s["cu"] + b0 * s["cv"]) + l0 * l0 * s["uu"] + F.lit(2.0) * l0 * b0 * s["uv"] + b0 * b0 * s["vv"]
+        return F.struct((first + s["lc"] + s["lu"] * l0 + s["lv"] * b0).alias("l"),
+                        (s["bc"] + s["bu"] * l0 + s["bv"] * b0).alias("b"), F.greatest(sse, zero).alias("sse"))
 
-    return F.aggregate(F.slice(ys, 3, F.size(ys)), init, step)
+    return F.aggregate(ys, init, step, finish)
 
 
 def _ses_fold(ys: Column, alpha: Column) -> Column:
-    init = F.struct(F.element_at(ys, 1).alias("l"), F.lit(0.0).alias("sse"),
-                    F.lit(0.0).alias("res"))
+    """Level, squared error and summed error of the best start level for ``alpha``."""
+    zero, one = F.lit(0.0), F.lit(1.0)
+    init = F.struct(zero.alias("lc"), one.alias("lu"), zero.alias("cc"), zero.alias("cu"), zero.alias("uu"),
+                    zero.alias("c"), zero.alias("u"))
+    first = F.element_at(ys, 1)
+
+    def step(s, y):
+        e, keep = y - first - s["lc"], one - alpha
+        return F.struct((alpha * (y - first) + keep * s["lc"]).alias("lc"), (keep * s["lu"]).alias("lu"),
+                        (s["cc"] + e * e).alias("cc"), (s["cu"] + e * s["lu"]).alias("cu"), (s["uu"] + s["lu"] * s["lu"]).alias("uu"),
+                        (s["c"] + e).alias("c"), (s["u"] + s["lu"]).alias("u"))
+
+    def finish(s):
+        l0 = s["cu"] / s["uu"]
+        return F.struct((first + s["lc"] + s["lu"] * l0).alias("l"), F.greatest(s["cc"] - l0 * s["cu"], zero).alias("sse"),
+                        (s["c"] - s["u"] * l0).alias("res"))
+
+    return F.aggregate(ys, init, step, finish)
 
-    def step(acc, y):
-        e = y - acc["l"]
-        return F.struct((alpha * y + (F.lit(1.0) - alpha) * acc["l"]).alias("l"),
-                        (acc["sse"] + e * e).alias("sse"),
-                        (acc["res"] + e).alias("res"))
 
-    return F.aggregate(F.slice(ys, 2, F.size(ys)), init, step)
+GOLDEN = (5 ** 0.5 - 1) / 2
+GOLDEN_STEPS = 18       # 0.1 * GOLDEN ** 18 < 2e-5
 
 
 REFINE_STEPS = 10       # fine grid: +-10 steps of step/20 around the coarse optimum
@@ -94,6 +126,12 @@ def _argmin_holt(ys: Column, pairs: Column) -> Column:
     return F.aggregate(pairs, init, step)
 
 
+def _once(value: Column, name: str) -> Column:
+    """``value`` as a generated column: a filter on it (or on a part of it) is not
+    pushed below, where the optimiser would write out the whole fold again."""
+    return F.explode(F.array(value)).alias(name)
+
+
 def holt_fit(arrays: DataFrame, grid: DataFrame | None = None, key: str = "segment",
              step: float = DEFAULT_PARAMS.holt_grid_step) -> DataFrame:
     """key, alpha, beta, level, trend, sse for series of >= 3 points.
@@ -114,9 +152,9 @@ def holt_fit(arrays: DataFrame, grid: DataFrame | None = None, key: str = "segme
     def around(c):
         return F.filter(F.transform(offs, lambda i: c + i / F.lit(kf)), lambda v: (v > 0) & (v <= 1))
 
-    s1 = arrays.where(F.col("n") >= 3).select(key, "ys", coarse.alias("_c"))
+    s1 = arrays.where(F.col("n") >= 3).select(key, "ys", _once(coarse, "_c"))
     fine = _argmin_holt(ys, _grid_pairs(around(F.col("_c.alpha")), around(F.col("_c.beta"))))
-    best = s1.select(key, fine.alias("m"))
+    best = s1.select(key, _once(fine, "m"))
     return best.select(key, F.col("m.alpha").alias("alpha"), F.col("m.beta").alias("beta"),
                        F.col("m.l").alias("level"), F.col("m.b").alias("trend"),
                        F.col("m.sse").alias("sse"))
@@ -126,24 +164,43 @@ def ses_fit(arrays: DataFrame, grid: DataFrame | None = None, key: str = "segmen
             step: float = DEFAULT_PARAMS.holt_grid_step) -> DataFrame:
     """key, alpha, level, bias (mean one-step residual), sse; >= 2 points.
 
-    The alpha grid {k/K} is folded inside the series row; the first
-    strict SSE minimum wins (ties: smaller alpha)."""
+    The start level is fitted for every alpha. The alpha grid {k/K} finds the
+    basin (ties: smaller alpha); a golden-section search of a fixed number of
+    steps between the neighbours of its best point places alpha to 1e-4. All of it
+    is one expression on the series row. The grid point stays where the search is no better.
+    """
     k = int(round(1.0 / step))
     alphas = F.array(*[F.lit(x / float(k)) for x in range(1, k + 1)])
     ys = F.col("ys")
     none = F.lit(None).cast("double")
-    init = F.struct(none.alias("sse"), none.alias("alpha"), none.alias("l"), none.alias("res"))
+    init = F.struct(none.alias("sse"), none.alias("alpha"))
 
     def pick(best, a):
         s = _ses_fold(ys, a)
         take = best["sse"].isNull() | (s["sse"] < best["sse"])
-        return F.when(take, F.struct(s["sse"].alias("sse"), a.alias("alpha"), s["l"].alias("l"),
-                                     s["res"].alias("res"))).otherwise(best)
-
-    best = arrays.where(F.col("n") >= 2).select(key, "n", F.aggregate(alphas, init, pick).alias("m"))
-    return best.select(key, F.col("m.alpha").alias("alpha"), F.col("m.l").alias("level"),
-                       (F.col("m.res") / (F.col("n") - 1)).alias("bias"),
-                       F.col("m.sse").alias("sse"))
+        return F.when(take, F.struct(s["sse"].alias("sse"), a.alias("alpha"))).otherwise(best)
+
+    def narrow(s, _):
+        left = s["fc"] <= s["fd"]
+        lo, hi = F.when(left, s["lo"]).otherwise(s["c"]), F.when(left, s["d"]).otherwise(s["hi"])
+        c = F.when(left, s["d"] - F.lit(GOLDEN) * (s["d"] - s["lo"])).otherwise(s["d"])
+        d = F.when(left, s["c"]).otherwise(s["c"] + F.lit(GOLDEN) * (s["hi"] - s["c"]))
+        new = _ses_fold(ys, F.when(left, c).otherwise(d))["sse"]
+        return F.struct(lo.alias("lo"), hi.alias("hi"), c.alias("c"), d.alias("d"),
+                        F.when(left, new).otherwise(s["fd"]).alias("fc"), F.when(left, s["fc"]).otherwise(new).alias("fd"))
+
+    rows = arrays.where(F.col("n") >= 2).select(key, "n", "ys", F.aggregate(alphas, init, pick).alias("g"))
+    rows = rows.select("*", F.greatest(F.col("g.alpha") - F.lit(1.0 / k), F.lit(0.0)).alias("lo"),
+                       F.least(F.col("g.alpha") + F.lit(1.0 / k), F.lit(1.0)).alias("hi"))
+    rows = rows.select("*", (F.col("hi") - F.lit(GOLDEN) * (F.col("hi") - F.col("lo"))).alias("c"),
+                       (F.col("lo") + F.lit(GOLDEN) * (F.col("hi") - F.col("lo"))).alias("d"))
+    start = F.struct("lo", "hi", "c", "d", _ses_fold(ys, F.col("c"))["sse"].alias("fc"), _ses_fold(ys, F.col("d"))["sse"].alias("fd"))
+    rows = rows.select(key, "n", "ys", "g", F.aggregate(F.sequence(F.lit(1), F.lit(GOLDEN_STEPS)), start, narrow).alias("s"))
+    rows = rows.select(key, "n", "ys", "g", ((F.col("s.lo") + F.col("s.hi")) / 2).alias("mid"))
+    rows = rows.select(key, "n", "ys", _once(F.when(_ses_fold(ys, F.col("mid"))["sse"] < F.col("g.sse"), F.col("mid"))
+                                             .otherwise(F.col("g.alpha")), "alpha"))
+    return rows.select(key, "alpha", "n", _once(_ses_fold(ys, F.col("alpha")), "m")).select(
+        key, "alpha", F.col("m.l").alias("level"), (F.col("m.res") / F.col("n")).alias("bias"), F.col("m.sse").alias("sse"))
 
 
 def _tail_ols(ys: Column, n: Column, tail: int):

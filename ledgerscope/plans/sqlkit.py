@@ -231,38 +231,82 @@ def holt_ctes(src: str, name: str, refine: int = 10, k: int = 400) -> list[str]:
 
 
 def _holt_stage(src: str, name: str, grid: str, per_segment: bool = False) -> list[str]:
-    on = " AND g.segment = s2.segment" if per_segment else ""
+    """Recursive fold of the state's coefficients in the start values; the best
+    start of each pair from the normal equations."""
+    on = " AND g.segment = s1.segment" if per_segment else ""
+    f = "(h.lc + h.bc)", "(h.lu + h.bu)", "(h.lv + h.bv)"
+    keep, hold = "(1.0 - h.alpha)", "(1.0 - h.beta)"
+    lc, lu, lv = f"(h.alpha * (y.value - h.y1) + {keep} * {f[0]})", f"({keep} * {f[1]})", f"({keep} * {f[2]})"
+    e = f"(y.value - h.y1 - {f[0]})"
     return [
-        f"""{name}(segment, alpha, beta, t, l, b, sse) AS (
-  SELECT s2.segment, g.alpha, g.beta, 2, s2.value, s2.value - s1.value, CAST(0 AS DOUBLE)
-  FROM {src} s1 JOIN {src} s2 ON s1.segment = s2.segment AND s1.t = 1 AND s2.t = 2 AND s2.n >= 3
-  JOIN {grid} g ON TRUE{on}
+        f"""{name}(segment, alpha, beta, t, y1, lc, lu, lv, bc, bu, bv, cc, cu, cv, uu, uv, vv) AS (
+  SELECT s1.segment, g.alpha, g.beta, CAST(0 AS BIGINT), s1.value, {", ".join(f"CAST({x} AS DOUBLE)" for x in (0, 1, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0))}
+  FROM {src} s1 JOIN {grid} g ON s1.t = 1 AND s1.n >= 3{on}
   UNION ALL
-  SELECT h.segment, h.alpha, h.beta, h.t + 1,
-    h.alpha * y.value + (1.0 - h.alpha) * (h.l + h.b),
-    h.beta * ((h.alpha * y.value + (1.0 - h.alpha) * (h.l + h.b)) - h.l) + (1.0 - h.beta) * h.b,
-    h.sse + (y.value - (h.l + h.b)) * (y.value - (h.l + h.b))
+  SELECT h.segment, h.alpha, h.beta, h.t + 1, h.y1, {lc}, {lu}, {lv},
+    h.beta * ({lc} - h.lc) + {hold} * h.bc, h.beta * ({lu} - h.lu) + {hold} * h.bu, h.beta * ({lv} - h.lv) + {hold} * h.bv,
+    h.cc + {e} * {e}, h.cu + {e} * {f[1]}, h.cv + {e} * {f[2]},
+    h.uu + {f[1]} * {f[1]}, h.uv + {f[1]} * {f[2]}, h.vv + {f[2]} * {f[2]}
   FROM {name} h JOIN {src} y ON y.segment = h.segment AND y.t = h.t + 1)""",
-        f"""{name}_best AS (SELECT segment, alpha, beta, l AS level, b AS trend, sse FROM (
-  SELECT h.*, row_number() OVER (PARTITION BY h.segment ORDER BY h.sse, h.alpha, h.beta) AS rk
-  FROM {name} h JOIN (SELECT DISTINCT segment, n FROM {src}) s ON s.segment = h.segment AND h.t = s.n)
+        f"""{name}_start AS (SELECT h.*, h.uu * h.vv - h.uv * h.uv AS det, s.value - h.y1 AS rise
+  FROM {name} h JOIN {src} s ON s.segment = h.segment AND s.t = 2 AND h.t = s.n)""",
+        f"""{name}_fit AS (SELECT *,
+   CASE WHEN det > 1e-12 * uu * vv THEN (cu * vv - cv * uv) / det ELSE -rise END AS l0,
+   CASE WHEN det > 1e-12 * uu * vv THEN (cv * uu - cu * uv) / det ELSE rise END AS b0 FROM {name}_start)""",
+        f"""{name}_best AS (SELECT segment, alpha, beta, y1 + lc + lu * l0 + lv * b0 AS level, bc + bu * l0 + bv * b0 AS trend, sse FROM (
+  SELECT *, row_number() OVER (PARTITION BY segment ORDER BY sse, alpha, beta) AS rk FROM (
+    SELECT *, greatest(cc - 2.0 * (l0 * cu + b0 * cv) + l0 * l0 * uu + 2.0 * l0 * b0 * uv + b0 * b0 * vv, 0.0) AS sse FROM {name}_fit))
   WHERE rk = 1)""",
     ]
 
 
-def ses_ctes(src: str, name: str) -> list[str]:
+GOLDEN, GOLDEN_STEPS = repr((5 ** 0.5 - 1) / 2), 18
+
+
+def _ses_fold(alpha: str) -> str:
+    """The state's and errors' coefficients in the start level after the list ``ys`` (relative to ``y1``)."""
+    fields = ("v", "lc", "lu", "cc", "cu", "uu", "c", "u")
+
+    def pack(*values: str) -> str:
+        return "{" + ", ".join(f"'{f}': {v}" for f, v in zip(fields, values)) + "}"
+
+    zero = "CAST(0 AS DOUBLE)"
+    start = pack(zero, zero, "CAST(1 AS DOUBLE)", *[zero] * 5)
+    e = "(x.v - y1 - s.lc)"
+    step = pack("x.v", f"({alpha}) * (x.v - y1) + (1.0 - ({alpha})) * s.lc", f"(1.0 - ({alpha})) * s.lu", f"s.cc + {e} * {e}",
+                f"s.cu + {e} * s.lu", "s.uu + s.lu * s.lu", f"s.c + {e}", "s.u + s.lu")
+    return (f"list_reduce(list_concat([{start}], list_transform(ys, lambda y: {pack('y', *[zero] * 7)})), lambda s, x: {step})")
+
+
+SES_SSE = "greatest(f.cc - (f.cu / f.uu) * f.cu, 0.0)"
+
+
+def ses_ctes(src: str, name: str, k: int = 20) -> list[str]:
+    """The alpha grid with the best start level of each alpha, then a golden-section
+    search between the neighbours of its best point, one row per segment and step."""
+    left = "fc <= fd"
     return [
-        f"""{name}(segment, alpha, t, l, sse, res) AS (
-  SELECT s1.segment, g.alpha, 1, s1.value, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)
-  FROM {src} s1 CROSS JOIN (SELECT DISTINCT alpha FROM grid) g WHERE s1.t = 1 AND s1.n >= 2
+        f"""{name}_y AS (SELECT segment, list(value ORDER BY t) AS ys, arg_min(value, t) AS y1, max(n) AS n
+  FROM {src} WHERE n >= 2 GROUP BY segment)""",
+        f"""{name}_top AS (SELECT segment, ys, y1, n, alpha AS g_alpha, sse AS g_sse FROM (
+  SELECT *, row_number() OVER (PARTITION BY segment ORDER BY sse, alpha) AS rk FROM (SELECT *, {SES_SSE} AS sse FROM (
+    SELECT s.*, g.alpha, {_ses_fold("g.alpha")} AS f FROM {name}_y s CROSS JOIN (SELECT DISTINCT alpha FROM grid) g))) WHERE rk = 1)""",
+        f"""{name}_0 AS (SELECT *, hi - {GOLDEN} * (hi - lo) AS c, lo + {GOLDEN} * (hi - lo) AS d FROM (
+  SELECT segment, ys, y1, greatest(g_alpha - {1.0 / k!r}, 0.0) AS lo, least(g_alpha + {1.0 / k!r}, 1.0) AS hi FROM {name}_top))""",
+        f"""{name}_gs(segment, ys, y1, i, lo, hi, c, d, fc, fd) AS (
+  SELECT segment, ys, y1, 0, lo, hi, c, d, fc, {SES_SSE} FROM (SELECT * EXCLUDE (f), {_ses_fold("d")} AS f FROM (
+    SELECT *, {SES_SSE} AS fc FROM (SELECT *, {_ses_fold("c")} AS f FROM {name}_0)))
   UNION ALL
-  SELECT h.segment, h.alpha, h.t + 1, h.alpha * y.value + (1.0 - h.alpha) * h.l,
-    h.sse + (y.value - h.l) * (y.value - h.l), h.res + (y.value - h.l)
-  FROM {name} h JOIN {src} y ON y.segment = h.segment AND y.t = h.t + 1)""",
-        f"""{name}_best AS (SELECT segment, alpha, l AS level, res / (n - 1) AS bias, sse FROM (
-  SELECT h.*, s.n, row_number() OVER (PARTITION BY h.segment ORDER BY h.sse, h.alpha) AS rk
-  FROM {name} h JOIN (SELECT DISTINCT segment, n FROM {src}) s ON s.segment = h.segment AND h.t = s.n)
-  WHERE rk = 1)""",
+  SELECT segment, ys, y1, i + 1, nlo, nhi, nc, nd, CASE WHEN {left} THEN {SES_SSE} ELSE fd END, CASE WHEN {left} THEN fc ELSE {SES_SSE} END
+  FROM (SELECT *, {_ses_fold(f"CASE WHEN {left} THEN nc ELSE nd END")} AS f FROM (
+    SELECT *, CASE WHEN {left} THEN lo ELSE c END AS nlo, CASE WHEN {left} THEN d ELSE hi END AS nhi,
+      CASE WHEN {left} THEN d - {GOLDEN} * (d - lo) ELSE d END AS nc, CASE WHEN {left} THEN c ELSE c + {GOLDEN} * (hi - c) END AS nd
+    FROM {name}_gs WHERE i < {GOLDEN_STEPS})))""",
+        f"""{name}_mid AS (SELECT segment, ys, y1, n, CASE WHEN {SES_SSE} < g_sse THEN mid ELSE g_alpha END AS alpha FROM (
+  SELECT t.*, m.mid, {_ses_fold("m.mid").replace("ys,", "t.ys,").replace("- y1", "- t.y1")} AS f
+  FROM {name}_top t JOIN (SELECT segment, (lo + hi) / 2 AS mid FROM {name}_gs WHERE i = {GOLDEN_STEPS}) m USING (segment)))""",
+        f"""{name}_best AS (SELECT segment, alpha, y1 + f.lc + f.lu * (f.cu / f.uu) AS level, (f.c - f.u * (f.cu / f.uu)) / n AS bias,
+   {SES_SSE} AS sse FROM (SELECT *, {_ses_fold("alpha")} AS f FROM {name}_mid))""",
     ]
 
 

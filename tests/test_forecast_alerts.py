@@ -85,3 +85,67 @@ def test_sentences(spark):
     df = spark.createDataFrame([("S", "First one. Ok. Second sentence here.")], "segment string, explanation string")
     got = [r["sentence"] for r in LK.sentences(df).orderBy("pos").collect()]
     assert got == ["First one.", "Second sentence here."]
+
+
+def _holt_sse(y, a, b, l, t):
+    sse = 0.0
+    for v in y:
+        f = l + t
+        sse += (v - f) ** 2
+        new = a * v + (1 - a) * f
+        l, t = new, b * (new - l) + (1 - b) * t
+    return sse, l, t
+
+
+def test_holt_start_values_are_the_best_ones(spark):
+    """The profiled start gives the least error for its weights, and never more than starting at the first two points."""
+    rng = np.random.default_rng(5)
+    for n in (3, 4, 12, 45):
+        y = 60 + np.cumsum(rng.normal(0.2, 1.5, n))
+        fit = FC.holt_fit(FC.as_arrays(series_df(spark, y))).first()
+        a, b = fit.alpha, fit.beta
+        cols = [np.array([_errors(y, a, b, *s) for s in ((0.0, 0.0),)][0])]
+        base = cols[0]
+        u, v = base - _errors(y, a, b, 1.0, 0.0), base - _errors(y, a, b, 0.0, 1.0)
+        start, *_ = np.linalg.lstsq(np.stack([u, v], 1), base, rcond=None)
+        sse, level, trend = _holt_sse(y, a, b, *start)
+        assert abs(fit.sse - sse) < 1e-6 * max(1, sse) and abs(fit.level - level) < 1e-6 and abs(fit.trend - trend) < 1e-6
+        old = min(_holt_sse(y[2:], i / 20, j / 20, y[1], y[1] - y[0])[0] for i in range(1, 21) for j in range(1, 21))
+        assert fit.sse <= old + 1e-9
+
+
+def _errors(y, a, b, l, t):
+    out = []
+    for v in y:
+        f = l + t
+        out.append(v - f)
+        new = a * v + (1 - a) * f
+        l, t = new, b * (new - l) + (1 - b) * t
+    return np.array(out)
+
+
+def _ses_sse(y, a):
+    e = np.array([_errors(y, a, 0.0, s, 0.0) for s in (0.0, 1.0)])
+    u = e[0] - e[1]
+    l0 = (u @ e[0]) / (u @ u)
+    return float(((e[0] - l0 * u) ** 2).sum())
+
+
+def test_ses_alpha_is_placed_by_golden_section(spark):
+    rng = np.random.default_rng(7)
+    for n, noise in ((5, 1.0), (30, 1.0), (45, 4.0)):
+        y = 50 + np.cumsum(rng.normal(0, 1, n)) + rng.normal(0, noise, n)
+        fit = FC.ses_fit(FC.as_arrays(series_df(spark, y))).first()
+        grid = min((_ses_sse(y, k / 20), k / 20) for k in range(1, 21))
+        fine = min((_ses_sse(y, x), x) for x in np.linspace(max(grid[1] - 0.05, 1e-9), min(grid[1] + 0.05, 1.0), 2001))
+        assert fit.sse <= grid[0] + 1e-9
+        assert abs(fit.alpha - fine[1]) < 1e-4
+        assert abs(fit.sse - _ses_sse(y, fit.alpha)) < 1e-6
+
+
+def test_short_and_flat_series(spark):
+    for y in ([5.0], [5.0, 6.0], [4.0] * 20, [1.0, 1.0, 1.0]):
+        pf = FC.fallback_chain(FC.point_forecasts(series_df(spark, y))).collect()
+        assert len(pf) == 30 and all(r.yhat_raw is not None for r in pf)
+        if len(set(y)) == 1 and len(y) > 1:
+            assert all(abs(r.yhat_raw - y[0]) < 1e-9 for r in pf)
