@@ -5,38 +5,25 @@ Sums of squares come from a per-group aggregate and a grand aggregate
 is read once. Spearman is Pearson ``corr`` over average ranks computed
 with the distributed ranking of ``ranking.average_rank``.
 
-p-values come from Spark's own JVM tests (``ANOVATest``, ``FValueTest``),
-which have no Python wrapper; they run as Spark jobs over the same rows.
+p-values are the regularised incomplete beta function of the statistic, an
+expression on the one result row; no further pass over the data.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.expr import (
-    correlation_sign, correlation_strength, effect_size_label, half_up,
+    beta_tail, correlation_sign, correlation_strength, effect_size_label, f_tail, half_up,
 )
-from ledgerscope.operators.metrics import label_encode
 from ledgerscope.operators.ranking import average_rank
 
 
 def p_round(p: Column | str) -> Column:
     """3 significant digits below 0.01, else 6 decimals; 0 stays 0."""
     p = F.col(p) if isinstance(p, str) else p
-    scale = F.pow(F.lit(10.0), 2 - F.floor(F.log10(p)))
-    return F.when(p < 1e-300, p).when(p < 0.01, F.round(p * scale) / scale).otherwise(F.round(p, 6))
-
-
-def _jvm_p_value(name: str, rows: DataFrame, feature: str, label: str) -> DataFrame:
-    """One row: p_value of Spark's test ``name`` for one feature column against a numeric label."""
-    spark = rows.sparkSession
-    data = VectorAssembler(inputCols=[feature], outputCol="features").transform(
-        rows.where(F.col(feature).isNotNull() & F.col(label).isNotNull()))
-    data = data.select("features", F.col(label).cast("double").alias("label"))
-    test = getattr(spark._jvm.org.apache.spark.ml.stat, name)
-    return DataFrame(test.test(data._jdf, "features", "label", True), spark).select(F.col("pValue").alias("_p"))
+    return F.when(p < 1e-300, p).when(p < 0.01, F.format_string("%.2e", p).cast("double")).otherwise(half_up(p, 6))
 
 
 def anova_oneway(df: DataFrame, value: str, group: str, scale: int = 2) -> DataFrame:
@@ -71,10 +58,10 @@ def anova_oneway(df: DataFrame, value: str, group: str, scale: int = 2) -> DataF
                     effect_size_label(eta).alias("effect_size"))
 
 
-def with_anova_pvalue(a: DataFrame, df: DataFrame, value: str, group: str) -> DataFrame:
-    """Adds p_value and significant (below 0.05) to ``anova_oneway(df, value, group)``."""
-    p = _jvm_p_value("ANOVATest", label_encode(df.select(value, group), group, "_g"), value, "_g")
-    return a.crossJoin(p).withColumn("p_value", p_round("_p")).withColumn("significant", F.col("_p") < 0.05).drop("_p")
+def with_anova_pvalue(a: DataFrame) -> DataFrame:
+    """Adds p_value and significant (below 0.05) to ``anova_oneway``: the tail of F, an expression on its one row."""
+    p = f_tail("_f", "df_between", "df_within")
+    return a.withColumn("_p", p).withColumn("p_value", p_round("_p")).withColumn("significant", F.col("_p") < 0.05).drop("_p")
 
 
 def _ranked(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -92,7 +79,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
                     (F.abs("_rho") > 0.3).alias("captures_liquidity"))
 
 
-def with_spearman_pvalue(s: DataFrame, df: DataFrame, x: str, y: str) -> DataFrame:
-    """Adds p_value and significant: F = t^2 with (1, n-2) d.f. over the ranks."""
-    p = _jvm_p_value("FValueTest", _ranked(df, x, y), "_rx", "_ry")
-    return s.crossJoin(p).withColumn("p_value", p_round("_p")).withColumn("significant", F.col("_p") < 0.05).drop("_p")
+def with_spearman_pvalue(s: DataFrame) -> DataFrame:
+    """Adds p_value and significant to ``spearman``: the two-sided tail of t with n - 2 degrees of freedom."""
+    df = F.col("n").cast("double") - 2
+    p = F.when(df > 0, beta_tail(1 - F.col("_rho") * F.col("_rho"), df / 2, F.lit(0.5)))
+    return s.withColumn("_p", p).withColumn("p_value", p_round("_p")).withColumn("significant", F.col("_p") < 0.05).drop("_p")

@@ -506,17 +506,41 @@ def effect_size_label(spark, sf):
     return anova(spark, sf).select("effect_size")
 
 
-@register("significance_tests")
+BETA = """parts AS (
+  SELECT 'anova' AS test, floor(f * 10000.0 + 0.5) / 10000.0 AS statistic, df_within / 2.0 AS a0, df_between / 2.0 AS b0,
+         df_within / (df_within + df_between * f) AS x0 FROM anova
+  UNION ALL SELECT 'spearman', floor(r * 10000.0 + 0.5) / 10000.0, (n - 2) / 2.0, 0.5, 1.0 - r * r
+  FROM (SELECT corr(rx, ry) AS r, count(*) AS n FROM rk)),
+side AS (SELECT *, x0 < (a0 + 1) / (a0 + b0 + 2) AS direct FROM parts),
+args AS (SELECT *, CASE WHEN direct THEN a0 ELSE b0 END AS a, CASE WHEN direct THEN b0 ELSE a0 END AS b,
+         CASE WHEN direct THEN x0 ELSE 1 - x0 END AS x FROM side),
+lentz(test, a, b, x, m, c, d, h) AS (
+  SELECT test, a, b, x, 0, CAST(1 AS DOUBLE), 1 / (1 - (a + b) * x / (a + 1)), 1 / (1 - (a + b) * x / (a + 1)) FROM args
+  UNION ALL
+  SELECT test, a, b, x, m + 1, 1 + v / c1, 1 / (1 + v * d1), h1 * (1 + v / c1) / (1 + v * d1)
+  FROM (SELECT *, 1 + u / c AS c1, 1 / (1 + u * d) AS d1, h * (1 + u / c) / (1 + u * d) AS h1 FROM (
+    SELECT *, (m + 1) * (b - (m + 1)) * x / ((a - 1 + 2 * (m + 1)) * (a + 2 * (m + 1))) AS u,
+      -(a + (m + 1)) * (a + b + (m + 1)) * x / ((a + 2 * (m + 1)) * (a + 1 + 2 * (m + 1))) AS v
+    FROM lentz WHERE m < 200 + ceil(4 * sqrt(greatest(a, b)))))),
+tail AS (
+  SELECT p.test, p.statistic, CASE WHEN direct THEN part ELSE 1 - part END AS p FROM (
+    SELECT g.*, exp(lgamma(g.a + g.b) - lgamma(g.a) - lgamma(g.b) + g.a * ln(g.x) + g.b * ln(1 - g.x)) * l.h / g.a AS part
+    FROM args g JOIN (SELECT test, arg_max(h, m) AS h FROM lentz GROUP BY test) l ON l.test = g.test) p)
+SELECT test, statistic, CASE WHEN p < 1e-300 THEN p
+    WHEN p < 0.01 THEN CAST(printf('%.2e', p) AS DOUBLE) ELSE floor(p * 1000000.0 + 0.5) / 1000000.0 END AS p_value,
+  p < 0.05 AS significant FROM tail"""
+
+
+@register("significance_tests", sql=A_SQL.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ",\n" + RANKS + ",\n" + BETA)
 def significance_tests(spark, sf):
-    """p-values (rows-only check): ANOVA F tail and the Spearman t tail."""
+    """p-values: the ANOVA F tail and the Spearman t tail."""
     return significance(features(spark, sf))
 
 
 def significance(f):
-    a = ST.with_anova_pvalue(ST.anova_oneway(f, "_fhs_mean", "segment"), f, "_fhs_mean", "segment").select(
+    a = ST.with_anova_pvalue(ST.anova_oneway(f, "_fhs_mean", "segment")).select(
         F.lit("anova").alias("test"), F.col("f_statistic").alias("statistic"), "p_value", "significant")
-    pair = ("runway_mean", "_fhs_mean")
-    s = ST.with_spearman_pvalue(ST.spearman(f, *pair), f, *pair).select(
+    s = ST.with_spearman_pvalue(ST.spearman(f, "runway_mean", "_fhs_mean")).select(
         F.lit("spearman").alias("test"), F.col("rho").alias("statistic"), "p_value", "significant")
     return a.unionByName(s)
 

@@ -127,11 +127,11 @@ def test_p_values(spark):
     assert [r[0] for r in p.select(ST.p_round("p")).collect()] == [0.0, 0.00123, 4.57e-20, 0.25]
     rng = np.random.default_rng(0)
     far = spark.createDataFrame([(g, float(v)) for g, m in (("a", 10), ("b", 60), ("c", 90)) for v in rng.normal(m, 3, 200)], "g string, x double")
-    r = ST.with_anova_pvalue(ST.anova_oneway(far, "x", "g"), far, "x", "g").first()
+    r = ST.with_anova_pvalue(ST.anova_oneway(far, "x", "g")).first()
     assert r["f_statistic"] > 2735 and r["p_value"] == 0.0 and r["significant"]
     # F(1, 18) = 4.0 has the tail 0.060831 (tables give 4.41 at 5 %)
     near = spark.createDataFrame([("a", v) for v in (1.0, 3.0) * 5] + [("b", v) for v in (2.0, 4.0) * 5], "g string, x double")
-    q = ST.with_anova_pvalue(ST.anova_oneway(near, "x", "g"), near, "x", "g").first()
+    q = ST.with_anova_pvalue(ST.anova_oneway(near, "x", "g")).first()
     assert not q["significant"] or q["f_statistic"] > 4.41
 
 
