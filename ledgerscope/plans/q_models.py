@@ -179,13 +179,63 @@ def kmeans_crosstab(spark, sf):
     return crosstab(final_labels(spark, sf), "segment", "cluster")
 
 
-@register("pca_2d")
+def _power_sql() -> str:
+    """Principal components by power iteration with deflation: another way to the same eigenpairs."""
+    z = ", ".join(f"CASE WHEN stddev_pop({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0.0 END" for c in MD.FEATURES)
+    n = len(MD.FEATURES)
+    cells = ", ".join("[" + ", ".join(f"covar_pop(v[{i}], v[{j}])" for j in range(1, n + 1)) + "]" for i in range(1, n + 1))
+    start = "[" + ", ".join(repr(1.0 + 0.37 * k) for k in range(n)) + "]"
+
+    def power(name: str, matrix: str) -> str:
+        return f"""{name}(i, m, v) AS (
+  SELECT 0, m, CAST({start} AS DOUBLE[]) FROM {matrix}
+  UNION ALL SELECT i + 1, m, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM (
+    SELECT i, m, list_transform(m, lambda r: list_dot_product(r, v)) AS w FROM {name} WHERE i < 4000)),
+{name}_v AS (SELECT m, v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS val FROM {name} WHERE i = 4000)"""
+
+    sign = "list_transform(v, lambda x: x * CASE WHEN v[list_position(list_transform(v, lambda y: abs(y)), list_aggregate(list_transform(v, lambda y: abs(y)), 'max'))] < 0 THEN -1.0 ELSE 1.0 END)"
+    return FEAT.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f""",
+zs AS (SELECT customer_id, segment, [{z}] AS v FROM features),
+cv AS (SELECT [{cells}] AS m FROM zs),
+{power("p1", "cv")},
+cv2 AS (SELECT list_transform(range(1, {n + 1}), lambda i: list_transform(range(1, {n + 1}), lambda j: m[i][j] - val * v[i] * v[j])) AS m FROM p1_v),
+{power("p2", "cv2")},
+pc AS (SELECT a.v AS v1, b.v AS v2, a.val AS l1, b.val AS l2 FROM (SELECT {sign} AS v, val FROM p1_v) a, (SELECT {sign} AS v, val FROM p2_v) b),
+tr AS (SELECT list_sum(list_transform(range(1, {n + 1}), lambda i: m[i][i])) AS t FROM cv)
+"""
+
+
+@register("pca_2d", sql=_power_sql() + """
+SELECT customer_id, segment, floor(list_dot_product(v, v1) * 10000.0 + 0.5) / 10000.0 AS x, floor(list_dot_product(v, v2) * 10000.0 + 0.5) / 10000.0 AS y,
+       floor(l1 / t * 10000.0 + 0.5) / 10000.0 AS variance_pc1, floor(l2 / t * 10000.0 + 0.5) / 10000.0 AS variance_pc2 FROM zs, pc, tr""")
 def pca_2d(spark, sf):
-    """Plotted points with their cluster, and the variance share of each component."""
+    """Points on the first two components and the variance share of each."""
+    pts, var = MD.pca_2d(_feat(spark, sf))
+    shares = {f"variance_pc{k}": half_up(F.lit(v), 4) for k, v in enumerate(var, 1)}
+    return pts.withColumns(shares)
+
+
+@register("pca_clusters")
+def pca_clusters(spark, sf):
+    """The plotted points with their cluster."""
     f = _feat(spark, sf)
-    pts, var = MD.pca_2d(f)
-    return pts.join(MD.kmeans_labels(f).drop("segment"), "customer_id").withColumns(
-        {"variance_pc1": F.lit(round(var[0], 4)), "variance_pc2": F.lit(round(var[1], 4))})
+    return MD.pca_2d(f)[0].join(MD.kmeans_labels(f).drop("segment"), "customer_id")
+
+
+_Z = ", ".join(f"CASE WHEN stddev_pop({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0.0 END AS {c}" for c in MD.FEATURES)
+_DIST = " + ".join(f"(p.{c} - q.{c}) * (p.{c} - q.{c})" for c in MD.FEATURES)
+
+
+@register("silhouette_tiers", sql=FEAT.rstrip() + f""",
+zt AS (SELECT customer_id, risk_tier AS c, {_Z} FROM features),
+pd AS (SELECT p.customer_id, p.c, q.c AS other, sum(sqrt({_DIST})) AS d, count(*) AS n FROM zt p CROSS JOIN zt q GROUP BY ALL),
+ab AS (SELECT customer_id, max(CASE WHEN c = other THEN d / nullif(n - 1, 0) END) AS a, max(CASE WHEN c = other THEN n END) AS n_own,
+   min(CASE WHEN c <> other THEN d / n END) AS b FROM pd GROUP BY customer_id)
+SELECT count(*) AS n, (SELECT count(DISTINCT c) FROM zt) AS n_clusters,
+  {Q.hu("avg(CASE WHEN n_own = 1 OR b IS NULL THEN 0.0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0.0) END)", 4)} AS silhouette FROM ab""")
+def silhouette_tiers(spark, sf):
+    """Mean Euclidean silhouette of the risk tiers on the z-scored features."""
+    return MD.euclidean_silhouette(MD.standardize(_feat(spark, sf)), "risk_tier")
 
 
 # ---- sinks and sources ---------------------------------------------------------
