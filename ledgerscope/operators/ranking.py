@@ -3,7 +3,7 @@
 A window with ORDER BY but no PARTITION BY moves every row into one task.
 ``running_sums`` computes running totals in a global order instead:
 
-1. approximate quantiles of the order key, taken once, cut it into at most
+1. approximate quantiles of the order key, taken once, cut it into about
    ``spark.sql.shuffle.partitions`` buckets; a row's bucket follows from its
    own key, so every branch of the plan, every retry and every reader agrees;
 2. a window per (group, bucket) gives the running totals inside a bucket;
@@ -20,20 +20,50 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_BUCKETS = 256
+KEYS_PER_BUCKET = 64     # distinct string keys looked at per bucket when cuts are chosen
 
 
 def _axis(df: DataFrame, col: str) -> Column:
-    """The key as a number that grows with it (not strictly: equal numbers share a bucket)."""
+    """What buckets are cut on: the key as a number that grows with it (equal numbers share a bucket), strings as they are."""
     kind = df.schema[col].dataType.simpleString()
     c = F.col(col)
     if kind == "string":
-        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+        return c
     if kind == "date" or kind.startswith("timestamp"):
         return c.cast("timestamp").cast("double")
     return c.cast("double")
 
 
+def _cuts(df: DataFrame, axis: Column, text: bool, n: int) -> list:
+    """At most n - 1 increasing cut points. They only balance the buckets; results do not depend on them."""
+    keys = df.select(axis.alias("a")).where("a IS NOT NULL")
+    if not text:
+        found = keys.where("NOT isnan(a)").agg(
+            F.percentile_approx("a", [i / n for i in range(1, n)] or [0.5], 10_000).alias("c")).first()["c"] or []
+        return sorted({float(c) for c in found})
+    # quantiles of a bounded set of distinct keys, chosen by hash; whole keys, so a common prefix does no harm
+    some = keys.distinct().orderBy(F.xxhash64("a"), "a").limit(KEYS_PER_BUCKET * n).collect()
+    some = sorted(r.a.encode() for r in some)
+    return [c.decode() for c in sorted({some[len(some) * i // n] for i in range(1, n)})] if some else []
+
+
+def _bucket_of(axis: Column, cuts: list) -> Column:
+    """Number of cuts below the key, by two lookups in lists of about the root of their number."""
+    if not cuts:
+        return F.lit(0)
+    width = max(1, round(len(cuts) ** 0.5))
+    groups = [cuts[i:i + width] for i in range(0, len(cuts), width)]
+
+    def below(values: Column) -> Column:
+        return F.size(F.filter(values, lambda c: c < axis))
+
+    # a group counts as passed when its last cut lies below the key
+    group = below(F.array(*[F.lit(g[-1]) for g in groups]))
+    lists = F.array(*[F.array(*[F.lit(c) for c in g]) for g in groups])
+    inside = F.coalesce(F.try_element_at(lists, group + 1), F.array(F.lit(cuts[0])).cast("array<string>" if isinstance(cuts[0], str) else "array<double>"))
+    return F.when(group < len(groups), group * width + below(inside)).otherwise(F.lit(len(cuts)))
+
+
 def _same(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[f"_r_{c}"]) for c in cols])
 
@@ -52,13 +82,10 @@ def running_sums(df: DataFrame, order: str, cols: list[str], by: tuple = (),
     distinct order values first when ties must share a total. Taking the
     quantiles is one small job at call time."""
     by = list(by)
-    n = min(MOST_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     axis = _axis(df, order)
-    cuts = df.select(axis.alias("a")).where("a IS NOT NULL AND NOT isnan(a)").agg(
-        F.percentile_approx("a", [i / n for i in range(1, n)] or [0.5], 10_000).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    bucket = F.when(axis.isNull(), -1).otherwise(
-        F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < axis)) if cuts else F.lit(0))
+    cuts = _cuts(df, axis, df.schema[order].dataType.simpleString() == "string", n)
+    bucket = F.when(axis.isNull(), -1).otherwise(_bucket_of(axis, cuts))
     d = df.withColumn("_bucket", bucket.cast("int"))
     value = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols}
     turn = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())

@@ -142,3 +142,25 @@ def test_forecast_edges(spark):
     assert (r["first_half_mean"], r["second_half_mean"]) == (2.0, 5.5)
     s = spark.sql("SELECT 'S' AS segment, DATE '2020-01-01' AS date, CAST(NULL AS DOUBLE) AS value UNION ALL SELECT 'S', DATE '2020-01-02', 1.0D")
     assert FC.as_arrays(s).first()["n"] == 1
+
+
+def test_string_keys_with_one_prefix_spread_over_buckets(spark):
+    """Keys are cut whole, so a long common prefix does not send every row into one bucket."""
+    from ledgerscope.operators import ranking as RK
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        names = [f"customer-number-{i:05d}-é" for i in range(3000)]
+        df = spark.createDataFrame([(n, 1.0) for n in names] + [(None, 1.0)], "k string, v double")
+        cuts = RK._cuts(df, F.col("k"), True, 40)
+        assert 30 <= len(cuts) <= 39
+        counts = df.groupBy(RK._bucket_of(F.col("k"), cuts).alias("b")).count().where("b IS NOT NULL").collect()
+        assert len(counts) >= 30 and max(r["count"] for r in counts) < 400
+        got = RK.running_sums(df, "k", ["v"]).orderBy(F.col("k").asc_nulls_first()).collect()
+        assert [r.run_v for r in got] == [float(i) for i in range(1, 3002)]
+        rows = RK._bucket_of(F.col("x"), [1.0, 2.0, 5.0, 7.0, 7.5])
+        xs = [0.0, 1.0, 1.5, 2.0, 6.0, 7.0, 7.2, 7.5, 9.0]
+        found = spark.createDataFrame([(x,) for x in xs], "x double").select(rows.alias("b")).collect()
+        assert [r.b for r in found] == [sum(c < x for c in (1.0, 2.0, 5.0, 7.0, 7.5)) for x in xs]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
