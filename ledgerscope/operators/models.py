@@ -63,14 +63,8 @@ def fit_classifiers(split: DataFrame, seed: int = 42,
     names = F.array(*[F.lit(c) for c in CLASSES])
     outs, rf = [], None
     if "logistic_regression" in models:
-        ztrain = _assemble(standardize(train, fit_on=train))
         ztest = _assemble(standardize(test, fit_on=train))
-        # L2 penalty equal to C = 1 on the summed loss (sklearn's default):
-        # MLlib averages the loss, so regParam = 1 / (C * n_train); inputs
-        # are z-scored already, so no second standardisation inside the fit
-        n_train = train.count()
-        lr = LogisticRegression(family="multinomial", maxIter=1000, regParam=1.0 / max(n_train, 1),
-                                elasticNetParam=0.0, standardization=False).fit(ztrain)
+        lr = fit_logistic(standardize(train, fit_on=train))
         outs.append(lr.transform(ztest).withColumn("model", F.lit("logistic_regression")))
     if "random_forest" in models:
         rf = RandomForestClassifier(numTrees=100, maxDepth=10, seed=seed).fit(_assemble(train))
@@ -84,6 +78,44 @@ def fit_classifiers(split: DataFrame, seed: int = 42,
     return preds, rf
 
 
+def logistic_certificate(train: DataFrame, coefficients: np.ndarray, intercepts: np.ndarray, penalty: float = 1.0) -> DataFrame:
+    """How close multinomial weights are to the optimum: one row of n_train, n_classes, loss and gradient norm.
+
+    ``train`` holds the z-scored features and ``label``. The penalised mean loss is
+    sum of -log p(label) / n + penalty / (2 n) * |weights|^2; at its only optimum
+    the gradient is zero. Its entries are sums over the rows, taken in one aggregate:
+    (p_k - [label = k]) * x_j per class and feature, and per class alone.
+    """
+    n_classes, cols = len(intercepts), FEATURES
+    margin = [functools.reduce(lambda s, t: s + t, [F.col(c) * F.lit(float(coefficients[k, j])) for j, c in enumerate(cols)]) + F.lit(float(intercepts[k]))
+              for k in range(n_classes)]
+    rows = train.select("label", *cols, *[m.alias(f"_m{k}") for k, m in enumerate(margin)])
+    top = F.greatest(*[F.col(f"_m{k}") for k in range(n_classes)])
+    rows = rows.withColumn("_top", top)
+    rows = rows.withColumn("_z", functools.reduce(lambda s, t: s + t, [F.exp(F.col(f"_m{k}") - F.col("_top")) for k in range(n_classes)]))
+    own = functools.reduce(lambda e, k: e.when(F.col("label") == k, F.col(f"_m{k}")), range(1, n_classes), F.when(F.col("label") == 0, F.col("_m0")))
+    rows = rows.select("label", *cols, (F.log("_z") + F.col("_top") - own).alias("_loss"), *[
+        (F.exp(F.col(f"_m{k}") - F.col("_top")) / F.col("_z") - (F.col("label") == k).cast("double")).alias(f"_r{k}") for k in range(n_classes)])
+    one = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("_loss").alias("loss"),
+                   *[F.sum(F.col(f"_r{k}") * F.col(c)).alias(f"g{k}_{j}") for k in range(n_classes) for j, c in enumerate(cols)],
+                   *[F.sum(f"_r{k}").alias(f"b{k}") for k in range(n_classes)])
+    n = F.col("n").cast("double")
+    parts = [((F.col(f"g{k}_{j}") + F.lit(penalty * float(coefficients[k, j]))) / n) for k in range(n_classes) for j in range(len(cols))]
+    parts += [F.col(f"b{k}") / n for k in range(n_classes)]
+    norm = F.sqrt(functools.reduce(lambda s, t: s + t, [g * g for g in parts]))
+    weight = float(penalty * (coefficients ** 2).sum() / 2)
+    return one.select(F.col("n").alias("n_train"), F.lit(n_classes).cast("bigint").alias("n_classes"),
+                      ((F.col("loss") + F.lit(weight)) / n).alias("loss"), norm.alias("gradient_norm"))
+
+
+def fit_logistic(train: DataFrame):
+    """Multinomial logistic regression on z-scored ``train`` (features, label); MLlib averages the loss, so C = 1 on the
+    summed loss is regParam = 1 / n. Inputs are z-scored already, so no second standardisation inside the fit."""
+    n_train = train.count()
+    return LogisticRegression(family="multinomial", maxIter=1000, tol=1e-9, regParam=1.0 / max(n_train, 1),
+                              elasticNetParam=0.0, standardization=False).fit(_assemble(train))
+
+
 def importances(rf_model, spark, cols=FEATURES) -> DataFrame:
     vals = rf_model.featureImportances.toArray().tolist()
     rows = [(c, float(v)) for c, v in zip(cols, vals)]

@@ -14,13 +14,14 @@ from ledgerscope.operators import stats as ST
 from ledgerscope.plans import sqlkit as Q
 from ledgerscope.plans.q_features import FEAT, feature_table as features
 from ledgerscope.plans.q_forecast import ALL, ALL_B, metrics, series
-from ledgerscope.plans.q_misc import split, stratified_split
+from ledgerscope.plans.q_misc import SPLIT, split, stratified_split
 from ledgerscope.plans.registry import entries, register
 from ledgerscope.session import materialize
 from ledgerscope.sources import ledger as L
 from ledgerscope.sources import results as R
 
 FEATURE_COLS = ", ".join(MD.FEATURES)
+TRAIN_SQL = FEAT.rstrip() + ",\n" + SPLIT + "\n"
 
 
 def _feat(spark, sf):
@@ -45,6 +46,19 @@ def fit_logistic(spark, sf):
     return MT.classification_report(preds.where(F.col("model") == "logistic_regression"))
 
 
+@register("logistic_certificate", sql=TRAIN_SQL + """
+SELECT (SELECT count(*) FROM split WHERE split = 'train' AND risk_tier IS NOT NULL) AS n_train, CAST(3 AS BIGINT) AS n_classes,
+       TRUE AS optimal, TRUE AS below_uniform""")
+def logistic_certificate(spark, sf):
+    """The fitted weights against the conditions of the optimum: the gradient of the penalised loss
+    over all training rows is zero to 1e-4, and the loss lies below that of equal chances."""
+    train = MD._label(split(spark, sf).where(F.col("split") == "train"))
+    z = materialize(MD.standardize(train.select("customer_id", "label", *MD.FEATURES)))
+    lr = MD.fit_logistic(z)
+    c = MD.logistic_certificate(z, lr.coefficientMatrix.toArray(), lr.interceptVector.toArray())
+    return c.select("n_train", "n_classes", (F.col("gradient_norm") < 1e-4).alias("optimal"), (F.col("loss") < 1.0986122886681098).alias("below_uniform"))
+
+
 @register("fit_random_forest")
 def fit_random_forest(spark, sf):
     preds, _ = fitted(spark, sf, ("random_forest",))

@@ -92,3 +92,27 @@ def test_jacobi_eigenpairs():
 def test_covariance_is_one_aggregate(spark):
     x, df = points(spark, 6, 50)
     assert np.allclose(MD.covariance(df, COLS), np.cov(x.T, bias=True))
+
+
+def test_logistic_certificate_tells_the_optimum(spark):
+    """At the fitted weights the gradient vanishes; moved weights do not pass. Loss and gradient against numpy."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, len(MD.FEATURES)))
+    y = (x[:, 0] + 0.5 * rng.normal(size=300) > 0).astype(int) + (x[:, 1] > 0.8)
+    train = spark.createDataFrame([(float(t), *map(float, r)) for t, r in zip(y, x)], "label double, " + ", ".join(f"{c} double" for c in MD.FEATURES))
+    lr = MD.fit_logistic(train)
+    w, b = lr.coefficientMatrix.toArray(), lr.interceptVector.toArray()
+
+    def direct(w, b):
+        m = x @ w.T + b
+        p = np.exp(m - m.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        r = p - np.eye(3)[y]
+        g = np.concatenate([((r.T @ x + w) / len(x)).ravel(), r.mean(axis=0)])
+        return -np.log(p[np.arange(len(x)), y]).mean() + (w ** 2).sum() / 2 / len(x), np.linalg.norm(g)
+
+    for dw in (0.0, 0.05):
+        got = MD.logistic_certificate(train, w + dw * np.eye(*w.shape), b).first()
+        loss, norm = direct(w + dw * np.eye(*w.shape), b)
+        assert (got.n_train, got.n_classes) == (300, 3) and abs(got.loss - loss) < 1e-9 and abs(got.gradient_norm - norm) < 1e-9
+        assert (got.gradient_norm < 1e-4) == (dw == 0.0)
