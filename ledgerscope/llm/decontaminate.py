@@ -25,7 +25,8 @@ from ledgerscope.llm.textarrays import U64, WordHasher, mix, symbol_separators,
 SHIFT_BITS = 18
 LANE = 96
 SLICE_BYTES = 1 << 20
-BLOCK_WORDS = 2_000_000
+# about 150 bytes a word while a block is built, 65 in the broadcast
+BLOCK_WORDS = 1_000_000
 LOWER = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 32
               for b in range(256))
 
@@ -40,31 +41,60 @@ def block_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * U64(0xC2B2AE3D27D4EB4F) + b)
 
 
+class ItemWords:
+    """The words of all items of a block, one after another: bytes, bounds and hashes."""
+
+    def __init__(self, texts: list[str | None], hasher: WordHasher):
+        raw = [t.encode("utf-8").translate(LOWER) if t else b"" for t in texts]
+        data = np.frombuffer(b" ".join(raw), np.uint8)
+        size = np.array([len(r) for r in raw], np.int64)
+        off = np.append(0, np.cumsum(size + 1))
+        off[-1] = len(data)
+        self.data = data
+        self.h, self.item, self.start, self.end = hasher.words(data, off)
+
+    def text(self, first: int, size: int) -> bytes:
+        """The words from ``first`` on, joined by one space."""
+        return b" ".join(self.data[self.start[first]:self.end[first + size - 1]].tobytes().split())
+
+
 class WindowTable:
-    """Shift table and buckets for the windows of one length."""
-
-    def __init__(self, size: int, windows: list[tuple[bytes, ...]], items: list[list[int]], hasher: WordHasher):
-        self.size, self.windows, self.items = size, windows, items
-        flat = b" ".join(b" ".join(w) for w in windows)
-        data = np.frombuffer(flat, np.uint8)
-        h, _, _, _ = hasher.words(data, np.array([0, len(data)]))
-        self.h = h.reshape(len(windows), size)
+    """Shift table and buckets for the windows of one length, kept as positions into the items' words."""
+
+    def __init__(self, size: int, words: ItemWords, at: np.ndarray, hasher: WordHasher):
+        self.size, self.words = size, words
         mask = U64((1 << SHIFT_BITS) - 1)
         if size == 1:
-            first = last = self.h[:, 0]
+            first = last = words.h[at]
             self.shift = np.ones(1 << SHIFT_BITS, np.uint8)
             self.shift[(mix(last) & mask).astype(np.int64)] = 0
         else:
-            blocks = block_hash(self.h[:, :-1], self.h[:, 1:])
+            pair = block_hash(words.h[:-1], words.h[1:])
             self.shift = np.full(1 << SHIFT_BITS, min(size - 1, 255), np.uint8)
             for j in range(size - 1):
-                np.minimum.at(self.shift, (blocks[:, j] & mask).astype(np.int64), min(size - 2 - j, 255))
-            first, last = blocks[:, 0], blocks[:, -1]
+                np.minimum.at(self.shift, (pair[at + j] & mask).astype(np.int64), min(size - 2 - j, 255))
+            first, last = pair[at], pair[at + size - 2]
         keys = mix(first ^ (last * U64(3)))
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.h = keys[order], self.h[order]
-        self.windows = [windows[i] for i in order]
-        self.items = [items[i] for i in order]
+        whole = hasher.window_hash(words.h, size)[at]
+        order = np.lexsort((whole, keys))
+        at, keys, whole = at[order], keys[order], whole[order]
+        # equal windows are one pattern with several items; what only hashes alike stays apart
+        new = np.ones(len(at), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (whole[1:] != whole[:-1])
+        lead = 0
+        for k in np.flatnonzero(~new | np.append(~new[1:], False)).tolist():
+            if new[k]:
+                lead = k
+            elif words.text(int(at[k]), size) != words.text(int(at[lead]), size):
+                new[k], lead = True, k
+        self.at, self.keys = at[new], keys[new]
+        self.owner, self.owners_from = words.item[at], np.append(np.flatnonzero(new), len(at))
+
+    def text(self, which: int) -> bytes:
+        return self.words.text(int(self.at[which]), self.size)
+
+    def items(self, which: int) -> list[int]:
+        return self.owner[self.owners_from[which]:self.owners_from[which + 1]].tolist()
 
     def candidates(self, h: np.ndarray) -> np.ndarray:
         """Last-word positions whose shift is zero, found by jumping along lanes."""
@@ -103,26 +133,26 @@ class WindowTable:
         at = start[pick]
         same = np.ones(len(at), bool)
         for j in range(self.size):
-            same &= h[at + j] == self.h[which, j]
+            same &= h[at + j] == self.words.h[self.at[which] + j]
         return at[same], which[same]
 
 
 class Patterns:
-    """All windows of one benchmark block."""
+    """All windows of one benchmark block; each item is hashed once."""
 
     def __init__(self, rows: list[tuple[str, str | None]], n: int):
         hasher = WordHasher(symbol_separators(), lower=True)
         self.ids = sorted({i for i, _ in rows})
         number = {i: k for k, i in enumerate(self.ids)}
-        by_size: dict[int, dict[tuple[bytes, ...], list[int]]] = {}
-        for item, text in rows:
-            w = words_of(text)
-            size = min(n, len(w))
-            for k in range(len(w) - size + 1 if w else 0):
-                owners = by_size.setdefault(size, {}).setdefault(tuple(w[k:k + size]), [])
-                if number[item] not in owners:
-                    owners.append(number[item])
-        self.tables = [WindowTable(size, list(ws), list(ws.values()), hasher) for size, ws in sorted(by_size.items())]
+        words = ItemWords([t for _, t in rows], hasher)
+        count = np.bincount(words.item, minlength=len(rows))
+        row = words.item
+        words.item = np.array([number[i] for i, _ in rows], np.int64)[row]
+        base = np.cumsum(count) - count
+        size = np.minimum(count, n)[row]
+        place = np.arange(len(row)) - base[row]
+        starts = place + size <= count[row]
+        self.tables = [WindowTable(int(s), words, np.flatnonzero(starts & (size == s)), hasher) for s in np.unique(size).tolist()]
 
 
 def search(patterns: Patterns, column: pa.Array) -> tuple[list[int], list[list[tuple[int, int]]], list[list[str]]]:
@@ -137,12 +167,12 @@ def search(patterns: Patterns, column: pa.Array) -> tuple[list[int], list[list[t
         for t in patterns.tables:
             for at, which in zip(*(x.tolist() for x in t.matches(h, row))):
                 s, e = int(start[at]), int(end[at + t.size - 1])
-                if tuple(data[s:e].tobytes().translate(LOWER).split()) != t.windows[which]:
+                if b" ".join(data[s:e].tobytes().translate(LOWER).split()) != t.text(which):
                     continue
                 r = int(row[at])
                 spans, owners = hits.setdefault(r, ([], set()))
                 spans.append((at - int(base[r]), at - int(base[r]) + t.size))
-                owners.update(t.items[which])
+                owners.update(t.items(which))
         for r in range(rows):
             if r not in hits:
                 ranges.append([])

@@ -86,3 +86,28 @@ def test_remove_keeps_columns(spark, docs_of):
 
 def test_digest_of_no_items(spark):
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_block_memory_is_bounded():
+    """Half a block of long items takes well under 300 MB while it is built, and under 60 MB to send."""
+    import pickle
+    import random
+    import tracemalloc
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(50_000)]
+    rows = [(str(i), " ".join(rng.choice(vocab) for _ in range(200))) for i in range(2500)]
+    tracemalloc.start()
+    p = D.Patterns(rows, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6 * len(rows) / 2500 and len(pickle.dumps(p)) < 60e6
+    assert len(p.tables) == 1 and len(p.tables[0].at) == 2500 * 191
+
+
+def test_equal_windows_are_one_pattern_with_all_items():
+    rows = [("a", "x y z"), ("b", "X  y, z!"), ("c", None), ("a", "x y z"), ("d", "z y x q")]
+    p = D.Patterns(rows, 3)
+    t = p.tables[0]
+    assert sorted(t.text(k).decode() for k in range(len(t.at))) == ["x y z", "y x q", "z y x"]
+    k = [t.text(i) for i in range(len(t.at))].index(b"x y z")
+    assert sorted(set(t.items(k))) == [0, 1]
