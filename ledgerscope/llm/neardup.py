@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ledgerscope.llm.components import connected_components
 from ledgerscope.llm.store import write_table
@@ -33,6 +33,7 @@ PER_COLLECTION = 3
 PERCENT = 80
 PRUNE_BELOW = 0.55
 BLOCK = 256
+BLOCK_BYTES = 8 << 20  # and about so many bytes of text, or one longer text
 SLICE_BYTES = 1 << 18
 
 
@@ -192,13 +193,14 @@ def complete_families(pruned: DataFrame, comp: DataFrame, texts: DataFrame, shin
     family = connected_components(cross, "families").select(F.col("node").alias("piece"), F.col("comp").alias("family"))
     nodes = pruned.select(F.col("a").alias("node")).union(pruned.select("b")).distinct()
     members = nodes.join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("piece")).join(family, "piece")
-    pieces = members.groupBy("family", "piece").agg(F.count("*").alias("n"))
-    main = pieces.groupBy("family").agg(F.sum("n").alias("total"), F.max(F.struct("n", "piece")).alias("top"))
+    size = texts.select("node", F.octet_length("text").alias("size"))
+    pieces = members.join(size, "node").groupBy("family", "piece").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    main = pieces.groupBy("family").agg(F.sum("n").alias("total"), F.sum("size").alias("bytes"), F.max(F.struct("n", "piece")).alias("top"))
     # a family of two classes has been compared by its star
-    main = main.where("total > 2").select("family", "total", F.col("top.piece").alias("main"))
+    main = main.where("total > 2").select("family", F.greatest(F.ceil(F.col("total") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"),
+                                          F.col("top.piece").alias("main"))
     spread = members.join(main, "family").select(
-        "family", "node", "piece", (F.col("piece") != F.col("main")).alias("outsider"),
-        F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
+        "family", "node", "piece", (F.col("piece") != F.col("main")).alias("outsider"), "blocks")
     spread = spread.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     packed = spread.join(texts, "node").groupBy("family", "outsider", "block", "blocks").agg(
         F.collect_list(F.struct("node", "piece", "text")).alias("docs"))
@@ -255,8 +257,9 @@ def grouped(documents: DataFrame, shingle: int, percent: int, m: int = COLLECTIO
 
     tuples, keys = table_keys(m, r)
     rows = classes.select("node", tuples.alias("tuples")).select("node", F.explode(keys).alias("key"))
-    bucket = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stars = rows.withColumn("first", F.first("node").over(bucket)).where("first != node")
+    # the smallest node of a bucket is its star; partial minima keep a bucket of any size from one task
+    shared = rows.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    stars = rows.join(shared, "key").where("first != node")
     pairs = write_table(stars.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "candidates")
 
     facts = classes.select("node", "mh", "n_shingles")

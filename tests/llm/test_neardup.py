@@ -92,3 +92,18 @@ def test_block_links_join_pieces(spark):
     left = [(1, 1, u(1, 2, 3, 4, 5)), (2, 2, u(7, 8))]
     right = [(3, 3, u(1, 2, 3, 4, 5)), (4, 3, u(1, 2, 3, 4, 5)), (5, 5, u(9,))]
     assert N.block_links(left, right, 80) == [(1, 3)]
+
+
+def test_blocks_bounded_by_bytes_give_the_same_groups(docs_of, monkeypatch):
+    docs = family(11, [(60, 30), (40, 25)], 9)
+    want = brute(docs, 2)
+    monkeypatch.setattr(N, "BLOCK_BYTES", 700)
+    assert run(docs_of, docs, 2) == want
+
+
+def test_many_copies_of_one_row(docs_of):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = docs_of([(7, text)])
+    frame = docs.crossJoin(docs.sparkSession.range(10_000).select("id")).drop("id").union(docs_of([(9, text + " more"), (8, "other words here")]))
+    rows = N.near_duplicates(frame, 2).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert sorted(tuple(r) for r in rows) == [(7, 7, True, 10_000), (8, 8, True, 1), (9, 7, False, 1)]
