@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerscope.llm.store import write_table
+from ledgerscope.llm.store import bound_batches, write_table
 
 
 def fold(doc_id: str, folds: int, held: int) -> Column:
@@ -15,9 +20,9 @@ def fold(doc_id: str, folds: int, held: int) -> Column:
 SAMPLE_BYTES = 64 << 20
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: dict[int, int],
-                    seed: int = 11, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
-    """At most ``per_class[c]`` (text, c) pairs of each class c, chosen by a hash of the id.
+def labelled_rows(documents: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: dict[int, int],
+                  seed: int = 11, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """At most ``per_class[c]`` rows (text, y, h, doc_id) of each class y = c, chosen by a hash h of the id.
 
     Only ids for which ``learn`` (an expression over doc_id) holds and that
     have a document with a text are drawn, each once: of rows that repeat an
@@ -48,9 +53,29 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, learn:
         if n <= left:
             left -= n
             chosen.append((doc_id, y))
-    if not chosen:
-        return []
-    spark = documents.sparkSession
-    wanted = spark.createDataFrame(chosen, one.select("doc_id", "y").schema)
-    got = one.join(F.broadcast(wanted), ["doc_id", "y"]).select("text", "y", "h", "doc_id").orderBy("h", "doc_id", "y").toArrow()
+    wanted = documents.sparkSession.createDataFrame(chosen, one.select("doc_id", "y").schema)
+    return one.join(F.broadcast(wanted), ["doc_id", "y"]).select("text", "y", "h", "doc_id")
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: dict[int, int], **more) -> list[tuple[str, int]]:
+    """The (text, class) pairs of ``labelled_rows`` on the driver, in the order of the hash."""
+    got = labelled_rows(documents, labels, label, learn, per_class, **more).orderBy("h", "doc_id", "y").toArrow()
     return list(zip(got.column("text").to_pylist(), got.column("y").to_pylist()))
+
+
+def fit_in_task(rows: DataFrame, fit: Callable[[list[tuple[str, int]]], Any]) -> dict:
+    """The attributes of ``fit(pairs)``, fitted on ``labelled_rows`` inside one task.
+
+    The sample and all that is made of it stay in a worker; only the model's
+    arrays come back. A lost executor costs one more fit.
+    """
+
+    def run(batches):
+        pairs = []
+        for b in batches:
+            pairs += zip(b.column("text").to_pylist(), b.column("y").to_pylist())
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(vars(fit(pairs)))], pa.binary())})
+
+    bound_batches(rows.sparkSession)
+    got = rows.repartition(1).sortWithinPartitions("h", "doc_id", "y").mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0].model) if got else vars(fit([]))

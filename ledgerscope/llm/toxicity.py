@@ -11,7 +11,7 @@ toxic documents, words with a feature whose document frequencies differ from
 the clean ones beyond chance; then the fitted field labels them again.
 
 The fit uses a bounded sample (SAMPLE documents per class, by a hash of the
-id) of rows outside the held-out fold. Scoring is one narrow pass over all
+id) of rows outside the held-out fold, inside one task. Scoring is one narrow pass over all
 rows.
 """
 
@@ -21,12 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerscope.llm.labelled import fold, labelled_sample
+from ledgerscope.llm.labelled import fit_in_task, fold, labelled_rows
 from ledgerscope.llm.neardup import minhashes, shingle_sets
 from ledgerscope.llm.store import share, with_fields
 from ledgerscope.llm.textarrays import U64, WordHasher, mix, symbol_separators, text_slices
 
-SAMPLE = {1: 700, 0: 900}
+SAMPLE = {1: 1200, 0: 2000}
 BITS = 20
 SEGMENT = 64
 THRESHOLD = 0.3
@@ -339,7 +339,9 @@ def score_toxicity(documents: DataFrame, field: Field, keep: tuple[str, ...] = (
 
 def learn_toxicity(documents: DataFrame, labels: DataFrame) -> Field:
     """Field from the labelled rows outside the held-out fold."""
-    return fit(labelled_sample(documents, labels, "toxic", ~fold("doc_id", 4, 2), SAMPLE))
+    field = Field()
+    vars(field).update(fit_in_task(labelled_rows(documents, labels, "toxic", ~fold("doc_id", 4, 2), SAMPLE), fit))
+    return field
 
 
 def toxicity_query(spark, sf_dir: str) -> DataFrame:
