@@ -36,7 +36,7 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     bound_batches(spark)
     path = shared_dir(spark, f"{name}-{uuid.uuid4().hex}")
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
