@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerscope.llm.store import write_table
 
 CONSTANT_PERCENT = 90
-# child lists with more pairs than this are matched in order of their kinds instead of by the largest match
+# cells of a match table that are held at a time; the match does not depend on it
 MOST_PAIRS = 1 << 22
 IN_REGION, ON_PAGE, UNLESS_TAG = 1, 2, 4
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
@@ -190,82 +190,138 @@ class Tree:
                 self.kids[p].append(i)
 
 
-def best_match(weight: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (i, j) of an order-preserving match of largest total weight (0: must not match)."""
-    n, m = weight.shape
-    best = np.zeros((n + 1, m + 1), np.int64)
-    for i in range(n):
-        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + weight[i]))
-    i, j, out = n, m, []
-    while i and j:
-        if best[i, j] == best[i - 1, j]:
-            i -= 1
-        elif best[i, j] == best[i, j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out.append((i, j))
-    return out[::-1]
+class Shapes:
+    """Subtrees of a tree, numbered: subtrees of one kind, text and subtrees below share a number.
 
+    ``kinds`` and ``texts`` number block kinds and the texts that both trees hold
+    (0: any other text), so that numbers can be compared across the two trees.
+    """
 
-def in_order(left: list[str], right: list[str]) -> list[tuple[int, int]]:
-    """Each of the left kinds with the next unused right one of its kind; for lists too long to compare pairwise."""
-    out, j = [], 0
-    places: dict[str, list[int]] = {}
-    for k, key in enumerate(right):
-        places.setdefault(key, []).append(k)
-    at = dict.fromkeys(places, 0)
-    for i, key in enumerate(left):
-        own = places.get(key, ())
-        k = at.get(key, 0)
-        while k < len(own) and own[k] < j:
-            k += 1
-        if k < len(own):
-            out.append((i, own[k]))
-            j = own[k] + 1
-            at[key] = k + 1
+    def __init__(self, tree: Tree, kinds: dict[str, int], texts: dict[int, int]):
+        known: dict[tuple, int] = {}
+        self.of = [0] * len(tree.keys)
+        kind, text, self.kids, self.height = [], [], [], []
+        for k in range(len(tree.keys) - 1, -1, -1):
+            below = tuple(self.of[c] for c in tree.kids[k])
+            own = kinds.setdefault(tree.keys[k], len(kinds)), texts.get(tree.texts[k], 0), below
+            self.of[k] = known.setdefault(own, len(known))
+            if len(known) > len(self.kids):
+                kind.append(own[0])
+                text.append(own[1])
+                self.kids.append(below)
+                self.height.append(1 + max((self.height[c] for c in below), default=0))
+        self.kind, self.text = np.array(kind, np.int64), np.array(text, np.int64)
+
+
+def next_best(best: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Largest total weights with one more left item, by number of right items; ``weight`` is its row (0: must not match)."""
+    out = np.zeros_like(best)
+    np.maximum.accumulate(np.maximum(best[1:], best[:-1] + weight), out=out[1:])
     return out
 
 
+def best_match(row, n: int, m: int) -> list[tuple[int, int]]:
+    """Pairs (i, j) of an order-preserving match of largest total weight; ``row(i)`` has the weights of left item i.
+
+    About ``MOST_PAIRS`` cells of the table are held at a time, besides one row in every
+    block of rows from which the block is computed again on the way back.
+    """
+    block = max(1, MOST_PAIRS // (m + 1))
+    saved = [np.zeros(m + 1, np.int64)]
+    best = saved[0]
+    for i in range((n - 1) // block * block):
+        best = next_best(best, row(i))
+        if (i + 1) % block == 0:
+            saved.append(best)
+    i, j, out = n, m, []
+    while saved and i and j:
+        low = (len(saved) - 1) * block
+        table = [saved.pop()]
+        for k in range(low, i):
+            table.append(next_best(table[-1], row(k)))
+        while i > low and j:
+            here, above = table[i - low], table[i - low - 1]
+            if here[j] == above[j]:
+                i -= 1
+            elif here[j] == here[j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+    return out[::-1]
+
+
 def match_trees(a: Tree, b: Tree) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching: size of the largest order-preserving match of two trees, and its pairs of nodes.
 
     Equal texts of matched nodes count as one more matched node, so that fixed
-    blocks align with themselves. Without recursion, however deep the trees are.
+    blocks align with themselves. The match is the largest one whatever the number of
+    children; equal subtrees are compared once. Without recursion, however deep the trees are.
     """
     if a.keys[0] != b.keys[0]:
         return 0, []
-    todo = [(0, 0)]
-    for x, y in todo:  # pairs below come after their parents
-        kinds: dict[str, list[int]] = {}
-        for k in b.kids[y]:
-            kinds.setdefault(b.keys[k], []).append(k)
-        if len(a.kids[x]) * len(b.kids[y]) > MOST_PAIRS:
-            todo += [(a.kids[x][i], b.kids[y][j]) for i, j in in_order([a.keys[k] for k in a.kids[x]], [b.keys[k] for k in b.kids[y]])]
-        else:
-            todo += [(k, o) for k in a.kids[x] for o in kinds.get(a.keys[k], ())]
+    kinds: dict[str, int] = {}
+    texts = {t: k for k, t in enumerate(sorted(set(a.texts) & set(b.texts) - {0}), 1)}
+    left, right = Shapes(a, kinds, texts), Shapes(b, kinds, texts)
+    todo = [(left.of[0], right.of[0])]
+    seen = set(todo)
+    for p, q in todo:  # pairs of subtrees that both have children
+        inner: dict[int, list[int]] = {}
+        for o in set(right.kids[q]):
+            if right.kids[o]:
+                inner.setdefault(int(right.kind[o]), []).append(o)
+        for k in set(left.kids[p]) if inner else ():
+            if left.kids[k]:
+                more = [(k, o) for o in inner.get(int(left.kind[k]), ()) if (k, o) not in seen]
+                todo += more
+                seen.update(more)
     size: dict[tuple[int, int], int] = {}
-    chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for x, y in reversed(todo):
-        own = 1 + (a.texts[x] != 0 and a.texts[x] == b.texts[y])
-        left, right = a.kids[x], b.kids[y]
-        if left and right:
-            if len(left) * len(right) > MOST_PAIRS:
-                pairs = [(i, j) for i, j in in_order([a.keys[k] for k in left], [b.keys[k] for k in right])]
-            elif len(left) == 1 or len(right) == 1:
-                ways = [(size.get((p, o), 0), -i - j, i, j) for i, p in enumerate(left) for j, o in enumerate(right)]
-                top = max(ways)
-                pairs = [top[2:]] if top[0] else []
-            else:
-                weight = np.array([[size.get((p, o), 0) for o in right] for p in left], np.int64)
-                pairs = best_match(weight)
-            chosen[x, y] = [(left[i], right[j]) for i, j in pairs]
-            own += sum(size[p] for p in chosen[x, y])
-        size[x, y] = own
+
+    def rows(p: int, q: int):
+        """Weights of a child of p with every child of q: sizes of their matches, 0 for different kinds."""
+        ks = left.kids[p]
+        at = np.array(right.kids[q], np.int64)
+        kind, text = right.kind[at], right.text[at]
+        inner: dict[int, list[tuple[int, int]]] = {}
+        for j, o in enumerate(right.kids[q]):
+            if right.kids[o]:
+                inner.setdefault(int(right.kind[o]), []).append((j, o))
+        made: dict[int, np.ndarray] = {}
+
+        def row(i: int) -> np.ndarray:
+            k = ks[i]
+            weight = made.get(k)
+            if weight is None:
+                same = kind == left.kind[k]
+                weight = same.astype(np.int64)
+                if left.text[k]:
+                    weight += same & (text == left.text[k])
+                if left.kids[k]:
+                    for j, o in inner.get(int(left.kind[k]), ()):
+                        weight[j] = size[k, o]
+                if len(made) * len(at) < MOST_PAIRS:
+                    made[k] = weight
+            return weight
+
+        return row
+
+    for p, q in sorted(todo, key=lambda pair: left.height[pair[0]]):
+        best = np.zeros(len(right.kids[q]) + 1, np.int64)
+        if len(left.kids[p]) == len(right.kids[q]) == 1:
+            k, o = left.kids[p][0], right.kids[q][0]
+            if left.kind[k] == right.kind[o]:
+                best[1] = size[k, o] if left.kids[k] and right.kids[o] else 1 + (left.text[k] != 0 and left.text[k] == right.text[o])
+        elif left.kids[p] and right.kids[q]:
+            row = rows(p, q)
+            for i in range(len(left.kids[p])):
+                best = next_best(best, row(i))
+        size[p, q] = 1 + int(left.text[p] != 0 and left.text[p] == right.text[q]) + int(best[-1])
     matched = [(0, 0)]
-    for pair in matched:
-        matched += chosen.get(pair, ())
-    return size[0, 0], matched
+    for x, y in matched:
+        if a.kids[x] and b.kids[y]:
+            found = best_match(rows(left.of[x], right.of[y]), len(a.kids[x]), len(b.kids[y]))
+            matched += [(a.kids[x][i], b.kids[y][j]) for i, j in found]
+    return size[left.of[0], right.of[0]], matched
 
 
 def slots_of(tree: Tree, reference: Tree) -> list[int]:

@@ -129,6 +129,17 @@ def test_long_lists_are_matched_in_order(monkeypatch):
     assert size == len(pairs) > 8 and all(a.keys[x] == b.keys[y] for x, y in pairs)
 
 
+def test_long_lists_get_the_largest_match(monkeypatch):
+    """The match of a child list does not depend on its length, nor on how much of the table is held."""
+    late = "<h2><i></i></h2>" + "<p></p><h3></h3>" * 9
+    a, b = tree_of("<ul>" + late + "</ul>"), tree_of("<ul>" + "<p></p><h3></h3>" * 9 + "<h2><p></p></h2></ul>")
+    want = P.match_trees(a, b)
+    assert want[0] == 20
+    for most in (0, 4, 60, 200):
+        monkeypatch.setattr(P, "MOST_PAIRS", most)
+        assert P.match_trees(a, b) == want
+
+
 def test_collapse_joins_runs_of_leaves_only():
     parents, keys, node = P.collapse(*P.flatten(P.parse("<div><p>a<p>b<p>c<ul><li>x</ul><p>d</div><div><p>e</div>"))[:2])
     assert keys == ["", "div", "p", "ul", "li", "p", "div", "p"]
