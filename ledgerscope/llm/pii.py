@@ -13,10 +13,10 @@ shapes, and the same windows with rewritten spans set into them. Digits have
 one class, so checks of arithmetic (Luhn, octets, number of digits) are made on
 what the network finds, not learnt.
 
-No kind exists without an at sign or four digits close together. Regions around those
-places are cut into windows that overlap by half. Each window is decoded; a
-span cut by an inner window edge is left to the neighbour that holds it
-whole; then all spans of a document are reconciled at once, base spans first,
+Every text is read from its first character to its last in windows that overlap by half.
+A window is decoded unless no span in it could pass the exact checks, which need an at
+sign, bracketed or not, or four digits; leaving it undecoded changes nothing. A
+span cut by an inner window edge is left to the neighbour that holds it whole; then all spans of a document are reconciled at once, base spans first,
 the others by the largest total confidence without overlaps.
 """
 
@@ -51,6 +51,8 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 SPOT = re.compile(r"@|[\[({] ?(?:at|AT) ?[\])}]|[0-9](?:[^0-9\n]{0,3}[0-9]){3,}+")
 EMAIL_WHOLE = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 AT_FORMS = re.compile(r"\s*[\[({] ?at ?[\])}]\s*|\s*@\s*", re.I)
+AT_SIGN = re.compile(r"@|[\[({] ?at ?[\])}]", re.I)
+DIGIT = re.compile(r"[0-9]")
 DOT_FORMS = re.compile(r"\s*[\[({] ?(?:dot|\.) ?[\])}]\s*|\s*\.\s*", re.I)
 
 
@@ -492,16 +494,9 @@ def learn_tagger(documents: DataFrame) -> Tagger:
 
 # ---------------------------------------------------------------- spans of documents
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches around the places that a span may hold, merged where they meet."""
-    out: list[list[int]] = []
-    for m in SPOT.finditer(text):
-        low, high = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if out and low <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], high)
-        else:
-            out.append([low, high])
-    return [(a, b) for a, b in out]
+def may_pass(text: str) -> bool:
+    """Whether any stretch of ``text`` could be ``plausible``: emails need an at sign in one of its forms, all other kinds four digits."""
+    return AT_SIGN.search(text) is not None or len(DIGIT.findall(text)) >= 4
 
 
 def windows_of(low: int, high: int) -> list[tuple[int, int]]:
@@ -584,9 +579,9 @@ def find_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, in
         queue.clear()
 
     for d, text in enumerate(texts):
-        for low, high in regions(text):
-            for s, e in windows_of(low, high):
-                queue.append((d, s, e, low, high))
+        for s, e in windows_of(0, len(text)):
+            if may_pass(text[s:e]):
+                queue.append((d, s, e, 0, len(text)))
                 if len(queue) == GROUP:
                     work()
     if queue:

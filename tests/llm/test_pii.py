@@ -117,6 +117,44 @@ def test_windows_cover_regions_and_long_texts(tagger):
     assert all(0 <= s < e <= len(text) for _, s, e, _ in spans)
 
 
+class Marker:
+    """Stands for a network that is sure of one stretch of characters, wherever it is."""
+
+    def __init__(self, kind, codes):
+        self.kind, self.codes = kind, codes
+
+    def decode(self, x, lengths):
+        paths, n = np.zeros(x.shape, np.int64), len(self.codes)
+        for row, path in zip(x, paths):
+            for at in range(len(row) - n + 1):
+                if (row[at:at + n] == self.codes).all():
+                    path[at], path[at + 1:at + n] = 1 + 2 * self.kind, 2 + 2 * self.kind
+        return paths, np.ones(x.shape)
+
+
+def test_every_position_is_looked_at():
+    """Digits far apart and at signs in any case are read too, wherever they stand."""
+    for kind, span in ((1, "7 [dot] 8 [dot] 9 [dot] 6"), (0, "anna (At) host.org"), (2, "4  -  111 1111 1111 1111"), (3, "+1\n743\n555\n3824")):
+        if not P.plausible(kind, span):
+            continue
+        for before in (0, 1, 63, 64, 100, 128, 300):
+            text = "x" * before + " " + span + " " + "y" * 200
+            spans = P.find_spans([text], Marker(kind, P.coded(span)))[0]
+            assert (kind, before + 1, before + 1 + len(span), False) in spans, (span, before)
+
+
+def test_windows_left_undecoded_hold_no_plausible_span():
+    rng = random.Random(5)
+    bits = ["a", "7", "12", "@", " ", ".", "-", "(", ")", "+", "[at]", "{ AT }", "[dot]", "(.)", "x.org", "\n", "é", "4111111111111111"]
+    seen = 0
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 9)))
+        if not P.may_pass(text):
+            seen += 1
+            assert not any(P.plausible(k, text[s:e]) for k in range(4) for s in range(len(text)) for e in range(s + 1, len(text) + 1)), text
+    assert seen > 100
+
+
 def test_reconcile_is_the_best_set():
     rng = random.Random(2)
     for _ in range(200):
