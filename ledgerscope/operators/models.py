@@ -207,6 +207,7 @@ def lloyd(z: DataFrame, models: dict, cols=FEATURES, most: int = 300) -> dict:
     return {m: (float(inertia[m]), centres[m]) for m in centres}
 
 
+TASK_ROWS = 8192        # rows per task of a pass: the passes are many, so tasks follow the rows and not the partitions before
 SEED_ROWS = 4000        # rows of the bounded sample that start centres are drawn from
 
 
@@ -217,7 +218,8 @@ def kmeans_models(features: DataFrame, ks=range(2, 11), restarts: int = 10, seed
     Spark's squared Euclidean one, which is linear in the rows; see
     ``euclidean_silhouette`` for the other.
     """
-    z = _cut(standardize(features.select("customer_id", *FEATURES)))
+    tasks = max(1, -(-features.count() // TASK_ROWS))
+    z = _cut(standardize(features.select("customer_id", *FEATURES)).coalesce(tasks))
     rows = z.orderBy(F.xxhash64(F.lit(seed), "customer_id"), "customer_id").select(*FEATURES).limit(SEED_ROWS).collect()
     sample = np.array([list(r) for r in rows], float)
     if not len(sample):
@@ -291,6 +293,8 @@ def euclidean_silhouette(points: DataFrame, label: str, cols=FEATURES) -> DataFr
     blocks = max(1, -(-rows.count() // BLOCK_ROWS))
     rows = rows.withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int"))
     each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    # few bytes, much work: one task per few pairs of blocks, not as many as the bytes would fill
+    tasks = min(blocks * blocks, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks * blocks // 4))
     left = rows.select(F.col("_block").alias("_i"), each.alias("_j"), "_id", "_own", *cols)
     right = rows.select(F.col("_block").alias("_rj"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_ri"), "_own", *cols)
 
@@ -304,7 +308,12 @@ def euclidean_silhouette(points: DataFrame, label: str, cols=FEATURES) -> DataFr
                 part = y[names == name]
                 total = np.zeros(len(x))
                 for at in range(0, len(part), 256):
-                    total += np.sqrt(((x[:, None, :] - part[None, at:at + 256, :]) ** 2).sum(axis=2)).sum(axis=1)
+                    for low in range(0, len(x), 256):   # column by column, in squares that fit the cache
+                        squares = np.zeros((len(x[low:low + 256]), len(part[at:at + 256])))
+                        for j in range(x.shape[1]):
+                            gap = x[low:low + 256, None, j] - part[None, at:at + 256, j]
+                            squares += gap * gap
+                        total[low:low + 256] += np.sqrt(squares).sum(axis=1)
                 out["id"].append(ids)
                 out["c"].append(own)
                 out["other"].append(np.full(len(x), name, object))
@@ -313,6 +322,7 @@ def euclidean_silhouette(points: DataFrame, label: str, cols=FEATURES) -> DataFr
         types = {"id": pa.int64(), "c": pa.string(), "other": pa.string(), "d": pa.float64(), "n": pa.int64()}
         return pa.table({k: pa.array(np.concatenate(v) if v else [], types[k]) for k, v in out.items()})
 
+    left, right = left.repartition(tasks, "_i", "_j"), right.repartition(tasks, "_ri", "_rj")
     sums = left.groupBy("_i", "_j").cogroup(right.groupBy("_ri", "_rj")).applyInArrow(tile, "id bigint, c string, other string, d double, n bigint")
     each = sums.groupBy("id", "c", "other").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
     own = F.max(F.when(F.col("c") == F.col("other"), F.struct("d", "n")))

@@ -116,3 +116,22 @@ def test_logistic_certificate_tells_the_optimum(spark):
         loss, norm = direct(w + dw * np.eye(*w.shape), b)
         assert (got.n_train, got.n_classes) == (300, 3) and abs(got.loss - loss) < 1e-9 and abs(got.gradient_norm - norm) < 1e-9
         assert (got.gradient_norm < 1e-4) == (dw == 0.0)
+
+
+def test_passes_have_tasks_by_their_rows(spark, monkeypatch):
+    """The sweep's many passes read as many partitions as the rows fill, not as many as the feature table came in."""
+    rng = np.random.default_rng(3)
+    rows = [(i, "s", *map(float, rng.normal(0, 1, len(MD.FEATURES)))) for i in range(300)]
+    f = spark.createDataFrame(rows, "customer_id bigint, segment string, " + ", ".join(f"{c} double" for c in MD.FEATURES)).repartition(40)
+    seen = []
+
+    def watched(z, models, **more):
+        seen.append(z.rdd.getNumPartitions())
+        return real(z, models, **more)
+
+    real = MD.lloyd
+    monkeypatch.setattr(MD, "lloyd", watched)
+    assert set(MD.kmeans_models(f, ks=(2, 3), restarts=2)) == {2, 3}
+    monkeypatch.setattr(MD, "TASK_ROWS", 100)
+    MD.kmeans_models(f, ks=(2,), restarts=1)
+    assert seen == [1, 3]
