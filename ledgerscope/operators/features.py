@@ -53,7 +53,11 @@ def regularity_feature(panel: DataFrame, p: RiskParams = DEFAULT_PARAMS) -> Data
 
 def fhs_window_stats(panel: DataFrame, p: RiskParams = DEFAULT_PARAMS) -> DataFrame:
     """fhs_mean and population fhs_std (0 for a single window)."""
-    h = hopping_scores(panel, p)
+    return window_stats(hopping_scores(panel, p))
+
+
+def window_stats(h: DataFrame) -> DataFrame:
+    """``fhs_window_stats`` of hopping scores already made."""
     return h.groupBy("customer_id").agg(
         exact_avg("fhs", 2).alias("fhs_mean"),
         F.count(F.lit(1)).alias("n_windows"),

@@ -215,7 +215,7 @@ def calendar_month_bucket(spark, sf):
 SELECT customer_id, date, {Q.hu('balance - lag(balance) OVER (PARTITION BY customer_id ORDER BY date)', 2)} AS diff
 FROM panel""")
 def win_daily_diff(spark, sf):
-    d = W.daily_diff(panel(spark, sf))
+    d = R.by_kind(L.line_runs(spark, sf), R.daily_diff, W.daily_diff)
     return d.select("customer_id", "date", X.half_up("diff", 2).alias("diff"))
 
 
@@ -223,13 +223,13 @@ def win_daily_diff(spark, sf):
 SELECT customer_id, date, max(balance) OVER (PARTITION BY customer_id ORDER BY date
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_max FROM panel""")
 def win_running_max(spark, sf):
-    return W.running_max(panel(spark, sf)).select("customer_id", "date", "running_max")
+    return R.by_kind(L.line_runs(spark, sf), R.running_max, W.running_max).select("customer_id", "date", "running_max")
 
 
 @register("win_row_index", sql=Q.with_(*LINES) + """
 SELECT customer_id, date, row_number() OVER (PARTITION BY customer_id ORDER BY date) - 1 AS idx FROM panel""")
 def win_row_index(spark, sf):
-    return W.row_index(panel(spark, sf)).select("customer_id", "date", "idx")
+    return R.by_kind(L.line_runs(spark, sf), R.row_index, W.row_index).select("customer_id", "date", "idx")
 
 
 @register("win_first_last", sql=Q.with_(*LINES) + """
@@ -244,7 +244,7 @@ def win_first_last(spark, sf):
 SELECT customer_id, segment, date, balance FROM (SELECT *, row_number() OVER
   (PARTITION BY customer_id ORDER BY date DESC) AS rn FROM panel) WHERE rn <= 30""")
 def win_tail_n(spark, sf):
-    return W.tail_n(panel(spark, sf), 30)
+    return R.by_kind(L.line_runs(spark, sf), lambda runs: R.tail_n(runs, 30), lambda days: W.tail_n(days, 30))
 
 
 @register("rank_average", sql=FEAT + """
@@ -561,7 +561,7 @@ scored AS (SELECT p.customer_id, c.class, CASE WHEN p.actual = c.class THEN 1 EL
 
 def predictions(spark, sf):
     f = features(spark, sf).select("customer_id", F.col("risk_tier").alias("actual"))
-    o = S.customer_scores(L.order_panel(spark, sf)).select("customer_id", "fhs")
+    o = R.by_kind(L.order_runs(spark, sf), R.customer_scores, S.customer_scores).select("customer_id", "fhs")
     return f.join(o, "customer_id").withColumn("predicted", X.risk_tier("fhs"))
 
 

@@ -82,3 +82,50 @@ def test_plans_write_out_no_day(spark):
     for name in ("customer_fhs", "segment_heatmap", "stress_shock_grid", "customer_features", "hopping_fhs", "score_debt_ratio"):
         plan = E.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().treeString()
         assert "explode(sequence(first_day" not in plan and "explode(sequence(date" not in plan, name
+
+
+def odd_ledger(spark):
+    """Runs where a customer's account row comes twice and another one's opening balance is unknown."""
+    start = dt.date(2023, 1, 17)
+    rng = random.Random(11)
+    flows = [(c, start + dt.timedelta(i), round(rng.uniform(-900, 900), 2)) for c in range(6) for i in range(0, 230, 3 + 7 * c)]
+    f = spark.createDataFrame(flows, "customer_id bigint, date date, amount double").withColumn("amount", F.col("amount").cast("decimal(18,5)"))
+    a = spark.createDataFrame([(0, "A", 10.0), (1, "B", 20.0), (1, "B", 20.0), (2, "A", None), (3, None, -50.0), (4, "B", 0.0)],
+                              "customer_id bigint, segment string, opening double").withColumn("opening", F.col("opening").cast("decimal(18,5)"))
+    return L.ledger_to_runs(f, a).cache()
+
+
+def rounded(df):
+    return sorted(repr([round(v, 6) if isinstance(v, float) else v for v in r]) for r in df.collect())
+
+
+def days_moved(df):
+    """Expressions that rows are dealt by, and whether a sort reads rows that were written out as days."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [part for part in plan.split("Window ")[1:] if "Generate" in part]
+
+
+ROWS = [(R.daily_diff, W.daily_diff), (R.running_max, W.running_max), (R.row_index, W.row_index),
+        (lambda r: R.tail_n(r, 30), lambda p: W.tail_n(p, 30))]
+
+
+@pytest.mark.parametrize("closed, dense", ROWS)
+def test_rows_of_runs_match_the_panel(spark, closed, dense):
+    runs, panel = ledger(spark, 5, 9, 200, rate=0.1)
+    assert rounded(closed(runs)) == rounded(dense(panel))
+    assert not days_moved(closed(runs)) and days_moved(dense(panel))
+    odd = odd_ledger(spark)
+    names = closed(odd).columns
+    assert rounded(R.by_kind(odd, closed, dense)) == rounded(dense(L.expand_runs(odd)).select(*names))
+
+
+BALANCE = ["customer_id", "segment", "bal_mean", "bal_std", "bal_trend", "vel_mean", "vel_max", "pct_negative_days", "max_drawdown", "avg_expense"]
+SERIES = [(lambda r: R.balance_features(r).select(*BALANCE), lambda p: FT.balance_features(p).select(*BALANCE)),
+          (R.hopping_scores, W.hopping_scores), (R.customer_scores, S.customer_scores)]
+
+
+@pytest.mark.parametrize("closed, dense", SERIES)
+def test_repeated_accounts_and_unknown_balances_are_counted_by_rows(spark, closed, dense):
+    odd = odd_ledger(spark)
+    want = dense(L.expand_runs(odd))
+    assert rounded(R.by_kind(odd, closed, dense).select(*want.columns)) == rounded(want)
