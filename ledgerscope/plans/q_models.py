@@ -291,8 +291,9 @@ def src_panel_quarantine(spark, sf):
 def src_panel_table(spark, sf):
     """The panel written once as a bucketed, sorted table and read back;
     per-customer operators on it run without an exchange."""
-    from ledgerscope.sources.panel_store import save_panel_table
-    return save_panel_table(L.line_panel(spark, sf), name="ledgerscope_line_panel")
+    from ledgerscope.sources.panel_store import save_runs_as_panel
+    days = L.calendar_bounds(L.line_dates(spark, sf)).select(F.datediff("d_end", "d_start") + 1).first()[0] or 0
+    return save_runs_as_panel(L.line_runs(spark, sf), L.accounts(spark, sf).count() * days, name="ledgerscope_line_panel")
 
 
 @register("sink_features_csv", sql=FEAT + "SELECT * FROM features")

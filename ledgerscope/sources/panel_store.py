@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerscope.session import shared_dir
+from ledgerscope.sources.ledger import expand_runs
 
 
 def save_table(df: DataFrame, name: str, key: str = "customer_id", sort: tuple[str, ...] = ("customer_id",),
@@ -24,16 +25,32 @@ def save_table(df: DataFrame, name: str, key: str = "customer_id", sort: tuple[s
     Every call takes a table name and a folder of its own (``name`` and a
     random suffix), so runs on one cluster never overwrite each other.
     """
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _write(df.repartition(n, key), name, key, sort, n, path)
+
+
+def _write(df: DataFrame, name: str, key: str, sort: tuple[str, ...], n: int, path: str | None) -> DataFrame:
     spark = df.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = f"{name}_{uuid.uuid4().hex}"
-    (df.repartition(n, key)
-     .write.bucketBy(n, key).sortBy(*sort)
+    (df.write.bucketBy(n, key).sortBy(*sort)
      .option("path", path or shared_dir(spark, f"tables/{own}"))
      .saveAsTable(own))
     return spark.table(own)
 
 
+BUCKET_ROWS = 2_000_000     # days per bucket, so that sorting one stays in memory
+
+
+def save_runs_as_panel(runs: DataFrame, rows: int, name: str = "ledgerscope_panel", path: str | None = None) -> DataFrame:
+    """The daily panel of ``runs`` (about ``rows`` days) as ``save_panel_table`` writes it.
+
+    Runs are dealt to the buckets before they are written out as days, so no day is
+    shuffled, and the number of buckets grows with the days, so none is spilled.
+    """
+    n = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
+    return _write(expand_runs(runs.repartition(n, "customer_id")), name, "customer_id", ("customer_id", "date"), n, path)
+
+
 def save_panel_table(panel: DataFrame, name: str = "ledgerscope_panel",
                      buckets: int | None = None, path: str | None = None) -> DataFrame:
     return save_table(panel, name, sort=("customer_id", "date"), buckets=buckets, path=path)
