@@ -281,15 +281,41 @@ def window_range_join(spark, sf):
 @register("panel_calendar_join", sql=Q.with_(*LINES) + "SELECT * FROM panel")
 def panel_calendar_join(spark, sf):
     """The calendar plan of the panel: each account row generates its own
-    calendar (explode of a date sequence, no cross join), daily net flows
-    are left-joined onto it and summed per customer in date order. It is
-    the readable alternative to ``ledger_to_panel``; this plan shuffles the
-    dense grid for the join, which the default plan avoids."""
+    calendar of months (explode of a date sequence, no cross join), daily net
+    flows are left-joined onto it and summed per customer in date order; then
+    every month generates its days. Only months and flows are shuffled and
+    sorted, no days. Account rows with one key go by ``calendar_of_days``."""
     flows = L.line_ledger(spark, sf)
     acc = L.accounts(spark, sf)
     b = F.broadcast(L.calendar_bounds(L.line_dates(spark, sf)))
     daily = (flows.crossJoin(b).select("customer_id", F.greatest("date", "d_start").alias("date"), "amount")
              .groupBy("customer_id", "date").agg(F.sum("amount").alias("net")))
+    acc = acc.withColumn("_twice", F.count(F.lit(1)).over(Window.partitionBy("customer_id")) > 1)
+    once, twice = (acc.where(c).drop("_twice") for c in (~F.col("_twice"), F.col("_twice")))
+    return calendar_of_months(once, daily, b).unionByName(calendar_of_days(twice, daily, b))
+
+
+def calendar_of_months(acc, daily, b):
+    month = F.trunc("date", "month")
+    moved = daily.groupBy("customer_id", month.alias("month")).agg(
+        F.sum("net").alias("total"), F.collect_list(F.struct("date", F.col("net").cast("decimal(28,5)").alias("net"))).alias("nets"))
+    months = F.sequence(F.trunc("d_start", "month"), F.trunc("d_end", "month"), F.expr("interval 1 month"))
+    grid = acc.crossJoin(b).select("customer_id", "segment", "opening", "d_start", "d_end", F.explode(months).alias("month"))
+    j = grid.join(moved, ["customer_id", "month"], "left")
+    w = Window.partitionBy("customer_id").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("decimal(28,5)")
+    before = F.coalesce(F.sum("total").over(w), F.lit(0))
+    days = F.explode(F.sequence(F.greatest("month", "d_start"), F.least(F.last_day("month"), "d_end"))).alias("date")
+    # the sums first, then the days: in one select the days would be written out below the window
+    j = j.select("customer_id", "segment", "month", "d_start", "d_end", (F.col("opening") + before).cast("decimal(28,5)").alias("held"), "nets")
+    j = j.select("customer_id", "segment", "held", "nets", days)
+    moved = F.aggregate(F.coalesce("nets", F.array().cast("array<struct<date:date,net:decimal(28,5)>>")), zero,
+                        lambda s, x: (s + F.when(x["date"] <= F.col("date"), F.coalesce(x["net"], zero)).otherwise(zero)).cast("decimal(28,5)"))
+    return j.select("customer_id", "segment", "date", F.round(F.col("held") + moved, 2).cast("double").alias("balance"))
+
+
+def calendar_of_days(acc, daily, b):
+    """The plan day by day, which shuffles the dense grid: rows of a repeated key add up one after the other."""
     grid = acc.crossJoin(b).select("customer_id", "segment", "opening",
                                    F.explode(F.sequence("d_start", "d_end")).alias("date"))
     j = grid.join(daily, ["customer_id", "date"], "left")

@@ -4,7 +4,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ledgerscope.plans import q_misc as QM
 from ledgerscope.plans import q_models as M
+from ledgerscope.sources import ledger as L
+from ledgerscope.sources import panel_store as PS
 from ledgerscope.sources import results as R
 from ledgerscope.sources.panel_store import save_panel_table
 
@@ -50,6 +53,36 @@ def test_absent_and_broken_documents(spark, tmp_path):
     assert sum(r.field is None for r in rows) == 3
 
 
+def test_days_are_written_without_being_shuffled(spark, monkeypatch):
+    """A panel table from runs: one file per bucket, as many buckets as the days need, and the rows of the panel."""
+    monkeypatch.setattr(PS, "BUCKET_ROWS", 5000)
+    sf = "/root/testdata/sf0.001"
+    panel = L.line_panel(spark, sf)
+    t = PS.save_runs_as_panel(L.line_runs(spark, sf), panel.count())
+    assert sorted(map(tuple, t.collect())) == sorted(map(tuple, panel.collect()))
+    files = [f.split("_")[-1] for f in t.inputFiles()]
+    assert len(files) == len(set(files)) > 4
+
+
+def test_only_months_with_a_day_twice_are_dealt(spark, tmp_path):
+    days = [(c, "A", dt.date(2024, m, d), float(d)) for c in range(3) for m in (1, 2) for d in range(1, 29)]
+    panel = spark.createDataFrame([*days, (1, "A", dt.date(2024, 2, 7), 3.0), (1, "B", dt.date(2024, 2, 7), 9.0)], R.PANEL_SCHEMA)
+    R.write_csv(panel, str(tmp_path / "in"))
+    scanned = R.scan_panel_csv(spark, str(tmp_path / "in"))
+    got = scanned.groupBy("status").count().collect()
+    assert {r["status"]: r["count"] for r in got} == {"accepted": 168, "duplicate": 2}
+    assert scanned.where("status = 'accepted' AND customer_id = 1 AND date = '2024-02-07'").first().balance == 3.0
+    assert "LeftAnti" in scanned._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_calendar_of_months_is_the_calendar_of_days(spark):
+    sf = "/root/testdata/sf0.001"
+    got = QM.panel_calendar_join(spark, sf)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, L.line_panel(spark, sf).collect()))
+    joins = [p for p in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join LeftOuter" in p]
+    assert any("month" in p for p in joins)
+
+
 def test_each_saved_table_has_its_own_name(spark):
     df = spark.range(10).select(F.col("id").alias("customer_id"), F.current_date().alias("date"))
     a, b = save_panel_table(df, buckets=2), save_panel_table(df.where("customer_id < 5"), buckets=2)
