@@ -12,6 +12,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -152,59 +153,104 @@ class Centres:
         return at, d[np.arange(len(x)), at]
 
 
+CHUNK_ROWS = 2048       # rows whose distances to all centres are held at once
+
+
+def _assign(x: np.ndarray, stacks: dict):
+    """Per number of clusters: the nearest centre (the lower index on ties) of each row of ``x`` for every model of that size.
+
+    ``stacks`` holds centres as (models, clusters, columns); models of one size go through
+    the same few matrix products.
+    """
+    for k, c in stacks.items():
+        best = at = None
+        for j in range(k):
+            d = (c[:, j] ** 2).sum(axis=1)[:, None] - 2 * (c[:, j] @ x.T)
+            if j == 0:
+                best, at = d, np.zeros(d.shape, np.int16)
+                continue
+            nearer = d < best
+            np.copyto(best, d, where=nearer)
+            np.copyto(at, np.int16(j), where=nearer)
+        yield k, at
+
+
+def _pass(z: DataFrame, stacks: dict, cols, measure, width: int) -> dict:
+    """One pass over the rows: clusters -> (models, clusters, width) sums of what ``measure`` gives for chunks of rows.
+
+    A task sends its sums as one row; they are added in the order of the
+    tasks, so reruns agree. What is collected is bounded by the centres and the number of tasks.
+    """
+    shared = z.sparkSession.sparkContext.broadcast(stacks)
+
+    def run(batches):
+        total = {k: np.zeros((len(c), k, width)) for k, c in shared.value.items()}
+        for b in batches:
+            whole = _matrix(b, cols)
+            for low in range(0, len(whole), CHUNK_ROWS):
+                x = whole[low:low + CHUNK_ROWS]
+                for k, at in _assign(x, shared.value):
+                    for j in range(k):
+                        total[k][:, j] += measure(x, at == j, shared.value[k][:, j])
+        yield pa.RecordBatch.from_pydict({"task": pa.array([TaskContext.get().partitionId()], pa.int32()), **{
+            f"k{k}": pa.array([t.tobytes()], pa.binary()) for k, t in total.items()}})
+
+    got = z.select(*cols).mapInArrow(run, ", ".join(["task int", *[f"k{k} binary" for k in stacks]])).collect()
+    shared.unpersist()
+    sums = {k: np.zeros((len(c), k, width)) for k, c in stacks.items()}
+    for r in sorted(got, key=lambda r: r.task):
+        for k in sums:
+            sums[k] += np.frombuffer(r[f"k{k}"]).reshape(sums[k].shape)
+    return sums
+
+
+def _moments(x, own, c):
+    """Number and sums of the rows that each model's cluster owns."""
+    w = own.astype(float)
+    return np.concatenate([w.sum(axis=1)[:, None], w @ x], axis=1)
+
+
+def _costs(x, own, c):
+    """Squared distance of the rows that each model's cluster owns, taken from the differences."""
+    return np.array([[((x[o] - m) ** 2).sum()] for o, m in zip(own, c)])
+
+
+def _stacked(centres: dict, names: list) -> tuple[dict, dict]:
+    sizes: dict = {}
+    for m in names:
+        sizes.setdefault(len(centres[m]), []).append(m)
+    return sizes, {k: np.stack([centres[m] for m in ms]) for k, ms in sizes.items()}
+
+
 def lloyd(z: DataFrame, models: dict, cols=FEATURES, most: int = 300) -> dict:
     """model -> (inertia, centres): Lloyd's iterations of all ``models`` (name -> start centres) at once.
 
     One pass over the rows per iteration moves every model that still
-    moves; a task sends one row of sums per model and cluster, so what is shuffled and
-    collected is bounded by the centres, whatever the rows. Sums are rounded to 1e-9 before they are
-    compared, so that the order of adding does not matter.
+    moves, one stage without a shuffle; a last pass takes the inertia. Centres are rounded to 1e-9 before
+    they are compared, so that the order of adding does not matter.
     """
-    spark = z.sparkSession
-    centres = {m: np.array(c) for m, c in models.items()}
-    moving, inertia = sorted(centres), {}
+    centres = {m: np.array(c, float) for m, c in models.items()}
+    moving = sorted(centres)
+    given = dict(centres)
     for _ in range(most):
-        shared = spark.sparkContext.broadcast({m: centres[m] for m in moving})
-
-        def run(batches):
-            mine = shared.value
-            total: dict = {}
-            for b in batches:
-                x = _matrix(b, cols)
-                for m, c in mine.items():
-                    d = (x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)[None, :]
-                    at = d.argmin(axis=1)
-                    near = ((x - c[at]) ** 2).sum(axis=1)
-                    n = np.bincount(at, minlength=len(c))
-                    sums = np.stack([np.bincount(at, weights=x[:, j], minlength=len(c)) for j in range(x.shape[1])], axis=1)
-                    cost = np.bincount(at, weights=near, minlength=len(c))
-                    old = total.get(m)
-                    total[m] = (n, sums, cost) if old is None else (old[0] + n, old[1] + sums, old[2] + cost)
-            for m, (n, sums, cost) in total.items():
-                yield pa.RecordBatch.from_pydict({
-                    "model": pa.array([str(m)] * len(n)), "cluster": pa.array(np.arange(len(n), dtype=np.int32)), "n": pa.array(n.astype(np.int64)),
-                    "cost": pa.array(cost), **{f"s{j}": pa.array(sums[:, j]) for j in range(sums.shape[1])}})
-
-        parts = [f"s{j}" for j in range(len(cols))]
-        got = z.select(*cols).mapInArrow(run, "model string, cluster int, n bigint, cost double, " + ", ".join(f"{c} double" for c in parts)) \
-            .groupBy("model", "cluster").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), *[F.sum(c).alias(c) for c in parts]).collect()
-        by = {}
-        for r in got:
-            by.setdefault(r.model, []).append(r)
+        sizes, stacks = _stacked(centres, moving)
+        sums = _pass(z, stacks, cols, _moments, 1 + len(cols))
         still = []
-        for m in moving:
-            new = centres[m].copy()
-            for r in by.get(str(m), []):
-                if r.n:
-                    new[r.cluster] = np.round(np.array([r[c] for c in parts]) / r.n, 9)
-            inertia[m] = sum(r.cost for r in by.get(str(m), []))
-            if not np.array_equal(new, centres[m]):
-                centres[m] = new
-                still.append(m)
-        moving = still
+        for k, ms in sizes.items():
+            for i, m in enumerate(ms):
+                n, total = sums[k][i, :, :1], sums[k][i, :, 1:]
+                new = np.where(n > 0, np.round(total / np.maximum(n, 1), 9), centres[m])
+                given[m] = centres[m]           # the inertia is that of the labels, which belong to the centres before the move
+                if not np.array_equal(new, centres[m]):
+                    centres[m] = new
+                    still.append(m)
+        moving = sorted(still)
         if not moving:
             break
-    return {m: (float(inertia[m]), centres[m]) for m in centres}
+    sizes, stacks = _stacked(given, sorted(given))
+    costs = _pass(z, stacks, cols, _costs, 1)
+    inertia = {m: float(costs[k][i].sum()) for k, ms in sizes.items() for i, m in enumerate(ms)}
+    return {m: (inertia[m], centres[m]) for m in centres}
 
 
 TASK_ROWS = 8192        # rows per task of a pass: the passes are many, so tasks follow the rows and not the partitions before
@@ -218,7 +264,8 @@ def kmeans_models(features: DataFrame, ks=range(2, 11), restarts: int = 10, seed
     Spark's squared Euclidean one, which is linear in the rows; see
     ``euclidean_silhouette`` for the other.
     """
-    tasks = max(1, -(-features.count() // TASK_ROWS))
+    # tasks follow the rows, up to a few per core: each sends its sums to the driver in every pass
+    tasks = max(1, min(-(-features.count() // TASK_ROWS), 4 * features.sparkSession.sparkContext.defaultParallelism))
     z = _cut(standardize(features.select("customer_id", *FEATURES)).coalesce(tasks))
     rows = z.orderBy(F.xxhash64(F.lit(seed), "customer_id"), "customer_id").select(*FEATURES).limit(SEED_ROWS).collect()
     sample = np.array([list(r) for r in rows], float)

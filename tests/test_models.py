@@ -135,3 +135,21 @@ def test_passes_have_tasks_by_their_rows(spark, monkeypatch):
     monkeypatch.setattr(MD, "TASK_ROWS", 100)
     MD.kmeans_models(f, ks=(2,), restarts=1)
     assert seen == [1, 3]
+
+
+def test_passes_shuffle_nothing_and_reruns_agree(spark, monkeypatch):
+    """Every pass is one stage: its tasks send their sums, nothing is dealt by model and cluster."""
+    x, df = points(spark, 11, 500)
+    df = df.repartition(4, "customer_id").cache()
+    starts = {(k, r): MD.spread_seeds(x, k, k + r) for k in (2, 3, 5) for r in range(2)}
+    plain = MD.lloyd(df, starts, COLS)
+    monkeypatch.setattr(MD.DataFrame, "groupBy", None)
+    again = MD.lloyd(df, starts, COLS)
+    assert all(plain[m][0] == again[m][0] and np.array_equal(plain[m][1], again[m][1]) for m in starts)
+
+
+def test_ties_go_to_the_lower_centre_and_empty_clusters_stay(spark):
+    df = spark.createDataFrame([(0.0, 0.0, 0.0), (2.0, 0.0, 0.0)], "a double, b double, c double")
+    start = np.array([[1.0, 0.0, 0.0], [1.0, 0.0, 0.0], [9.0, 9.0, 9.0]])
+    cost, centres = MD.lloyd(df, {"m": start}, COLS)["m"]
+    assert cost == 2.0 and np.array_equal(centres, start)
