@@ -138,6 +138,6 @@ def feat_runway(spark, sf):
 SELECT customer_id, {Q.hu('fhs_mean', 2)} AS fhs_mean, {Q.hu('fhs_std', 4)} AS fhs_std,
        n_windows FROM fh""")
 def feat_fhs_windows(spark, sf):
-    h = FT.window_stats(R.by_kind(L.order_runs(spark, sf), R.hopping_scores, W.hopping_scores))
+    h = FT.window_stats(R.by_kind(L.order_runs(spark, sf), R.plain_hopping_scores, W.hopping_scores))
     return h.select("customer_id", half_up("fhs_mean", 2).alias("fhs_mean"),
                     half_up("fhs_std", 4).alias("fhs_std"), "n_windows")

@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerscope.operators import forecast as FC
+from ledgerscope.operators import runs as R
 from ledgerscope.operators import segments as G
 from ledgerscope.operators import windows as W
 from ledgerscope.plans import q_forecast as QF
 from ledgerscope.plans import sqlkit as Q
 from ledgerscope.plans.registry import register
+from ledgerscope.session import materialize
 from ledgerscope.sources import ledger as L
 
 SHOCKS = (0, 25)
@@ -34,12 +36,17 @@ SPLIT = "split_part(segment, ':', 1) AS segment, CAST(split_part(segment, ':', 2
 
 def shocked_series(spark, sf, shocks=SHOCKS):
     """Daily score series per segment and shock (the segment carries the shock)."""
-    panel = L.line_panel(spark, sf, keep_last=W.rolling_rows())
-    grid = G.stress_shock_grid(panel, shocks, cut=G.shock_cut(L.calendar_bounds(L.line_dates(spark, sf))))
+    cut = G.shock_cut(L.calendar_bounds(L.line_dates(spark, sf)))
     pos = F.array_position(F.array(*[F.lit(int(s)) for s in shocks]), F.col("shock")) - 1
-    grid = grid.select((F.col("customer_id") * len(shocks) + pos).alias("customer_id"),
-                       F.concat_ws(":", "segment", "shock").alias("segment"), "date", "balance")
-    return W.rolling_daily_fhs(grid, trim=False).select("segment", "date", "value")
+
+    def dense(panel):
+        grid = G.stress_shock_grid(panel, shocks, cut=cut)
+        grid = grid.select((F.col("customer_id") * len(shocks) + pos).alias("customer_id"),
+                           F.concat_ws(":", "segment", "shock").alias("segment"), "date", "balance")
+        return W.rolling_scores(grid, trim=False)
+
+    scores = R.by_kind(L.line_runs(spark, sf), lambda runs: R.rolling_scores(R.shock_runs(runs, shocks, cut)), dense, W.rolling_rows())
+    return materialize(W.mean_by_day(scores).select("segment", "date", "value"))
 
 
 def split_key(df):

@@ -129,3 +129,42 @@ def test_repeated_accounts_and_unknown_balances_are_counted_by_rows(spark, close
     odd = odd_ledger(spark)
     want = dense(L.expand_runs(odd))
     assert rounded(R.by_kind(odd, closed, dense).select(*want.columns)) == rounded(want)
+
+
+@pytest.mark.parametrize("days, start", [(n, dt.date(2023, 1, 31) if n % 2 else dt.date(2024, 2, 1)) for n in (1, 32, 61, 181, 800)])
+def test_rolling_windows_match_the_panel(spark, days, start):
+    runs, panel = ledger(spark, days + 4, 7, days, start, rate=0.1)
+    same(R.rolling_scores(runs), W.rolling_scores(panel), ["customer_id", "end_date"])
+
+
+@pytest.mark.parametrize("days", [2, 61, 240])
+def test_shocked_runs_match_the_shocked_panel(spark, days):
+    runs, panel = ledger(spark, days + 5, 7, days, rate=0.1)
+    cut = panel.agg(F.date_sub(F.max("date"), 30).alias("_cut"))
+    grid = G.stress_shock_grid(panel, (0, 25, 130), cut=cut).withColumn("segment", F.concat_ws(":", "segment", "shock")).drop("shock")
+    shocked = R.shock_runs(runs, (0, 25, 130), cut)
+    assert rounded(L.expand_runs(shocked)) == rounded(grid)
+    same(R.rolling_scores(shocked), W.rolling_scores(grid, series=("customer_id", "segment")), ["customer_id", "segment", "end_date"])
+
+
+def test_blocks_do_not_change_the_windows(spark, monkeypatch):
+    runs, _ = ledger(spark, 9, 9, 250, rate=0.1)
+    whole = rounded(R.plain_hopping_scores(runs))
+    monkeypatch.setattr(R, "BLOCK_DAYS", 600)
+    assert rounded(R.plain_hopping_scores(runs)) == whole
+
+
+def test_rolling_series_counts_odd_customers_by_rows(spark):
+    odd = odd_ledger(spark)
+    assert rounded(R.rolling_daily_fhs(odd)) == rounded(W.rolling_daily_fhs(L.expand_runs(odd)))
+
+
+def test_odd_customers_keep_their_windows(spark):
+    odd = odd_ledger(spark)
+    assert rounded(R.hopping_scores(odd)) == rounded(R.marked_hopping_scores(odd))
+
+
+def test_no_window_reads_days_or_marks_of_plain_customers(spark):
+    runs, panel = ledger(spark, 5, 9, 200, rate=0.1)
+    assert days_moved(W.rolling_scores(panel)) and days_moved(R.marked_hopping_scores(runs))
+    assert not days_moved(R.plain_hopping_scores(runs)) and not days_moved(R.rolling_scores(runs))
