@@ -9,10 +9,11 @@ computed by one aggregate and broadcast as a one-row table.
 from __future__ import annotations
 
 import functools
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import TaskContext, inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -160,17 +161,15 @@ def _assign(x: np.ndarray, stacks: dict):
     """Per number of clusters: the nearest centre (the lower index on ties) of each row of ``x`` for every model of that size.
 
     ``stacks`` holds centres as (models, clusters, columns); models of one size go through
-    the same few matrix products.
+    the same matrix product.
     """
     for k, c in stacks.items():
-        best = at = None
-        for j in range(k):
-            d = (c[:, j] ** 2).sum(axis=1)[:, None] - 2 * (c[:, j] @ x.T)
-            if j == 0:
-                best, at = d, np.zeros(d.shape, np.int16)
-                continue
-            nearer = d < best
-            np.copyto(best, d, where=nearer)
+        d = ((-2 * c).reshape(-1, c.shape[2]) @ x.T).reshape(len(c), k, len(x))
+        d += (c ** 2).sum(axis=2)[:, :, None]
+        best, at = d[:, 0], np.zeros((len(c), len(x)), np.int16)
+        for j in range(1, k):
+            nearer = d[:, j] < best
+            np.copyto(best, d[:, j], where=nearer)
             np.copyto(at, np.int16(j), where=nearer)
         yield k, at
 
@@ -190,8 +189,7 @@ def _pass(z: DataFrame, stacks: dict, cols, measure, width: int) -> dict:
             for low in range(0, len(whole), CHUNK_ROWS):
                 x = whole[low:low + CHUNK_ROWS]
                 for k, at in _assign(x, shared.value):
-                    for j in range(k):
-                        total[k][:, j] += measure(x, at == j, shared.value[k][:, j])
+                    total[k] += measure(x, at, shared.value[k])
         yield pa.RecordBatch.from_pydict({"task": pa.array([TaskContext.get().partitionId()], pa.int32()), **{
             f"k{k}": pa.array([t.tobytes()], pa.binary()) for k, t in total.items()}})
 
@@ -204,15 +202,15 @@ def _pass(z: DataFrame, stacks: dict, cols, measure, width: int) -> dict:
     return sums
 
 
-def _moments(x, own, c):
+def _moments(x, at, c):
     """Number and sums of the rows that each model's cluster owns."""
-    w = own.astype(float)
-    return np.concatenate([w.sum(axis=1)[:, None], w @ x], axis=1)
+    own = (at[:, None, :] == np.arange(c.shape[1], dtype=at.dtype)[:, None]).reshape(-1, len(x)).astype(float)
+    return (own @ np.column_stack([np.ones(len(x)), x])).reshape(*c.shape[:2], -1)
 
 
-def _costs(x, own, c):
+def _costs(x, at, c):
     """Squared distance of the rows that each model's cluster owns, taken from the differences."""
-    return np.array([[((x[o] - m) ** 2).sum()] for o, m in zip(own, c)])
+    return np.array([np.bincount(a, ((x - m[a]) ** 2).sum(axis=1), len(m)) for a, m in zip(at, c)])[:, :, None]
 
 
 def _stacked(centres: dict, names: list) -> tuple[dict, dict]:
@@ -264,8 +262,8 @@ def kmeans_models(features: DataFrame, ks=range(2, 11), restarts: int = 10, seed
     Spark's squared Euclidean one, which is linear in the rows; see
     ``euclidean_silhouette`` for the other.
     """
-    # tasks follow the rows, up to a few per core: each sends its sums to the driver in every pass
-    tasks = max(1, min(-(-features.count() // TASK_ROWS), 4 * features.sparkSession.sparkContext.defaultParallelism))
+    # tasks follow the rows, up to one per core: every pass is one wave of tasks, each sends its sums to the driver
+    tasks = max(1, min(-(-features.count() // TASK_ROWS), features.sparkSession.sparkContext.defaultParallelism))
     z = _cut(standardize(features.select("customer_id", *FEATURES)).coalesce(tasks))
     rows = z.orderBy(F.xxhash64(F.lit(seed), "customer_id"), "customer_id").select(*FEATURES).limit(SEED_ROWS).collect()
     sample = np.array([list(r) for r in rows], float)
@@ -278,11 +276,15 @@ def kmeans_models(features: DataFrame, ks=range(2, 11), restarts: int = 10, seed
             best[k] = (cost, c)
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
     vectors = _cut(_assemble(with_labels(z, {f"c{k}": c for k, (_, c) in best.items()})))
-    out = {}
-    for k, (cost, c) in sorted(best.items()):
+
+    def silhouette(k: int) -> float:
         labelled = vectors.select("features", F.col(f"c{k}").cast("double").alias("prediction"))
-        out[k] = (cost, float(ev.evaluate(labelled)) if labelled.select("prediction").distinct().limit(2).count() > 1 else 0.0, c)
-    return out
+        return float(ev.evaluate(labelled)) if labelled.select("prediction").distinct().limit(2).count() > 1 else 0.0
+
+    # many short jobs per k: the ks are measured side by side
+    with ThreadPool(len(best)) as pool:
+        measured = dict(zip(sorted(best), pool.map(inheritable_thread_target(z.sparkSession)(silhouette), sorted(best))))
+    return {k: (cost, measured[k], c) for k, (cost, c) in sorted(best.items())}
 
 
 def with_labels(z: DataFrame, models: dict, cols=FEATURES) -> DataFrame:
@@ -302,9 +304,9 @@ def with_labels(z: DataFrame, models: dict, cols=FEATURES) -> DataFrame:
 def kmeans_sweep(features: DataFrame, models: dict | None = None) -> DataFrame:
     """k, inertia and silhouette of the sweep (run here unless ``models`` is given)."""
     models = kmeans_models(features) if models is None else models
-    rows = [(k, m[0], m[1]) for k, m in models.items()]
-    spark = features.sparkSession
-    return spark.createDataFrame(rows, "k int, inertia double, silhouette double").select(
+    rows = pa.table({"k": pa.array(models, pa.int32()), "inertia": pa.array([m[0] for m in models.values()], pa.float64()),
+                     "silhouette": pa.array([m[1] for m in models.values()], pa.float64())})
+    return features.sparkSession.createDataFrame(rows).select(
         "k", half_up("inertia", 2).alias("inertia"), half_up("silhouette", 4).alias("silhouette"))
 
 

@@ -153,3 +153,37 @@ def test_ties_go_to_the_lower_centre_and_empty_clusters_stay(spark):
     start = np.array([[1.0, 0.0, 0.0], [1.0, 0.0, 0.0], [9.0, 9.0, 9.0]])
     cost, centres = MD.lloyd(df, {"m": start}, COLS)["m"]
     assert cost == 2.0 and np.array_equal(centres, start)
+
+
+def test_a_pass_is_one_wave_of_tasks(spark, monkeypatch):
+    """However many rows there are, a pass has no more tasks than cores; the sweep's rows need no Python worker to be read."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "s", *map(float, rng.normal(0, 1, len(MD.FEATURES)))) for i in range(300)]
+    f = spark.createDataFrame(rows, "customer_id bigint, segment string, " + ", ".join(f"{c} double" for c in MD.FEATURES)).repartition(40)
+    seen, real = [], MD.lloyd
+
+    def watched(z, models, **more):
+        seen.append(z.rdd.getNumPartitions())
+        return real(z, models, **more)
+
+    monkeypatch.setattr(MD, "lloyd", watched)
+    monkeypatch.setattr(MD, "TASK_ROWS", 10)
+    models = MD.kmeans_models(f, ks=(2, 3), restarts=2)
+    assert seen == [spark.sparkContext.defaultParallelism]
+    sweep = MD.kmeans_sweep(f, models)
+    assert "ExistingRDD" not in sweep._jdf.queryExecution().executedPlan().toString()
+    assert [(r.k, r.inertia) for r in sweep.orderBy("k").collect()] == [(k, round(models[k][0], 2)) for k in (2, 3)]
+    assert MD.kmeans_sweep(f, {}).count() == 0
+
+
+def test_moments_and_costs_of_all_clusters_at_once():
+    rng = np.random.default_rng(6)
+    x, c = rng.normal(size=(50, 3)), rng.normal(size=(4, 5, 3))
+    (k, at), = MD._assign(x, {5: c})
+    d = ((x[None, None] - c[:, :, None]) ** 2).sum(axis=3)
+    assert k == 5 and np.array_equal(at, d.argmin(axis=1))
+    for m in range(4):
+        for j in range(5):
+            own = x[at[m] == j]
+            assert np.allclose(MD._moments(x, at, c)[m, j], [len(own), *own.sum(axis=0)])
+            assert np.allclose(MD._costs(x, at, c)[m, j], ((own - c[m, j]) ** 2).sum())
