@@ -19,6 +19,7 @@ from ledgerscope.plans import sqlkit as Q
 from ledgerscope.plans.q_features import FEAT, feature_table as features
 from ledgerscope.plans.q_forecast import ALL_K, alerts
 from ledgerscope.plans.registry import register
+from ledgerscope.session import materialize
 from ledgerscope.sources import ledger as L
 
 LINES = Q.panel_ctes("lines")
@@ -592,7 +593,7 @@ def predictions(spark, sf):
 
 
 def scored(spark, sf):
-    p = predictions(spark, sf)
+    p = materialize(predictions(spark, sf))     # ranks and curves read it several times
     cls = F.explode(F.array(F.lit("High"), F.lit("Low"), F.lit("Medium"))).alias("class")
     s = p.select("customer_id", "actual", "fhs", cls)
     score = (F.when(F.col("class") == "High", F.lit(100.0) - F.col("fhs"))
@@ -629,7 +630,7 @@ SELECT cls AS class, {Q.hu('precision', 4)} AS precision, {Q.hu('recall', 4)} AS
 
 @register("classification_report", sql=_report_sql())
 def classification_report(spark, sf):
-    return MT.classification_report(predictions(spark, sf))
+    return MT.classification_report(materialize(predictions(spark, sf)))
 
 
 @register("label_encode", sql=FEAT + """
