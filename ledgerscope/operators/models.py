@@ -325,62 +325,138 @@ def kmeans_labels(features: DataFrame, models: dict | None = None) -> DataFrame:
     return with_labels(standardize(features), {"cluster": models[k][2]}).select("customer_id", "segment", "cluster")
 
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 4096       # rows packed into one array
+SIDE_ROWS = 524_288     # rows of a group of blocks: a task holds two groups
+NEAR = 1e-9             # squared distances below this share of the squared lengths are taken again from the differences
+
+
+def _pack(cols):
+    """Rows (``_own`` and ``cols``) as blocks of at most ``BLOCK_ROWS``, sorted by label: one row of arrays each."""
+    most = BLOCK_ROWS
+
+    def pack(t: pa.Table, i: int):
+        names, own = np.unique(t.column("_own").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        order = np.argsort(own, kind="stable")
+        x = _matrix(t.combine_chunks(), cols)[order]
+        return pa.RecordBatch.from_pydict({
+            "part": pa.array([TaskContext.get().partitionId()], pa.int32()), "i": pa.array([i], pa.int32()), "n": pa.array([len(x)], pa.int32()),
+            "names": pa.array([names.tolist()], pa.list_(pa.string())), "own": pa.array([own[order].astype(np.int32).tobytes()], pa.binary()),
+            "x": pa.array([x.tobytes()], pa.binary())})
+
+    def run(batches):
+        held, i = None, 0
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            while held.num_rows >= most:
+                yield pack(held.slice(0, most), i)
+                held, i = held.slice(most), i + 1
+        if held is not None and held.num_rows:
+            yield pack(held, i)
+
+    return run
+
+
+def _distance_sums(p, q, to_p, to_q) -> None:
+    """Adds the distances between blocks ``p`` and ``q``, each pair once, to the sums of p's rows by q's labels and
+    (unless ``to_q`` is None) of q's rows by p's labels.
+
+    A block is (points, label of each row), sorted by label. Squares come from one matrix product;
+    where it cancels, from the differences.
+    """
+    (x, of_x), (y, of_y) = p, q
+    lx, ly = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    left, right = np.column_stack([-2 * x, lx, np.ones(len(x))]), np.column_stack([y, np.ones(len(y)), ly]).T.copy()
+    for low in range(0, len(x), 128):
+        for at in range(0, len(y), 512):        # squares that fit the cache
+            d = left[low:low + 128] @ right[:, at:at + 512]
+            wide = d.shape[1]
+            near = np.flatnonzero(d < NEAR * (lx[low:low + 128].max() + ly[at:at + 512].max()))
+            if len(near):
+                gap = x[low + near // wide] - y[at + near % wide]
+                d.reshape(-1)[near] = (gap * gap).sum(axis=1)
+            np.sqrt(d, out=d)
+            cuts = np.flatnonzero(np.diff(of_y[at:at + 512], prepend=-1))
+            to_p[low:low + 128, of_y[at + cuts]] += np.add.reduceat(d, cuts, axis=1)
+            if to_q is not None:
+                cuts = np.flatnonzero(np.diff(of_x[low:low + 128], prepend=-1))
+                for a, b in zip(cuts, [*cuts[1:], len(d)]):
+                    to_q[at:at + 512, of_x[low + a]] += d[a:b].sum(axis=0)
 
 
 def euclidean_silhouette(points: DataFrame, label: str, cols=FEATURES) -> DataFrame:
     """n, n_clusters and the mean Euclidean silhouette of given labels.
 
-    Rows are dealt into blocks of about ``BLOCK_ROWS``; every pair of blocks is one
-    task's work and gives the sums of distances of each row to each cluster of the other
-    block, no pair of rows. The cost is the square of the rows (15,000 rows: 2e8 distances),
+    Rows are packed into blocks of ``BLOCK_ROWS``, blocks are dealt into groups, and every pair of
+    groups is one task's work: it gives the sums of distances of each row to each cluster of the other
+    group, no pair of rows. A row is shuffled once per group, and there are as many groups as give the cores work or as
+    memory asks for. The cost is the square of the rows (15,000 rows: 1e8 distances, each pair taken once),
     as the measure asks; rows without a label take no part, a row alone in
     its cluster has 0.
     """
     rows = points.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("_own"), *[F.col(c).cast("double").alias(c) for c in cols])
-    rows = _cut(rows.withColumn("_id", F.monotonically_increasing_id()))
-    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int"))
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    # few bytes, much work: one task per few pairs of blocks, not as many as the bytes would fill
-    tasks = min(blocks * blocks, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks * blocks // 4))
-    left = rows.select(F.col("_block").alias("_i"), each.alias("_j"), "_id", "_own", *cols)
-    right = rows.select(F.col("_block").alias("_rj"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_ri"), "_own", *cols)
-
-    def tile(a, b):
-        out = {"id": [], "c": [], "other": [], "d": [], "n": []}
-        if a.num_rows and b.num_rows:
-            x, y = _matrix(a.combine_chunks(), cols), _matrix(b.combine_chunks(), cols)
-            names = b.column("_own").to_numpy(zero_copy_only=False)
-            ids, own = a.column("_id").to_numpy(), a.column("_own").to_numpy(zero_copy_only=False)
-            for name in sorted(set(names)):
-                part = y[names == name]
-                total = np.zeros(len(x))
-                for at in range(0, len(part), 256):
-                    for low in range(0, len(x), 256):   # column by column, in squares that fit the cache
-                        squares = np.zeros((len(x[low:low + 256]), len(part[at:at + 256])))
-                        for j in range(x.shape[1]):
-                            gap = x[low:low + 256, None, j] - part[None, at:at + 256, j]
-                            squares += gap * gap
-                        total[low:low + 256] += np.sqrt(squares).sum(axis=1)
-                out["id"].append(ids)
-                out["c"].append(own)
-                out["other"].append(np.full(len(x), name, object))
-                out["d"].append(total)
-                out["n"].append(np.full(len(x), len(part), np.int64))
-        types = {"id": pa.int64(), "c": pa.string(), "other": pa.string(), "d": pa.float64(), "n": pa.int64()}
-        return pa.table({k: pa.array(np.concatenate(v) if v else [], types[k]) for k, v in out.items()})
-
-    left, right = left.repartition(tasks, "_i", "_j"), right.repartition(tasks, "_ri", "_rj")
-    sums = left.groupBy("_i", "_j").cogroup(right.groupBy("_ri", "_rj")).applyInArrow(tile, "id bigint, c string, other string, d double, n bigint")
-    each = sums.groupBy("id", "c", "other").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
-    own = F.max(F.when(F.col("c") == F.col("other"), F.struct("d", "n")))
-    per = each.groupBy("id").agg(own.alias("own"), F.min(F.when(F.col("c") != F.col("other"), F.col("d") / F.col("n"))).alias("b"))
-    a = F.col("own.d") / (F.col("own.n") - 1)
-    s = F.when((F.col("own.n") == 1) | F.col("b").isNull(), F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.col("b") - a, F.greatest(a, F.col("b"))), F.lit(0.0)))
-    n_clusters = rows.agg(F.countDistinct("_own").alias("n_clusters"))
-    return per.agg(F.count(F.lit(1)).alias("n"), F.avg(s).alias("s")).crossJoin(F.broadcast(n_clusters)).select(
-        "n", "n_clusters", half_up("s", 4).alias("silhouette"))
+    rows = _cut(rows)
+    n, n_labels = rows.agg(F.count(F.lit(1)), F.countDistinct("_own")).first()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    blocks = _cut(rows.coalesce(max(1, min(-(-n // BLOCK_ROWS), cores))).mapInArrow(
+        _pack(cols), "part int, i int, n int, names array<string>, own binary, x binary"))
+    before, total = {}, 0       # blocks are numbered across the tasks that packed them
+    for part, number in sorted(map(tuple, blocks.groupBy("part").agg(F.count(F.lit(1))).collect())):
+        before[part], total = total, total + number
+    side = max(BLOCK_ROWS, min(SIDE_ROWS, 2 ** 23 // max(n_labels, 1)))     # a task keeps a sum per row and label
+    groups = max(1, min(total, max(-(-n // side), int(np.ceil(np.sqrt(8 * cores))))))
+    offsets = F.array(*[F.lit(before.get(k, 0)) for k in range(max(before, default=0) + 1)])
+    numbered = blocks.withColumn("block", F.get(offsets, F.col("part")) + F.col("i")).withColumn("group", F.col("block") % groups)
+    other = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("other")
+    pair = (F.least("group", "other") * groups + F.greatest("group", "other")).alias("pair")
+    dealt = numbered.select("*", other).select(pair, "group", "block", "names", "own", "x").repartitionByRange(groups * (groups + 1) // 2, "pair")
+
+    def tile(t):
+        names = sorted({v for r in t.column("names").to_pylist() for v in r})
+        index = {v: k for k, v in enumerate(names)}
+        taken = []
+        for group, block, local, own, x in zip(*[t.column(c).to_pylist() for c in ("group", "block", "names", "own", "x")]):
+            of = np.array([index[v] for v in local], np.int32)[np.frombuffer(own, np.int32)]
+            x = np.frombuffer(x).reshape(len(of), -1)
+            taken.append((group, block, (x, of), np.zeros((len(x), len(names)))))
+        taken.sort(key=lambda r: r[:2])
+        sizes = {g: sum(np.bincount(r[2][1], minlength=len(names)) for r in taken if r[0] == g) for g in {r[0] for r in taken}}
+        one = len(sizes) == 1
+        for k, (g, _, p, to_p) in enumerate(taken):
+            for h, _, q, to_q in taken[k:]:
+                if one or g != h:
+                    _distance_sums(p, q, to_p, None if p is q else to_q)
+        far = {g: sizes[g if one else next(h for h in sizes if h != g)] for g in sizes}
+        return pa.table({
+            "block": pa.array([r[1] for r in taken], pa.int64()), "names": pa.array([names] * len(taken), pa.list_(pa.string())),
+            "own": pa.array([r[2][1].tobytes() if one else None for r in taken], pa.binary()),
+            "sizes": pa.array([far[r[0]].tolist() for r in taken], pa.list_(pa.int64())), "sums": pa.array([r[3].tobytes() for r in taken], pa.binary())})
+
+    def measure(t):
+        names = sorted({v for r in t.column("names").to_pylist() for v in r})
+        index = {v: k for k, v in enumerate(names)}
+        total, sizes, own = None, np.zeros(len(names)), None
+        for local, mine, n, sums in zip(*[t.column(c).to_pylist() for c in ("names", "own", "sizes", "sums")]):
+            at = np.array([index[v] for v in local])
+            sums = np.frombuffer(sums).reshape(-1, len(at))
+            total = np.zeros((len(sums), len(names))) if total is None else total
+            total[:, at] += sums
+            sizes[at] += n
+            own = own if mine is None else at[np.frombuffer(mine, np.int32)]
+        each = np.arange(len(own))
+        with np.errstate(all="ignore"):
+            a = total[each, own] / (sizes[own] - 1)
+            total /= sizes
+            total[each, own] = np.nan
+            b = np.fmin.reduce(total, axis=1)
+            top = np.maximum(a, b)
+            s = np.where((sizes[own] == 1) | (len(names) == 1) | (top == 0), 0.0, (b - a) / top)
+        return pa.table({"n": pa.array([len(s)], pa.int64()), "s": pa.array([float(s.sum())], pa.float64())})
+
+    sums = dealt.groupBy("pair").applyInArrow(tile, "block bigint, names array<string>, own binary, sizes array<bigint>, sums binary")
+    per = sums.groupBy("block").applyInArrow(measure, "n bigint, s double")
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("n"), F.try_divide(F.sum("s"), F.sum("n")).alias("s")).select(
+        "n", F.lit(n_labels).cast("bigint").alias("n_clusters"), half_up("s", 4).alias("silhouette"))
 
 
 def jacobi_eigenpairs(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

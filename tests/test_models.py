@@ -187,3 +187,24 @@ def test_moments_and_costs_of_all_clusters_at_once():
             own = x[at[m] == j]
             assert np.allclose(MD._moments(x, at, c)[m, j], [len(own), *own.sum(axis=0)])
             assert np.allclose(MD._costs(x, at, c)[m, j], ((own - c[m, j]) ** 2).sum())
+
+
+def test_silhouette_of_copies_and_a_row_far_away(spark):
+    """Rows at the same place have distance 0 whatever the lengths of the vectors are."""
+    x = np.array([[3.1, 4.7, 1e3]] * 3 + [[-2.3, 0.9, 1e3], [1e4, 0.1, 0.7]])
+    y = ["a", "a", "b", "c", "c"]
+    df = spark.createDataFrame([(i, y[i], *map(float, r)) for i, r in enumerate(x)], "customer_id bigint, label string, a double, b double, c double")
+    r = MD.euclidean_silhouette(df, "label", COLS).first()
+    assert (r.n, r.n_clusters) == (5, 3) and abs(r.silhouette - slow_silhouette(x, np.array(y))) < 1e-4
+
+
+def test_silhouette_shuffles_a_row_once_per_group(spark, monkeypatch):
+    """The copies of a row follow the cores, not the square of the rows, and one task has one pair of groups."""
+    monkeypatch.setattr(MD, "BLOCK_ROWS", 4)
+    x, df = points(spark, 8, 600)
+    got = MD.euclidean_silhouette(df, "label", COLS)
+    y = np.array([f"g{i % 3}" for i in range(600)])
+    assert abs(got.first().silhouette - slow_silhouette(x, y)) < 1e-4
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    groups = int(np.ceil(np.sqrt(8 * spark.sparkContext.defaultParallelism)))
+    assert "RepartitionByExpression [pair" in plan and f", {groups * (groups + 1) // 2}" in plan, plan
