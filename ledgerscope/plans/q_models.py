@@ -257,7 +257,7 @@ def silhouette_tiers(spark, sf):
 @register("src_panel_csv", sql=Q.with_(*Q.panel_ctes("lines")) + "SELECT * FROM panel")
 def src_panel_csv(spark, sf):
     path = R.results_base(spark) + "/panel_csv"
-    R.write_csv(L.line_panel(spark, sf), path)
+    R.write_runs_csv(L.line_runs(spark, sf), path)
     return R.read_panel_csv(spark, path)
 
 
@@ -280,10 +280,10 @@ def src_panel_quarantine(spark, sf):
     path = R.results_base(spark) + "/foreign_csv"
     p = L.line_panel(spark, sf, keep_last=200).withColumns({"k": F.col("customer_id") % 50, "dom": F.day("date")})
     p = p.where(~((F.col("k") == 2) & (F.col("dom") == 10)))
-    day = F.when((F.col("k") == 0) & (F.col("dom") < 5), F.date_format("date", "dd/MM/yyyy")).otherwise(F.date_format("date", "yyyy-MM-dd"))
-    rows = p.select("customer_id", "segment", day.alias("date"), "balance", "k", "dom")
-    twice = rows.where((F.col("k") == 1) & (F.col("dom") == 15)).withColumn("balance", F.col("balance") + 1)
-    R.write_csv(rows.unionByName(twice).drop("k", "dom"), path)
+    day = F.when((F.col("k") == 0) & (F.col("dom") < 5), F.date_format("date", "dd/MM/yyyy")).otherwise(F.col("date").cast("string"))
+    twice = F.array(F.col("balance"), F.col("balance") + 1)
+    once = F.when((F.col("k") == 1) & (F.col("dom") == 15), twice).otherwise(F.array("balance"))
+    R.write_csv(p.select("customer_id", "segment", day.alias("date"), F.explode(once).alias("balance")), path)
     return R.quarantine_counts(R.scan_panel_csv(spark, path))
 
 

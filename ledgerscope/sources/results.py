@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,53 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).option("compression", "gzip").csv(path)
 
 
+TEXT_BYTES = 4_000_000      # text of days handed over at once
+TEXT_DAYS = 4096            # days of a run written as one text
+
+
+def write_runs_csv(runs: DataFrame, path: str) -> None:
+    """The daily panel of ``runs`` (see ``ledger.ledger_to_runs``), the same lines as ``write_csv`` of its days.
+
+    What the lines of a run share is made once, by Spark's CSV writer; its days are filled in as one block of bytes.
+    """
+    shared = runs.where("first_day <= last_day").select(
+        F.to_csv(F.struct("customer_id", "segment")).cast("binary").alias("head"), F.unix_date("first_day").alias("first"),
+        (F.datediff("last_day", "first_day") + 1).alias("days"), F.when(F.col("balance").isNull(), "").otherwise(F.to_csv(F.struct("balance"))).cast("binary").alias("tail"))
+
+    def lines(batches):
+        yield pa.RecordBatch.from_pydict({"value": pa.array(["customer_id,segment,date,balance"])})
+        low, high, dates = 0, 0, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            first, days = (b.column(c).to_numpy().astype(np.int64) for c in ("first", "days"))
+            if dates is None or first.min() < low or (first + days).max() > high:
+                low, high = (first.min(), (first + days).max()) if dates is None else (min(low, first.min()), max(high, (first + days).max()))
+                dates = np.datetime_as_string(np.arange(low, high).astype("datetime64[D]")).astype("S10").view(np.uint8).reshape(-1, 10)
+            out, held = [], 0
+            for head, start, n, tail in zip(b.column("head").to_pylist(), (first - low).tolist(), days.tolist(), b.column("tail").to_pylist()):
+                head, tail = np.frombuffer(head + b",", np.uint8), np.frombuffer(b"," + tail + b"\n", np.uint8)
+                for at in range(start, start + n, TEXT_DAYS):
+                    some = dates[at:min(at + TEXT_DAYS, start + n)]
+                    text = np.empty((len(some), len(head) + 10 + len(tail)), np.uint8)
+                    text[:, :len(head)], text[:, len(head):-len(tail)], text[:, -len(tail):] = head, some, tail
+                    out.append(text.tobytes()[:-1])     # the writer ends the last line
+                    held += text.size
+                    if held > TEXT_BYTES:
+                        yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.binary()).cast(pa.string())})
+                        out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.binary()).cast(pa.string())})
+
+    shared.mapInArrow(lines, "value string").write.option("compression", "gzip").text(path)
+
+
+def _span(date: str = "date"):
+    """The stretch of 64 days that a day lies in, and the day's bit in it."""
+    day = F.unix_date(date)
+    return F.shiftright(day, 6).alias("_span"), F.expr(f"shiftleft(1L, unix_date({date}) & 63)")
+
+
 def scan_panel_csv(spark: SparkSession, path: str) -> DataFrame:
     """Every line of a balance CSV with the verdict on it.
 
@@ -35,24 +84,29 @@ def scan_panel_csv(spark: SparkSession, path: str) -> DataFrame:
     ``status``: ``malformed`` where a value is missing or does not fit its
     type; ``duplicate`` for all but one row of a customer and day (the lowest
     balance is kept, whatever the order of the file); else ``accepted``. The
-    declared schema is read permissively, so a bad line costs itself only. The months
-    with a day twice are looked for once, at call time, and written down.
+    declared schema is read permissively, so a bad line costs itself only. The lines
+    are parsed once, at call time, and the parsed rows written down, as are the stretches of
+    days of a customer that hold a day twice.
     """
     schema = PANEL_SCHEMA + ", line STRING"
-    rows = spark.read.schema(schema).option("header", True).option("dateFormat", "yyyy-MM-dd").option(
-        "mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "line").csv(path)
+    base = results_base(spark)
+    # days that follow each other take no room as differences
+    spark.read.schema(schema).option("header", True).option("dateFormat", "yyyy-MM-dd").option(
+        "mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "line").csv(path).write.option(
+        "parquet.writer.version", "v2").option("parquet.enable.dictionary#date", "false").parquet(base + "/parsed")
+    rows = spark.read.schema(schema).parquet(base + "/parsed")
     bad = F.col("line").isNotNull() | F.col("customer_id").isNull() | F.col("segment").isNull() \
         | F.col("date").isNull() | F.col("balance").isNull() | F.isnan("balance")
-    sound = rows.where(~bad).withColumn("_month", F.trunc("date", "month"))
-    # a month with as many rows as different days holds none twice; only the rows of other months are dealt by day
-    some = sound.groupBy("customer_id", "_month").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_or(F.expr("shiftleft(1, day(date) - 1)")).alias("days")).where("n > bit_count(days)")
-    months = results_base(spark) + "/repeated_months"
-    some.select("customer_id", "_month").write.parquet(months)
-    repeated = spark.read.schema("customer_id BIGINT, _month DATE").parquet(months)
+    span, bit = _span()
+    sound = rows.where(~bad).withColumn("_span", span)
+    # a stretch with as many rows as different days holds none twice; only the rows of other stretches are dealt by day
+    some = sound.groupBy("customer_id", "_span").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_or(bit).alias("days")).where("n > bit_count(days)")
+    some.select("customer_id", "_span").write.parquet(base + "/repeated")
+    repeated = spark.read.schema("customer_id BIGINT, _span INT").parquet(base + "/repeated")
     # malformed rows have no key of their own to be dealt by
     place = F.row_number().over(Window.partitionBy("customer_id", "date").orderBy("balance", "segment"))
-    key = ["customer_id", "_month"]
+    key = ["customer_id", "_span"]
     dealt = sound.join(repeated, key, "left_semi").withColumn("status", F.when(place == 1, "accepted").otherwise("duplicate"))
     single = sound.join(repeated, key, "left_anti").withColumn("status", F.lit("accepted"))
     sound = single.unionByName(dealt).select(*rows.columns, "status")
@@ -65,9 +119,20 @@ def read_panel_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def panel_gaps(panel: DataFrame) -> DataFrame:
-    """customer_id, gap_start, gap_end, n_days of the days missing between a customer's rows."""
-    nxt = F.lead("date").over(Window.partitionBy("customer_id").orderBy("date"))
-    gaps = panel.select("customer_id", F.date_add("date", 1).alias("gap_start"), F.date_sub(nxt, 1).alias("gap_end"))
+    """customer_id, gap_start, gap_end, n_days of the days missing between a customer's rows.
+
+    A customer's days are put together as bits of stretches, so stretches and not days are sorted.
+    """
+    span, bit = _span()
+    spans = panel.groupBy("customer_id", span).agg(
+        F.bit_or(bit).alias("days"), F.min("date").alias("first"), F.max("date").alias("last"))
+    nxt = F.lead("first").over(Window.partitionBy("customer_id").orderBy("_span"))
+    after = F.expr("array(struct(date_add(last, 1) AS gap_start, date_sub(next, 1) AS gap_end))")
+    held = "filter(sequence(first, last), d -> getbit(days, unix_date(d) & 63) = 1)"
+    inner = F.expr(f"zip_with({held}, slice({held}, 2, 64), (a, b) -> struct(date_add(a, 1) AS gap_start, date_sub(b, 1) AS gap_end))")
+    whole = F.expr("bit_count(days) = datediff(last, first) + 1")
+    gaps = spans.withColumn("next", nxt).where(~whole | F.expr("next > date_add(last, 1)")).select(
+        "customer_id", F.explode(F.when(whole, after).otherwise(F.concat(inner, after))).alias("g")).select("customer_id", "g.*")
     return gaps.where("gap_start <= gap_end").withColumn("n_days", (F.datediff("gap_end", "gap_start") + 1).cast("bigint"))
 
 

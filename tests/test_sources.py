@@ -104,3 +104,40 @@ def test_whole_pipeline_reads_one_feature_table(spark, monkeypatch):
 
 
 real = M.MD.kmeans_models
+
+
+def test_runs_are_written_as_the_lines_of_their_days(spark, tmp_path, monkeypatch):
+    """Odd texts, unknown values, long runs: the same lines as from the panel; runs without days give none."""
+    monkeypatch.setattr(R, "TEXT_DAYS", 7)
+    monkeypatch.setattr(R, "TEXT_BYTES", 500)
+    d = dt.date
+    runs = spark.createDataFrame([
+        (1, 'a "b", c', d(2023, 12, 20), d(2024, 3, 2), 1.5, d(2023, 12, 20), d(2024, 3, 2)), (2, None, d(2024, 1, 1), d(2024, 1, 1), -2.25e9, None, None),
+        (3, "", d(2024, 1, 1), d(2024, 1, 3), None, None, None), (4, " é ", d(1969, 12, 30), d(1970, 1, 2), 0.0, None, None),
+        (5, "a", None, None, 1.0, None, None)], "customer_id bigint, segment string, first_day date, last_day date, balance double, d_start date, d_end date")
+    R.write_runs_csv(runs, str(tmp_path / "runs"))
+    R.write_csv(L.expand_runs(runs), str(tmp_path / "days"))
+    head = "customer_id,segment,date,balance"
+    got, want = (sorted(r.value for r in spark.read.text(str(tmp_path / p)).collect() if r.value != head) for p in ("runs", "days"))
+    assert got == want and len(got) == 74 + 1 + 3 + 4
+
+
+def test_lines_are_parsed_once(spark, tmp_path):
+    """The scan reads its parsed rows; no branch goes back to the text."""
+    scanned = R.scan_panel_csv(spark, foreign(spark, tmp_path))
+    for df in (scanned, R.quarantine_counts(scanned)):
+        assert "Relation [customer_id" in df._jdf.queryExecution().optimizedPlan().toString()
+        assert " csv" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert scanned.where("line = '2,B,05/01/2024,1' AND status = 'malformed'").count() == 1
+
+
+def test_gaps_of_many_stretches(spark):
+    """Gaps inside a stretch of 64 days, across stretches and before 1970; a day twice and an unknown day make none."""
+    start = dt.date(1969, 6, 1)
+    held = {1: [0, 1, 5, 5, 63, 64, 65, 300, 302, 430], 2: list(range(40, 500)), 3: [7]}
+    rows = [(c, "A", start + dt.timedelta(d), 1.0) for c, days in held.items() for d in days] + [(1, "A", None, 1.0)]
+    got = sorted(tuple(r) for r in R.panel_gaps(spark.createDataFrame(rows, R.PANEL_SCHEMA)).collect())
+    want = [(1, start + dt.timedelta(a + 1), start + dt.timedelta(b - 1), b - a - 1) for a, b in zip(held[1], held[1][1:]) if b - a > 1]
+    assert got == want
+    plan = R.panel_gaps(spark.createDataFrame(rows, R.PANEL_SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("Aggregate")       # days are put together before anything is sorted
