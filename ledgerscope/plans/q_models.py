@@ -291,9 +291,11 @@ def src_panel_quarantine(spark, sf):
 def src_panel_table(spark, sf):
     """The panel written once as a bucketed, sorted table and read back;
     per-customer operators on it run without an exchange."""
-    from ledgerscope.sources.panel_store import save_runs_as_panel
+    from ledgerscope.sources.panel_store import panel_buckets, save_runs_as_panel
     days = L.calendar_bounds(L.line_dates(spark, sf)).select(F.datediff("d_end", "d_start") + 1).first()[0] or 0
-    return save_runs_as_panel(L.line_runs(spark, sf), L.accounts(spark, sf).count() * days, name="ledgerscope_line_panel")
+    rows = L.accounts(spark, sf).count() * days
+    runs = L.line_runs(spark, sf, parts=panel_buckets(spark, rows))
+    return save_runs_as_panel(runs, rows, name="ledgerscope_line_panel", dealt=True)
 
 
 @register("sink_features_csv", sql=FEAT + "SELECT * FROM features")

@@ -29,26 +29,35 @@ def save_table(df: DataFrame, name: str, key: str = "customer_id", sort: tuple[s
     return _write(df.repartition(n, key), name, key, sort, n, path)
 
 
-def _write(df: DataFrame, name: str, key: str, sort: tuple[str, ...], n: int, path: str | None) -> DataFrame:
+def _write(df: DataFrame, name: str, key: str, sort: tuple[str, ...], n: int, path: str | None, **options) -> DataFrame:
     spark = df.sparkSession
     own = f"{name}_{uuid.uuid4().hex}"
-    (df.write.bucketBy(n, key).sortBy(*sort)
+    (df.write.options(**options).bucketBy(n, key).sortBy(*sort)
      .option("path", path or shared_dir(spark, f"tables/{own}"))
      .saveAsTable(own))
     return spark.table(own)
 
 
+# days that follow each other take no room as differences
+DAYS_AS_DIFFERENCES = {"parquet.writer.version": "v2", "parquet.enable.dictionary#date": "false"}
 BUCKET_ROWS = 2_000_000     # days per bucket, so that sorting one stays in memory
 
 
-def save_runs_as_panel(runs: DataFrame, rows: int, name: str = "ledgerscope_panel", path: str | None = None) -> DataFrame:
+def panel_buckets(spark: SparkSession, rows: int) -> int:
+    """Number of buckets of a panel of about ``rows`` days; it grows with them, so that no bucket is spilled."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
+
+
+def save_runs_as_panel(runs: DataFrame, rows: int, name: str = "ledgerscope_panel", path: str | None = None,
+                       dealt: bool = False) -> DataFrame:
     """The daily panel of ``runs`` (about ``rows`` days) as ``save_panel_table`` writes it.
 
-    Runs are dealt to the buckets before they are written out as days, so no day is
-    shuffled, and the number of buckets grows with the days, so none is spilled.
+    Runs are dealt to the buckets (``dealt``: they lie in ``panel_buckets`` partitions by customer already) and sorted before they are written out as days, so no day is
+    shuffled and the writer's own sort finds the days in order.
     """
-    n = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
-    return _write(expand_runs(runs.repartition(n, "customer_id")), name, "customer_id", ("customer_id", "date"), n, path)
+    n = panel_buckets(runs.sparkSession, rows)
+    runs = (runs if dealt else runs.repartition(n, "customer_id")).sortWithinPartitions("customer_id", "first_day")
+    return _write(expand_runs(runs), name, "customer_id", ("customer_id", "date"), n, path, **DAYS_AS_DIFFERENCES)
 
 
 def save_panel_table(panel: DataFrame, name: str = "ledgerscope_panel",

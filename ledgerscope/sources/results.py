@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerscope.session import shared_dir
 from ledgerscope.sources.ledger import PANEL_SCHEMA
+from ledgerscope.sources.panel_store import DAYS_AS_DIFFERENCES
 
 # one JSON object per line in each document
 RESULT_DOCS = {
@@ -90,10 +91,9 @@ def scan_panel_csv(spark: SparkSession, path: str) -> DataFrame:
     """
     schema = PANEL_SCHEMA + ", line STRING"
     base = results_base(spark)
-    # days that follow each other take no room as differences
     spark.read.schema(schema).option("header", True).option("dateFormat", "yyyy-MM-dd").option(
-        "mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "line").csv(path).write.option(
-        "parquet.writer.version", "v2").option("parquet.enable.dictionary#date", "false").parquet(base + "/parsed")
+        "mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "line").csv(path).write.options(
+        **DAYS_AS_DIFFERENCES).parquet(base + "/parsed")
     rows = spark.read.schema(schema).parquet(base + "/parsed")
     bad = F.col("line").isNotNull() | F.col("customer_id").isNull() | F.col("segment").isNull() \
         | F.col("date").isNull() | F.col("balance").isNull() | F.isnan("balance")

@@ -141,3 +141,17 @@ def test_gaps_of_many_stretches(spark):
     assert got == want
     plan = R.panel_gaps(spark.createDataFrame(rows, R.PANEL_SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Window") < plan.index("Aggregate")       # days are put together before anything is sorted
+
+
+def test_runs_of_the_panel_table_are_dealt_once(spark, monkeypatch):
+    """The customers of the runs lie in the table's buckets from the start; a bucket is one file of days in order."""
+    monkeypatch.setattr(PS, "BUCKET_ROWS", 40_000)
+    sf, seen = "/root/testdata/sf0.001", []
+    monkeypatch.setattr(PS, "expand_runs", lambda runs: seen.append(runs) or L.expand_runs(runs))
+    t = M.src_panel_table(spark, sf)
+    assert sorted(map(tuple, t.collect())) == sorted(map(tuple, L.line_panel(spark, sf).collect()))
+    assert seen[0]._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    files = t.inputFiles()
+    assert len(files) == len({f.split("_")[-1] for f in files}) > 4
+    held = [tuple(r) for r in spark.read.parquet(files[0]).select("customer_id", "date").coalesce(1).collect()]
+    assert held == sorted(held)
