@@ -9,11 +9,10 @@ computed by one aggregate and broadcast as a one-row table.
 from __future__ import annotations
 
 import functools
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext, inheritable_thread_target
+from pyspark import TaskContext
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -24,7 +23,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ledgerscope.functions.expr import half_up
 from ledgerscope.params import DEFAULT_PARAMS
-from ledgerscope.session import materialize as _cut
+from ledgerscope.session import materialize as _cut, side_by_side
 
 FEATURES = list(DEFAULT_PARAMS.feature_columns)
 CLASSES = ("High", "Low", "Medium")      # alphabetical = label index
@@ -63,13 +62,15 @@ def fit_classifiers(split: DataFrame, seed: int = 42,
     train = _label(split.where(F.col("split") == "train"))
     test = _label(split.where(F.col("split") == "test"))
     names = F.array(*[F.lit(c) for c in CLASSES])
-    outs, rf = [], None
-    if "logistic_regression" in models:
+    fits = {"logistic_regression": lambda: fit_logistic(standardize(train, fit_on=train)),
+            "random_forest": lambda: RandomForestClassifier(numTrees=100, maxDepth=10, seed=seed).fit(_assemble(train))}
+    wanted = [m for m in fits if m in models]
+    fits = dict(zip(wanted, side_by_side(split.sparkSession, *[fits[m] for m in wanted]))) if wanted else {}
+    outs, rf = [], fits.get("random_forest")
+    if "logistic_regression" in fits:
         ztest = _assemble(standardize(test, fit_on=train))
-        lr = fit_logistic(standardize(train, fit_on=train))
-        outs.append(lr.transform(ztest).withColumn("model", F.lit("logistic_regression")))
-    if "random_forest" in models:
-        rf = RandomForestClassifier(numTrees=100, maxDepth=10, seed=seed).fit(_assemble(train))
+        outs.append(fits["logistic_regression"].transform(ztest).withColumn("model", F.lit("logistic_regression")))
+    if rf is not None:
         outs.append(rf.transform(_assemble(test)).withColumn("model", F.lit("random_forest")))
     preds = None
     for o in outs:
@@ -282,8 +283,7 @@ def kmeans_models(features: DataFrame, ks=range(2, 11), restarts: int = 10, seed
         return float(ev.evaluate(labelled)) if labelled.select("prediction").distinct().limit(2).count() > 1 else 0.0
 
     # many short jobs per k: the ks are measured side by side
-    with ThreadPool(len(best)) as pool:
-        measured = dict(zip(sorted(best), pool.map(inheritable_thread_target(z.sparkSession)(silhouette), sorted(best))))
+    measured = dict(zip(sorted(best), side_by_side(z.sparkSession, *[functools.partial(silhouette, k) for k in sorted(best)])))
     return {k: (cost, measured[k], c) for k, (cost, c) in sorted(best.items())}
 
 

@@ -16,7 +16,7 @@ from ledgerscope.plans.q_features import FEAT, feature_table as features
 from ledgerscope.plans.q_forecast import ALL, ALL_B, metrics, series
 from ledgerscope.plans.q_misc import SPLIT, split, stratified_split
 from ledgerscope.plans.registry import entries, register
-from ledgerscope.session import materialize
+from ledgerscope.session import materialize, side_by_side
 from ledgerscope.sources import ledger as L
 from ledgerscope.sources import results as R
 
@@ -352,11 +352,12 @@ def results_documents(spark, sf):
     from ledgerscope.plans.q_misc import significance
     base = R.results_base(spark)
     f = features(spark, sf)
-    preds, _ = MD.fit_classifiers(stratified_split(f))
-    R.write_docs({"classification_report": reports(preds),
-                  "clustering": MD.kmeans_sweep(f.select("customer_id", "segment", "risk_tier", *MD.FEATURES)),
-                  "forecast_metrics": metrics(spark, sf),
-                  "statistical_tests": significance(f)}, base)
+    # each document needs the features at most; predictions are taken once for both reports
+    docs = {"classification_report": lambda: reports(materialize(MD.fit_classifiers(stratified_split(f))[0])),
+            "clustering": lambda: MD.kmeans_sweep(f.select("customer_id", "segment", "risk_tier", *MD.FEATURES)),
+            "forecast_metrics": lambda: metrics(spark, sf),
+            "statistical_tests": lambda: significance(f)}
+    side_by_side(spark, *[lambda name=name, doc=doc: R.write_docs({name: doc()}, base) for name, doc in docs.items()])
     return R.read_docs(spark, base, R.RESULT_DOCS)
 
 
@@ -387,18 +388,22 @@ def run_risk_pipeline(spark, sf) -> dict:
 
     The feature table is computed once and written as a bucketed table; tiers,
     fits, clustering and tests read that table, the backtest reads the daily
-    score series. The classifiers and the sweep are fitted here (Spark jobs);
-    everything else is lazy.
+    score series. The classifiers and the sweep are fitted here and the backtest is run (Spark jobs,
+    side by side); everything else is lazy.
     """
     from ledgerscope.plans.q_features import features as lazy_features
     from ledgerscope.plans.q_misc import significance
     from ledgerscope.sources.panel_store import save_table
     f = save_table(lazy_features(spark, sf), "risk_features")
-    preds, forest = MD.fit_classifiers(stratified_split(f))
-    preds = materialize(preds)
-    fits = MD.kmeans_models(f.select("customer_id", "segment", "risk_tier", *MD.FEATURES))
+
+    def classified():
+        preds, forest = MD.fit_classifiers(stratified_split(f))
+        return materialize(preds), forest
+
+    (preds, forest), fits, errors = side_by_side(
+        spark, classified, lambda: MD.kmeans_models(f.select("customer_id", "segment", "risk_tier", *MD.FEATURES)),
+        lambda: materialize(metrics(spark, sf)))
     sweep = MD.kmeans_sweep(f, models=fits)
-    errors = materialize(metrics(spark, sf))
     accuracy = preds.groupBy("model").agg(
         half_up(F.count_if(F.col("actual") == F.col("predicted")) / F.count(F.lit(1)), 4).alias("accuracy"))
     return {

@@ -155,3 +155,27 @@ def test_runs_of_the_panel_table_are_dealt_once(spark, monkeypatch):
     assert len(files) == len({f.split("_")[-1] for f in files}) > 4
     held = [tuple(r) for r in spark.read.parquet(files[0]).select("customer_id", "date").coalesce(1).collect()]
     assert held == sorted(held)
+
+
+def test_steps_run_side_by_side(spark):
+    """Each step waits for the other, so they end only if both have begun; results come in the order asked for, errors come through."""
+    import threading
+
+    import pytest
+    from ledgerscope.session import side_by_side
+    both = threading.Barrier(2)
+    assert side_by_side(spark, lambda: (both.wait(60), spark.range(3).count())[1], lambda: (both.wait(60), "b")[1]) == [3, "b"]
+    with pytest.raises(ZeroDivisionError):
+        side_by_side(spark, lambda: 1 / 0, lambda: 1)
+
+
+def test_documents_take_predictions_once(spark, monkeypatch):
+    """Both reports read written predictions, and the four documents are made side by side."""
+    monkeypatch.setattr(M.MD, "kmeans_models", lambda f, **_: real(f, ks=(2, 3), restarts=1))
+    plans, steps = [], []
+    reports, beside = M.reports, M.side_by_side
+    monkeypatch.setattr(M, "reports", lambda preds: plans.append(preds._jdf.queryExecution().optimizedPlan().toString()) or reports(preds))
+    monkeypatch.setattr(M, "side_by_side", lambda s, *some: steps.append(len(some)) or beside(s, *some))
+    rows = M.results_documents(spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc for r in rows} == set(R.RESULT_DOCS) and all(r.field for r in rows)
+    assert steps == [4] and plans[0].startswith("LogicalRDD")
